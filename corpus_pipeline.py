@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotwright.llm import language_id, minhash, quality
+from lotwright.llm import decontaminate, language_id, minhash, packing, quality
 from lotwright.llm.common import table, written
 
 #: (name, function of (spark, docs, sf_dir)); what a stage returns is written as Parquet and read as the next one's docs.
@@ -12,6 +12,8 @@ STAGES = [
     ("language_id", language_id.stage),
     ("quality", quality.stage),
     ("minhash_near_dedup", minhash.stage),
+    ("decontamination", decontaminate.stage),
+    ("best_fit_packing", packing.stage),
 ]
 
 #: Trained classifiers decide the first two stages, which SQL cannot express.

@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP8_SQL, op8_chat_formatting
+from .decontaminate import OP2_SQL, op2_decontamination
+from .embeddings import op10_embedding_near_dedup
+from .html_content import op5_html_extraction
 from .language_id import op1_language_id
 from .minhash import op7_minhash_near_dedup
+from .packing import op3_best_fit_packing
 from .quality import op9_quality
+from .token_files import op4_token_files
+from .url_filter import op6_url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,10 +23,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_decontamination": op2_decontamination,
+        "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_token_files": op4_token_files,
+        "op5_html_extraction": op5_html_extraction,
+        "op6_url_filter": op6_url_filter,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op8_chat_formatting": op8_chat_formatting,
         "op9_quality": op9_quality,
+        "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": OP2_SQL, "op8_chat_formatting": OP8_SQL}
