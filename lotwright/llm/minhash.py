@@ -156,14 +156,6 @@ def _links(width: int, percent: int):
     return work
 
 
-def _alike(sig: np.ndarray, other: np.ndarray, need: int) -> np.ndarray:
-    """For every row of sig and of other: whether at least ``need`` values agree."""
-    same = np.zeros((len(sig), len(other)), np.uint16)
-    for k in range(sig.shape[1]):
-        same += sig[:, k, None] == other[None, :, k]
-    return same >= need
-
-
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, block: int = 1024) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
 
@@ -173,9 +165,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, block: i
     1. Documents of one and the same set form a class at once, whatever their number.
     2. Every class sends its band keys; within a key each class is paired with the key's smallest class only, so a
        key of n classes gives n - 1 pairs. The pairs are confirmed on full sets and grouped.
-    3. Keys that still hold several groups are settled exactly: all pairs of classes of different groups under such
-       a key are compared by signature, in blocks of ``block`` rows that are dealt over the cluster, and those that
-       the signature does not exclude are confirmed on full sets. Pairs inside one group change no component.
+    3. Keys that still hold several groups are settled exactly. Classes of different groups under such a key are
+       compared by signature, in blocks of ``block`` rows that are dealt over the cluster; those that the signature does
+       not exclude form clusters, of which only spanning edges are kept. Within a cluster all pairs of different groups
+       are then compared on full sets, in blocks again, and spanning edges of their links are kept. Pairs inside one
+       group change no component and are not looked at.
 
     Null and blank texts have no shingles and are linked with nothing. Repeated rows share one class and one
     component. Rows without doc_id take part in links; component_id is the smallest id of the rest, null if there
@@ -196,17 +190,50 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, block: i
     shared = written(keyed.join(tops, "key").select("key", "c", "top"), "shared")
     pairs = shared.where("c <> top").select(F.col("c").alias("a"), F.col("top").alias("b")).distinct()
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = written(pairs, f"{name}-pairs")
-        ends = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-        of = classes.join(ends, "c", "left_semi").select("c", F.col("row.doc_id").alias("of"), F.col("row.h").alias("h"))
-        wanted = texts.join(of, (texts["h"] == of["h"]) & texts["doc_id"].eqNullSafe(of["of"])).groupBy("c").agg(F.first("text").alias("text"))
-        wanted = written(wanted, f"{name}-texts")
-        left, right = wanted.toDF("a", "ta"), wanted.toDF("b", "tb")
-        return written(pairs.join(left, "a").join(right, "b").mapInArrow(_links(width, percent), "a long, b long"), f"{name}-links")
+    def with_text(wanted: DataFrame) -> DataFrame:
+        """(c, text) of the classes c: the text of the row that the class is named after."""
+        of = classes.join(wanted, "c", "left_semi").select("c", F.col("row.doc_id").alias("of"), F.col("row.h").alias("h"))
+        found = texts.join(of, (texts["h"] == of["h"]) & texts["doc_id"].eqNullSafe(of["of"]))
+        return written(found.groupBy("c").agg(F.first("text").alias("text")), "texts")
 
-    links = confirmed(pairs, "star")
+    pairs = written(pairs, "pairs")
+    wanted = with_text(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct())
+    left, right = wanted.toDF("a", "ta"), wanted.toDF("b", "tb")
+    links = written(pairs.join(left, "a").join(right, "b").mapInArrow(_links(width, percent), "a long, b long"), "links")
     groups = components(links).select(F.col("vertex").alias("c"), F.col("component").alias("g"))
+    size, t = bands * ROWS, percent / 100
+    need = max(ROWS, math.floor(size * (t - 5 * math.sqrt(t * (1 - t) / size))))
+    alike = written(_across(shared, classes, groups, need, block), "alike")
+    if not alike.isEmpty():
+        clusters = written(components(alike).select(F.col("vertex").alias("c"), F.col("component").alias("cluster")), "clusters")
+        near = clusters.join(with_text(clusters.select("c")), "c").join(groups, "c", "left").withColumn("g", F.coalesce("g", "c"))
+        links = links.union(written(_within(near, width, percent), "more-links"))
+        groups = components(links).select(F.col("vertex").alias("c"), F.col("component").alias("g"))
+    named = classes.select("c", "fp", "doc_id").join(groups, "c", "left").withColumn("g", F.coalesce("g", "c"))
+    least = named.groupBy("g").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(least, "g").select("fp", "component_id")
+    out = rows.select("doc_id", "h", "n_shingles", "fp").join(named, "fp", "left")
+    component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(False))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), F.col("h").alias("text_hash"))
+
+
+def _spanning(c: np.ndarray, first: np.ndarray, second: np.ndarray, joined: np.ndarray) -> pa.Table:
+    """Edges (a, b), a > b, that span what the matrix ``joined`` (rows first, columns second, both into c) connects."""
+    none = np.iinfo(np.int64).max
+    label = c.copy()
+    while joined.any():
+        before = label.copy()
+        np.minimum.at(label, second, np.where(joined, label[first][:, None], none).min(axis=0))
+        np.minimum.at(label, first, np.where(joined, label[second][None, :], none).min(axis=1))
+        if np.array_equal(before, label):
+            break
+    own = label != c
+    return pa.table({"a": c[own], "b": label[own]})
+
+
+def _across(shared: DataFrame, classes: DataFrame, groups: DataFrame, need: int, block: int) -> DataFrame:
+    """(a, b): edges that span the classes of different groups with a common key and at least ``need`` equal signature values."""
     member = shared.select("key", "c").join(groups, "c", "left").select("key", "c", F.coalesce("g", "c").alias("g"))
     mixed = member.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("key")
     member = member.join(mixed, "key")
@@ -214,38 +241,59 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, block: i
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "g")).alias("m"), F.sum("n").alias("all"))
     main = main.select("key", F.col("m.g").alias("main"), F.ceil(F.col("m.n") / block).alias("p"), F.ceil((F.col("all") - F.col("m.n")) / block).alias("q"))
     dealt = member.join(main, "key").join(classes.select("c", "sig"), "c")
-    # the largest group of a key meets the others' q blocks, and those meet each other
-    row_block = F.when(F.col("g") == F.col("main"), F.pmod(F.xxhash64("c"), "p")).otherwise(F.col("p") + F.pmod(F.xxhash64("c"), "q"))
-    dealt = dealt.withColumn("own", row_block)
-    other = F.when(F.col("g") == F.col("main"), F.sequence(F.col("p"), F.col("p") + F.col("q") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("p") + F.col("q") - 1))
-    dealt = dealt.withColumn("other", F.explode(other)).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "g", "sig"
-    )
-    size = bands * ROWS
-    t = percent / 100
-    need = max(ROWS, math.floor(size * (t - 5 * math.sqrt(t * (1 - t) / size))))
-
-    def cross(got: pa.Table) -> pa.Table:
+    # the largest group of a key has p blocks and meets the q blocks of the others, which meet each other
+    largest, last = F.col("g") == F.col("main"), F.col("p") + F.col("q") - 1
+    own = F.when(largest, F.pmod(F.xxhash64("c"), "p")).otherwise(F.col("p") + F.pmod(F.xxhash64("c"), "q"))
+    other = F.explode(F.when(largest, F.sequence("p", last)).otherwise(F.sequence(F.lit(0).cast("long"), last)))
+    dealt = dealt.withColumn("own", own).withColumn("other", other)
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "g", "sig")
+
+    def alike(got: pa.Table) -> pa.Table:
         own, c, g = (got[x].to_numpy() for x in ("own", "c", "g"))
         sig = np.frombuffer(b"".join(got["sig"].to_pylist()), "<u2").reshape(len(own), -1)
-        first, second = own == got["i"].to_numpy(), own == got["j"].to_numpy()
-        x, y = np.nonzero(_alike(sig[first], sig[second], need) & (g[first][:, None] != g[second][None, :]))
-        a, b = c[first][x], c[second][y]
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
-
-    more = dealt.groupBy("key", "i", "j").applyInArrow(cross, "a long, b long").distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "mixed")
-    if not more.isEmpty():
-        extra = confirmed(more, "cross")
-        joined = links.union(extra)
-        groups = components(joined).select(F.col("vertex").alias("c"), F.col("component").alias("g"))
-    named = classes.select("c", "fp", "doc_id").join(groups, "c", "left").withColumn("g", F.coalesce("g", "c"))
-    least = named.groupBy("g").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "g").select("fp", "component_id")
-    out = rows.select("doc_id", "h", "n_shingles", "fp").join(named, "fp", "left")
-    component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    kept = F.coalesce(F.col("doc_id") == component, F.lit(False))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), F.col("h").alias("text_hash"))
+        first, second = (np.flatnonzero(own == got[k].to_numpy()) for k in "ij")
+        same = np.zeros((len(first), len(second)), np.uint8 if sig.shape[1] < 256 else np.uint16)
+        for k in range(sig.shape[1]):
+            same += sig[first, k][:, None] == sig[second, k][None, :]
+        return _spanning(c, first, second, (same >= need) & (g[first][:, None] != g[second][None, :]))
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(alike, "a long, b long").distinct()
+
+
+def _within(near: DataFrame, width: int, percent: int, rows: int = 256, size: int = 4 << 20) -> DataFrame:
+    """(a, b): edges that span the exact links between different groups of each cluster; near: c, cluster, g, text.
+
+    A cluster is dealt as blocks of about ``rows`` texts or ``size`` bytes, and each pair of blocks is one group, whose
+    intersections of full shingle sets are counted by products of incidence matrices.
+    """
+    blocks = near.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum(F.octet_length("text").cast("long")) / size)).alias("p"))
+    dealt = near.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("c"), "p"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1)))
+    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "g", "text")
+
+    def linked(got: pa.Table) -> pa.Table:
+        own, c, g = (got[x].to_numpy() for x in ("own", "c", "g"))
+        sets, cuts = shingle_sets(*text_bytes(got["text"]), width)
+        first, second = (np.flatnonzero(own == got[k].to_numpy()) for k in "ij")
+        owner = np.repeat(np.arange(len(own)), np.diff(cuts))
+        order = np.argsort(sets, kind="stable")
+        fresh = np.concatenate([[True], sets[order][1:] != sets[order][:-1]]) if len(sets) else np.empty(0, bool)
+        shingle = np.cumsum(fresh) - 1
+        often = np.bincount(shingle)[shingle] > 1 if len(sets) else fresh  # a shingle of one text is in no intersection
+        shingle, owner = np.unique(shingle[often], return_inverse=True)[1], owner[order][often]
+        both = np.zeros((len(own), len(own)), np.float32)
+        step = 4096
+        for lo in range(0, int(shingle[-1]) + 1 if len(shingle) else 0, step):
+            a, b = np.searchsorted(shingle, [lo, lo + step])
+            present = np.zeros((len(own), step), np.float32)
+            present[owner[a:b], shingle[a:b] - lo] = 1
+            both += present @ present.T
+        n = np.diff(cuts)
+        common = np.rint(both[np.ix_(first, second)]).astype(np.int64)
+        joined = 100 * common >= percent * (n[first][:, None] + n[second][None, :] - common)
+        return _spanning(c, first, second, joined & (g[first][:, None] != g[second][None, :]))
+
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(linked, "a long, b long").distinct()
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
