@@ -125,10 +125,17 @@ def fit(docs: DataFrame, usable: F.Column | None = None, most: int = 4000, seed:
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     start = F.floor(uniform(seed + 1, "k") * F.greatest(F.octet_length("b") - WINDOW + 1, F.lit(1))).cast("int") + 1
     drawn = rows.select("lang", (-F.log(uniform(seed, "k"))).alias("u"), "k", F.expr("b").substr(start, F.lit(WINDOW)).alias("w"))
-    drawn = drawn.join(F.broadcast(counts.orderBy(F.desc("n"), "lang").limit(1000)), "lang").select("lang", "w", (F.col("u") * F.col("n")).alias("u"), "k")
-    got = drawn.orderBy("u", "k", "w").limit(most).select("lang", "w").collect()
-    if not got:
+    sizes = {r["lang"]: r["n"] for r in counts.orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    if not sizes:
         return None
+    # u * n is exponential with mean n: so many rows of a language are expected under a bound; only those go to the driver
+    n, low, high = np.array([*sizes.values()], float), 0.0, 64.0 * max(sizes.values())
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if (n * -np.expm1(-middle / n)).sum() < 1.5 * most + 100 else (low, middle)
+    weight = F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair))[F.col("lang")]
+    drawn = drawn.select("lang", "w", (F.col("u") * weight).alias("u"), "k").where(F.col("u") <= high)
+    got = drawn.orderBy("u", "k", "w").limit(most).select("lang", "w").collect()
     padded = np.zeros((len(got), WINDOW), np.uint8)
     for row, r in zip(padded, got):
         row[: len(r["w"])] = np.frombuffer(bytes(r["w"]), np.uint8)

@@ -125,7 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, most: int = 4000, most_
     marked = labels.select(F.col("doc_id").cast("long").alias("k"), F.col("quality").cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)")
     if usable is not None:
         marked = marked.where(usable(F.col("k")))
-    marked = marked.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("hi")).where("y = hi").orderBy(uniform(seed, "k"), "k").limit(most).select("k", "y")
+    share = min(1.0, (1.5 * most + 100) / max(1, marked.count()))  # what can be in the sample: only that goes to the driver
+    marked = marked.where(uniform(seed, "k") <= share).groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("hi")).where("y = hi")
+    marked = marked.orderBy(uniform(seed, "k"), "k").limit(most).select("k", "y")
     span = PASSAGE * most_passages
     text = F.col("text").cast("string").cast("binary")
     gap = F.greatest(F.floor(F.octet_length("b") / F.lit(span)), F.lit(1)) * PASSAGE

@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, uniform, written
 
 #: (host, path, verdict): fits the host and its subdomains where the path begins with the rule's; the longest wins.
 RULES = [
@@ -72,7 +72,10 @@ def _lexical(rows: DataFrame) -> DataFrame:
 
 def fit(rows: DataFrame, most: int = 20_000, trees: int = 20, depth: int = 3) -> GBTClassificationModel | str:
     """Trees learned from at most ``most`` labelled URLs, drawn by a hash; the one verdict there is, or allow, where only one occurs."""
-    sample = rows.where("verdict IS NOT NULL").select((F.col("verdict") == "block").cast("double").alias("label"), *FEATURES, F.xxhash64("page_id", "url").alias("k"))
+    known = rows.where("verdict IS NOT NULL")
+    share = min(1.0, (1.5 * most + 100) / max(1, known.count()))  # what can be in the sample: only that goes to the driver
+    known = known.where(uniform(1, "page_id", "url") <= share)
+    sample = known.select((F.col("verdict") == "block").cast("double").alias("label"), *FEATURES, uniform(1, "page_id", "url").alias("k"))
     sample = written(sample.orderBy("k", *FEATURES).limit(most), "urls")
     seen = [r["label"] for r in sample.select("label").distinct().collect()]
     if len(seen) < 2:
