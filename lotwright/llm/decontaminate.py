@@ -211,5 +211,5 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in which no benchmark window occurs."""
-    columns = docs.columns
-    return search(docs, table(spark, sf_dir, "benchmark"), columns).where(~F.col("contaminated")).select(*columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")  # whatever the columns are called
+    return search(rows, table(spark, sf_dir, "benchmark"), ["row"]).where(~F.col("contaminated")).select("row.*")

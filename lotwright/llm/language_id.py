@@ -185,5 +185,5 @@ LEAST = 0.35
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language the network recognises: not ``und``, mean probability LEAST or more."""
-    columns = docs.columns
-    return predict(docs, fit(docs), columns).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST)).select(*columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")  # whatever the columns are called
+    return predict(rows, fit(docs), ["row"]).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST)).select("row.*")

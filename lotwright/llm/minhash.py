@@ -308,13 +308,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without shingles and documents without doc_id all stay.
     """
     ids = written(near_duplicates(docs).where("doc_id IS NOT NULL AND n_shingles > 0"), "groups")
-    gone = ids.where("NOT kept").select("doc_id", "text_hash").distinct()
-    docs = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_h"))
-    out = docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.col("_h") == F.col("_gone_h")), "left_anti")
-    again = ids.where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    named = lambda df: df.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
+    out = rows.join(named(ids.where("NOT kept")).distinct(), ["d", "h"], "left_anti")
+    again = named(ids.where("kept")).groupBy("d", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     if not again.isEmpty():
-        again = again.select(F.col("doc_id").alias("_again"), F.col("text_hash").alias("_again_h"))
-        same = (F.col("doc_id") == F.col("_again")) & (F.col("_h") == F.col("_again_h"))
-        out = out.join(again, same, "left_anti").union(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "_h"]))
-    return out.drop("_h")
+        out = out.join(again, ["d", "h"], "left_anti").union(out.join(again, ["d", "h"], "left_semi").dropDuplicates(["d", "h"]))
+    return out.select("row.*")

@@ -170,5 +170,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose quality score is GOOD or more."""
-    columns = docs.columns
-    return score(docs, fit(docs, table(spark, sf_dir, "labels")), columns).where(F.col("predicted") == 1).select(*columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")  # whatever the columns are called
+    return score(rows, fit(docs, table(spark, sf_dir, "labels")), ["row"]).where(F.col("predicted") == 1).select("row.*")
