@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small_batches, table, written
 from .tokens import encoded
 
 CAPACITY = 2048
@@ -226,7 +226,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     null doc_id is kept. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = written(pieces(docs, vocabulary, capacity, end_id), "pieces")
+    with small_batches(spark):
+        rows = written(pieces(docs, vocabulary, capacity, end_id), "pieces")
     parts = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     bins = packed(spark, histogram, capacity)
