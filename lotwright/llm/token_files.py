@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, table
+from .common import shared_path, small_batches, table
 from .tokens import encoded, encoder
 
 MAGIC = b"LWTOKEN1"
@@ -215,7 +215,8 @@ def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
     """
     spark = docs.sparkSession
     uri = _uri(spark, shared_path(spark, "tokens"))
-    shards = [tuple(r) for r in write(docs, uri, vocabulary, end_id).collect()]  # one row per shard
+    with small_batches(spark):
+        shards = [tuple(r) for r in write(docs, uri, vocabulary, end_id).collect()]  # one row per shard
     return read(spark, uri, shards)
 
 
