@@ -136,9 +136,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, most: int = 4000, most_
     got = got.select("k", "y", F.when(F.octet_length("b") <= span, F.array("b")).otherwise(pieces).alias("w")).orderBy(uniform(seed, "k"), "k", "w").limit(most).collect()
     if not got:
         return None
-    texts = [b"".join(bytes(w) for w in r["w"]) for r in got]
-    x, number = passages(*text_bytes(pa.array(texts, pa.binary())))
-    return train(x, number, np.array([r["y"] for r in got], np.float32))
+    y = np.array([r["y"] for r in got], np.float32)
+    data, offsets = text_bytes(pa.array([b"".join(r["w"]) for r in got], pa.binary()))
+    del got
+    x, number = zip(*(passages(data, offsets[i : j + 1]) for i, j in steps(offsets, 1 << 19)))
+    return train(np.concatenate(x), np.concatenate(number), y)
 
 
 def score(docs: DataFrame, net: GatedAttention | None, keep: list[str]) -> DataFrame:
