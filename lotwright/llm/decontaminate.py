@@ -20,7 +20,7 @@ INSIDE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x41, 0x5B), *range(0x80,
 #: Words of a window, words of a block in the shift table, words that one cursor scans.
 WINDOW, BLOCK, SEGMENT = 10, 2, 256
 #: Bytes of benchmark text that are searched for, and broadcast, at once.
-PATTERN_BYTES = 16 << 20
+PATTERN_BYTES = 2 << 20
 
 
 @dataclass
