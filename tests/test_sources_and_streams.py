@@ -75,3 +75,11 @@ def test_hourly_windows(spark, tmp_path):
     q = windows.first_sights(source()).writeStream.format("memory").queryName("sights").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT * FROM sights").count() == 12
+
+
+def test_tree_records(spark):
+    from lotwright.sources import tree
+
+    html = """<div data-key="a1"><h2>Sony <b>TV</b></h2><div data-key="b2"><h2>Inner</h2><span class="x-price">$5</span></div><span class="price">$1,030.50</span></div><div data-key="c3"><img alt="Pic"><i>Sponsored</i></div>"""
+    got = rows(tree.records(spark.createDataFrame([(1, html), (2, None), (3, "<p>")], "p long, html string"), "html", ["p"]))
+    assert [(r["key"], r["title"], r["price"], r["sponsored"]) for r in sorted(got, key=lambda r: r["pos"])] == [("A1", "Sony TV", 1030.5, False), ("B2", "Inner", 5.0, False), ("C3", "Pic", None, True)]
