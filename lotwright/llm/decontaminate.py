@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, steps, table, text_bytes, words
+from .common import LOWER, extended, mix, steps, table, text_bytes, words
 
 #: Bytes of words: digits, letters, and all bytes of characters outside ASCII.
 INSIDE = np.zeros(256, bool)
@@ -163,15 +163,13 @@ def search(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // PATTERN_BYTES))
-    columns = docs.select(*keep).schema.fields
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in columns)
     out = docs.select(*keep, F.col("text").cast("string").alias("_text"), F.lit(None).cast("array<bigint>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"))
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).distinct().collect()
         matchers = spark.sparkContext.broadcast(compiled([(r["i"], r["t"]) for r in own]))
         last = k == blocks - 1
         tail = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if last else "_text string, _spans array<bigint>, _items array<string>"
-        out = out.mapInArrow(_pass(matchers, last, keep), head + tail)
+        out = out.mapInArrow(_pass(matchers, last, keep), extended(docs.select(*keep), tail))
     return out
 
 

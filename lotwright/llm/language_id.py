@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, steps, table, text_bytes, uniform
+from .common import crc_bucket, extended, steps, table, text_bytes, uniform
 
 #: Bytes of a window, of the embedding of a byte, filter widths and filters of each width.
 WINDOW, EMBED, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 16
@@ -149,7 +149,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None, keep: list[str]) -> DataFr
     does every text when there is no network. Ties go to the first label in order.
     """
     taken = docs.select(*keep, F.col("text").cast("string").alias("_text"), F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.select(*keep).schema.fields)
+    schema = extended(docs.select(*keep), "lang_pred string, score double")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +168,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None, keep: list[str]) -> DataFr
                 [*(batch.column(c) for c in keep), pa.array([names[k] for k in label], pa.string()), pa.array(np.clip(score, 0, 1))], [*keep, "lang_pred", "score"]
             )
 
-    return taken.mapInArrow(work, f"{schema}, lang_pred string, score double")
+    return taken.mapInArrow(work, schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

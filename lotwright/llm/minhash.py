@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, shared_path, steps, table, text_bytes, words, written
+from .common import LOWER, mix, spread, steps, table, text_bytes, words, written
 from .graph import components
 
 #: Bytes of words: all but space and 0x09 to 0x0D.
@@ -257,7 +257,7 @@ def _across(shared: DataFrame, classes: DataFrame, groups: DataFrame, need: int,
             same += sig[first, k][:, None] == sig[second, k][None, :]
         return _spanning(c, first, second, (same >= need) & (g[first][:, None] != g[second][None, :]))
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(alike, "a long, b long").distinct()
+    return spread(dealt, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(alike, "a long, b long").distinct()
 
 
 def _within(near: DataFrame, width: int, percent: int, rows: int = 256, size: int = 4 << 20) -> DataFrame:
@@ -293,7 +293,7 @@ def _within(near: DataFrame, width: int, percent: int, rows: int = 256, size: in
         joined = 100 * common >= percent * (n[first][:, None] + n[second][None, :] - common)
         return _spanning(c, first, second, joined & (g[first][:, None] != g[second][None, :]))
 
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(linked, "a long, b long").distinct()
+    return spread(dealt, "cluster", "i", "j").groupBy("cluster", "i", "j").applyInArrow(linked, "a long, b long").distinct()
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, h st
 
 def docs(spark, rows):
     """rows: (doc_id, text[, lang]); further columns have names that the operators use themselves."""
-    return spark.createDataFrame([(r[0], r[1], r[2] if len(r) > 2 else None, "s", len(r[1] or ""), "h", "s", "t", 1) for r in rows], DOCS)
+    return spark.createDataFrame([(r[0], r[1], r[2] if len(r) > 2 else None, "s", len(r[1] or ""), "h", "s", "t", 1) for r in rows], DOCS).withColumn("a b, c", F.struct(F.lit(1).alias("x y")))
 
 
 def dicts(df):
