@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import spread, table, written
 from .graph import components
 
 #: Blocks that the rotated dimensions are split into, coordinates of a block that make its grid, rows of a tile.
@@ -174,7 +174,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, tile: int = TILE) ->
     guests = homes.join(F.broadcast(visits), ["b", "cell"]).withColumn("j", F.col("p_tiles") + tile_of("q_tiles"))
     guests = guests.withColumn("left", F.lit(False)).withColumn("i", upto(zero, F.col("p_tiles") - 1))
     dealt = hosts.select(group).union(peers.select(group)).union(guests.select(group))
-    found = dealt.groupBy("b", "home", "i", "j").applyInArrow(_joined(dimensions, least, budgets), "c long, n long, other long")
+    found = spread(dealt, "b", "home", "i", "j").groupBy("b", "home", "i", "j").applyInArrow(_joined(dimensions, least, budgets), "c long, n long, other long")
     found = written(found, "links")
     links = found.where("other IS NOT NULL").select(F.col("c").alias("a"), F.col("other").alias("b"))
     groups = components(links).select(F.col("vertex").alias("c"), F.col("component").alias("g"))
