@@ -23,7 +23,7 @@ from .common import spread, table, written
 from .graph import components
 
 #: Blocks that the rotated dimensions are split into, coordinates of a block that make its grid, rows of a tile.
-BLOCKS, GRID, TILE = 4, 2, 4096
+BLOCKS, GRID, TILE = 4, 2, 16384
 #: Rotated coordinates are kept as whole multiples of 1 / SCALE, computed once, so that every group sees the same block
 #: distances. SLACK, added to a block's squared budget, exceeds what that rounding changes; ROUGH that of a float32 product.
 SCALE, SLACK, ROUGH = 32767, 3e-4, 1e-4
