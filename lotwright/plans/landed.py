@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,5 +56,5 @@ def q_json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_watch_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()  # the last in tests only
     return watch.alerts_of_events(spark, sf_dir, folder.rstrip("/"))
