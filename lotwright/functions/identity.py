@@ -6,8 +6,6 @@ a pattern and the form its match takes.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +38,30 @@ RULES: dict[str, list[tuple[str, str]]] = {
     "volumes": [(r"\b(\d+(?:\.\d+)?)[\s-]*(?:fl\s*)?(?:oz|ounces?)\b", "$1oz"), (r"\b(\d+(?:\.\d+)?)[\s-]*(?:qt|quarts?)\b", "$1qt"), (r"\b(\d+(?:\.\d+)?)[\s-]*ml\b", "$1ml"), (r"\b(\d+(?:\.\d+)?)[\s-]*(?:l|liters?|litres?)\b", "$1l"), (r"\b(\d+(?:\.\d+)?)[\s-]*cups?\b", "$1cup")],
     "modeCounts": [(r"\b0*(\d{1,2})[\s-]*(?:speeds?|modes?|settings?)\b", "$1")],
     "featureCounts": [(r"\b0*(\d{1,2})[\s-]*in[\s-]*1\b", "$1")],
+    "seriesSignatures": [(r"\b(iphone|ipad|pixel|galaxy|quest|airpods|macbook|surface|echo|kindle|roomba|dyson|gopro)\s+(\d+(?:st|nd|rd|th)?|[a-z]+\d+[a-z]*)\b(?!\s*(?:inch|in|gb|tb|mb|hz|w|watts)\b)((?:\s+(?:pro|max|plus|ultra|mini|air|lite|slim|fold|flip|generation|gen)\b){0,3})", "$1:$2$3")],
+    "productFamilies": [
+        (r"\b(?:snorkel(?:ing)?\s+(?:gear\s+)?(?:set\s+)?[^,;]{0,25}mask|diving\s+mask)\b", "snorkel-mask"), (r"\b(?:anti[\s-]*fog\s+spray|defogger)\b", "anti-fog-spray"), (r"\b(?:kickball|mega\s+ball)\b", "kickball"),
+        (r"\bfootballs?\b", "football"), (r"\bsoccer\s+balls?\b", "soccer-ball"), (r"\b(?:bounce|bouncy)\s+ball\b", "bounce-ball"), (r"\bpasta\s+bowls?\b", "pasta-bowls"),
+        (r"\b(?:dinnerware|dishware|plates?\s+and\s+bowls?)\b", "dinnerware-set"), (r"\bneck\s+fans?\b", "neck-fan"), (r"\b(?:handheld|turbo)\s+fans?\b", "handheld-fan"), (r"\b(?:steam\s+cleaners?|handheld\s+steamers?)\b", "steam-cleaner"),
+        (r"\b(?:microfiber\s+cloths?|steam\s+cleaner\s+pads?)\b", "cleaning-cloth"), (r"\b(?:drip\s+irrigation\s+(?:kit|system)|irrigation\s+timer)\b", "irrigation-system"), (r"\b(?:replacement\s+(?:parts?|kit)|parts?\s+only)\b", "replacement-parts"),
+        (r"\bvases?\b", "vase"), (r"\b(?:planters?|flower\s+pots?)\b", "planter"),
+    ],
 }
 COLORS = ["black", "white", "red", "blue", "green", "purple", "pink", "grey", "gray", "beige", "brown", "orange", "yellow", "clear", "ivory", "burgundy"]
 MATERIALS = ["sherpa", "fleece", "cotton", "linen", "velvet", "leather", "stainless steel", "plastic", "glass", "ceramic", "wood", "nylon", "polyester", "microfiber", "rubber"]
+#: Families of goods that exclude each other: a candidate of another member is another product.
+EXCLUSIVE = [
+    ["kickball", "football", "soccer-ball", "bounce-ball", "other-ball"], ["vase", "planter"], ["pasta-bowls", "dinnerware-set"], ["neck-fan", "handheld-fan"],
+    ["steam-cleaner", "cleaning-cloth"], ["irrigation-system", "replacement-parts"],
+]
+#: Brands under several names.
+BRANDS = {
+    "sony": r"\b(?:sony|playstation)\b", "microsoft": r"\b(?:microsoft|xbox)\b", "apple": r"\b(?:apple|iphone|ipad|macbook|airpods)\b", "google": r"\b(?:google|pixel)\b", "meta": r"\b(?:meta|oculus)\b",
+    "western-digital": r"\b(?:western\s+digital|wd)\b", "hewlett-packard": r"\b(?:hewlett[\s-]+packard|hp)\b",
+}
 #: Kinds of goods in the order in which they are tried.
 KINDS = {
+    "game-console": r"\b(?:(?:playstation\s*[2-6]|ps\s*[2-6]|xbox(?:\s+(?:one|series\s*[sx]))?|nintendo\s+switch)[^,;]{0,35}\b(?:consoles?|systems?)|game\s+consoles?)\b",
     "graphics-card": r"\b(?:graphics|video)\s+cards?\b|\brtx\s*\d{3,4}\b", "memory": r"\b(?:ram|ddr[345])\b", "processor": r"\b(?:cpus?|processors?)\b", "smartwatch": r"\b(?:smart\s*watches?|apple\s+watch)\b",
     "power-tool": r"\b(?:impact\s+drivers?|hammer\s+drills?|cordless\s+drills?|circular\s+saws?|angle\s+grinders?)\b", "storage": r"\b(?:hard\s+drives?|ssds?|hdds?)\b", "projector": r"\bprojectors?\b",
     "monitor": r"\bmonitors?\b", "television": r"\b(?:televisions?|tvs?|qled|oled)\b", "receiver": r"\b(?:receivers?|amplifiers?)\b", "headphones": r"\b(?:headphones?|headsets?|earbuds?)\b", "laptop": r"\b(?:laptops?|notebooks?|macbooks?)\b",
@@ -53,14 +70,17 @@ KINDS = {
 #: Words that say nothing about which product it is, and nouns of parts and accessories.
 NOISE = ["retail", "new", "brand", "the", "best", "with", "and", "for", "in", "a", "of", "to", "up", "included", "includes", "free", "shipping", "lot", "item", "items", "qty", "x", "pack", "set", "est", "price", "value"]
 ACCESSORY = r"\b(?:case|cover|sleeve|skin|pouch|protector|cable|charger|adapter|mount|holder|stand|strap|band|dock|clip|filters?|bracket|screws?|decal|sticker|manual)s?\b"
-FOR_PRODUCT = r"\b(?:compatible\s+with|replacement\s+for|designed\s+for|made\s+for|for\s+use\s+with|fits|for)\b"
+FOR_PRODUCT = r"\b(?:compatible\s+with|replacement\s+(?:part\s+)?for|designed\s+for|made\s+for|for\s+use\s+with|fits|suitable\s+for|upgrade\s+for)\b"
+MARKER = r"\b(?:for|compatible\s+with|replacement\s+for|designed\s+for|made\s+for|fits)\b"
+NOT_WHOLE = r"\breplacement\s+parts?\s+only\b|\bnot\s+a\s+complete\b"
+CONDITION_PREFIX = r"^\s*\(?\s*(?:open\s*box|openbox|refurbished|refurb|renewed|used|pre[\s-]?owned)[^-|:]*\)?\s*[-|:]\s*"
 #: Groups whose shared values count twice, and those that a candidate must state if the lot does.
-DOUBLE, CRITICAL = ("platformVariants",), ("packageCounts", "volumes")
+DOUBLE, CRITICAL = ("platformVariants", "seriesSignatures"), ("packageCounts", "volumes")
 
 
 def _form(pattern: str, form: str):
     """The canonical form of a match: a constant, or its groups put into a template."""
-    bare = re.sub(r"\(\?<?!.*?\)+$|^(?:\(\?<![^)]*\))+", "", pattern.replace(r"\b", ""))  # the match stands alone: nothing around it to look at
+    bare = pattern.replace(r"\b", "")  # the match stands alone: what may not be around it is not there
     return (lambda m: F.regexp_replace(m, bare, form)) if "$" in form else (lambda m: F.lit(form))
 
 
@@ -71,6 +91,9 @@ def attributes(title: Column) -> dict[str, Column]:
     for name, rules in RULES.items():
         found = [F.transform(F.regexp_extract_all(text, F.lit(ascii_words(p)), F.lit(0)), _form(p, form)) for p, form in rules]
         out[name] = F.array_sort(F.array_distinct(F.concat(*found)))
+    out["seriesSignatures"] = F.when(F.size(out["platformVariants"]) > 0, F.array().cast("array<string>")).otherwise(F.transform(out["seriesSignatures"], lambda v: F.regexp_replace(v, r"\s+", ":")))
+    balls = text.rlike(ascii_words(r"\bballs?\b")) & ~F.arrays_overlap(out["productFamilies"], F.array(*map(F.lit, EXCLUSIVE[0])))
+    out["productFamilies"] = F.array_sort(F.when(balls, F.array_append(out["productFamilies"], "other-ball")).otherwise(out["productFamilies"]))
     units = {"kb": 0, "mb": 1, "gb": 2, "tb": 3}
     sizes = F.regexp_extract_all(text, F.lit(ascii_words(r"\b\d+(?:\.\d+)?[\s-]*(?:tb|gb|mb|kb)\b")), F.lit(0))
     weighed = F.transform(sizes, lambda m: F.struct((F.regexp_extract(m, r"(\d+(?:\.\d+)?)", 1).cast("double") * sum((F.when(F.right(m, F.lit(2)) == u, 1024.0**k).otherwise(0.0) for u, k in units.items()), F.lit(0.0))).alias("n"), F.regexp_replace(m, r"[\s-]", "").alias("v")))
@@ -87,6 +110,11 @@ def kind(title: Column) -> Column:
     return F.coalesce(*(F.when(text.rlike(ascii_words(p)), k) for k, p in KINDS.items()))
 
 
+def brand_family(title: Column) -> Column:
+    text = F.lower(title)
+    return F.coalesce(*(F.when(text.rlike(ascii_words(p)), k) for k, p in BRANDS.items()))
+
+
 def telling_tokens(title: Column) -> Column:
     """Distinct lower-case tokens of three signs or more that are neither noise, colours nor numbers."""
     small = F.transform(identity_tokens(title), lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9]+", ""))
@@ -112,7 +140,42 @@ def described(rows: DataFrame, title: str, prefix: str) -> DataFrame:
     """rows with a struct of everything that is compared: attributes, kind, model, brand, tokens."""
     t = F.coalesce(F.col(title), F.lit(""))
     found = [v.alias(k) for k, v in attributes(t).items()]
-    return rows.withColumn(prefix, F.struct(t.alias("title"), *found, kind(t).alias("kind"), model(t).alias("model"), F.lower(F.try_element_at(identity_tokens(t), F.lit(1))).alias("brand"), telling_tokens(t).alias("tokens")))
+    return rows.withColumn(prefix, F.struct(t.alias("title"), *found, kind(t).alias("kind"), brand_family(t).alias("family"), model(t).alias("model"), F.lower(F.try_element_at(identity_tokens(t), F.lit(1))).alias("brand"), telling_tokens(t).alias("tokens")))
+
+
+def accessory(lot: Column, candidate: Column, exact: Column, branded: Column) -> Column:
+    """Whether a candidate is a part or accessory of a product like the lot's, by rules in order over positions in its title."""
+    title = F.lower(candidate["title"])
+    at = lambda pattern: F.regexp_instr(title, F.lit(ascii_words(pattern)))  # noqa: E731  from 1; 0 where it does not occur
+    noun, marker, verb = at(ACCESSORY), at(MARKER), at(FOR_PRODUCT)
+    named = F.coalesce(F.lower(lot["model"]), lot["brand"], F.lit(""))
+    after = F.substring(title, verb, F.lit(80))
+    about = (verb > 0) & (F.coalesce(F.contains(after, lot["brand"]) & (lot["brand"] != ""), F.lit(False)) | F.coalesce(F.contains(after, F.lower(lot["model"])), F.lit(False)))
+    kind_at = F.coalesce(*(F.when(lot["kind"] == k, at(p)) for k, p in KINDS.items()), F.lit(0))
+    shared = F.arrays_overlap(lot["platformVariants"], candidate["platformVariants"]) | F.arrays_overlap(lot["seriesSignatures"], candidate["seriesSignatures"])
+    same_kind = F.coalesce(lot["kind"] == candidate["kind"], F.lit(False))
+    between = F.substring(title, kind_at, F.greatest(noun - kind_at, F.lit(0)))
+    first = F.regexp_extract(F.regexp_replace(title, CONDITION_PREFIX, ""), r"[a-z0-9][a-z0-9.&'-]*", 0)
+    named_at = F.coalesce(F.when(named != "", F.position(named, title)), F.lit(0))
+    return (
+        F.when((F.coalesce(lot["kind"], F.lit("")) == "game-console") & (F.coalesce(candidate["kind"], F.lit("")) != "game-console"), True)
+        .when(at(NOT_WHOLE) > 0, True)
+        .when((noun == 0) | F.lower(lot["title"]).rlike(ascii_words(ACCESSORY)), False)
+        .when(about | (verb > 0), True)
+        .when((marker > noun) & (F.coalesce(shared, F.lit(False)) | branded | exact), True)
+        .when(same_kind & (kind_at > 0) & (kind_at < noun) & (exact | between.rlike(ascii_words(r"\b(?:with|includes?|bundle)\b"))), False)
+        .when(exact & (marker == 0), False)
+        .when((F.coalesce(lot["brand"], F.lit("")) != "") & (first != "") & (first != lot["brand"]) & ~branded, True)
+        .when(named == "", noun < 21)
+        .when(named_at == 0, True)
+        .otherwise(noun < named_at)
+    )
+
+
+def _rival(expected: Column, actual: Column, names: list[str]) -> Column:
+    """Whether the expected families have one of these names and the actual ones another."""
+    group = F.array(*map(F.lit, names))
+    return F.arrays_overlap(expected, group) & (F.size(F.array_except(F.array_intersect(actual, group), expected)) > 0)
 
 
 def evaluated(lot: Column, candidate: Column) -> Column:
@@ -128,18 +191,20 @@ def evaluated(lot: Column, candidate: Column) -> Column:
     absent = {g: F.size(F.array_except(lot[g], candidate[g])) for g in groups}
     matched = sum((n * (2 if g in DOUBLE else 1) for g, n in shared.items()), F.lit(0))
     exact = lot["model"].isNotNull() & model_matches(title, lot["model"])
-    branded = F.coalesce(F.array_contains(compact_tokens(title), lot["brand"]), F.lit(False))
+    literal = F.coalesce(F.array_contains(compact_tokens(title), lot["brand"]), F.lit(False))
+    branded = F.when(lot["family"].isNotNull(), F.coalesce(lot["family"] == candidate["family"], F.lit(False))).otherwise(literal)
     same_kind = F.coalesce(lot["kind"] == candidate["kind"], F.lit(False))
     hits, total = F.size(F.array_intersect(lot["tokens"], compact_tokens(title))), F.size(lot["tokens"])
     share = F.coalesce(F.try_divide(hits, total), F.lit(0.0))
     evidence = exact | branded | same_kind | (matched > 0)
-    accessory = F.lower(title).rlike(ascii_words(ACCESSORY)) & ~F.lower(lot["title"]).rlike(ascii_words(ACCESSORY)) & (F.lower(title).rlike(ascii_words(FOR_PRODUCT)) | ~exact)
+    rivals = [F.when(_rival(lot["productFamilies"], candidate["productFamilies"], names), "attribute-conflict:productFamilies") for names in EXCLUSIVE]
     reasons = F.array_compact(
         F.array(
             F.when(title == "", "empty-title"),
             F.when(lot["model"].isNull() & (total < 3) & ~(lot["kind"].isNotNull() & (sum((F.size(lot[g]) for g in groups), F.lit(0)) > 0)), "insufficient-source-identity"),
-            F.when(accessory, "accessory-or-component"),
+            F.when(accessory(lot, candidate, exact, branded), "accessory-or-component"),
             *(F.when((absent[g] > 0) & (F.size(candidate[g]) > 0), f"attribute-conflict:{g}") for g in groups),
+            *rivals,
             *(F.when((absent[g] > 0) & (F.size(candidate[g]) == 0), f"attribute-missing:{g}") for g in CRITICAL),
             F.when(~exact & ~branded & (F.coalesce(lot["brand"], F.lit("")) != ""), "brand-mismatch"),
             F.when(~exact & lot["kind"].isNotNull() & candidate["kind"].isNotNull() & ~same_kind, "kind-mismatch"),
@@ -148,4 +213,5 @@ def evaluated(lot: Column, candidate: Column) -> Column:
         )
     )
     score = F.when(exact, 5).otherwise(0) + F.when(branded, 2).otherwise(0) + F.when(same_kind, 2).otherwise(0) + matched + share * 4
+    reasons = F.array_distinct(reasons)
     return F.struct((F.size(reasons) == 0).alias("accepted"), F.when(F.size(reasons) == 0, score).otherwise(F.lit(0.0)).alias("score"), reasons.alias("reasons"))

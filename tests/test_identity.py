@@ -14,7 +14,7 @@ def test_attributes(spark):
     assert attributes(spark, 'Acme 55" Smart TV 4K 120Hz, 2160p, black') == {"dimensions": ["55in"], "resolutions": ["4k"], "refreshRates": ["120hz"], "colors": ["black"]}
     assert attributes(spark, "Kingston 16GB (2 x 8 GB) DDR4L 3200 MHz 1.2V") == {"capacities": ["16gb"], "memoryTypes": ["ddr4l"], "frequencies": ["3200mhz"], "voltages": ["1.2v"]}
     assert attributes(spark, "Canon lens 18-55mm and 50 mm") == {"lensRanges": ["18-55mm", "50mm"]}
-    assert attributes(spark, "clear blue glass vase, set of 012") == {"colors": ["blue"], "materials": ["glass"], "packageCounts": ["12"]}
+    assert attributes(spark, "clear blue glass vase, set of 012") == {"colors": ["blue"], "materials": ["glass"], "packageCounts": ["12"], "productFamilies": ["vase"]}
     assert attributes(spark, "RTX 4070 Ti; RTX 3060 NVMe") == {"gpuModels": ["nvidia:rtx:3060:base", "nvidia:rtx:4070:ti"], "storageTypes": ["nvme", "ssd"]}
     assert attributes(spark, "") == {}
 
@@ -32,6 +32,10 @@ def test_model_and_kind(spark):
         ("Samsung Portable SSD drive 1TB", "Samsung Portable SSD drive 2TB", "attribute-conflict:capacities"),
         ("Acme AB123 camera", "Protective case for Acme AB123 camera", "accessory-or-component"),
         ("Duracell batteries alkaline 24 pack", "Duracell batteries alkaline", "attribute-missing:packageCounts"),
+        ("Apple iPhone 13 Pro Max phone", "Apple iPhone 13 Pro phone", "attribute-conflict:seriesSignatures"),
+        ("Sony PlayStation 5 console", "Sony PS5 controller", "accessory-or-component"),
+        ("Chuckit soccer ball size orange outdoor", "Chuckit kickball size orange outdoor", "attribute-conflict:productFamilies"),
+        ("Logitech K380 keyboard", "Logitech K380 keyboard with carrying case", None),
         ("Widget", "Widget thing", "insufficient-source-identity"),
         ("Acme AB123 camera", "", "empty-title"),
     ],
