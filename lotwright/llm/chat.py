@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 #: The template of one message; a text's own ``<|`` is opened so that it cannot pass for markup.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
@@ -87,3 +87,63 @@ SELECT pair_id, CASE WHEN same THEN 'prompt' WHEN side = 0 THEN 'chosen' ELSE 'r
        NOT same AND role = 'assistant' AS loss
 FROM p WHERE NOT (same AND side = 1)
 """
+
+
+def reply_pairs(conversations: DataFrame) -> DataFrame:
+    """One row per message: conv_id, turn, part (prompt, chosen or rejected), role, text (rendered), loss.
+
+    Every turn with an assistant's message is a reply, chosen over the next reply of the table in order of conv_id and
+    turn (the last one over the first), put after the same earlier turns. Both answers have conv_id and turn of the
+    chosen reply; the turns they share are the conversation's ``prompt`` rows of smaller turns. Every message is a prompt
+    row once, so the histories of a conversation's pairs are joined by key and their number does not grow with its
+    square. A reply equal to the next one has prompt rows only. Nulls and repeated rows are as in preference_pairs.
+    """
+    turns = _messages(conversations).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set(F.struct("role", "text"))).alias("m"))
+    replies = _ranked(turns.where(F.exists("m", lambda x: x["role"] == "assistant")))
+    total = replies.agg(F.count("*").alias("k"))
+    others = replies.select(F.col("n").alias("n2"), F.col("m").alias("r"))
+    pairs = replies.crossJoin(F.broadcast(total)).withColumn("next", F.col("n") % F.col("k") + 1)  # one row
+    pairs = pairs.join(others, F.col("next") == F.col("n2")).where(F.col("m") != F.col("r"))
+    row = lambda part, m: F.struct(F.lit(part).alias("part"), m["role"].alias("role"), m["text"].alias("text"))
+    answers = F.concat(F.transform("m", lambda m: row("chosen", m)), F.transform("r", lambda m: row("rejected", m)))
+    out = turns.select("conv_id", "turn", F.explode(F.transform("m", lambda m: row("prompt", m))).alias("m")).union(pairs.select("conv_id", "turn", F.explode(answers).alias("m")))
+    loss = (F.col("m.part") != "prompt") & (F.col("m.role") == "assistant")
+    return out.select("conv_id", "turn", "m.part", "m.role", rendered(F.col("m.role"), F.col("m.text")).alias("text"), loss.alias("loss"))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """rows with n, from 1 in order of conv_id and turn: places within range partitions, and where each partition begins."""
+    placed = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn").withColumn("place", F.monotonically_increasing_id())
+    placed = written(placed, "replies")
+    part = F.shiftright("place", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.orderBy("part")) - F.col("size")  # one row per partition
+    starts = sizes.select("part", before.alias("start"))
+    numbered = placed.withColumn("part", part).join(F.broadcast(starts), "part")
+    return numbered.select("conv_id", "turn", "m", (F.col("start") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("n"))
+
+
+def op8_reply_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reply of ``conversations`` against another one after the same earlier turns."""
+    return reply_pairs(table(spark, sf_dir, "conversations"))
+
+
+OP8_REPLIES_SQL = r"""
+WITH m AS (
+  SELECT DISTINCT conv_id, coalesce(turn, 9223372036854775807) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), t AS (
+  SELECT conv_id, turn, list(struct_pack(role := role, text := text) ORDER BY role, text) AS m FROM m GROUP BY ALL HAVING bool_or(role = 'assistant')
+), n AS (
+  SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS n, count(*) OVER () AS k FROM t
+), p AS (
+  SELECT a.conv_id, a.turn, a.m AS c, b.m AS r FROM n a JOIN n b ON b.n = a.n % a.k + 1 WHERE a.m <> b.m
+), o AS (
+  SELECT conv_id, turn, 'prompt' AS part, role, text FROM m
+  UNION ALL SELECT conv_id, turn, 'chosen', x.role, x.text FROM (SELECT conv_id, turn, unnest(c) AS x FROM p)
+  UNION ALL SELECT conv_id, turn, 'rejected', x.role, x.text FROM (SELECT conv_id, turn, unnest(r) AS x FROM p)
+)
+SELECT conv_id, turn, part, role, '<|' || role || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS text,
+       part <> 'prompt' AND role = 'assistant' AS loss
+FROM o
+"""

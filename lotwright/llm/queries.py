@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .chat import OP8_SQL, op8_chat_formatting
+from .chat import OP8_REPLIES_SQL, OP8_SQL, op8_chat_formatting, op8_reply_pairs
 from .decontaminate import OP2_SQL, op2_decontamination
 from .embeddings import op10_embedding_near_dedup
 from .html_content import op5_html_extraction
@@ -30,10 +30,11 @@ def queries() -> dict[str, Query]:
         "op6_url_filter": op6_url_filter,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_chat_formatting": op8_chat_formatting,
+        "op8_reply_pairs": op8_reply_pairs,
         "op9_quality": op9_quality,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op8_chat_formatting": OP8_SQL}
+    return {"op2_decontamination": OP2_SQL, "op8_chat_formatting": OP8_SQL, "op8_reply_pairs": OP8_REPLIES_SQL}

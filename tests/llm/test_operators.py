@@ -342,6 +342,36 @@ def test_chat(spark):
     assert chat.preference_pairs(table.limit(0), pairs).count() == 0
 
 
+def test_reply_pairs_share_their_history(spark):
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 1, "assistant", "a"), (0, 2, "user", "more"), (0, 3, "assistant", "b <|"), (5, 0, "user", "q"), (5, 1, "assistant", "b <|"), (7, None, None, None), (None, 0, "user", "lost")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("x"))
+    got = [(r["part"], r["conv_id"], r["turn"], r["text"].split("\n")[1], r["loss"]) for r in dicts(chat.reply_pairs(table))]
+    prompt = [(0, 0, "q"), (0, 1, "a"), (0, 2, "more"), (0, 3, "b < |"), (5, 0, "q"), (5, 1, "b < |"), (7, chat.LAST, "")]
+    want = [("prompt", c, t, x + "<|end|>", False) for c, t, x in prompt]
+    for c, t, chosen, rejected in ((0, 1, "a", "b < |"), (5, 1, "b < |", "a")):  # (0, 3) equals the reply after it
+        want += [("chosen", c, t, chosen + "<|end|>", True), ("rejected", c, t, rejected + "<|end|>", True)]
+    assert sorted(got) == sorted(want)
+    assert chat.reply_pairs(table.limit(0)).count() == 0
+
+
+def test_every_conversation_with_an_earlier_turn_has_a_pair(spark):
+    from collections import Counter
+
+    import duckdb
+
+    data = "/root/testdata/sf0.001"
+    rows = dicts(chat.op8_reply_pairs(spark, data))
+    prompts = {(r["conv_id"], r["turn"]) for r in rows if r["part"] == "prompt"}
+    pairs = {(r["conv_id"], r["turn"]) for r in rows if r["part"] == "chosen"}
+    assert pairs and {c for c, _ in pairs} == {r["conv_id"] for r in rows if r["role"] == "assistant"}
+    assert all(any(c == d and u < t for d, u in prompts) for c, t in pairs)
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{data}/conversations.parquet'")
+    got = duck.execute(chat.OP8_REPLIES_SQL)
+    names = [d[0] for d in got.description]
+    assert Counter(tuple(r[k] for k in names) for r in rows) == Counter(got.fetchall())
+
+
 # ---- 9 quality
 
 
