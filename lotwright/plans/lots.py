@@ -265,6 +265,12 @@ def q_job_store_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"), F.count("*").alias("writes"))
 
 
+@query("SELECT user_id, event_type, arg_max(value, event_id) AS value, count(*) AS writes FROM events GROUP BY ALL")
+def q_job_store_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full read beside q_job_store_reads: latest values and writes of all users."""
+    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"), F.count("*").alias("writes"))
+
+
 @query()
 def q_export_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer")
