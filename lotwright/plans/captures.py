@@ -9,27 +9,37 @@ from lotwright.functions import urls as U
 from lotwright.operators import sequences
 from lotwright.sources import markup
 
-from .registry import query, table
+from .registry import operator, query, table
 
 ACCOUNT = "<h2>Won</h2><div data-lot-id=\"1\"><h3>Lamp</h3></div><div data-lot-id=\"2\"><h3>Desk</h3></div><h2>Lost</h2><div data-lot-id=\"3\"><h3>Rug</h3></div>"
 
 
-@query("SELECT * FROM (VALUES ('1', 'Won'), ('2', 'Won'), ('3', 'Lost')) AS t(id, grp)")
-def q_html_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", "html")
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+
+
+def _page(html: str):
+    return lambda spark: spark.createDataFrame([(1, html)], "page_id long, html string")
+
+
+@operator("SELECT * FROM (VALUES ('1', 'Won'), ('2', 'Won'), ('3', 'Lost')) AS t(id, grp)", _page(ACCOUNT), _pages, drop="page_id")
+def q_html_groups(rows: DataFrame) -> DataFrame:
     """Tiles with the heading that they stand under: the last one before them on the page."""
-    pages = spark.createDataFrame([(1, ACCOUNT)], "page_id long, html string")
-    parts = markup.slices(pages, "html", r"<(?:h2>|div\b[^>]*\bdata-lot-id\s*=)", ["page_id"])
+    parts = markup.slices(rows, "html", r"<(?:h2>|div\b[^>]*\bdata-lot-id\s*=)", ["page_id"])
     parts = parts.select("page_id", "pos", markup.inner_text(F.col("block"), r"^<h2>(.*?)</h2>").alias("heading"), F.nullif(F.regexp_extract("block", r'data-lot-id="(\w+)"', 1), F.lit("")).alias("id"))
     placed = sequences.under_headers(parts, ["page_id"], ["pos"], F.col("heading").isNotNull(), F.col("heading"), "grp")
-    return placed.where("id IS NOT NULL").select("id", "grp")
+    return placed.where("id IS NOT NULL").select("page_id", "id", "grp")
 
 
 STORES = [(1, '{"a":{"b":[{"portalChildren":[12,"34","x",12]}]},"portalChildren":["56"]}'), (2, '{"portalChildren":[]}'), (3, None), (4, "broken {")]
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, '12'), (1, '34'), (1, '56')) AS t(id, child)")
-def q_embedded_json_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(STORES, "id long, body string")
+@operator("SELECT * FROM (VALUES (1::BIGINT, '12'), (1, '34'), (1, '56')) AS t(id, child)", lambda spark: spark.createDataFrame(STORES, "id long, body string"), lambda spark, sf_dir: table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("body")))
+def q_embedded_json_bfs(rows: DataFrame) -> DataFrame:
     lists = F.regexp_extract_all("body", F.lit(r'"portalChildren"\s*:\s*\[([^\]]*)\]'), F.lit(1))
     found = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r'(?:^|[\s,"])(\d+)(?=$|[\s,"])'), F.lit(1))))
     return rows.select("id", F.explode(F.array_distinct(found)).alias("child"))
@@ -45,19 +55,28 @@ def q_state_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.coalesce("resale", F.lit(-1.0)).alias("resale"), F.col("resale").isNotNull().alias("stored"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 12.5::DOUBLE, 2), (2, NULL, 1), (3, NULL, 1), (4, 0.0, 500)) AS t(id, resale, quantity)")
-def q_state_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+STORED = [(1, "12.5", "2"), (2, "", None), (3, "n/a", "0"), (4, "0", "900")]
+
+
+def _url_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last part of each page's URL, as text that may be a number."""
+    end = F.substring_index("url", "/", -1)
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), end.alias("r"), end.alias("q"))
+
+
+@operator("SELECT * FROM (VALUES (1::BIGINT, 12.5::DOUBLE, 2), (2, NULL, 1), (3, NULL, 1), (4, 0.0, 500)) AS t(id, resale, quantity)", lambda spark: spark.createDataFrame(STORED, "id long, r string, q string"), _url_ends)
+def q_state_normalize(rows: DataFrame) -> DataFrame:
     """Stored text to numbers: what is no number is null and never 0; quantities are 1 to 500, 1 where unknown."""
-    rows = spark.createDataFrame([(1, "12.5", "2"), (2, "", None), (3, "n/a", "0"), (4, "0", "900")], "id long, r string, q string")
     quantity = F.greatest(F.lit(1), F.least(F.lit(500), F.coalesce(F.col("q").try_cast("int"), F.lit(1))))
     return rows.select("id", F.nullif(F.col("r"), F.lit("")).try_cast("double").alias("resale"), quantity.alias("quantity"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 18.0::DOUBLE), (2, 15.5), (3, NULL), (4, NULL)) AS t(id, rate)")
-def q_max_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+PREMIUMS = [(1, "A buyer's premium of 15% online, 18% on site. 25% off today."), (2, "Premium: 15.5 %"), (3, "Sales tax 8%. Premium 45%"), (4, None)]
+
+
+@operator("SELECT * FROM (VALUES (1::BIGINT, 18.0::DOUBLE), (2, 15.5), (3, NULL), (4, NULL)) AS t(id, rate)", lambda spark: spark.createDataFrame(PREMIUMS, "id long, t string"), _texts)
+def q_max_rate(rows: DataFrame) -> DataFrame:
     """The highest buyer's premium from 0 to 30 % that a text states in a sentence about premiums."""
-    texts = [(1, "A buyer's premium of 15% online, 18% on site. 25% off today."), (2, "Premium: 15.5 %"), (3, "Sales tax 8%. Premium 45%"), (4, None)]
-    rows = spark.createDataFrame(texts, "id long, t string")
     sentences = F.filter(F.split("t", r"(?<=[.!?])\s"), lambda s: F.lower(s).contains("premium"))
     rates = F.flatten(F.transform(sentences, lambda s: F.regexp_extract_all(s, F.lit(r"(\d+(?:\.\d+)?)\s*%"), F.lit(1))))
     return rows.select("id", F.array_max(F.filter(F.transform(rates, lambda r: r.cast("double")), lambda r: (r >= 0) & (r <= 30))).alias("rate"))
@@ -82,23 +101,26 @@ def q_page_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(bare.alias("scope")).agg(F.count("*").alias("pages"))
 
 
-@query("SELECT * FROM (VALUES ('7', 'Lamp', 12.5::DOUBLE), ('8', 'Desk', NULL)) AS t(id, title, bid)")
-def q_script_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+SCRIPT = "<script>lots.push(new Lot({id:7,title:'Lamp',bid:12.50}));lots.push(new Lot({id:8,title:'Desk'}));</script><div data-lot-id=\"7\"><h3>lamp</h3></div>"
+
+
+@operator("SELECT * FROM (VALUES ('7', 'Lamp', 12.5::DOUBLE), ('8', 'Desk', NULL)) AS t(id, title, bid)", _page(SCRIPT), _pages, drop="page_id")
+def q_script_literals(rows: DataFrame) -> DataFrame:
     """Records of script literals joined with those of the markup; the script's title counts, the markup fills gaps."""
-    page = "<script>lots.push(new Lot({id:7,title:'Lamp',bid:12.50}));lots.push(new Lot({id:8,title:'Desk'}));</script><div data-lot-id=\"7\"><h3>lamp</h3></div>"
-    rows = spark.createDataFrame([(page,)], "html string")
-    literals = rows.select(F.explode(F.regexp_extract_all("html", F.lit(r"new Lot\((\{[^}]*\})\)"), F.lit(1))).alias("x"))
+    literals = rows.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"new Lot\((\{[^}]*\})\)"), F.lit(1))).alias("x"))
     pick = lambda p: F.nullif(F.regexp_extract("x", p, 1), F.lit(""))
-    own = literals.select(pick(r"\bid:\s*(\d+)").alias("id"), pick(r"title:\s*'([^']*)'").alias("title"), pick(r"bid:\s*([\d.]+)").try_cast("double").alias("bid"))
-    tiles = markup.lot_tiles(rows, "html", []).select("id", F.col("title").alias("t2"), F.col("bid").alias("b2"))
-    return own.join(tiles, "id", "full").select("id", F.coalesce("title", "t2").alias("title"), F.coalesce("bid", "b2").alias("bid"))
+    own = literals.select("page_id", pick(r"\bid:\s*(\d+)").alias("id"), pick(r"title:\s*'([^']*)'").alias("title"), pick(r"bid:\s*([\d.]+)").try_cast("double").alias("bid"))
+    tiles = markup.lot_tiles(rows, "html", ["page_id"]).select("page_id", "id", F.col("title").alias("t2"), F.col("bid").alias("b2"))
+    return own.join(tiles, ["page_id", "id"], "full").select("page_id", "id", F.coalesce("title", "t2").alias("title"), F.coalesce("bid", "b2").alias("bid"))
 
 
-@query("SELECT * FROM (VALUES ('5', 'Vase'), ('6', 'Bowl & dish')) AS t(id, title)")
-def q_json_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = '{"ok":true,"email":"x@y.zz","html":"<div data-lot-id=\\"5\\"><h3>Vase</h3></div><div data-lot-id=\\"6\\"><h3>Bowl &amp; dish</h3></div>"}'
-    pages = spark.createDataFrame([(body,)], "body string").select(F.get_json_object("body", "$.html").alias("html"))
-    return markup.lot_tiles(pages, "html", []).select("id", "title")
+FRAGMENT = '{"ok":true,"email":"x@y.zz","html":"<div data-lot-id=\\"5\\"><h3>Vase</h3></div><div data-lot-id=\\"6\\"><h3>Bowl &amp; dish</h3></div>"}'
+
+
+@operator("SELECT * FROM (VALUES ('5', 'Vase'), ('6', 'Bowl & dish')) AS t(id, title)", _page(FRAGMENT), _pages, drop="page_id")
+def q_json_fragment(rows: DataFrame) -> DataFrame:
+    pages = rows.select("page_id", F.get_json_object("html", "$.html").alias("html"))
+    return markup.lot_tiles(pages, "html", ["page_id"]).select("page_id", "id", "title")
 
 
 @query("SELECT count(*) AS lines, count(*) FILTER (WHERE o_orderkey IS NULL) AS orphans, count(*) FILTER (WHERE l_shipdate < o_orderdate) AS early FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
@@ -110,34 +132,42 @@ def q_source_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 LISTING = "<table><tr><th>Item</th><th>Status</th><th>Price</th></tr><tr><td>A1</td><td>Active</td><td>$5</td></tr><tr><td>B2</td><td>Ended</td><td>$1,200</td></tr></table>"
 
 
-@query("SELECT * FROM (VALUES ('A1', 'Active', '$5'), ('B2', 'Ended', '$1,200')) AS t(item, status, price)")
-def q_listing_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+@operator("SELECT * FROM (VALUES ('A1', 'Active', '$5'), ('B2', 'Ended', '$1,200')) AS t(item, status, price)", _page(LISTING), _pages, drop="page_id")
+def q_listing_snapshot(rows: DataFrame) -> DataFrame:
     """Cells of a table by the name of their column, wherever the column stands."""
-    rows = spark.createDataFrame([(LISTING,)], "html string")
     lines = F.regexp_extract_all("html", F.lit(r"(?is)<tr>(.*?)</tr>"), F.lit(1))
     cells = lambda x: F.regexp_extract_all(x, F.lit(r"(?is)<t[hd]>(.*?)</t[hd]>"), F.lit(1))
-    rows = rows.select(cells(F.element_at(lines, 1)).alias("head"), F.explode(F.slice(F.transform(lines, cells), 2, F.size(lines))).alias("cells"))
-    named = F.map_from_arrays(F.transform("head", lambda h: F.lower(h)), "cells")
-    return rows.select(*(named[k].alias(k) for k in ("item", "status", "price")))
+    rows = rows.select("page_id", cells(F.get(lines, F.lit(0))).alias("head"), F.explode(F.slice(F.transform(lines, cells), 2, F.size(lines))).alias("cells"))
+    cell = lambda k: F.get("cells", (F.array_position(F.transform("head", lambda h: F.lower(h)), k) - 1).cast("int"))
+    return rows.select("page_id", *(cell(k).alias(k) for k in ("item", "status", "price")))
+
+
+LINKED = '<script type="application/ld+json">{"@type":"Product","name":"a"}</script><script type="application/ld+json">{"@type":"Product","name":"b","sku":"9"}</script>'
+
+
+@operator("SELECT * FROM (VALUES (1::BIGINT, 'b', '9', 3)) AS t(p, name, sku, fields)", lambda spark: spark.createDataFrame([(1, LINKED)], "p long, html string"), lambda spark, sf_dir: table(spark, sf_dir, "pages").select(F.col("page_id").alias("p"), "html"))
+def q_jsonld_richest(rows: DataFrame) -> DataFrame:
+    return markup.json_ld(rows, "html", ["p"])
+
+
+SIZES = [(1, "Shirt size XL", "Size: M, cotton"), (2, "Shirt size L", "size L"), (3, "Shirt", "size M")]
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'b', '9', 3)) AS t(p, name, sku, fields)")
-def q_jsonld_richest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = '<script type="application/ld+json">{"@type":"Product","name":"a"}</script><script type="application/ld+json">{"@type":"Product","name":"b","sku":"9"}</script>'
-    return markup.json_ld(spark.createDataFrame([(1, page)], "p long, html string"), "html", ["p"])
+def _first_and_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sentence of each document as title, the others as description."""
+    parts = F.split("text", r"(?<=[.!?])\s", 2)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.get(parts, F.lit(0)).alias("title"), F.get(parts, F.lit(1)).alias("description"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, true), (2, false), (3, false)) AS t(id, conflict)")
-def q_size_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "Shirt size XL", "Size: M, cotton"), (2, "Shirt size L", "size L"), (3, "Shirt", "size M")], "id long, title string, description string")
+@operator("SELECT * FROM (VALUES (1::BIGINT, true), (2, false), (3, false)) AS t(id, conflict)", lambda spark: spark.createDataFrame(SIZES, "id long, title string, description string"), _first_and_rest)
+def q_size_conflict(rows: DataFrame) -> DataFrame:
     sizes = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"\bsize:?\s*(xs|s|m|l|xl|xxl)\b"), F.lit(1)))
     a, b = sizes("title"), sizes("description")
     return rows.select("id", ((F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_intersect(a, b)) == 0)).alias("conflict"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'lot', 'a.com/x?a=1'), (2, 'other', 'a.com/y?')) AS t(id, kind, scope)")
-def q_route_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "https://A.com/x?page=2&a=1"), (2, "http://a.com/y")], "id long, url string")
+@operator("SELECT * FROM (VALUES (1::BIGINT, 'lot', 'a.com/x?a=1'), (2, 'other', 'a.com/y?')) AS t(id, kind, scope)", lambda spark: spark.createDataFrame([(1, "https://A.com/x?page=2&a=1"), (2, "http://a.com/y")], "id long, url string"), lambda spark, sf_dir: table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url"))
+def q_route_literals(rows: DataFrame) -> DataFrame:
     kind = F.when(U.path(F.col("url")) == "/x", "lot").otherwise(U.route(F.col("url")))
     return rows.select("id", kind.alias("kind"), U.fingerprint(F.col("url"), ["page"]).alias("scope"))
 

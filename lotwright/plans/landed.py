@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lotwright.sources import markup, paged
 from lotwright.streaming import watch
 
-from .registry import query, table
+from .registry import operator, query, table
 
 TILES = [
     (1, '<h2>Tools</h2><div data-lot-id="11"><h3>Drill &amp; bits</h3><a href="/lot/11">see</a> High bid: $1,040.00</div><div data-lot-id="12"><h3>Saw</h3><a href="/lot/12">see</a></div>'),
@@ -24,19 +24,31 @@ RESULTS = [
 ]
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 1, '11', 'Drill & bits', '/lot/11', 1040.0::DOUBLE), (1, 2, '12', 'Saw', '/lot/12', NULL), (3, 1, '13', 'Desk', NULL, 5.0)) AS t(page_id, pos, id, title, url, bid)")
-def q_html_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.lot_tiles(spark.createDataFrame(TILES, "page_id long, html string"), "html", ["page_id"])
+def _tiles(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TILES, "page_id long, html string")
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, NULL::INT, NULL::INT, NULL::INT, false), (2, NULL, NULL, NULL, true), (3, 1, 24, 1250, false)) AS t(page_id, first, last, total, none)")
-def q_page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(TILES, "page_id long, html string").select("page_id", markup.page_state(F.col("html")).alias("s")).select("page_id", "s.*")
+def _results(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(RESULTS, "page_id long, html string")
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'B000000001', 'Acme TV', 30.5::DOUBLE, false, false), (2, 'B000000002', 'Acme TV renewed', 7.0, false, true)) AS t(page_id, key, title, price, sponsored, used)")
-def q_html_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.candidates(spark.createDataFrame(RESULTS, "page_id long, html string"), "html", ["page_id"])
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", "html")
+
+
+@operator("SELECT * FROM (VALUES (1::BIGINT, 1, '11', 'Drill & bits', '/lot/11', 1040.0::DOUBLE), (1, 2, '12', 'Saw', '/lot/12', NULL), (3, 1, '13', 'Desk', NULL, 5.0)) AS t(page_id, pos, id, title, url, bid)", _tiles, _pages)
+def q_html_tiles(rows: DataFrame) -> DataFrame:
+    return markup.lot_tiles(rows, "html", ["page_id"])
+
+
+@operator("SELECT * FROM (VALUES (1::BIGINT, NULL::INT, NULL::INT, NULL::INT, false), (2, NULL, NULL, NULL, true), (3, 1, 24, 1250, false)) AS t(page_id, first, last, total, none)", _tiles, _pages)
+def q_page_state(rows: DataFrame) -> DataFrame:
+    return rows.select("page_id", markup.page_state(F.col("html")).alias("s")).select("page_id", "s.*")
+
+
+@operator("SELECT * FROM (VALUES (1::BIGINT, 'B000000001', 'Acme TV', 30.5::DOUBLE, false, false), (2, 'B000000002', 'Acme TV renewed', 7.0, false, true)) AS t(page_id, key, title, price, sponsored, used)", _results, _pages)
+def q_html_candidates(rows: DataFrame) -> DataFrame:
+    return markup.candidates(rows, "html", ["page_id"])
 
 
 @query("""
@@ -49,9 +61,9 @@ def q_html_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGES = [{"pageNumber": k, "pageLength": 2, "totalCount": 5, "results": [{"id": 2 * k + i, "title": f"Lot {2 * k + i}", "highBid": float(k)} for i in range(2 if k < 3 else 1)]} for k in (1, 2, 3)]
 
 
-@query("SELECT * FROM (VALUES (1, 0, 5::BIGINT, 2::BIGINT, 'Lot 2', 1.0::DOUBLE), (1, 1, 5, 3, 'Lot 3', 1.0), (2, 0, 5, 4, 'Lot 4', 2.0), (2, 1, 5, 5, 'Lot 5', 2.0), (3, 0, 5, 6, 'Lot 6', 3.0)) AS t(page, pos, total, id, title, bid)")
-def q_json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paged.page_rows(spark.createDataFrame([(json.dumps(p),) for p in PAGES], "body string"), "body")
+@operator("SELECT * FROM (VALUES (1, 0, 5::BIGINT, 2::BIGINT, 'Lot 2', 1.0::DOUBLE), (1, 1, 5, 3, 'Lot 3', 1.0), (2, 0, 5, 4, 'Lot 4', 2.0), (2, 1, 5, 5, 'Lot 5', 2.0), (3, 0, 5, 6, 'Lot 6', 3.0)) AS t(page, pos, total, id, title, bid)", lambda spark: spark.createDataFrame([(json.dumps(p),) for p in PAGES], "body string"), lambda spark, sf_dir: table(spark, sf_dir, "pages").select(F.col("html").alias("body")))
+def q_json_pages(rows: DataFrame) -> DataFrame:
+    return paged.page_rows(rows, "body")
 
 
 @query()

@@ -23,5 +23,24 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def operator(sql: str | None, literal: Query | Callable[[SparkSession], DataFrame], whole: Query, whole_sql: str | None = None, drop: str | None = None) -> Callable:
+    """Registers a function of rows twice: over literal rows (without the column ``drop``), and as name_all over a whole table."""
+
+    def add(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        def fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(literal(spark))
+            return out.drop(drop) if drop else out
+
+        def full(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(whole(spark, sf_dir))
+
+        fixture.__name__, full.__name__ = f.__name__, f"{f.__name__}_all"
+        query(sql)(fixture)
+        query(whole_sql)(full)
+        return f
+
+    return add
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lotwright.functions import text as T
 from lotwright.operators import match
 
-from .registry import query, table
+from .registry import operator, query, table
 
 
 @query("""
@@ -70,6 +70,11 @@ def _listings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LISTINGS, "id long, title string, description string")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a listing: its text is title and description."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"), F.col("text").alias("description"))
+
+
 def _sql_value(x: object) -> str:
     return "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + str(x).replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
@@ -77,17 +82,22 @@ def _sql_value(x: object) -> str:
 SQL_LISTINGS = "listings AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql_value, r)) + ")" for r in LISTINGS) + ") AS t(id, title, description))"
 
 
-@query(f"WITH {SQL_LISTINGS} SELECT CAST(id AS BIGINT) AS id, coalesce({_sql_flags('description', T.CAUTIONS)}, []) AS cautions FROM listings")
-def q_cautions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _listings(spark).select("id", T.all_fits(F.col("description"), T.CAUTIONS).alias("cautions"))
+def over_texts(sql: str) -> str:
+    """The SQL over all documents instead of the literal listings."""
+    return sql.replace(SQL_LISTINGS, "listings AS (SELECT doc_id AS id, text AS title, text AS description FROM documents)")
+
+
+@operator(f"WITH {SQL_LISTINGS} SELECT CAST(id AS BIGINT) AS id, coalesce({_sql_flags('description', T.CAUTIONS)}, []) AS cautions FROM listings", _listings, _texts, over_texts(f"WITH {SQL_LISTINGS} SELECT CAST(id AS BIGINT) AS id, coalesce({_sql_flags('description', T.CAUTIONS)}, []) AS cautions FROM listings"))
+def q_cautions(rows: DataFrame) -> DataFrame:
+    return rows.select("id", T.all_fits(F.col("description"), T.CAUTIONS).alias("cautions"))
 
 
 KIND_SQL = "CASE " + " ".join(f"WHEN regexp_matches(title, '{p}', 'i') THEN '{n}'" for n, p in T.KINDS) + " END"
 
 
-@query(f"WITH {SQL_LISTINGS} SELECT CAST(id AS BIGINT) AS id, {KIND_SQL} AS kind FROM listings")
-def q_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _listings(spark).select("id", T.first_fit(F.col("title"), T.KINDS).alias("kind"))
+@operator(f"WITH {SQL_LISTINGS} SELECT CAST(id AS BIGINT) AS id, {KIND_SQL} AS kind FROM listings", _listings, _texts, over_texts(f"WITH {SQL_LISTINGS} SELECT CAST(id AS BIGINT) AS id, {KIND_SQL} AS kind FROM listings"))
+def q_kind(rows: DataFrame) -> DataFrame:
+    return rows.select("id", T.first_fit(F.col("title"), T.KINDS).alias("kind"))
 
 
 ATTRIBUTE_SQL = ", ".join(
@@ -95,48 +105,55 @@ ATTRIBUTE_SQL = ", ".join(
 )
 
 
-@query(f"WITH {SQL_LISTINGS} SELECT CAST(id AS BIGINT) AS id, {ATTRIBUTE_SQL} FROM listings")
-def q_discriminators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _listings(spark).select("id", *(T.attribute(F.col("title"), n).alias(n) for n in T.ATTRIBUTES))
+@operator(f"WITH {SQL_LISTINGS} SELECT CAST(id AS BIGINT) AS id, {ATTRIBUTE_SQL} FROM listings", _listings, _texts, over_texts(f"WITH {SQL_LISTINGS} SELECT CAST(id AS BIGINT) AS id, {ATTRIBUTE_SQL} FROM listings"))
+def q_discriminators(rows: DataFrame) -> DataFrame:
+    return rows.select("id", *(T.attribute(F.col("title"), n).alias(n) for n in T.ATTRIBUTES))
 
 
-@query(f"WITH {SQL_LISTINGS} SELECT CAST(id AS BIGINT) AS id, CASE WHEN regexp_matches(coalesce(title, '') || ' ' || coalesce(description, ''), '\\bCAD\\b|C\\$') THEN 'CAD' ELSE 'USD' END AS currency FROM listings")
-def q_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
+@operator(f"WITH {SQL_LISTINGS} SELECT CAST(id AS BIGINT) AS id, CASE WHEN regexp_matches(coalesce(title, '') || ' ' || coalesce(description, ''), '\\bCAD\\b|C\\$') THEN 'CAD' ELSE 'USD' END AS currency FROM listings", _listings, _texts, over_texts(f"WITH {SQL_LISTINGS} SELECT CAST(id AS BIGINT) AS id, CASE WHEN regexp_matches(coalesce(title, '') || ' ' || coalesce(description, ''), '\\bCAD\\b|C\\$') THEN 'CAD' ELSE 'USD' END AS currency FROM listings"))
+def q_currency(rows: DataFrame) -> DataFrame:
     both = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
-    return _listings(spark).select("id", F.when(both.rlike(T.ascii_words(r"\bCAD\b|C\$")), "CAD").otherwise("USD").alias("currency"))
+    return rows.select("id", F.when(both.rlike(T.ascii_words(r"\bCAD\b|C\$")), "CAD").otherwise("USD").alias("currency"))
 
 
 MIXED = {"group": r"\b(?:group|assorted|various|mixed|collection|contents)\b", "bundle": r"\b(?:bundle|lot) of (?:different|assorted|mixed|various)\b"}
 
 
-@query(f"WITH {SQL_LISTINGS} SELECT CAST(id AS BIGINT) AS id, coalesce({_sql_flags('title', MIXED)}, []) AS reasons, len(coalesce({_sql_flags('title', MIXED)}, [])) > 0 AS mixed FROM listings")
-def q_mixed_lot(spark: SparkSession, sf_dir: str) -> DataFrame:
+@operator(f"WITH {SQL_LISTINGS} SELECT CAST(id AS BIGINT) AS id, coalesce({_sql_flags('title', MIXED)}, []) AS reasons, len(coalesce({_sql_flags('title', MIXED)}, [])) > 0 AS mixed FROM listings", _listings, _texts, over_texts(f"WITH {SQL_LISTINGS} SELECT CAST(id AS BIGINT) AS id, coalesce({_sql_flags('title', MIXED)}, []) AS reasons, len(coalesce({_sql_flags('title', MIXED)}, [])) > 0 AS mixed FROM listings"))
+def q_mixed_lot(rows: DataFrame) -> DataFrame:
     reasons = T.all_fits(F.col("title"), MIXED)
-    return _listings(spark).select("id", reasons.alias("reasons"), (F.size(reasons) > 0).alias("mixed"))
+    return rows.select("id", reasons.alias("reasons"), (F.size(reasons) > 0).alias("mixed"))
 
 
-@query(f"""WITH {SQL_LISTINGS}
-SELECT CAST(id AS BIGINT) AS id, CAST(nullif(replace(coalesce(nullif(regexp_extract(description, '(?:retail price|MSRP)\\s*:?\\s*\\$?\\s*([\\d,]+(?:\\.\\d{{1,2}})?)', 1, 'i'), ''), ''), ',', ''), '') AS DOUBLE) AS stated FROM listings""")
-def q_stated_retail(spark: SparkSession, sf_dir: str) -> DataFrame:
+@operator(f"""WITH {SQL_LISTINGS}
+SELECT CAST(id AS BIGINT) AS id, CAST(nullif(replace(coalesce(nullif(regexp_extract(description, '(?:retail price|MSRP)\\s*:?\\s*\\$?\\s*([\\d,]+(?:\\.\\d{{1,2}})?)', 1, 'i'), ''), ''), ',', ''), '') AS DOUBLE) AS stated FROM listings""", _listings, _texts, over_texts(f"""WITH {SQL_LISTINGS}
+SELECT CAST(id AS BIGINT) AS id, CAST(nullif(replace(coalesce(nullif(regexp_extract(description, '(?:retail price|MSRP)\\s*:?\\s*\\$?\\s*([\\d,]+(?:\\.\\d{{1,2}})?)', 1, 'i'), ''), ''), ',', ''), '') AS DOUBLE) AS stated FROM listings"""))
+def q_stated_retail(rows: DataFrame) -> DataFrame:
     found = F.regexp_extract("description", r"(?i)(?:retail price|MSRP)\s*:?\s*\$?\s*([\d,]+(?:\.\d{1,2})?)", 1)
-    return _listings(spark).select("id", F.nullif(F.replace(found, F.lit(","), F.lit("")), F.lit("")).try_cast("double").alias("stated"))
+    return rows.select("id", F.nullif(F.replace(found, F.lit(","), F.lit("")), F.lit("")).try_cast("double").alias("stated"))
 
 
-@query(f"""WITH {SQL_LISTINGS},
+@operator(f"""WITH {SQL_LISTINGS},
 l AS (SELECT id, unnest(string_split(description, chr(10))) AS line, generate_subscripts(string_split(description, chr(10)), 1) AS pos FROM listings),
 k AS (SELECT id, pos, lower(trim(regexp_extract(line, '^\\s*([A-Za-z][A-Za-z #/]{{0,30}})[:?]', 1))) AS key, trim(regexp_extract(line, '[:?]\\s*(.*)$', 1)) AS value FROM l
       WHERE regexp_matches(line, '^\\s*[A-Za-z][A-Za-z #/]{{0,30}}[:?]\\s*\\S'))
-SELECT CAST(id AS BIGINT) AS id, key, arg_max(value, pos) AS value FROM k GROUP BY ALL""")
-def q_structured_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _listings(spark).where("description IS NOT NULL").select("id", F.explode(T.structured_fields(F.col("description"))))
+SELECT CAST(id AS BIGINT) AS id, key, arg_max(value, pos) AS value FROM k GROUP BY ALL""", _listings, _texts, over_texts(f"""WITH {SQL_LISTINGS},
+l AS (SELECT id, unnest(string_split(description, chr(10))) AS line, generate_subscripts(string_split(description, chr(10)), 1) AS pos FROM listings),
+k AS (SELECT id, pos, lower(trim(regexp_extract(line, '^\\s*([A-Za-z][A-Za-z #/]{{0,30}})[:?]', 1))) AS key, trim(regexp_extract(line, '[:?]\\s*(.*)$', 1)) AS value FROM l
+      WHERE regexp_matches(line, '^\\s*[A-Za-z][A-Za-z #/]{{0,30}}[:?]\\s*\\S'))
+SELECT CAST(id AS BIGINT) AS id, key, arg_max(value, pos) AS value FROM k GROUP BY ALL"""))
+def q_structured_desc(rows: DataFrame) -> DataFrame:
+    return rows.where("description IS NOT NULL").select("id", F.explode(T.structured_fields(F.col("description"))))
 
 
-@query(f"""WITH {SQL_LISTINGS}
+@operator(f"""WITH {SQL_LISTINGS}
+SELECT CAST(id AS BIGINT) AS id, CASE WHEN regexp_matches(v, '^(?:yes|y|true|working)') THEN true WHEN regexp_matches(v, '^(?:no|n|false|none)(?:[^a-z]|$)') THEN false END AS works
+FROM (SELECT id, lower(trim(nullif(regexp_extract(description, 'Powers On\\? *([A-Za-z]+)', 1), ''))) AS v FROM listings)""", _listings, _texts, over_texts(f"""WITH {SQL_LISTINGS}
 SELECT CAST(id AS BIGINT) AS id, CASE WHEN regexp_matches(v, '^(?:yes|y|true|working)') THEN true WHEN regexp_matches(v, '^(?:no|n|false|none)(?:[^a-z]|$)') THEN false END AS works
-FROM (SELECT id, lower(trim(nullif(regexp_extract(description, 'Powers On\\? *([A-Za-z]+)', 1), ''))) AS v FROM listings)""")
-def q_tristate(spark: SparkSession, sf_dir: str) -> DataFrame:
+FROM (SELECT id, lower(trim(nullif(regexp_extract(description, 'Powers On\\? *([A-Za-z]+)', 1), ''))) AS v FROM listings)"""))
+def q_tristate(rows: DataFrame) -> DataFrame:
     said = F.nullif(F.regexp_extract("description", r"Powers On\? *([A-Za-z]+)", 1), F.lit(""))
-    return _listings(spark).select("id", T.tristate(said).alias("works"))
+    return rows.select("id", T.tristate(said).alias("works"))
 
 
 @query("""

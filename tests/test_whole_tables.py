@@ -1,5 +1,7 @@
 """Queries over whole tables: no row of their table is left out."""
 
+import pytest
+
 from lotwright.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -10,3 +12,29 @@ def test_job_store_reads_all_events(spark):
     events = spark.read.parquet(f"{DATA}/events.parquet")
     assert sum(r["writes"] for r in rows) == events.count()
     assert {r["user_id"] for r in rows} == {r["user_id"] for r in events.select("user_id").distinct().collect()}
+
+
+#: Queries over literal rows, and the table that each operator runs over in full as name_all.
+OPERATORS = {
+    "documents": "q_cautions q_kind q_discriminators q_currency q_mixed_lot q_stated_retail q_structured_desc q_tristate q_max_rate q_size_conflict q_identity",
+    "pages": "q_html_tiles q_page_state q_html_candidates q_json_pages q_html_groups q_embedded_json_bfs q_state_normalize q_script_literals q_json_fragment q_listing_snapshot q_jsonld_richest q_route_literals",
+    "lineitem": "q_candidate_eval q_donor_score",
+}
+
+
+@pytest.mark.parametrize("table,name", [(t, n) for t, names in OPERATORS.items() for n in names.split()])
+def test_operator_reads_the_whole_table(spark, table, name):
+    df = catalog.queries()[f"{name}_all"](spark, DATA)
+    assert any(f"/{table}.parquet" in f for f in df.inputFiles())
+    rows = spark.read.parquet(f"{DATA}/{table}.parquet").count()
+    n = df.count()
+    if name in "q_cautions q_kind q_discriminators q_currency q_mixed_lot q_stated_retail q_tristate q_max_rate q_size_conflict q_identity q_page_state q_state_normalize q_route_literals q_candidate_eval".split():
+        assert n == rows  # one row each
+
+
+def test_listing_snapshot_of_tables_that_do_not_fit(spark):
+    from lotwright.plans import captures
+
+    html = ["<p>no table</p>", "<table><tr><th>Price</th><th>Item</th><th>Item</th></tr><tr><td>$1</td></tr><tr><td>$2</td><td>C3</td></tr></table>", None]
+    df = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
+    assert sorted(map(tuple, captures.q_listing_snapshot(df).collect()), key=str) == [(1, "C3", None, "$2"), (1, None, None, "$1")]
