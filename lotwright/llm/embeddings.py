@@ -133,24 +133,31 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, tile: int = TILE) ->
     """One row per vector: vec_id, n_links (other vectors of cosine ``least`` or more), component_id, kept.
 
     The cosine is that of double precision on the given components. Vectors that are null or zero, or hold null, NaN or
-    infinite components, link with nothing, and so do those of another length than most (vectors of different lengths
-    have no cosine): each is its own component. Vectors of equal components form one class at once; the rows of a class
-    are linked with each other, as their cosine is 1. Rows without vec_id take part; a component's id is the smallest
-    vec_id in it, null if it has none, and such rows are never kept. An empty table gives an empty result; other columns
-    are ignored.
+    infinite components, link with nothing: each is its own component. Vectors of different lengths have no cosine and
+    never link; the join is run once for each length that occurs. Vectors of equal components form one class at once;
+    the rows of a class are linked with each other, as their cosine is 1. Rows without vec_id take part; a component's
+    id is the smallest vec_id in it, null if it has none, and such rows are never kept. An empty table gives an empty
+    result; other columns are ignored.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists("v", lambda e: e != 0)
     rows = rows.withColumn("v", F.when(F.coalesce(finite, F.lit(False)), F.col("v")))
-    sizes = rows.where("v IS NOT NULL").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dimensions = sizes[0]["d"] if sizes else 1
-    rows = rows.withColumn("v", F.when(F.size("v") == dimensions, F.col("v")))
     good = rows.where("v IS NOT NULL")
+    lengths = [r["d"] for r in good.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    out = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    for d in lengths:
+        own = good if len(lengths) == 1 else good.where(F.size("v") == d)
+        out = out.union(_of_length(own, d, least, tile))
+    return out
+
+
+def _of_length(rows: DataFrame, dimensions: int, least: float, tile: int) -> DataFrame:
+    """near_duplicates of vectors that all have ``dimensions`` finite components, not all zero."""
     budget = 2.0 - 2.0 * least
     edges = block_edges(dimensions)
     budgets = [budget * (b - a) / dimensions for a, b in edges]
     radii = [math.sqrt(x + SLACK) * 1.0001 for x in budgets]
-    classes = good.groupBy("v").agg(F.count("*").alias("m"), F.min("vec_id").alias("vec_id")).withColumn("c", F.monotonically_increasing_id())
+    classes = rows.groupBy("v").agg(F.count("*").alias("m"), F.min("vec_id").alias("vec_id")).withColumn("c", F.monotonically_increasing_id())
     classes = written(classes, "vectors")
     kind = dict(classes.dtypes)["v"]
     placed = classes.select("c", "m", "v").mapInArrow(_cells(dimensions, radii), f"c long, m long, v {kind}, q binary, cells array<bigint>")
@@ -182,9 +189,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, tile: int = TILE) ->
     named = classes.join(groups, "c", "left").withColumn("g", F.coalesce("g", "c")).join(totals, "c", "left")
     smallest = named.groupBy("g").agg(F.min("vec_id").alias("component_id"))
     named = named.join(smallest, "g").select(F.col("v").alias("v2"), "component_id", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"))
-    out = rows.join(named, F.col("v") == F.col("v2"), "left")
-    component = F.when(F.col("v").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    out = rows.join(named, F.col("v") == F.col("v2"))
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

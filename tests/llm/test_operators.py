@@ -440,3 +440,16 @@ def test_embeddings_with_null_and_repeated_ids(spark):
     assert got == [(-1, 2, 1, False), (1, 2, 1, True), (1, 2, 1, True), (4, 0, 4, True)]
 
 
+def test_embeddings_of_several_lengths(spark):
+    random_ = np.random.default_rng(3)
+    rows = []
+    for d in (16, 16, 5, 1, 24):
+        center = random_.normal(size=d)
+        rows += [(center + s * random_.normal(size=d)).astype(np.float32).tolist() for s in (0.0, 0.0, 0.05, 0.1, 0.2)]
+    rows += [None, [], [0.0] * 5]
+    rows = [(int(k), v) for k, v in zip(random_.permutation(len(rows)), rows)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in dicts(embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))))
+    want = []
+    for d in {len(v or ()) for _, v in rows}:
+        want += brute_vectors([(i, v) for i, v in rows if len(v or ()) == d], 0.9)
+    assert got == sorted(want)
