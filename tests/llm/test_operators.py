@@ -239,6 +239,28 @@ def test_html(spark):
     assert html_content.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+PROSE = "The first paragraph of the article, with enough words to be prose."
+
+
+@pytest.mark.parametrize("name", ["button", "select", "svg", "video", "audio", "canvas", "object"])
+def test_html_without_an_end_tag(name):
+    for rest in ("", "<button>ok</button><select><option>x</select>"):
+        assert html_content.main_text(f"<main><p>{PROSE}</p><{name}>x<p>{PROSE}</p></main>{rest}") == f"{PROSE} {PROSE}"
+
+
+def test_html_with_an_open_head():
+    assert html_content.main_text(f"<html><head><title>No</title><meta charset=utf-8><p>{PROSE}</p>") == PROSE
+    assert html_content.main_text(f"<main><p>{PROSE}</p></main><script>no <p>{PROSE}</p>") == PROSE
+
+
+@pytest.mark.parametrize("wrap", ["<div class='content-sidebar-wrap'>", "<div id='content has-sidebar'>", "<form>", "<div class='post comments-open'>", "<article class='post comments-open'>"])
+def test_html_inside_a_wrapper(wrap):
+    away = "<div class=sidebar><p>Popular posts are here.</p></div><section id=comments><p>A comment by a reader.</p></section>"
+    assert html_content.main_text(f"<body>{wrap}<p>{PROSE}</p><p>{PROSE}</p>{away}") == f"{PROSE} {PROSE}"
+    assert html_content.main_text(f"<body>{wrap}<main><p>{PROSE}</p></main>{away}") == PROSE
+    assert html_content.main_text(f"<main>{wrap}<p>{PROSE}</p><p>{PROSE}</p>{away}</main>") == f"{PROSE} {PROSE}"
+
+
 def test_min_cut_is_minimal():
     random.seed(5)
     for _ in range(60):
