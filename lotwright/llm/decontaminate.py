@@ -90,7 +90,7 @@ def _blocks(hashes: np.ndarray, last: np.ndarray, block: int) -> np.ndarray:
     return mix(hashes[row, last - 1] * np.uint64(0x9E3779B97F4A7C15) + hashes[row, last])
 
 
-def compiled(items: list[tuple[str, str]]) -> list[WuManber]:
+def compiled(items: list[tuple[str | None, str]]) -> list[WuManber]:
     """Matchers for the windows of the items, one for each length of windows that occurs."""
     data, offsets = text_bytes(pa.array([text for _, text in items], pa.string()))
     hashes, starts, ends, at = words(data, offsets, INSIDE, LOWER)
@@ -100,7 +100,7 @@ def compiled(items: list[tuple[str, str]]) -> list[WuManber]:
         n = min(WINDOW, b - a)
         for k in range(a, b - n + 1) if n else ():
             text = b" ".join([low[starts[w] : ends[w]] for w in range(k, k + n)])
-            found[n].setdefault(text, (hashes[k : k + n], set()))[1].add(item)
+            found[n].setdefault(text, (hashes[k : k + n], set()))[1].update(() if item is None else (item,))
     return [WuManber.of(n, patterns) for n, patterns in sorted(found.items())]
 
 
@@ -149,18 +149,21 @@ def _pass(matchers, last: bool, keep: list[str]):
     return work
 
 
-def search(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], nameless: bool = False) -> DataFrame:
     """The columns ``keep`` of docs with n_words, n_hit, n_items, items_sha256 and contaminated.
 
     A word is a run of digits, letters and characters outside ASCII, A-Z lower-cased. A window is 10 consecutive
     words of an item, or all of an item of fewer; every document word inside an occurrence of a window is hit.
     The benchmark is searched for in blocks of about PATTERN_BYTES of its text, each compiled on the driver and
     broadcast, and each block is run over all documents. Null and blank texts have no words and no hits. Items
-    without id, text or words find nothing; several rows of one item_id count as one item. An empty benchmark
+    without text or words find nothing; those without id only if ``nameless``, and then their words count in n_hit and
+    contaminated, not in n_items and items_sha256. Several rows of one item_id count as one item. An empty benchmark
     gives no hits. Repeated documents get equal rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("t IS NOT NULL")
+    if not nameless:
+        items = items.where("i IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // PATTERN_BYTES))
     out = docs.select(*keep, F.col("text").cast("string").alias("_text"), F.lit(None).cast("array<bigint>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"))
@@ -174,8 +177,8 @@ def search(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark windows in whole ``documents``."""
-    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    """Benchmark windows in whole ``documents``, of items without id too (OP2_SQL leaves these out)."""
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"], nameless=True)
 
 
 #: The same rows by SQL: windows of each length that occurs, joined with the documents' runs of as many words.
@@ -210,4 +213,4 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in which no benchmark window occurs."""
     rows = docs.select(F.struct("*").alias("row"), "text")  # whatever the columns are called
-    return search(rows, table(spark, sf_dir, "benchmark"), ["row"]).where(~F.col("contaminated")).select("row.*")
+    return search(rows, table(spark, sf_dir, "benchmark"), ["row"], nameless=True).where(~F.col("contaminated")).select("row.*")

@@ -133,6 +133,17 @@ def test_decontamination(spark, monkeypatch, block):
     assert got == brute_hits(texts, items)
 
 
+def test_decontamination_by_items_without_id(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten eleven"
+    table = docs(spark, [(1, "a " + item), (2, "clean text"), (3, "zz " + item + " named item")])
+    spark.createDataFrame([(None, item), (7, "named item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in dicts(decontaminate.op2_decontamination(spark, str(tmp_path))))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == [(1, 11, 0, sha(""), True), (2, 0, 0, sha(""), False), (3, 13, 1, sha("7"), True)]
+    assert [r["doc_id"] for r in dicts(decontaminate.stage(spark, table, str(tmp_path)))] == [2]
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r["n_hit"] for r in dicts(decontaminate.search(docs(spark, [(1, "a b")]), none, ["doc_id"]))] == [0]
