@@ -13,6 +13,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -109,51 +110,74 @@ def crossed(mother: Bins, father: Bins, counts: dict[int, int], capacity: int, r
 
 
 def mutated(bins: Bins, capacity: int, random: np.random.Generator) -> Bins:
-    """Empties the worst-filled kinds and some others, and places their pieces anew."""
-    worst = sorted(bins, key=lambda k: sum(k))[: 2 + int(random.integers(1, 8))]
-    kinds = list(bins)
-    some = [kinds[i] for i in random.integers(0, len(kinds), min(len(kinds), 8))]
+    """Empties the worst-filled kinds and a random share of the others, and places their pieces anew.
+
+    Half of the time the other kinds lose only their pieces below a random length, which then fill what gaps there are.
+    """
+    kinds = sorted(bins, key=lambda k: sum(k))
+    worst = 2 + int(random.integers(1, 8))
+    share = random.choice((0.02, 0.1, 0.3, 0.5))
+    small = int(capacity ** random.uniform(0.3, 0.9)) if random.random() < 0.5 else capacity
     left: Counter[int] = Counter()
-    kept = dict(bins)
-    for kind in {*worst, *some}:
-        for x in kind:
-            left[x] += kept[kind]
-        del kept[kind]
+    kept: Bins = {}
+    for i, kind in enumerate(kinds):
+        stays = kind
+        if i < worst:
+            stays = ()
+        elif random.random() < (share if small == capacity else 0.9):
+            stays = tuple(x for x in kind if x >= small)
+        for x in kind[len(stays) :]:
+            left[x] += bins[kind]
+        if stays:
+            kept[stays] = kept.get(stays, 0) + bins[kind]
     return best_fit(left, capacity, kept)
 
 
-def start(counts: dict[int, int], capacity: int, random: np.random.Generator, greedy: bool) -> Bins:
-    if greedy:
-        return best_fit(counts, capacity)
+def start(counts: dict[int, int], capacity: int, random: np.random.Generator) -> Bins:
+    """One random individual: best-fit in a disturbed descending order."""
     order = sorted(counts, key=lambda x: x * random.uniform(0.85, 1.15), reverse=True)
     return best_fit(counts, capacity, order=order)
 
 
-def evolve(population: list[Bins], counts: dict[int, int], capacity: int, generations: int, size: int, random: np.random.Generator) -> list[Bins]:
-    """The best ``size`` of the population after so many generations; stops at once where no bin can be saved."""
+def evolve(population: list[Bins], counts: dict[int, int], capacity: int, generations: int, size: int, random: np.random.Generator) -> tuple[list[Bins], int]:
+    """(the best ``size`` different individuals, generations run); stops where no bin can be saved."""
     least = -(-sum(x * n for x, n in counts.items()) // capacity)
-    score = lambda b: fitness(b, capacity)
-    population = sorted(population, key=score)[:size]
-    for _ in range(generations):
-        if score(population[0])[0] <= least:
-            break
+
+    def fittest(all_: list[Bins]) -> list[Bins]:
+        return [b for _, b in sorted({fitness(b, capacity): b for b in all_}.items(), key=lambda x: x[0])][:size]
+
+    population, run = fittest(population), 0
+    while run < generations and sum(population[0].values()) > least:
         children = []
         for _ in range(size):
             a, b = (min(random.integers(0, len(population), 2)) for _ in range(2))
             child = crossed(population[a], population[b], counts, capacity, random)
-            children.append(mutated(child, capacity, random) if random.random() < 0.5 else child)
-        population = sorted([*population, *children], key=score)[:size]
-    return population
+            children.append(mutated(child, capacity, random) if random.random() < 0.7 else child)
+        population, run = fittest([*population, *children]), run + 1
+    return population, run
+
 
+@dataclass
+class Packing:
+    """Kinds of bins, and how they were found: the lower bound, the fewest bins after each round, generations run by all islands."""
 
-def packed(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY, islands: int = 6, rounds: int = 3, generations: int = 4, size: int = 6, elites: int = 2, seed: int = 1) -> Bins:
-    """Kinds of bins that hold ``counts`` pieces of each length, evolved on ``islands`` tasks.
+    bins: Bins
+    least: int
+    rounds: list[int]
+    generations: int
 
-    Between rounds the elites of each island move on to the next island in a ring. Every state is a row of a
-    DataFrame, so a lost island is evolved again from the last round.
+
+def packed(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY, islands: int = 6, rounds: int = 5, generations: int = 8, size: int = 6, elites: int = 2, seed: int = 1) -> Packing:
+    """Bins that hold ``counts`` pieces of each length, evolved from random individuals on ``islands`` tasks.
+
+    Between rounds the elites of each island move on to the next island in a ring. For the last round the plain
+    best-fit individual joins the first island, so that the result never has more bins than that. No round follows
+    one that has met the lower bound (all ids over the capacity). Every state is a row of a DataFrame, so a lost
+    island is evolved again from the last round.
     """
+    least = -(-sum(x * n for x, n in counts.items()) // capacity)
     if not counts:
-        return {}
+        return Packing({}, 0, [], 0)
     shared = spark.sparkContext.broadcast(counts)
 
     def task(step: int):
@@ -162,20 +186,28 @@ def packed(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY
             random = np.random.default_rng([seed, step, island])
             own = [pickle.loads(x) for x in got["bins"] if x]
             if not own:
-                own = [start(shared.value, capacity, random, greedy=k == 0) for k in range(size)]
-            best = evolve(own, shared.value, capacity, generations, size, random)
+                own = [start(shared.value, capacity, random) for _ in range(size)]
+            if step == rounds - 1 and not island:
+                own.append(best_fit(shared.value, capacity))
+            best, run = evolve(own, shared.value, capacity, generations, size, random)
             n, fit = zip(*(fitness(b, capacity) for b in best))
-            return pd.DataFrame({"island": island, "rank": range(len(best)), "n": n, "fit": fit, "bins": [pickle.dumps(b) for b in best]})
+            return pd.DataFrame({"island": island, "rank": range(len(best)), "n": n, "fit": fit, "run": run, "bins": [pickle.dumps(b) for b in best]})
 
         return work
 
-    schema = "island int, rank int, n long, fit double, bins binary"
+    schema = "island int, rank int, n long, fit double, run long, bins binary"
     state = spark.range(islands, numPartitions=1).select(F.col("id").cast("int").alias("island"), F.lit(None).cast("binary").alias("bins"))
+    fewest, total = [], 0
     for step in range(rounds):
-        state = written(state.repartition(islands, "island").groupBy("island").applyInPandas(task(step), schema), "islands")
-        migrants = state.where(F.col("rank") < elites).withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int"))
-        state = state.union(migrants).select("island", "n", "fit", "bins")
-    return pickle.loads(bytes(state.orderBy("n", "fit", "island").select("bins").first()["bins"]))
+        evolved = written(state.repartition(islands, "island").groupBy("island").applyInPandas(task(step), schema), "islands")
+        n, run = evolved.where("rank = 0").agg(F.min("n"), F.sum("run")).first()
+        fewest, total = [*fewest, n], total + run
+        if n <= least:
+            break
+        migrants = evolved.where(F.col("rank") < elites).withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int"))
+        state = evolved.union(migrants).select("island", "bins")
+    shared.unpersist()
+    return Packing(pickle.loads(bytes(evolved.orderBy("n", "fit", "island").select("bins").first()["bins"])), least, fewest, total)
 
 
 def slots(bins: Bins) -> dict[str, np.ndarray]:
@@ -230,8 +262,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
         rows = written(pieces(docs, vocabulary, capacity, end_id), "pieces")
     parts = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    bins = packed(spark, histogram, capacity)
-    plan = spark.sparkContext.broadcast(slots(bins))
+    plan = spark.sparkContext.broadcast(slots(packed(spark, histogram, capacity).bins))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.sum("n").over(earlier) - F.col("n")
     firsts = parts.select(F.col("length").alias("l"), F.col("part").alias("p"), before.alias("first"))
@@ -268,5 +299,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, packed into sequences of at most 2048 tokens."""
+    """The documents' pieces, packed into sequences of at most 2048 tokens: the columns of op3_best_fit_packing.
+
+    Nulls, repeated rows, an empty table and other columns are as in ``pack``.
+    """
     return pack(docs, vocabulary_path())

@@ -200,13 +200,32 @@ def test_crossover_and_mutation_keep_all_pieces():
     random_ = np.random.default_rng(0)
     counts = {int(x): int(random_.integers(1, 9)) for x in random_.integers(1, 65, 40)}
     total = lambda bins: {x: sum(n * k.count(x) for k, n in bins.items()) for x in counts}
-    a, b = (packing.start(counts, 64, random_, greedy) for greedy in (True, False))
+    a, b = packing.best_fit(counts, 64), packing.start(counts, 64, random_)
     for _ in range(30):
         a, b = packing.crossed(a, b, counts, 64, random_), packing.mutated(b, 64, random_)
         for bins in (a, b):
             assert total(bins) == counts and all(sum(k) <= 64 for k in bins)
 
 
+def test_islands_evolve_from_random_starts(spark):
+    """Crossover and migration, not the greedy individual, close the gap to the lower bound."""
+    random_ = np.random.default_rng(2)
+    counts = {int(x): int(n) for x, n in zip(range(1, 2049), 3000 / np.arange(1, 2049) ** 0.7 * random_.uniform(0, 2, 2048)) if int(n)}
+    starts = [packing.fitness(packing.start(counts, 2048, random_), 2048)[0] for _ in range(6)]
+    found = packing.packed(spark, counts, rounds=3, generations=6)
+    total = {x: sum(n * k.count(x) for k, n in found.bins.items()) for x in counts}
+    assert total == counts and all(sum(k) <= 2048 for k in found.bins)
+    assert found.generations > 0 and found.least <= found.rounds[-1] <= packing.fitness(packing.best_fit(counts, 2048), 2048)[0] and found.rounds[0] < min(starts)
+
+
+def test_migration_loses_nothing(spark):
+    """With elites moving on, later rounds are at least as good as the first one without."""
+    counts = {40: 40, 30: 40, 25: 60, 13: 30, 7: 20}
+    alone = packing.packed(spark, counts, capacity=64, islands=3, rounds=3, generations=1, size=2, elites=0)
+    moved = packing.packed(spark, counts, capacity=64, islands=3, rounds=3, generations=1, size=2, elites=2)
+    assert moved.rounds[-1] <= alone.rounds[0] and moved.least <= moved.rounds[-1]
+
+
 def test_token_files(spark):
     got = dicts(token_files.round_trip(docs(spark, ODD * 3), packing.vocabulary_path()))
     rows = ODD * 3
