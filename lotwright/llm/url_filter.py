@@ -17,11 +17,14 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-#: Lexical features of a URL, then the statistics of its suffix over all labelled URLs.
+#: Lexical features of a URL, then statistics of the host's last label, of its last two, and of the path's first segment.
 FEATURES = [
-    "length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digits", "upper_ratio", "hyphens",
-    "parameters", "query_length", "has_fragment", "has_extension", "secure", "entropy", "suffix_count", "suffix_blocked",
+    "length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digits", "upper_ratio", "hyphens", "host_hyphens",
+    "parameters", "query_length", "has_fragment", "has_extension", "secure", "entropy",
+    "suffix_count", "suffix_blocked", "domain_count", "domain_blocked", "segment_count", "segment_blocked",
 ]
+#: Folds of labelled URLs: what a labelled URL is told of its suffix comes from the other folds.
+FOLDS = 5
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -41,7 +44,7 @@ def ruled(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tupl
 
 
 def _lexical(rows: DataFrame) -> DataFrame:
-    """rows (url, host, path) with the lexical features and the suffix: the last label of the host."""
+    """rows (url, host, path) with the lexical features, and suffix, domain and segment: the host's last label, its last two, the path's first segment."""
     url = F.coalesce(F.col("url"), F.lit(""))
     size = F.greatest(F.length(url), F.lit(1))
     count = lambda text, pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
@@ -60,6 +63,7 @@ def _lexical(rows: DataFrame) -> DataFrame:
         count(F.col("host"), "[0-9]").alias("host_digits"),
         (count(url, "[A-Z]") / size).alias("upper_ratio"),
         count(url, "-").alias("hyphens"),
+        count(F.col("host"), "-").alias("host_hyphens"),
         count(query, "[^&]+").alias("parameters"),
         F.length(query).cast("double").alias("query_length"),
         url.contains("#").cast("double").alias("has_fragment"),
@@ -67,44 +71,74 @@ def _lexical(rows: DataFrame) -> DataFrame:
         url.startswith("https").cast("double").alias("secure"),
         entropy.alias("entropy"),
         F.regexp_extract("host", r"([^.]*)$", 1).alias("suffix"),
+        F.regexp_extract("host", r"([^.]*\.?[^.]*)$", 1).alias("domain"),
+        F.regexp_extract("path", r"^/*([^/]*)", 1).alias("segment"),
     )
 
 
-def fit(rows: DataFrame, most: int = 20_000, trees: int = 20, depth: int = 3) -> GBTClassificationModel | str:
-    """Trees learned from at most ``most`` labelled URLs, drawn by a hash; the one verdict there is, or allow, where only one occurs."""
-    known = rows.where("verdict IS NOT NULL")
-    share = min(1.0, (1.5 * most + 100) / max(1, known.count()))  # what can be in the sample: only that goes to the driver
-    known = known.where(uniform(1, "page_id", "url") <= share)
-    sample = known.select((F.col("verdict") == "block").cast("double").alias("label"), *FEATURES, uniform(1, "page_id", "url").alias("k"))
+def _told(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows (fold: null if not labelled) with how many URLs of ``known`` share their suffix, domain and segment, and the share blocked.
+
+    A labelled URL is told what the other folds say, so that no label is read from its own row. Shares are smoothed by
+    ten URLs of the overall share, which is also what a name that no labelled URL has gets.
+    """
+    overall = known.agg(F.avg(F.col("blocked").cast("double")).alias("overall"))
+    rows = rows.crossJoin(F.broadcast(overall)).withColumn("overall", F.coalesce("overall", F.lit(0.5)))  # one row
+    for name in ("suffix", "domain", "segment"):
+        of = [F.count_if(F.col("fold") == k).alias(f"n{k}") for k in range(FOLDS)] + [F.count_if((F.col("fold") == k) & F.col("blocked")).alias(f"b{k}") for k in range(FOLDS)]
+        stats = known.groupBy(F.col(name).alias("of")).agg(*of)
+        rows = rows.join(stats, F.col(name) == F.col("of"), "left").drop("of")
+        others = lambda x: sum((F.when(F.col("fold").isNull() | (F.col("fold") != k), F.coalesce(f"{x}{k}", F.lit(0))).otherwise(0) for k in range(FOLDS)), F.lit(0))  # noqa: E731, B023
+        rows = rows.withColumns({f"{name}_count": F.log1p(others("n")), f"{name}_blocked": (others("b") + 10 * F.col("overall")) / (others("n") + 10)})
+        rows = rows.drop(*(f"{x}{k}" for x in "nb" for k in range(FOLDS)))
+    return rows.drop("overall")
+
+
+def fit(labelled: DataFrame, most: int = 20_000, trees: int = 20, depth: int = 4) -> GBTClassificationModel | str:
+    """Trees learned from at most ``most`` rows (url, blocked, FEATURES), drawn by a hash; both verdicts weigh the same.
+
+    Where only one verdict occurs it is returned, and ``allow`` without any labelled URL.
+    """
+    count, bad = labelled.agg(F.count("*"), F.count_if("blocked")).first()
+    if bad in (0, count):
+        return "block" if bad else "allow"
+    share = min(1.0, (1.5 * most + 100) / count)  # what can be in the sample: only that is sorted
+    sample = labelled.where(uniform(1, "url") <= share).select(F.col("blocked").cast("double").alias("label"), *FEATURES, uniform(1, "url").alias("k"))
     sample = written(sample.orderBy("k", *FEATURES).limit(most), "urls")
-    seen = [r["label"] for r in sample.select("label").distinct().collect()]
-    if len(seen) < 2:
-        return "block" if seen == [1.0] else "allow"
-    learner = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, subsamplingRate=1.0, seed=1)
+    sample = sample.withColumn("weight", F.when(F.col("label") == 1.0, 0.5 * count / bad).otherwise(0.5 * count / (count - bad)))
+    learner = GBTClassifier(featuresCol="x", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.2, subsamplingRate=1.0, seed=1)
     return learner.fit(VectorAssembler(inputCols=FEATURES, outputCol="x").transform(sample))
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule and verdict (allow or block) of every row.
 
-    The longest fitting rule decides; where none fits, boosted trees do, learned from the URLs that rules decide.
-    The suffix statistics (how many labelled URLs end in this label, smoothed share of blocked ones) are counted
-    over all labelled URLs. A null URL or one without ``://`` has empty host and path and goes to the trees as
-    such. Repeated rows get equal rows; an empty table gives an empty result; other columns are ignored.
+    The longest fitting rule decides; where none fits, boosted trees do. They learn from ``labelled`` (url string,
+    blocked boolean; rows with a null are left out), by default from the URLs of ``pages`` that rules decide. The
+    statistics of suffixes, domains and first path segments are counted over all labelled URLs. A null URL or one
+    without ``://`` has empty host and path and goes to the trees as such. Repeated rows get equal rows; an empty
+    table gives an empty result; very long URLs are read whole; other columns are ignored.
     """
-    host, path = parts(F.col("url"))
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumns({"host": host, "path": path})
+
+    def read(df: DataFrame, *keep: str) -> DataFrame:
+        host, path = parts(F.col("url"))
+        return _lexical(df.select(*keep, F.col("url").cast("string").alias("url")).withColumns({"host": host, "path": path}))
+
+    rows = read(pages, "page_id")
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    rows = _lexical(rows.withColumns({"rule": rule, "verdict": verdict}))
-    known = rows.where("verdict IS NOT NULL").groupBy("suffix").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("bad"))
-    known = known.select(F.col("suffix").alias("of"), F.log1p("n").alias("suffix_count"), ((F.col("bad") + 1) / (F.col("n") + 2)).alias("suffix_blocked"))
-    rows = rows.join(known, F.col("suffix") == F.col("of"), "left").fillna({"suffix_count": 0.0, "suffix_blocked": 0.5})
-    model = fit(rows)
+    rows = rows.withColumns({"rule": rule, "ruled": verdict})
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS))
+    if labelled is None:
+        known = rows.where("ruled IS NOT NULL").withColumns({"blocked": F.col("ruled") == "block", "fold": fold})
+    else:
+        known = read(labelled.where("url IS NOT NULL AND blocked IS NOT NULL"), "blocked").withColumn("fold", fold)
+    model = fit(_told(known, known))
     if isinstance(model, str):
         said = rows.withColumn("said", F.lit(model))
     else:
-        said = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="x").transform(rows)).withColumn("said", F.when(F.col("prediction") == 1.0, "block").otherwise("allow"))
-    return said.select("page_id", "host", "path", "rule", F.coalesce("verdict", "said").alias("verdict"))
+        told = _told(rows.withColumn("fold", F.lit(None).cast("long")), known)
+        said = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="x").transform(told)).withColumn("said", F.when(F.col("prediction") == 1.0, "block").otherwise("allow"))
+    return said.select("page_id", "host", "path", "rule", F.coalesce("ruled", "said").alias("verdict"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

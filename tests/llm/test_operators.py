@@ -370,6 +370,31 @@ def test_url_filter(spark):
     assert alone[0]["verdict"] == "allow" and url_filter.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_trees_on_held_out_urls(spark):
+    """Learned from labelled URLs alone; judged on others, of hosts and suffixes that no labelled URL has."""
+    random.seed(11)
+
+    def url(bad, tld):
+        word = lambda n: "".join(random.choices("abcdefghilmnoprstu", k=n))
+        if bad:
+            return f"http://{word(5)}-{word(4)}{random.randint(100, 9999)}.{tld}/{word(3)}{random.randint(10, 99)}/?" + "&".join(f"{word(2)}={random.randint(1, 10**6)}" for _ in range(random.randint(2, 6)))
+        return f"https://{word(8)}.{tld}/{word(6)}/{word(7)}-{word(5)}" + random.choice(("", ".html", "?page=2"))
+
+    rows = [(url(k % 3 == 0, random.choice(("aa", "bb", "cc"))), k % 3 == 0) for k in range(600)]
+    labelled = spark.createDataFrame([*rows, (None, True), ("http://x.y/", None)], "url string, blocked boolean")
+    held = [(k, url(k % 2 == 0, random.choice(("aa", "dd")))) for k in range(200)] + [(900, "http://x.y/" + "z" * 300_000)]
+    table = spark.createDataFrame(held, "page_id long, url string")
+    for name in ("host", "rule", "verdict", "suffix", "fold", "blocked", "x", "prediction"):
+        table = table.withColumn(name, F.lit("x"))
+    got = {r["page_id"]: r["verdict"] for r in dicts(url_filter.judged(table, [], labelled))}
+    assert len(got) == 201 and sum(got[k] == ("block" if k % 2 == 0 else "allow") for k, _ in held[:200]) >= 190
+
+
+def test_url_verdicts_of_the_given_pages(spark):
+    rows = dicts(url_filter.op6_url_filter(spark, "/root/testdata/sf0.1"))
+    assert {r["verdict"] for r in rows if r["rule"] is None} == {"allow", "block"}
+
+
 # ---- 7 MinHash
 
 
