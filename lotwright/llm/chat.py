@@ -1,4 +1,7 @@
-"""Chat formatting: preference pairs as one shared prompt and two masked completions, in built-in expressions only."""
+"""Chat formatting: preference pairs as one shared prompt and two masked completions, in built-in expressions only.
+
+Rows stay one per message and carry pair_id, part and pos, so no conversation has to fit into a cell or a task.
+"""
 
 from __future__ import annotations
 
@@ -7,120 +10,151 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: The template of one message; a text's own ``<|`` is opened so that it cannot pass for markup.
+#: The template of one message: role between OPEN and MIDDLE, then the text, then CLOSE.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 #: The place of turns without a number: after all others.
 LAST = (1 << 63) - 1
 
 
 def rendered(role: Column, text: Column) -> Column:
-    return F.concat(F.lit(OPEN), role, F.lit(MIDDLE), F.replace(text, F.lit("<|"), F.lit("< |")), F.lit(CLOSE))
+    """One message in the template. ``<|`` of a text or role gets a second bar, so does ``|>`` of a role: taking one bar away restores them."""
+    opened = lambda x: F.replace(x, F.lit("<|"), F.lit("<||"))
+    return F.concat(F.lit(OPEN), F.replace(opened(role), F.lit("|>"), F.lit("||>")), F.lit(MIDDLE), opened(text), F.lit(CLOSE))
 
 
-def preference_pairs(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row per message: pair_id, part (prompt, chosen or rejected), turn, role, text (rendered), loss.
-
-    ``pairs`` has pair_id, chosen_id and rejected_id; ``conversations`` has conv_id, turn, role and text. The
-    longest run of first turns in which both conversations agree in roles and texts is the prompt, given once;
-    the turns after it are the two completions. ``loss`` marks what is learned from: the assistant's messages of
-    a completion. Rows stay one per message, so that no conversation has to fit into a cell or a task.
+def _numbered(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with n, from 1 in order of keys: places within range partitions, and where each partition begins."""
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("place", F.monotonically_increasing_id())
+    placed = written(placed, "placed")
+    part = F.shiftright("place", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.orderBy("part")) - F.col("size")  # one row per partition
+    numbered = placed.withColumn("part", part).join(F.broadcast(sizes.select("part", before.alias("start"))), "part")
+    return numbered.withColumn("n", F.col("start") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("part", "start", "place")
 
-    Rows of a turn with equal role and text count once; different ones are all of that turn, in order of role and
-    text. A null role is ``unknown``, a null text is empty, a null turn comes last; messages without conv_id belong
-    to no pair. A pair with one conversation only has an empty prompt; one of equal conversations has a prompt only.
-    Other columns are ignored.
-    """
-    sides = pairs.where("pair_id IS NOT NULL").select("pair_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("chosen_id").alias("of")), F.struct(F.lit(1).alias("side"), F.col("rejected_id").alias("of")))).alias("x"))
-    sides = sides.select("pair_id", "x.side", "x.of").distinct()
-    return _formatted(_messages(conversations).join(sides, F.col("conv_id") == F.col("of")))
 
+def messages(conversations: DataFrame) -> DataFrame:
+    """conv_id, pos (from 0), role and text of every message, in order of turn, role and text.
 
-def _messages(conversations: DataFrame) -> DataFrame:
-    return conversations.where("conv_id IS NOT NULL").select(
-        "conv_id",
+    Rows of a turn with equal role and text count once. A null role is ``unknown``, a null text is empty, a null turn
+    comes last; rows without conv_id are left out. Positions come from one range partitioning of the whole table, so a
+    conversation may be of any length.
+    """
+    rows = conversations.where("conv_id IS NOT NULL").select(
+        F.col("conv_id").cast("long").alias("conv_id"),
         F.coalesce(F.col("turn").cast("long"), F.lit(LAST)).alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
+    rows = _numbered(rows.distinct(), "conv_id", "turn", "role", "text")
+    first = rows.groupBy(F.col("conv_id").alias("c")).agg(F.min("n").alias("first"))
+    return rows.join(first, F.col("conv_id") == F.col("c")).select("conv_id", (F.col("n") - F.col("first")).alias("pos"), "role", "text")
 
 
-def _formatted(messages: DataFrame) -> DataFrame:
-    """messages: pair_id, side (0 chosen, 1 rejected), turn, role, text."""
-    of = lambda side: F.array_sort(F.collect_set(F.when(F.col("side") == side, F.struct("role", "text"))))
-    turns = messages.groupBy("pair_id", "turn").agg(of(0).alias("c"), of(1).alias("r"))
-    cuts = turns.groupBy("pair_id").agg(F.min(F.when(F.col("c") != F.col("r"), F.col("turn"))).alias("cut"))
-    placed = turns.join(cuts.withColumnRenamed("pair_id", "p"), F.col("pair_id") == F.col("p"))
-    row = lambda part, m: F.struct(F.lit(part).alias("part"), m["role"].alias("role"), m["text"].alias("text"))
-    same = F.col("cut").isNull() | (F.col("turn") < F.col("cut"))
-    prompt = F.transform("c", lambda m: row("prompt", m))
-    answers = F.concat(F.transform("c", lambda m: row("chosen", m)), F.transform("r", lambda m: row("rejected", m)))
-    out = placed.select("pair_id", "turn", F.explode(F.when(same, prompt).otherwise(answers)).alias("m"))
+def preference_pairs(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row per message: pair_id, part (prompt, chosen or rejected), pos, role, text (rendered), loss.
+
+    ``pairs`` has pair_id, chosen_id and rejected_id; ``conversations`` has conv_id, turn, role and text. The longest
+    run of first messages in which both conversations agree in roles and texts is the prompt, given once; the messages
+    after it are the two completions. ``loss`` marks what is learned from: the assistant's messages of a completion.
+
+    A preference needs two completions: pairs of which one conversation is missing, or is equal to or the beginning of
+    the other, give no rows. Null parts and repeated rows of conversations are as in ``messages``; repeated rows of
+    pairs count once, rows of pairs with a null are left out. Empty tables give an empty result; other columns are ignored.
+    """
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("chosen_id").alias("of")), F.struct(F.lit(1).alias("side"), F.col("rejected_id").alias("of")))
+    sides = pairs.where("pair_id IS NOT NULL").select("pair_id", F.explode(sides).alias("x")).select("pair_id", "x.side", "x.of").distinct()
+    return formatted(messages(conversations).join(sides, F.col("conv_id") == F.col("of")).select("pair_id", "side", "pos", "role", "text"))
+
+
+def formatted(rows: DataFrame) -> DataFrame:
+    """The result of preference_pairs for rows pair_id, side (0 chosen, 1 rejected), pos, role, text; one for each pair, side and pos."""
+    of = lambda side: F.max(F.when(F.col("side") == side, F.struct("role", "text")))
+    both = rows.groupBy("pair_id", "pos").agg(of(0).alias("c"), of(1).alias("r"))
+    end = lambda x: F.max(F.when(F.col(x).isNotNull(), F.col("pos")))
+    cuts = both.groupBy(F.col("pair_id").alias("p")).agg(F.min(F.when(~F.col("c").eqNullSafe(F.col("r")), F.col("pos"))).alias("cut"), F.least(end("c"), end("r")).alias("end"), F.count("c").alias("nc"), F.count("r").alias("nr"))
+    placed = both.join(cuts.where("nc > 0 AND nr > 0 AND end >= cut"), F.col("pair_id") == F.col("p"))
+    row = lambda part, m: F.struct(F.lit(part).alias("part"), F.col(m)["role"].alias("role"), F.col(m)["text"].alias("text"))
+    answers = F.array_compact(F.array(F.when(F.col("c").isNotNull(), row("chosen", "c")), F.when(F.col("r").isNotNull(), row("rejected", "r"))))
+    out = placed.select("pair_id", "pos", F.explode(F.when(F.col("pos") < F.col("cut"), F.array(row("prompt", "c"))).otherwise(answers)).alias("m"))
     loss = (F.col("m.part") != "prompt") & (F.col("m.role") == "assistant")
-    return out.select("pair_id", "m.part", "turn", "m.role", rendered(F.col("m.role"), F.col("m.text")).alias("text"), loss.alias("loss"))
+    return out.select("pair_id", "m.part", "pos", "m.role", rendered(F.col("m.role"), F.col("m.text")).alias("text"), loss.alias("loss"))
+
+
+def answer_pairs(conversations: DataFrame) -> DataFrame:
+    """pair_id, side, pos, role, text: every conversation up to its last reply, against the same one with another reply.
+
+    The other reply is the last one of the next conversation in order of conv_id (of the last conversation: the first);
+    conversations without a message of the assistant take no part. pair_id is the conv_id.
+    """
+    rows = messages(conversations)
+    last = rows.where("role = 'assistant'").groupBy("conv_id").agg(F.max("pos").alias("last"), F.max_by("text", "pos").alias("own"))
+    last = _numbered(last, "conv_id")
+    total = last.agg(F.count("*").alias("k"))
+    others = last.select(F.col("n").alias("n2"), F.col("own").alias("other"))
+    last = last.crossJoin(F.broadcast(total)).withColumn("next", F.col("n") % F.col("k") + 1)  # one row
+    last = written(last.join(others, F.col("next") == F.col("n2")).select(F.col("conv_id").alias("pair_id"), "last", "other"), "answers")
+    upto = rows.join(last.select("pair_id", "last"), F.col("conv_id") == F.col("pair_id"))
+    side = lambda df, k: df.select("pair_id", F.lit(k).alias("side"), "pos", "role", "text")
+    other = last.select("pair_id", F.lit(1).alias("side"), F.col("last").alias("pos"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
+    return side(upto.where("pos <= last"), 0).union(side(upto.where("pos < last"), 1)).union(other)
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Preference pairs of ``conversations``: conversation 2k is chosen over conversation 2k + 1."""
-    rows = _messages(table(spark, sf_dir, "conversations"))
-    pair = F.shiftright(F.col("conv_id").cast("long"), 1)
-    return _formatted(rows.select(pair.alias("pair_id"), F.col("conv_id").cast("long").bitwiseAND(F.lit(1)).alias("side"), "turn", "role", "text"))
+    """Preference pairs of all ``conversations``: each conversation's last reply over another one's after the same turns."""
+    return formatted(answer_pairs(table(spark, sf_dir, "conversations")))
 
 
-OP8_SQL = r"""
-WITH m AS (
-  SELECT DISTINCT conv_id >> 1 AS pair_id, conv_id & 1 AS side, coalesce(turn, 9223372036854775807) AS turn,
-         coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+#: What both queries' SQL begins with: messages with their positions, and the template.
+_MESSAGES_SQL = r"""
+WITH d AS (
+  SELECT DISTINCT conv_id, coalesce(turn, 9223372036854775807) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL
-), t AS (
-  SELECT pair_id, turn,
-         coalesce(list(struct_pack(role := role, text := text) ORDER BY role, text) FILTER (WHERE side = 0), []) AS c,
-         coalesce(list(struct_pack(role := role, text := text) ORDER BY role, text) FILTER (WHERE side = 1), []) AS r
-  FROM m GROUP BY ALL
+), m AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos, role, text FROM d
+)"""
+_TEXT_SQL = "'<|' || replace(replace(role, '<|', '<||'), '|>', '||>') || '|>' || chr(10) || replace(text, '<|', '<||') || '<|end|>' || chr(10)"
+
+OP8_SQL = f"""{_MESSAGES_SQL}, l AS (
+  SELECT conv_id, max(pos) AS last, arg_max(text, pos) AS own, row_number() OVER (ORDER BY conv_id) AS n, count(*) OVER () AS k
+  FROM m WHERE role = 'assistant' GROUP BY conv_id
+), o AS (
+  SELECT a.conv_id, a.last, b.own AS other FROM l a JOIN l b ON b.n = a.n % a.k + 1
+), s AS (
+  SELECT conv_id AS pair_id, 0 AS side, pos, role, text FROM m JOIN o USING (conv_id) WHERE pos <= last
+  UNION ALL SELECT conv_id, 1, pos, role, text FROM m JOIN o USING (conv_id) WHERE pos < last
+  UNION ALL SELECT conv_id, 1, last, 'assistant', other FROM o
+), b AS (
+  SELECT pair_id, pos, max(struct_pack(role := role, text := text)) FILTER (WHERE side = 0) AS c,
+         max(struct_pack(role := role, text := text)) FILTER (WHERE side = 1) AS r FROM s GROUP BY ALL
 ), k AS (
-  SELECT pair_id, min(turn) FILTER (WHERE c <> r) AS cut FROM t GROUP BY pair_id
-), p AS (
-  SELECT m.pair_id, m.turn, side, role, text, cut IS NULL OR m.turn < cut AS same
-  FROM m JOIN k USING (pair_id)
+  SELECT pair_id, min(pos) FILTER (WHERE c IS DISTINCT FROM r) AS cut, max(pos) FILTER (WHERE c IS NOT NULL) AS ce, max(pos) FILTER (WHERE r IS NOT NULL) AS re FROM b GROUP BY pair_id
 )
-SELECT pair_id, CASE WHEN same THEN 'prompt' WHEN side = 0 THEN 'chosen' ELSE 'rejected' END AS part, turn, role,
-       '<|' || role || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS text,
-       NOT same AND role = 'assistant' AS loss
-FROM p WHERE NOT (same AND side = 1)
+SELECT pair_id, CASE WHEN pos < cut THEN 'prompt' WHEN side = 0 THEN 'chosen' ELSE 'rejected' END AS part, pos, role, {_TEXT_SQL} AS text,
+       pos >= cut AND role = 'assistant' AS loss
+FROM s JOIN k USING (pair_id) WHERE least(ce, re) >= cut AND NOT (pos < cut AND side = 1)
 """
 
 
 def reply_pairs(conversations: DataFrame) -> DataFrame:
-    """One row per message: conv_id, turn, part (prompt, chosen or rejected), role, text (rendered), loss.
+    """One row per message: conv_id, pos, part (prompt, chosen or rejected), role, text (rendered), loss.
 
-    Every turn with an assistant's message is a reply, chosen over the next reply of the table in order of conv_id and
-    turn (the last one over the first), put after the same earlier turns. Both answers have conv_id and turn of the
-    chosen reply; the turns they share are the conversation's ``prompt`` rows of smaller turns. Every message is a prompt
-    row once, so the histories of a conversation's pairs are joined by key and their number does not grow with its
-    square. A reply equal to the next one has prompt rows only. Nulls and repeated rows are as in preference_pairs.
+    Every message of the assistant is a reply, chosen over the next reply of the table in order of conv_id and pos (the
+    last one over the first), put after the same earlier messages. Both answers have conv_id and pos of the chosen
+    reply; what they share are the conversation's ``prompt`` rows of smaller pos. Every message is a prompt row once, so
+    the histories of a conversation's pairs are joined by key and their number does not grow with its square. A reply
+    equal to the next one has prompt rows only. Nulls and repeated rows are as in ``messages``.
     """
-    turns = _messages(conversations).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_set(F.struct("role", "text"))).alias("m"))
-    replies = _ranked(turns.where(F.exists("m", lambda x: x["role"] == "assistant")))
+    rows = messages(conversations)
+    replies = _numbered(rows.where("role = 'assistant'"), "conv_id", "pos")
     total = replies.agg(F.count("*").alias("k"))
-    others = replies.select(F.col("n").alias("n2"), F.col("m").alias("r"))
+    others = replies.select(F.col("n").alias("n2"), F.col("text").alias("other"))
     pairs = replies.crossJoin(F.broadcast(total)).withColumn("next", F.col("n") % F.col("k") + 1)  # one row
-    pairs = pairs.join(others, F.col("next") == F.col("n2")).where(F.col("m") != F.col("r"))
-    row = lambda part, m: F.struct(F.lit(part).alias("part"), m["role"].alias("role"), m["text"].alias("text"))
-    answers = F.concat(F.transform("m", lambda m: row("chosen", m)), F.transform("r", lambda m: row("rejected", m)))
-    out = turns.select("conv_id", "turn", F.explode(F.transform("m", lambda m: row("prompt", m))).alias("m")).union(pairs.select("conv_id", "turn", F.explode(answers).alias("m")))
+    pairs = pairs.join(others, F.col("next") == F.col("n2")).where("text <> other")
+    answer = lambda part, text: F.struct(F.lit(part).alias("part"), F.col("role"), F.col(text).alias("text"))
+    out = rows.select("conv_id", "pos", answer("prompt", "text").alias("m")).union(pairs.select("conv_id", "pos", F.explode(F.array(answer("chosen", "text"), answer("rejected", "other"))).alias("m")))
     loss = (F.col("m.part") != "prompt") & (F.col("m.role") == "assistant")
-    return out.select("conv_id", "turn", "m.part", "m.role", rendered(F.col("m.role"), F.col("m.text")).alias("text"), loss.alias("loss"))
-
-
-def _ranked(rows: DataFrame) -> DataFrame:
-    """rows with n, from 1 in order of conv_id and turn: places within range partitions, and where each partition begins."""
-    placed = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn").withColumn("place", F.monotonically_increasing_id())
-    placed = written(placed, "replies")
-    part = F.shiftright("place", 33)
-    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("size"))
-    before = F.sum("size").over(Window.orderBy("part")) - F.col("size")  # one row per partition
-    starts = sizes.select("part", before.alias("start"))
-    numbered = placed.withColumn("part", part).join(F.broadcast(starts), "part")
-    return numbered.select("conv_id", "turn", "m", (F.col("start") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("n"))
+    return out.select("conv_id", "pos", "m.part", "m.role", rendered(F.col("m.role"), F.col("m.text")).alias("text"), loss.alias("loss"))
 
 
 def op8_reply_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,22 +162,14 @@ def op8_reply_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_pairs(table(spark, sf_dir, "conversations"))
 
 
-OP8_REPLIES_SQL = r"""
-WITH m AS (
-  SELECT DISTINCT conv_id, coalesce(turn, 9223372036854775807) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
-  FROM conversations WHERE conv_id IS NOT NULL
-), t AS (
-  SELECT conv_id, turn, list(struct_pack(role := role, text := text) ORDER BY role, text) AS m FROM m GROUP BY ALL HAVING bool_or(role = 'assistant')
-), n AS (
-  SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS n, count(*) OVER () AS k FROM t
+OP8_REPLIES_SQL = f"""{_MESSAGES_SQL}, n AS (
+  SELECT *, row_number() OVER (ORDER BY conv_id, pos) AS n, count(*) OVER () AS k FROM m WHERE role = 'assistant'
 ), p AS (
-  SELECT a.conv_id, a.turn, a.m AS c, b.m AS r FROM n a JOIN n b ON b.n = a.n % a.k + 1 WHERE a.m <> b.m
+  SELECT a.conv_id, a.pos, a.text AS c, b.text AS r FROM n a JOIN n b ON b.n = a.n % a.k + 1 WHERE a.text <> b.text
 ), o AS (
-  SELECT conv_id, turn, 'prompt' AS part, role, text FROM m
-  UNION ALL SELECT conv_id, turn, 'chosen', x.role, x.text FROM (SELECT conv_id, turn, unnest(c) AS x FROM p)
-  UNION ALL SELECT conv_id, turn, 'rejected', x.role, x.text FROM (SELECT conv_id, turn, unnest(r) AS x FROM p)
+  SELECT conv_id, pos, 'prompt' AS part, role, text FROM m
+  UNION ALL SELECT conv_id, pos, 'chosen', 'assistant', c FROM p
+  UNION ALL SELECT conv_id, pos, 'rejected', 'assistant', r FROM p
 )
-SELECT conv_id, turn, part, role, '<|' || role || '|>' || chr(10) || replace(text, '<|', '< |') || '<|end|>' || chr(10) AS text,
-       part <> 'prompt' AND role = 'assistant' AS loss
-FROM o
+SELECT conv_id, pos, part, role, {_TEXT_SQL} AS text, part <> 'prompt' AND role = 'assistant' AS loss FROM o
 """

@@ -454,51 +454,81 @@ def test_super_minhash_estimates_similarity():
 # ---- 8 chat formatting
 
 
+CHAT = "conv_id long, turn long, role string, text string"
+
+
+def wrap(role, text):
+    return f"<|{role}|>\n{text}<|end|>\n"
+
+
 def test_chat(spark):
     rows = [
-        (0, 0, "user", "Hi <|end|>"), (0, 1, "assistant", "Hello"), (0, 2, "user", "Bye"), (1, 0, "user", "Hi <|end|>"), (1, 1, "assistant", "What?"), (1, 1, "assistant", "What?"),
-        (4, 0, "user", "same"), (5, 0, "user", "same"), (6, None, None, None), (9, 3, "user", "alone"), (None, 0, "user", "lost"),
+        (0, 0, "user", "Hi <|end|>"), (0, 1, "assistant", "Hello"), (0, 2, "user", "Bye"),
+        (1, 10, "user", "Hi <|end|>"), (1, 11, "assistant", "What?"), (1, 11, "assistant", "What?"),  # other turn numbers, a repeated row
+        (2, 0, "user", "Hi <|end|>"), (2, 1, "assistant", "Hello"),  # the beginning of 0
+        (4, 0, "user", "same"), (5, 0, "user", "same"), (6, None, None, None), (7, None, "x|>y", "b"), (7, None, "a", "c"), (9, 3, "user", "alone"), (None, 0, "user", "lost"),
+        (20, 0, "user", "q"), (20, 1, "assistant", "z" * 200_000), (21, 0, "user", "q"), (21, 1, "assistant", "no"),
     ]
-    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("side", F.lit("x")).withColumn("cut", F.lit(1))
-    pairs = spark.createDataFrame([(0, 0, 1), (2, 4, 5), (3, 6, 7), (4, 8, 9)], "pair_id long, chosen_id long, rejected_id long")
-    got = sorted((r["pair_id"], r["part"], r["turn"], r["role"], r["text"], r["loss"]) for r in dicts(chat.preference_pairs(table, pairs)))
-    wrap = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
+    table = spark.createDataFrame(rows, CHAT).withColumn("side", F.lit("x")).withColumn("cut", F.lit(1)).withColumn("pos", F.lit(1)).withColumn("pair_id", F.lit(1))
+    pairs = spark.createDataFrame([(0, 0, 1), (0, 0, 1), (1, 0, 2), (2, 4, 5), (3, 6, 7), (4, 8, 9), (5, 20, 21), (None, 0, 1), (6, None, 1)], "pair_id long, chosen_id long, rejected_id long").withColumn("pos", F.lit(1))
+    got = sorted((r["pair_id"], r["part"], r["pos"], r["role"], r["text"], r["loss"]) for r in dicts(chat.preference_pairs(table, pairs)))
     assert got == [
-        (0, "chosen", 1, "assistant", wrap("assistant", "Hello"), True), (0, "chosen", 2, "user", wrap("user", "Bye"), False), (0, "prompt", 0, "user", wrap("user", "Hi < |end|>"), False),
-        (0, "rejected", 1, "assistant", wrap("assistant", "What?"), True), (2, "prompt", 0, "user", wrap("user", "same"), False), (3, "chosen", chat.LAST, "unknown", wrap("unknown", ""), False),
-        (4, "rejected", 3, "user", wrap("user", "alone"), False),
+        (0, "chosen", 1, "assistant", wrap("assistant", "Hello"), True), (0, "chosen", 2, "user", wrap("user", "Bye"), False), (0, "prompt", 0, "user", wrap("user", "Hi <||end|>"), False),
+        (0, "rejected", 1, "assistant", wrap("assistant", "What?"), True),
+        (3, "chosen", 0, "unknown", wrap("unknown", ""), False), (3, "rejected", 0, "a", wrap("a", "c"), False), (3, "rejected", 1, "x|>y", wrap("x||>y", "b"), False),
+        (5, "chosen", 1, "assistant", wrap("assistant", "z" * 200_000), True), (5, "prompt", 0, "user", wrap("user", "q"), False), (5, "rejected", 1, "assistant", wrap("assistant", "no"), True),
     ]
-    assert chat.preference_pairs(table.limit(0), pairs).count() == 0
+    assert chat.preference_pairs(table.limit(0), pairs).count() == 0 and chat.preference_pairs(table, pairs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["", "<|", "<||", "a<|end|>b", "<||||<|", "||>", "<<|>"])
+def test_rendered_texts_can_be_restored(spark, text):
+    got = spark.range(1).select(chat.rendered(F.lit("r"), F.lit(text)).alias("x")).first()["x"]
+    inner = got[len("<|r|>\n") : -len("<|end|>\n")]
+    assert "<|end|>" not in inner and inner.replace("<||", "<|") == text
+
+
+@pytest.mark.parametrize("same", [0, 1, 3])
+def test_prefixes_of_none_some_and_all_turns(spark, same):
+    turns = [(k, ("user", "assistant")[k % 2], f"m{k}") for k in range(3)]
+    rows = [(0, *t) for t in turns] + [(1, k, role, text if k < same else text + "!") for k, role, text in turns]
+    got = dicts(chat.preference_pairs(spark.createDataFrame(rows, CHAT), spark.createDataFrame([(0, 0, 1)], "pair_id long, chosen_id long, rejected_id long")))
+    count = lambda part: sum(r["part"] == part for r in got)
+    assert [count(p) for p in ("prompt", "chosen", "rejected")] == ([0, 0, 0] if same == 3 else [same, 3 - same, 3 - same])
 
 
 def test_reply_pairs_share_their_history(spark):
     rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 1, "assistant", "a"), (0, 2, "user", "more"), (0, 3, "assistant", "b <|"), (5, 0, "user", "q"), (5, 1, "assistant", "b <|"), (7, None, None, None), (None, 0, "user", "lost")]
-    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("x"))
-    got = [(r["part"], r["conv_id"], r["turn"], r["text"].split("\n")[1], r["loss"]) for r in dicts(chat.reply_pairs(table))]
-    prompt = [(0, 0, "q"), (0, 1, "a"), (0, 2, "more"), (0, 3, "b < |"), (5, 0, "q"), (5, 1, "b < |"), (7, chat.LAST, "")]
+    table = spark.createDataFrame(rows, CHAT).withColumn("part", F.lit("x"))
+    got = [(r["part"], r["conv_id"], r["pos"], r["text"].split("\n")[1], r["loss"]) for r in dicts(chat.reply_pairs(table))]
+    prompt = [(0, 0, "q"), (0, 1, "a"), (0, 2, "more"), (0, 3, "b <||"), (5, 0, "q"), (5, 1, "b <||"), (7, 0, "")]
     want = [("prompt", c, t, x + "<|end|>", False) for c, t, x in prompt]
-    for c, t, chosen, rejected in ((0, 1, "a", "b < |"), (5, 1, "b < |", "a")):  # (0, 3) equals the reply after it
+    for c, t, chosen, rejected in ((0, 1, "a", "b <||"), (5, 1, "b <||", "a")):  # (0, 3) equals the reply after it
         want += [("chosen", c, t, chosen + "<|end|>", True), ("rejected", c, t, rejected + "<|end|>", True)]
     assert sorted(got) == sorted(want)
     assert chat.reply_pairs(table.limit(0)).count() == 0
 
 
-def test_every_conversation_with_an_earlier_turn_has_a_pair(spark):
+def same_by_sql(rows, sql, data="/root/testdata/sf0.001", tables=("conversations",)):
     from collections import Counter
 
     import duckdb
 
-    data = "/root/testdata/sf0.001"
-    rows = dicts(chat.op8_reply_pairs(spark, data))
-    prompts = {(r["conv_id"], r["turn"]) for r in rows if r["part"] == "prompt"}
-    pairs = {(r["conv_id"], r["turn"]) for r in rows if r["part"] == "chosen"}
-    assert pairs and {c for c, _ in pairs} == {r["conv_id"] for r in rows if r["role"] == "assistant"}
-    assert all(any(c == d and u < t for d, u in prompts) for c, t in pairs)
     duck = duckdb.connect()
-    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{data}/conversations.parquet'")
-    got = duck.execute(chat.OP8_REPLIES_SQL)
+    for name in tables:
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{data}/{name}.parquet'")
+    got = duck.execute(sql)
     names = [d[0] for d in got.description]
-    assert Counter(tuple(r[k] for k in names) for r in rows) == Counter(got.fetchall())
+    assert sorted(names) == sorted(rows[0]) and Counter(tuple(r[k] for k in names) for r in rows) == Counter(got.fetchall())
+
+
+def test_chat_queries_equal_their_sql(spark):
+    data = "/root/testdata/sf0.001"
+    rows = dicts(chat.op8_chat_formatting(spark, data))
+    parts = lambda p: {r["pair_id"] for r in rows if r["part"] == p}
+    assert parts("chosen") == parts("rejected") and parts("prompt") and parts("prompt") <= parts("chosen")
+    same_by_sql(rows, chat.OP8_SQL)
+    same_by_sql(dicts(chat.op8_reply_pairs(spark, data)), chat.OP8_REPLIES_SQL)
 
 
 # ---- 9 quality
