@@ -27,22 +27,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is set (tests), a temporary one is set first."""
+    """The cluster's checkpoint folder. Where none is set, a temporary one is set first, but only on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Folders of the scratch blocks that are open, innermost last.
+_SCRATCH: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_SCRATCH[-1] if _SCRATCH else shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written inside goes to a folder of its own, which is deleted at the end; results must be written elsewhere by then."""
+    own = shared_path(spark, "scratch")
+    _SCRATCH.append(own)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(own)
+        discard(spark, own)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: cuts the lineage and survives executors."""
-    path = shared_path(df.sparkSession, name)
+    path = path or shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

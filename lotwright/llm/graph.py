@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, shared_path, written
 
 
 def _forest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,12 +40,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each partition first reduces its edges to a union-find forest; then alternating large-star and small-star
     steps (minimum by partial aggregation, then a join, so that no neighbourhood is gathered in one place) run
-    until the edge set is stable. Every round is written to the shared folder. Loops, repeated edges and null
+    until the edge set is stable. Every round is written to the shared folder, and the one before it deleted. Loops, repeated edges and null
     ends are allowed and add nothing; an empty input gives an empty result. A graph that has not settled after
     ``most_rounds`` rounds raises an error rather than returning partial components.
     """
     pairs = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    now = written(pairs.mapInPandas(_forest, "a long, b long").distinct(), "forest")  # a > b
+    spark = edges.sparkSession
+    path = shared_path(spark, "forest")
+    now = written(pairs.mapInPandas(_forest, "a long, b long").distinct(), "forest", path)  # a > b
     before = None
     for _ in range(most_rounds):
         both = now.union(now.select("b", "a").toDF("a", "b"))
@@ -55,10 +57,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: every smaller neighbour, and the vertex itself, goes to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = large.join(least, large["a"] == least["k"])
-        now = written(
-            small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct(),
-            "stars",
-        )
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        last, path = path, shared_path(spark, "stars")
+        now = written(small, "stars", path)
+        discard(spark, last)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before or not state[0]:
             return now.select(F.col("a").alias("vertex"), F.col("b").alias("component")).union(now.select("b", "b")).distinct()

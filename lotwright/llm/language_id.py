@@ -113,11 +113,12 @@ def windows_of(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nda
     return padded, number
 
 
-def fit(docs: DataFrame, usable: F.Column | None = None, most: int = 4000, seed: int = 11) -> ByteConvNet | None:
+def fit(docs: DataFrame, usable: F.Column | None = None, most: int = 4000, most_labels: int = 1000, seed: int = 11) -> ByteConvNet | None:
     """A network learned from text and lang of at most ``most`` documents; None without any labelled text.
 
     The sample is drawn by a hash of doc_id with weights that even out the languages; of each sampled document one
-    window, at a place drawn by the same hash, is learned from. Rows without text, lang or doc_id are left out.
+    window, at a place drawn by the same hash, is learned from. Rows without text, lang or doc_id are left out. More
+    than ``most_labels`` different labels raise an error: they would not fit a softmax, and none is dropped.
     """
     rows = docs if usable is None else docs.where(usable)
     rows = rows.select(F.col("doc_id").alias("k"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").cast("binary").alias("b"))
@@ -125,9 +126,11 @@ def fit(docs: DataFrame, usable: F.Column | None = None, most: int = 4000, seed:
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     start = F.floor(uniform(seed + 1, "k") * F.greatest(F.octet_length("b") - WINDOW + 1, F.lit(1))).cast("int") + 1
     drawn = rows.select("lang", (-F.log(uniform(seed, "k"))).alias("u"), "k", F.expr("b").substr(start, F.lit(WINDOW)).alias("w"))
-    sizes = {r["lang"]: r["n"] for r in counts.orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    sizes = {r["lang"]: r["n"] for r in counts.orderBy("lang").limit(most_labels + 1).collect()}
     if not sizes:
         return None
+    if len(sizes) > most_labels:
+        raise ValueError(f"more than {most_labels} languages")
     # u * n is exponential with mean n: so many rows of a language are expected under a bound; only those go to the driver
     n, low, high = np.array([*sizes.values()], float), 0.0, 64.0 * max(sizes.values())
     for _ in range(100):
@@ -146,7 +149,8 @@ def predict(docs: DataFrame, net: ByteConvNet | None, keep: list[str]) -> DataFr
     """The columns ``keep`` of docs, lang_pred and score: the label of the highest mean probability over all windows.
 
     Every byte of a text lies in one window. A null text or one without a letter gives ``und`` and score 0, and so
-    does every text when there is no network. Ties go to the first label in order.
+    does every text when there is no network. Ties go to the first label in order. Repeated rows get equal results,
+    columns of any other names are ignored or kept as they are, and an empty table gives an empty result.
     """
     taken = docs.select(*keep, F.col("text").cast("string").alias("_text"), F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     schema = extended(docs.select(*keep), "lang_pred string, score double")
@@ -184,6 +188,10 @@ LEAST = 0.35
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose language the network recognises: not ``und``, mean probability LEAST or more."""
+    """The documents whose language the network recognises: not ``und``, mean probability LEAST or more.
+
+    Learned from all rows with a label. Columns are kept as they are, whatever they are called; null texts and texts
+    without a letter go; repeated rows stay repeated; without any label no document is recognised; an empty table stays empty.
+    """
     rows = docs.select(F.struct("*").alias("row"), "text")  # whatever the columns are called
     return predict(rows, fit(docs), ["row"]).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST)).select("row.*")

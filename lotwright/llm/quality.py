@@ -147,7 +147,8 @@ def score(docs: DataFrame, net: GatedAttention | None, keep: list[str]) -> DataF
     """The columns ``keep`` of docs, score (that label 1 is likelier) and predicted (1 from GOOD on).
 
     Every byte of a text lies in one passage. A null or empty text is a document of one empty passage. Without a
-    network every score is 0.5.
+    network every score is 0.5. Repeated rows get equal scores, other columns are ignored or kept as they are, and an
+    empty table gives an empty result.
     """
     taken = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     schema = extended(docs.select(*keep), "score double, predicted int")
@@ -171,6 +172,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose quality score is GOOD or more."""
+    """The documents whose quality score is GOOD or more.
+
+    Learned from the labels of the documents that came in; without any, all score 0.5 and stay. Null and empty texts are
+    scored as a document of one empty passage; repeated rows stay repeated; columns are kept as they are; an empty table
+    stays empty.
+    """
     rows = docs.select(F.struct("*").alias("row"), "text")  # whatever the columns are called
     return score(rows, fit(docs, table(spark, sf_dir, "labels")), ["row"]).where(F.col("predicted") == 1).select("row.*")
