@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,15 +17,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, small_batches, table
+from .common import shared_path, small_batches, table, written
 from .tokens import encoded, encoder
 
 MAGIC = b"LWTOKEN1"
-#: Every so many set bits the place of one is kept, as 32 bits.
+#: Every so many set bits the place of one is kept, as 64 bits.
 SAMPLE = 256
+#: Numbers whose low bits are packed at once; a multiple of 8.
+PACK = 1 << 15
+#: Bytes of text (and some for each document) of a shard, and of one when there are fewer shards than shuffle partitions.
+SHARD_BYTES, LEAST_BYTES = 128 << 20, 1 << 20
 #: Documents that a reader decodes at once.
 CHUNK = 4096
 
@@ -49,11 +54,11 @@ class EliasFano:
         n = len(values)
         bound = int(values[-1]) + 1 if n else 1
         bits = max(0, (bound // max(1, n)).bit_length() - 1)
-        low = np.packbits(((values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).reshape(-1), bitorder="little")
+        low = np.concatenate([np.empty(0, np.uint8), *(_packed(values[i : i + PACK], bits) for i in range(0, n, PACK))])
         at = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         marks = np.zeros(int(at[-1]) + 1 if n else 0, np.uint8)
         marks[at] = 1
-        return cls(n, bits, low, np.packbits(marks, bitorder="little"), at[::SAMPLE].astype("<u4"))
+        return cls(n, bits, low, np.packbits(marks, bitorder="little"), at[::SAMPLE].astype("<u8"))
 
     def select(self, i: int, j: int) -> np.ndarray:
         """Numbers i to j - 1."""
@@ -79,7 +84,12 @@ class EliasFano:
     def read(cls, raw: bytes) -> EliasFano:
         n, bits, low, high, samples = struct.unpack_from("<QQQQQ", raw)
         at = 40
-        return cls(n, bits, np.frombuffer(raw, np.uint8, low, at), np.frombuffer(raw, np.uint8, high, at + low), np.frombuffer(raw, "<u4", samples, at + low + high))
+        return cls(n, bits, np.frombuffer(raw, np.uint8, low, at), np.frombuffer(raw, np.uint8, high, at + low), np.frombuffer(raw, "<u8", samples, at + low + high))
+
+
+def _packed(values: np.ndarray, bits: int) -> np.ndarray:
+    """The low ``bits`` bits of each value, end to end."""
+    return np.packbits(((values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).reshape(-1), bitorder="little")
 
 
 #: Of a shard's footer: bytes of an id, ids, documents, those with a null doc_id (first), least doc_id, and where the two coded sections begin.
@@ -90,7 +100,7 @@ def write_shard(out, rows: Iterator[tuple[int | None, bytes]], width: int) -> tu
     """Writes (doc_id, ids as 32-bit bytes) rows, null ids first and then ascending; returns documents and ids."""
     out.write(MAGIC)
     kind = f"<u{width}"
-    starts, ids, nulls, total = [], [], 0, 0
+    starts, ids, nulls, total = array("Q"), array("q"), 0, 0
     for doc, raw in rows:
         own = np.frombuffer(raw, "<u4")
         out.write(own.astype(kind).tobytes())
@@ -100,14 +110,16 @@ def write_shard(out, rows: Iterator[tuple[int | None, bytes]], width: int) -> tu
             nulls += 1
         else:
             ids.append(doc)
-    bounds = EliasFano.of(np.array([*starts, total], np.uint64)).raw()
+    documents = len(starts)
+    starts.append(total)
+    bounds = EliasFano.of(np.frombuffer(starts, np.uint64)).raw()
     least = ids[0] if ids else 0
-    names = EliasFano.of(np.array([x - least for x in ids], np.uint64)).raw()
+    names = EliasFano.of(np.frombuffer(ids, np.int64).astype(np.uint64) - np.uint64(least % (1 << 64))).raw()  # modulo 2**64, as doc_ids may be negative
     at = len(MAGIC) + total * width
     out.write(bounds)
     out.write(names)
-    out.write(FOOTER.pack(width, total, len(starts), nulls, least, at, at + len(bounds), MAGIC))
-    return len(starts), total
+    out.write(FOOTER.pack(width, total, documents, nulls, least, at, at + len(bounds), MAGIC))
+    return documents, total
 
 
 class Shard:
@@ -139,19 +151,25 @@ def _uri(spark: SparkSession, path: str) -> str:
     return re.sub(r"^file:/+", "file:///", full)
 
 
+def _opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a folder as this library knows them: Hadoop's s3a and s3n are its s3."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def write(docs: DataFrame, uri: str, vocabulary: str, end_id: int) -> DataFrame:
-    """Writes docs (doc_id, text) as shards in ascending doc_id order; returns (part, path, documents, ids) of each.
+    """Writes docs (doc_id, text) as shards in ascending doc_id order; returns (part, path, documents, ids) of each, written as a table.
 
-    Rows of equal doc_id follow each other, in order of a hash of the text. A shard is written under the name of its
-    attempt and renamed when complete, so a task that runs again leaves the same files.
+    Shards are range partitions of about SHARD_BYTES of text. Rows of equal doc_id follow each other, in order of a
+    hash of the text. A file has the name of its attempt and nothing is renamed, so object stores will do: the
+    returned table lists the files of the attempts that counted, and what others left behind is never read.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part = context.partitionId()
-        fs, root = pafs.FileSystem.from_uri(uri)
+        fs, root = _opened(uri)
         fs.create_dir(root, recursive=True)
-        tmp, final = f"{root}/.{part:06d}-{context.taskAttemptId()}", f"{root}/{part:06d}.tok"
+        path = f"{root}/{part:07d}-{context.taskAttemptId()}.tok"
         width = 2 if max(encoder(vocabulary).vocabulary_size, end_id + 1) <= 1 << 16 else 4
         end = np.array([end_id], "<u4").tobytes()
 
@@ -161,32 +179,30 @@ def write(docs: DataFrame, uri: str, vocabulary: str, end_id: int) -> DataFrame:
                 for i, tokens in encoded(vocabulary, (x.as_py() for x in batch.column("text"))):
                     yield ids[i], tokens + end
 
-        with fs.open_output_stream(tmp) as out:
+        with fs.open_output_stream(path) as out:
             documents, total = write_shard(out, rows(), width)
         if not documents:
-            fs.delete_file(tmp)
+            fs.delete_file(path)
             return
-        fs.move(tmp, final)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [final], "documents": [documents], "ids": [total]})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "documents": [documents], "ids": [total]})
 
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16)).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_BYTES)))
     rows = rows.withColumns({"h": F.xxhash64("text"), "m": F.monotonically_increasing_id()})  # ties are spread, too
-    rows = rows.repartitionByRange("doc_id", "h", "m").sortWithinPartitions("doc_id", "h", "m").select("doc_id", "text")
-    return rows.mapInArrow(work, "part int, path string, documents long, ids long")
+    rows = rows.repartitionByRange(shards, "doc_id", "h", "m").sortWithinPartitions("doc_id", "h", "m").select("doc_id", "text")
+    with small_batches(spark):
+        return written(rows.mapInArrow(work, "part int, path string, documents long, ids long"), "manifest")
 
 
-def read(spark: SparkSession, uri: str, shards: list[tuple[int, str, int, int]]) -> DataFrame:
+def read(uri: str, shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the shards (part, path, documents, ids)."""
-    rows, base = [], 0
-    for _, path, _, ids in sorted(shards):
-        rows.append((path, base))
-        base += ids
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not rows:
-        return spark.createDataFrame([], schema)
+    before = F.sum("ids").over(Window.orderBy("part")) - F.col("ids")  # one row per shard
+    rows = shards.select("path", before.alias("base"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pafs.FileSystem.from_uri(uri)
+        fs, _ = _opened(uri)
         for batch in batches:
             for path, first in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
                 with fs.open_input_file(path) as file:
@@ -203,21 +219,20 @@ def read(spark: SparkSession, uri: str, shards: list[tuple[int, str, int, int]])
                         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(bounds[:-1] + first), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                         i = j
 
-    return spark.createDataFrame(rows, "path string, base long").repartition(len(rows)).mapInArrow(work, schema)
+    return rows.repartition(max(1, shards.count())).mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
     """Writes docs as token files in the shared folder and returns what the files say of each document.
 
     Columns: doc_id, start (ids of all documents before it), n_tokens (with the end id), ids_crc32. Null and empty
-    texts are the end id alone. Rows without doc_id come first; repeated rows are written as often as they occur. An
-    empty table writes no file and gives an empty result; other columns are ignored.
+    texts are the end id alone; a text of any length is one document of one shard. Rows without doc_id come first;
+    repeated rows are written as often as they occur. An empty table writes no file and gives an empty result; other
+    columns are ignored.
     """
     spark = docs.sparkSession
     uri = _uri(spark, shared_path(spark, "tokens"))
-    with small_batches(spark):
-        shards = [tuple(r) for r in write(docs, uri, vocabulary, end_id).collect()]  # one row per shard
-    return read(spark, uri, shards)
+    return read(uri, write(docs, uri, vocabulary, end_id))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,11 +43,6 @@ class Encoder:
         self.word, self.plain, self.keep = regex.compile(WORD), regex.compile(PLAIN), keep
         self.words: list[dict[str, bytes]] = [{}, {}]
 
-    def _aged(self, caches: list[dict[str, bytes]]) -> None:
-        if len(caches[0]) > self.keep:
-            caches[1] = caches[0]
-            caches[0] = {"": b""}
-
     def _encode_words(self, missing: list[str]) -> dict[str, bytes]:
         letters = self.letters
         spelled = [x if x.isascii() else "".join([letters[b] for b in x.encode()]) for x in missing]

@@ -240,7 +240,16 @@ def test_token_files(spark):
     assert token_files.round_trip(docs(spark, []), packing.vocabulary_path()).count() == 0
 
 
-@pytest.mark.parametrize("n,bound", [(0, 1), (1, 1), (1, 10**15), (5000, 6000), (5000, 10**12), (700, 700)])
+def test_token_files_of_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 300)
+    rows = [(k * 3 - 50, "some words " * (k % 9)) for k in range(60)]
+    got = sorted(dicts(token_files.round_trip(docs(spark, rows), packing.vocabulary_path())), key=lambda r: r["start"])
+    want = [(i, len(ids), crc(ids)) for (i, _), ids in zip(rows, token_lists(rows, 1))]
+    assert [(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got] == want
+    assert [r["start"] for r in got] == [sum(n for _, n, _ in want[:k]) for k in range(60)]
+
+
+@pytest.mark.parametrize("n,bound", [(70_000, 2**40), (0, 1), (1, 1), (1, 10**15), (5000, 6000), (5000, 10**12), (700, 700)])
 def test_elias_fano(n, bound):
     random_ = np.random.default_rng(n)
     values = np.sort(random_.integers(0, bound, n)).astype(np.uint64)
@@ -250,7 +259,7 @@ def test_elias_fano(n, bound):
         i, j = sorted(random_.integers(0, n + 1, 2).tolist())
         assert ef.select(i, j).tolist() == values[i:j].tolist()
     if n > 1000:
-        assert len(ef.raw()) * 8 < n * (3 + np.log2(bound / n)) + 32 * n / token_files.SAMPLE + 1000
+        assert len(ef.raw()) * 8 < n * (3 + np.log2(bound / n)) + 64 * n / token_files.SAMPLE + 1000
 
 
 # ---- 5 HTML extraction
