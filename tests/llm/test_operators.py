@@ -447,6 +447,25 @@ def test_minhash(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_minhash_of_mixed_keys(spark):
+    """Families whose members are linked to some of their family only, so that band keys hold several groups; every link by brute force."""
+    random.seed(16)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for family in range(6):
+        text = random.choices(words, k=120)
+        for _ in range(50):
+            copy, at = list(text), random.randrange(60)
+            for k in range(random.randint(1, 14)):  # a run of changed words: similarities on both sides of the threshold
+                copy[(at + k) % 120] = random.choice(words)
+            rows.append((len(rows) * 7 % 2003, " ".join(copy)))
+    want = brute_groups(rows, 80)
+    assert 6 < len({c for _, _, c, _ in want}) < 300
+    for block in (1024, 4):
+        got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in dicts(minhash.near_duplicates(docs(spark, rows), 80, block=block))]
+        assert sorted(got) == sorted(want)
+
+
 def test_super_minhash_estimates_similarity():
     random_ = np.random.default_rng(1)
     for share in (0.5, 0.85):
@@ -564,6 +583,30 @@ def test_quality_gradient():
     assert ((net.forward(x, number)["p"] > 0.5) == (y > 0.5)).mean() > 0.9
 
 
+def auc(scores, labels):
+    order = np.argsort(np.argsort(scores))
+    good = np.array(labels, bool)
+    return (order[good].sum() - good.sum() * (good.sum() - 1) / 2) / max(1, good.sum() * (~good).sum())
+
+
+def test_held_out_accuracy(spark):
+    """op1 and op9 on rows that they did not learn from."""
+    data = "/root/testdata/sf0.01"
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    said = [r for r in dicts(language_id.op1_language_id(spark, data)) if r["held_out"] and r["lang_pred"] != "und" and langs[r["doc_id"]]]
+    assert len(said) > 200 and sum(r["lang_pred"] == langs[r["doc_id"]] for r in said) / len(said) > 0.95
+    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    scored = [r for r in dicts(quality.op9_quality(spark, data)) if r["held_out"] and r["doc_id"] in marks]
+    assert len(scored) > 50 and auc([r["score"] for r in scored], [marks[r["doc_id"]] for r in scored]) > 0.95
+
+
+def test_score_of_an_empty_table_and_too_many_languages(spark):
+    net = quality.fit(docs(spark, [(k, "a b c " * (k + 1)) for k in range(20)]), spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int"))
+    assert quality.score(docs(spark, []), net, ["doc_id"]).count() == 0
+    with pytest.raises(ValueError):
+        language_id.fit(docs(spark, [(k, "abc", f"l{k}") for k in range(5)]), most_labels=4)
+
+
 # ---- 10 embeddings
 
 
