@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lotwright.llm import decontaminate, language_id, minhash, packing, quality
-from lotwright.llm.common import table, written
+from lotwright.llm.common import discard, scratch, shared_path, table, written
 
 #: (name, function of (spark, docs, sf_dir)); what a stage returns is written as Parquet and read as the next one's docs.
 STAGES = [
@@ -21,9 +21,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name)
-    return docs
+    """The packed pieces of what the stages keep. A stage's own tables go when its result is written, its input when the next one's is."""
+    docs, last = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = shared_path(spark, name)
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, path)
+        if last:
+            discard(spark, last)
+        last = path
+    return STAGES[-1][1](spark, docs, sf_dir)
