@@ -167,7 +167,7 @@ class Packing:
     generations: int
 
 
-def packed(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY, islands: int = 6, rounds: int = 5, generations: int = 8, size: int = 6, elites: int = 2, seed: int = 1) -> Packing:
+def packed(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY, islands: int = 6, rounds: int = 4, generations: int = 6, size: int = 6, elites: int = 2, seed: int = 1) -> Packing:
     """Bins that hold ``counts`` pieces of each length, evolved from random individuals on ``islands`` tasks.
 
     Between rounds the elites of each island move on to the next island in a ring. For the last round the plain

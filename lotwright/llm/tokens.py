@@ -9,13 +9,17 @@ a special token, go to the full tokenizer (normaliser included) as they are.
 from __future__ import annotations
 
 import gc
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import regex
 
-#: The word pattern of the vocabulary file.
+#: The word pattern of the vocabulary file (WORD), letters and numbers being those of Unicode.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same words in lower-cased PLAIN text, by the ranges of its letters and numbers: twice as fast.
+PLAIN_LETTERS, PLAIN_NUMBERS = "a-zªµºß-öø-ſ", "0-9²³¹¼-¾"
+PLAIN_WORD = rf"[{PLAIN_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{PLAIN_NUMBERS}]|[^\s{PLAIN_LETTERS}{PLAIN_NUMBERS}]+"
 #: Characters whose normalisation is lower-casing alone: printable ASCII, space, line end, Latin-1 and Latin Extended-A but U+0130.
 PLAIN = r"[ -~\n¡-¬®-įı-ſ]*+"
 
@@ -40,7 +44,7 @@ class Encoder:
             self.letters[b] = chr(b)
         for i, b in enumerate(others):
             self.letters[b] = chr(256 + i)
-        self.word, self.plain, self.keep = regex.compile(WORD), regex.compile(PLAIN), keep
+        self.word, self.plain, self.keep = re.compile(PLAIN_WORD), regex.compile(PLAIN), keep
         self.words: list[dict[str, bytes]] = [{}, {}]
 
     def _encode_words(self, missing: list[str]) -> dict[str, bytes]:
@@ -64,7 +68,7 @@ class Encoder:
         absent.difference_update(kept)
         if absent:
             new.update(self._encode_words(list(absent)))
-        out = [self._encode_odd(x) if parts is None else b"".join([new[y] for y in parts]) for x, parts in zip(texts, split)]
+        out = [self._encode_odd(x) if parts is None else b"".join(map(new.__getitem__, parts)) for x, parts in zip(texts, split)]
         if len(new) > self.keep:
             self.words = [{}, new]
         return out

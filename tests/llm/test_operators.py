@@ -178,6 +178,16 @@ def test_encoder_equals_the_library():
             assert np.frombuffer(raw, "<u4").tolist() == own.whole.encode(text, add_special_tokens=False).ids
 
 
+def test_the_fast_pattern_equals_that_of_the_vocabulary():
+    import regex
+
+    word, fast = regex.compile(tokens.WORD), re.compile(tokens.PLAIN_WORD)
+    signs = "".join(c for c in map(chr, range(0x180)) if regex.fullmatch(tokens.PLAIN, c)).lower()
+    random.seed(12)
+    texts = [*signs, *("".join(random.choices(signs + "'stvrelmd  ab", k=40)) for _ in range(2000))]
+    assert all(word.findall(x) == fast.findall(x) for x in texts)
+
+
 def test_packing(spark):
     rows = ODD + [(100 + k, "some words here " * (k % 37)) for k in range(120)]
     got = dicts(packing.pack(docs(spark, rows), packing.vocabulary_path(), capacity=64))
