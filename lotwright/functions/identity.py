@@ -1,7 +1,7 @@
-"""Product identity from a title, and the evaluation of a retail candidate against it, as column expressions.
+"""Product identity from a title and a description, and the evaluation of retail candidates against it.
 
-Attributes are computed once per title, before any join with candidates: an attribute group is a list of rules, each
-a pattern and the form its match takes.
+Attributes are computed once per title, before any join with candidates. Functions of a DataFrame keep intermediate
+results as columns (names begin with ``_i_``), so that no expression is repeated.
 """
 
 from __future__ import annotations
@@ -9,209 +9,298 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import ascii_words, compact_tokens, identity_tokens, typographic
+from . import values as V
+from .listing import first_present, has, labelled_lines, normalised, research_query, trimmed, without_prefix
+from .text import B, ascii_words, compact_tokens, identity_tokens
 
+_N = r"\b(\d+(?:\.\d+)?)"
 # What attributes look like in titles (pattern on the lower-cased title, canonical form of a match).
 RULES: dict[str, list[tuple[str, str]]] = {
     "resolutions": [(r"\b2160p\b", "4k"), (r"\b(8k|5k|4k|1440p|1080p|720p)\b", "$1")],
-    "dimensions": [(r"\b(\d+(?:\.\d+)?)[\s-]*(?:inch(?:es)?|in\b\.?|\")", "$1in"), (r"\b(\d+(?:\.\d+)?)[\s-]*(?:feet|foot|ft\.?)", "$1ft")],
+    "dimensions": [(_N + r'[\s-]*(?:inch(?:es)?|in\.?|\")(?=\s|$|[),/])', "$1in"), (_N + r"[\s-]*(?:feet|foot|ft\.?)\b", "$1ft")],
     "platformVariants": [
-        (r"\b(?:playstation|ps)\s*([2-6])\b", "playstation:$1"),
-        (r"\bxbox\s+one\b", "xbox:one"),
-        (r"\bxbox\s+series\s*([sx])\b", "xbox:series$1"),
-        (r"\bnintendo\s+switch\s+(2|oled|lite)\b", "switch:$1"),
+        (r"\b(?:playstation|ps)\s*([2-6])\b", "playstation:$1"), (r"\bxbox\s+one\b", "xbox:one"), (r"\bxbox\s+series\s*([sx])\b", "xbox:series$1"),
+        (r"\bnintendo\s+switch\s+(2|oled|lite)\b", "switch:$1"), (r"\bnintendo\s+switch\b(?!\s+(?:2|oled|lite)\b)", "switch:standard"),
     ],
     "memoryTypes": [(r"\b(ddr[345](?:l|x)?)\b", "$1")],
-    "frequencies": [(r"\b(\d+(?:\.\d+)?)[\s-]*(mhz|ghz)\b", "$1$2")],
+    "frequencies": [(_N + r"[\s-]*(mhz|ghz)\b", "$1$2")],
     "refreshRates": [(r"\b(\d{2,3})[\s-]*hz\b", "$1hz")],
     "storageTypes": [(r"\b(nvme|ssd|hdd)\b", "$1"), (r"\bnvme\b", "ssd")],
     "networkStandards": [(r"\bwi[\s-]*fi\s*(5|6e?|7)\b", "wifi:$1"), (r"\b(?:bluetooth|bt)\s*(\d+(?:\.\d+)?)\b", "bluetooth:$1")],
-    "voltages": [(r"\b(\d+(?:\.\d+)?)[\s-]*(?:v|volts?)\b", "$1v")],
-    "wattages": [(r"\b(\d+(?:\.\d+)?)[\s-]*(?:w|watts?)\b", "$1w")],
-    "batteryCapacities": [(r"\b(\d+(?:\.\d+)?)[\s-]*(?:ah|amp[\s-]*hours?)\b", "$1ah")],
-    "lensRanges": [(r"\b(\d+(?:\.\d+)?)\s*-\s*(\d+(?:\.\d+)?)[\s-]*mm\b", "$1-$2mm"), (r"(?<![\d.-])(?<!- )(\d+(?:\.\d+)?)[\s-]*mm\b", "$1mm")],
-    "gpuModels": [(r"\b(rtx|gtx)\s*(\d{3,4})\s*(ti|super)\b", "nvidia:$1:$2:$3"), (r"\b(rtx|gtx)\s*(\d{3,4})\b(?!\s*(?:ti|super))", "nvidia:$1:$2:base"), (r"\bradeon\s+rx\s*(\d{3,4})\b", "amd:rx:$1")],
-    "cpuModels": [(r"\bcore\s+i([3579])[\s-]*(\d{4,5})([a-z]{0,2})\b", "intel:i$1:$2:$3"), (r"\bryzen\s+([3579])\s+(\d{4})([a-z]{0,3})\b", "amd:ryzen$1:$2:$3"), (r"\bapple\s+m([1-9])\b", "apple:m$1")],
     "editions": [(r"\b(?:all[\s-]*digital|digital\s+edition)\b", "digital"), (r"\bdisc\s+(?:edition|version)\b", "disc"), (r"\b(oled|lite|slim)\s+(?:edition|model|console)\b", "$1")],
-    "packageCounts": [(r"\b0*(\d{1,4})[\s-]*(?:pack|pk|count|ct|pcs?|pieces?)\b", "$1"), (r"\b(?:pack|set)\s+of\s+0*(\d{1,4})\b", "$1")],
+    "voltages": [(_N + r"[\s-]*(?:v|volts?)\b", "$1v")],
+    "wattages": [(_N + r"[\s-]*(?:w|watts?)\b", "$1w")],
+    "batteryCapacities": [(_N + r"[\s-]*(?:ah|amp[\s-]*hours?)\b", "$1ah")],
+    "lensRanges": [(_N + r"\s*-\s*(\d+(?:\.\d+)?)[\s-]*mm\b", "$1-$2mm"), (r"(?<![\d.-])(?<!- )(\d+(?:\.\d+)?)[\s-]*mm\b", "$1mm")],
+    "gpuModels": [
+        (r"\b(rtx|gtx)\s*(\d{3,4})\s*ti\s*super\b", "nvidia:$1:$2:ti-super"), (r"\b(rtx|gtx)\s*(\d{3,4})\s*(ti|super)\b(?!\s*super\b)", "nvidia:$1:$2:$3"), (r"\b(rtx|gtx)\s*(\d{3,4})\b(?!\s*(?:ti|super)\b)", "nvidia:$1:$2:base"),
+        (r"\bradeon\s+rx\s*(\d{3,4})\s*(xtx|xt)\b", "amd:rx:$1:$2"), (r"\bradeon\s+rx\s*(\d{3,4})\b(?!\s*(?:xtx|xt)\b)", "amd:rx:$1:base"),
+    ],
+    "cpuModels": [
+        (r"\bcore\s+i([3579])[\s-]*(\d{4,5})([a-z]{1,2})\b", "intel:i$1:$2:$3"), (r"\bcore\s+i([3579])[\s-]*(\d{4,5})\b", "intel:i$1:$2:base"),
+        (r"\bryzen\s+([3579])\s+(\d{4})([a-z]{1,3})\b", "amd:ryzen$1:$2:$3"), (r"\bryzen\s+([3579])\s+(\d{4})\b", "amd:ryzen$1:$2:base"),
+        (r"\bapple\s+m([1-9])\s*(pro|max|ultra)\b", "apple:m$1:$2"), (r"\bapple\s+m([1-9])\b(?!\s*(?:pro|max|ultra)\b)", "apple:m$1:base"),
+    ],
+    "packageCounts": [
+        (r"\b0*(\d{1,4})[\s-]*(?:pack|pk|count|ct|pcs?|pieces?)\b", "$1"), (r"\b(?:pack|set)\s+of\s+0*(\d{1,4})\b", "$1"),
+        (r"\b0*(\d{1,4})\s*[x×]\s*\d+(?:\.\d+)?\s*(?:" + "|".join(V.VOLUMES.values()) + r")\b", "$1"),
+    ],
     "variantLabels": [(r"\b(?:unit|model|style|size)\s*[-:#]?\s*([a-z0-9][a-z0-9-]{0,15})\b", "$1")],
-    "volumes": [(r"\b(\d+(?:\.\d+)?)[\s-]*(?:fl\s*)?(?:oz|ounces?)\b", "$1oz"), (r"\b(\d+(?:\.\d+)?)[\s-]*(?:qt|quarts?)\b", "$1qt"), (r"\b(\d+(?:\.\d+)?)[\s-]*ml\b", "$1ml"), (r"\b(\d+(?:\.\d+)?)[\s-]*(?:l|liters?|litres?)\b", "$1l"), (r"\b(\d+(?:\.\d+)?)[\s-]*cups?\b", "$1cup")],
+    "volumes": [(rf"{_N}[\s-]*(?:{u})\b", f"$1{name}") for name, u in V.VOLUMES.items()] + [(rf"\b\d{{1,4}}\s*[x×]\s*(\d+(?:\.\d+)?)\s*(?:{u})\b", f"$1{name}") for name, u in V.VOLUMES.items()],
     "modeCounts": [(r"\b0*(\d{1,2})[\s-]*(?:speeds?|modes?|settings?)\b", "$1")],
     "featureCounts": [(r"\b0*(\d{1,2})[\s-]*in[\s-]*1\b", "$1")],
-    "seriesSignatures": [(r"\b(iphone|ipad|pixel|galaxy|quest|airpods|macbook|surface|echo|kindle|roomba|dyson|gopro)\s+(\d+(?:st|nd|rd|th)?|[a-z]+\d+[a-z]*)\b(?!\s*(?:inch|in|gb|tb|mb|hz|w|watts)\b)((?:\s+(?:pro|max|plus|ultra|mini|air|lite|slim|fold|flip|generation|gen)\b){0,3})", "$1:$2$3")],
-    "productFamilies": [
-        (r"\b(?:snorkel(?:ing)?\s+(?:gear\s+)?(?:set\s+)?[^,;]{0,25}mask|diving\s+mask)\b", "snorkel-mask"), (r"\b(?:anti[\s-]*fog\s+spray|defogger)\b", "anti-fog-spray"), (r"\b(?:kickball|mega\s+ball)\b", "kickball"),
-        (r"\bfootballs?\b", "football"), (r"\bsoccer\s+balls?\b", "soccer-ball"), (r"\b(?:bounce|bouncy)\s+ball\b", "bounce-ball"), (r"\bpasta\s+bowls?\b", "pasta-bowls"),
-        (r"\b(?:dinnerware|dishware|plates?\s+and\s+bowls?)\b", "dinnerware-set"), (r"\bneck\s+fans?\b", "neck-fan"), (r"\b(?:handheld|turbo)\s+fans?\b", "handheld-fan"), (r"\b(?:steam\s+cleaners?|handheld\s+steamers?)\b", "steam-cleaner"),
-        (r"\b(?:microfiber\s+cloths?|steam\s+cleaner\s+pads?)\b", "cleaning-cloth"), (r"\b(?:drip\s+irrigation\s+(?:kit|system)|irrigation\s+timer)\b", "irrigation-system"), (r"\b(?:replacement\s+(?:parts?|kit)|parts?\s+only)\b", "replacement-parts"),
-        (r"\bvases?\b", "vase"), (r"\b(?:planters?|flower\s+pots?)\b", "planter"),
-    ],
 }
-COLORS = ["black", "white", "red", "blue", "green", "purple", "pink", "grey", "gray", "beige", "brown", "orange", "yellow", "clear", "ivory", "burgundy"]
-MATERIALS = ["sherpa", "fleece", "cotton", "linen", "velvet", "leather", "stainless steel", "plastic", "glass", "ceramic", "wood", "nylon", "polyester", "microfiber", "rubber"]
-#: Families of goods that exclude each other: a candidate of another member is another product.
-EXCLUSIVE = [
-    ["kickball", "football", "soccer-ball", "bounce-ball", "other-ball"], ["vase", "planter"], ["pasta-bowls", "dinnerware-set"], ["neck-fan", "handheld-fan"],
-    ["steam-cleaner", "cleaning-cloth"], ["irrigation-system", "replacement-parts"],
-]
-#: Brands under several names.
-BRANDS = {
-    "sony": r"\b(?:sony|playstation)\b", "microsoft": r"\b(?:microsoft|xbox)\b", "apple": r"\b(?:apple|iphone|ipad|macbook|airpods)\b", "google": r"\b(?:google|pixel)\b", "meta": r"\b(?:meta|oculus)\b",
-    "western-digital": r"\b(?:western\s+digital|wd)\b", "hewlett-packard": r"\b(?:hewlett[\s-]+packard|hp)\b",
-}
-#: Kinds of goods in the order in which they are tried.
-KINDS = {
-    "game-console": r"\b(?:(?:playstation\s*[2-6]|ps\s*[2-6]|xbox(?:\s+(?:one|series\s*[sx]))?|nintendo\s+switch)[^,;]{0,35}\b(?:consoles?|systems?)|game\s+consoles?)\b",
-    "graphics-card": r"\b(?:graphics|video)\s+cards?\b|\brtx\s*\d{3,4}\b", "memory": r"\b(?:ram|ddr[345])\b", "processor": r"\b(?:cpus?|processors?)\b", "smartwatch": r"\b(?:smart\s*watches?|apple\s+watch)\b",
-    "power-tool": r"\b(?:impact\s+drivers?|hammer\s+drills?|cordless\s+drills?|circular\s+saws?|angle\s+grinders?)\b", "storage": r"\b(?:hard\s+drives?|ssds?|hdds?)\b", "projector": r"\bprojectors?\b",
-    "monitor": r"\bmonitors?\b", "television": r"\b(?:televisions?|tvs?|qled|oled)\b", "receiver": r"\b(?:receivers?|amplifiers?)\b", "headphones": r"\b(?:headphones?|headsets?|earbuds?)\b", "laptop": r"\b(?:laptops?|notebooks?|macbooks?)\b",
-    "tablet": r"\b(?:tablets?|ipads?)\b", "phone": r"\b(?:smartphones?|iphones?|phones?)\b", "speaker": r"\b(?:speakers?|soundbars?)\b", "camera": r"\b(?:cameras?|camcorders?)\b", "printer": r"\bprinters?\b", "vacuum": r"\bvacuums?\b",
-}
-#: Words that say nothing about which product it is, and nouns of parts and accessories.
-NOISE = ["retail", "new", "brand", "the", "best", "with", "and", "for", "in", "a", "of", "to", "up", "included", "includes", "free", "shipping", "lot", "item", "items", "qty", "x", "pack", "set", "est", "price", "value"]
-ACCESSORY = r"\b(?:case|cover|sleeve|skin|pouch|protector|cable|charger|adapter|mount|holder|stand|strap|band|dock|clip|filters?|bracket|screws?|decal|sticker|manual)s?\b"
-FOR_PRODUCT = r"\b(?:compatible\s+with|replacement\s+(?:part\s+)?for|designed\s+for|made\s+for|for\s+use\s+with|fits|suitable\s+for|upgrade\s+for)\b"
-MARKER = r"\b(?:for|compatible\s+with|replacement\s+for|designed\s+for|made\s+for|fits)\b"
-NOT_WHOLE = r"\breplacement\s+parts?\s+only\b|\bnot\s+a\s+complete\b"
-CONDITION_PREFIX = r"^\s*\(?\s*(?:open\s*box|openbox|refurbished|refurb|renewed|used|pre[\s-]?owned)[^-|:]*\)?\s*[-|:]\s*"
+#: All groups of attributes.
+GROUPS = ["capacities", *RULES, "seriesSignatures", "colors", "materials", "productFamilies"]
 #: Groups whose shared values count twice, and those that a candidate must state if the lot does.
 DOUBLE, CRITICAL = ("platformVariants", "seriesSignatures"), ("packageCounts", "volumes")
 
 
+def _empty() -> Column:
+    return F.array().cast("array<string>")
+
+
 def _form(pattern: str, form: str):
     """The canonical form of a match: a constant, or its groups put into a template."""
-    bare = pattern.replace(r"\b", "")  # the match stands alone: what may not be around it is not there
+    bare = pattern.replace(r"\b", "").replace(r"(?=\s|$|[),/])", "")  # the match stands alone: what must be around it is not there
     return (lambda m: F.regexp_replace(m, bare, form)) if "$" in form else (lambda m: F.lit(form))
 
 
+def _named(text: Column, patterns: dict[str, str]) -> Column:
+    return F.array_compact(F.array(*(F.when(text.rlike(ascii_words(p)), F.lit(n)) for n, p in patterns.items())))
+
+
+def _series(text: Column) -> Column:
+    """Members of known series: name, number and the variant words after it, joined by colons; read from the words around each number."""
+    words = F.regexp_extract_all(text, F.lit(r"[a-z]+\d+[a-z]*|\d+(?:\.\d+)?[a-z]+|\d+(?:st|nd|rd|th)?|[a-z]+"), F.lit(0))
+    # every word with the two before and the three after it
+    at = lambda k: F.concat(F.array_repeat(F.lit(""), max(0, -k)), F.slice(words, 1 + max(0, k), F.greatest(F.size(words), F.lit(1)))) if k else words
+    around = F.arrays_zip(*(at(k).alias(n) for k, n in ((-2, "b2"), (-1, "b1"), (0, "t"), (1, "a1"), (2, "a2"), (3, "a3"))))
+    is_variant = lambda w: F.coalesce(w.isin(V.VARIANTS), F.lit(False))
+
+    def member(w: Column) -> Column:
+        family = F.when(~is_variant(w["b1"]) & (w["b1"] != ""), w["b1"]).when(~is_variant(w["b2"]), w["b2"])
+        number = w["t"].rlike(r"^\d+(?:st|nd|rd|th)?$") | (w["t"].rlike(r"^[a-z]+\d+[a-z]*$") & ~w["t"].rlike(r"^(?:ddr|wifi|bt)\d"))
+        other = F.coalesce(w["a1"].isin(V.UNIT_WORDS), F.lit(False)) | w["t"].rlike(r"^(?:720p|1080p|1440p|2160p|[458]k)$")
+        one, two, three = is_variant(w["a1"]), is_variant(w["a1"]) & is_variant(w["a2"]), is_variant(w["a1"]) & is_variant(w["a2"]) & is_variant(w["a3"])
+        parts = F.array_compact(F.array(family, w["t"], F.when(one, w["a1"]), F.when(two, w["a2"]), F.when(three, w["a3"])))
+        return F.when(number & ~other & family.isin(V.SERIES), F.array_join(parts, ":"))
+
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(around, member))))
+
+
 def attributes(title: Column) -> dict[str, Column]:
-    """Array of distinct canonical values for each attribute group of a title."""
-    text = F.lower(typographic(title))
+    """Sorted array of distinct canonical values for each attribute group of a title."""
+    text = F.lower(normalised(title))
     out: dict[str, Column] = {}
     for name, rules in RULES.items():
         found = [F.transform(F.regexp_extract_all(text, F.lit(ascii_words(p)), F.lit(0)), _form(p, form)) for p, form in rules]
         out[name] = F.array_sort(F.array_distinct(F.concat(*found)))
-    out["seriesSignatures"] = F.when(F.size(out["platformVariants"]) > 0, F.array().cast("array<string>")).otherwise(F.transform(out["seriesSignatures"], lambda v: F.regexp_replace(v, r"\s+", ":")))
-    balls = text.rlike(ascii_words(r"\bballs?\b")) & ~F.arrays_overlap(out["productFamilies"], F.array(*map(F.lit, EXCLUSIVE[0])))
-    out["productFamilies"] = F.array_sort(F.when(balls, F.array_append(out["productFamilies"], "other-ball")).otherwise(out["productFamilies"]))
+    series = _series(text)
+    out["seriesSignatures"] = F.when(F.size(out["platformVariants"]) > 0, _empty()).otherwise(series)
+    families = _named(text, V.FAMILIES)
+    ball = text.rlike(ascii_words(r"\bballs?\b")) & ~F.arrays_overlap(families, F.array(*map(F.lit, V.EXCLUSIVE[0])))
+    out["productFamilies"] = F.array_sort(F.when(ball, F.array_append(families, F.lit("other-ball"))).otherwise(families))
     units = {"kb": 0, "mb": 1, "gb": 2, "tb": 3}
-    sizes = F.regexp_extract_all(text, F.lit(ascii_words(r"\b\d+(?:\.\d+)?[\s-]*(?:tb|gb|mb|kb)\b")), F.lit(0))
+    sizes = F.regexp_extract_all(text, F.lit(ascii_words(_N + r"[\s-]*(?:tb|gb|mb|kb)\b")), F.lit(0))
     weighed = F.transform(sizes, lambda m: F.struct((F.regexp_extract(m, r"(\d+(?:\.\d+)?)", 1).cast("double") * sum((F.when(F.right(m, F.lit(2)) == u, 1024.0**k).otherwise(0.0) for u, k in units.items()), F.lit(0.0))).alias("n"), F.regexp_replace(m, r"[\s-]", "").alias("v")))
-    out["capacities"] = F.when(F.size(weighed) > 0, F.array(F.array_max(weighed)["v"])).otherwise(F.array().cast("array<string>"))  # the largest alone
-    words = lambda names: F.array_compact(F.array(*(F.when(text.rlike(ascii_words(rf"\b{n.replace(' ', ' +')}(?:en)?\b")), F.lit(n.replace(" ", "-"))) for n in names)))
-    colors = F.array_distinct(F.transform(words(COLORS), lambda c: F.when(c == "gray", "grey").otherwise(c)))
+    out["capacities"] = F.when(F.size(weighed) > 0, F.array(F.array_max(weighed)["v"])).otherwise(_empty())  # the largest alone
+    colors = F.array_distinct(F.transform(_named(text, {c: rf"\b{c}\b" for c in V.COLORS}), lambda c: F.when(c == "gray", "grey").otherwise(c)))
     out["colors"] = F.array_sort(F.when(F.size(colors) > 1, F.array_remove(colors, "clear")).otherwise(colors))  # clear glass in a colour has that colour
-    out["materials"] = F.array_sort(words(MATERIALS))
-    return out
+    out["materials"] = F.array_sort(_named(text, V.MATERIALS))
+    return {g: out[g] for g in GROUPS}
 
 
 def kind(title: Column) -> Column:
-    text = F.lower(title)
-    return F.coalesce(*(F.when(text.rlike(ascii_words(p)), k) for k, p in KINDS.items()))
+    text = F.lower(normalised(title))
+    return F.coalesce(*(F.when(text.rlike(ascii_words(p)), k) for k, p in V.KINDS.items()))
 
 
 def brand_family(title: Column) -> Column:
-    text = F.lower(title)
-    return F.coalesce(*(F.when(text.rlike(ascii_words(p)), k) for k, p in BRANDS.items()))
+    text = F.lower(normalised(title))
+    return F.coalesce(*(F.when(text.rlike(ascii_words(p)), k) for k, p in V.BRANDS.items()))
 
 
-def telling_tokens(title: Column) -> Column:
-    """Distinct lower-case tokens of three signs or more that are neither noise, colours nor numbers."""
-    small = F.transform(identity_tokens(title), lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9]+", ""))
-    return F.array_distinct(F.filter(small, lambda t: (F.length(t) > 2) & ~t.isin(NOISE + COLORS) & ~t.rlike("^[0-9]+$")))
+def looks_like_model(x: Column) -> Column:
+    v = trimmed(F.coalesce(x, F.lit("")))
+    return F.length(v).between(2, 24) & ~v.rlike(V.GENERIC_MODEL) & (v.rlike(r"\d") | v.rlike(V.STATED_MODEL))
 
 
 def model(title: Column) -> Column:
-    """The first token shaped like a model: letters, then digits, or an upper-case code with a hyphen."""
-    shaped = F.filter(identity_tokens(title), lambda t: t.rlike(r"^[A-Za-z]{1,8}-?\d{1,8}[A-Za-z0-9+.-]*$|^(?=[A-Z0-9+.-]*[A-Z]{2})[A-Z0-9]{1,8}-[A-Z0-9+.]{2,14}$") & ~t.rlike(r"(?i)^(?:ddr[345]|wi-?fi[5-7]|bt\d|usb\d|hdmi\d)"))
-    return F.try_element_at(shaped, F.lit(1))
+    """The first token of a title that is shaped like a model."""
+    return _model(identity_tokens(title))
+
+
+def _model(tokens: Column) -> Column:
+    fits = lambda shape: F.try_element_at(F.filter(tokens, lambda t: t.rlike(shape) & ~t.rlike(V.GENERIC_MODEL)), F.lit(1))
+    return F.coalesce(fits(V.MODEL), fits(V.TITLE_MODEL))
 
 
 def model_matches(title: Column, wanted: Column) -> Column:
     """Whether some run of the title's tokens, joined, is the model: TX SR304 is TXSR304."""
     target = F.regexp_replace(F.lower(wanted), "[^a-z0-9]", "")
-    tokens = compact_tokens(title)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1)))
-    run = lambda i: F.aggregate(F.slice(tokens, i, F.length(target)), F.struct(F.lit("").alias("s"), F.lit(False).alias("hit")), lambda a, t: F.struct(F.concat(a["s"], t).alias("s"), (a["hit"] | (F.concat(a["s"], t) == target)).alias("hit")))["hit"]
-    return F.coalesce((F.length(target) > 0) & F.exists(starts, run), F.lit(False))
+    joined = F.concat(F.lit(" "), F.array_join(compact_tokens(normalised(title)), " "), F.lit(" "))
+    spaced = F.concat(F.lit(" "), F.regexp_replace(target, "(.)(?=.)", "$1 ?"), F.lit(" "))  # its signs with or without a space between any two
+    return F.coalesce((target != "") & F.rlike(joined, spaced), F.lit(False))
 
 
-def described(rows: DataFrame, title: str, prefix: str) -> DataFrame:
-    """rows with a struct of everything that is compared: attributes, kind, model, brand, tokens."""
-    t = F.coalesce(F.col(title), F.lit(""))
+def identified(rows: DataFrame, title: str, description: str | None = None, stated: str | None = None, out: str = "identity") -> DataFrame:
+    """rows with struct(name, query, brand, model, model2, kind, capacities, tokens, stated_retail, family, evidence, telling, and every attribute group).
+
+    The title names the product; labelled lines of the description add brand and model. ``tokens`` are the first twelve
+    words that say something, ``telling`` those that titles are compared by, ``evidence`` counts attribute values.
+    """
+    text = F.col(description).cast("string") if description else F.lit(None).cast("string")
+    fields, free = labelled_lines(text)
+    rows = rows.withColumns({"_i_lead": trimmed(normalised(F.col(title).cast("string"))), "_i_fields": fields, "_i_free": free})
+    prose = trimmed(F.regexp_replace(F.get(F.split("_i_free", r"\n\s*\*{2,}"), F.lit(0)), r"\n+", " "))
+    rows = rows.withColumn("_i_sections", F.filter(F.transform(F.split(F.when(F.col("_i_lead") != "", F.col("_i_lead")).otherwise(F.coalesce(prose, F.lit(""))), r"\|"), trimmed), lambda p: p != ""))
+    telling = F.filter("_i_sections", lambda p: ~p.rlike(r"(?i)^lot\s*#?\s*[a-z0-9-]+$|^(?:retail|msrp|est\.?|value)?\s*\$?\s*[\d,]+(?:\.\d+)?\s*$"))
+    named = F.coalesce(F.get(telling, F.lit(0)), F.try_element_at("_i_sections", F.lit(-1)), F.lit(""))
+    named = F.when(F.size("_i_sections") > 1, named).otherwise(F.coalesce(F.get("_i_sections", F.lit(0)), F.lit("")))
+    named = F.regexp_replace(named, r"(?i)^\s*(?:retail|msrp|est\.?\s*retail(?:\s*price)?|value)\s*[:\-]?\s*\$?\s*[\d,]+(?:\.\d+)?\s*", "")
+    named = trimmed(F.regexp_replace(F.regexp_replace(named, r"^\s*\$\s*[\d,]+(?:\.\d+)?\s*", ""), r"\s{2,}", " "))
+    rows = rows.withColumn("_i_name", without_prefix(F.regexp_replace(named, r"\s*-\s*$", "")))
+    first = trimmed(F.get(F.split(normalised(text), "\n"), F.lit(0)))
+    rows = rows.withColumn("_i_name", F.when(F.length("_i_name") >= 3, F.col("_i_name")).when(F.col("_i_lead") != "", F.col("_i_lead")).otherwise(first))
+    rows = rows.withColumn("_i_tokens", F.filter(identity_tokens(F.col("_i_name")), lambda t: ~F.lower(t).isin(V.NOISE) & ~t.rlike(r"^\$?[\d.,]+$")))
+    said = lambda *names: trimmed(F.coalesce(first_present(F.col("_i_fields"), list(names)), F.lit("")))
+    rows = rows.withColumns({"_i_first": F.coalesce(F.get("_i_tokens", F.lit(0)), F.lit("")), "_i_stated": said("brand", "manufacturer", "make"), "_i_number": said("model", "model #", "model number", "mpn")})
+    stated_brand, number = F.col("_i_stated"), F.col("_i_number")
+    appears = F.rlike(F.col("_i_name"), F.concat(F.lit("(?i)" + B), literal(stated_brand), F.lit(B)))
+    brand = F.when((stated_brand != "") & ((F.col("_i_first") == "") | F.col("_i_first").rlike(V.GENERIC_BRAND) | appears), stated_brand).otherwise(F.col("_i_first"))
+    good = F.when(looks_like_model(number), number)
+    found = F.coalesce(F.when(model_matches(F.col("_i_name"), number), good), _model(F.col("_i_tokens")), good)
+    rows = rows.withColumns({"_i_brand": brand, "_i_model": found, **{f"_i_g_{g}": c for g, c in attributes(F.col("_i_name")).items()}})
+    own = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("_i_model", "_i_brand")]
+    second = F.filter("_i_tokens", lambda t: (F.lower(t) != own[0]) & (F.lower(t) != own[1]) & t.rlike(V.TITLE_MODEL) & ~t.rlike(V.GENERIC_MODEL))
+    certain = F.col("_i_model").isNotNull() | (F.size("_i_g_gpuModels") > 0) | (F.size("_i_g_cpuModels") > 0)
+    rows = rows.withColumn("_i_g_seriesSignatures", F.when(certain, _empty()).otherwise(F.col("_i_g_seriesSignatures")))
+    tokens = F.slice("_i_tokens", 1, 12)
+    small = F.transform(tokens, lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9]+", ""))
+    retail = F.col(stated).cast("double") if stated else F.lit(None).cast("double")
+    result = F.struct(
+        F.col("_i_name").alias("name"), research_query(F.col("_i_name")).alias("query"), F.col("_i_brand").alias("brand"), F.col("_i_model").alias("model"), F.get(second, F.lit(0)).alias("model2"),
+        kind(F.col("_i_name")).alias("kind"), F.array_distinct(F.filter("_i_tokens", lambda t: t.rlike(V.CAPACITY))).alias("sizes"), tokens.alias("tokens"),
+        F.when((retail > 0) & (retail < float("inf")), retail).alias("stated_retail"), brand_family(F.concat_ws(" ", "_i_brand", "_i_name")).alias("family"),
+        sum((F.size(f"_i_g_{g}") for g in GROUPS), F.lit(0)).alias("evidence"),
+        F.array_distinct(F.filter(small, lambda t: (F.length(t) > 2) & ~t.isin(V.RETAIL_NOISE) & ~t.rlike("^[0-9]+$"))).alias("telling"),
+        *(F.col(f"_i_g_{g}").alias(g) for g in GROUPS),
+    )
+    kept = [F.col(f"`{c}`") for c in rows.columns if not c.startswith("_i_") and c != out]
+    return rows.select(*kept, result.alias(out))
+
+
+def offered(rows: DataFrame, title: str, out: str = "offer") -> DataFrame:
+    """rows with struct(title, kind, family, words, and every attribute group) of a candidate's title."""
+    t = F.coalesce(F.col(title).cast("string"), F.lit(""))
     found = [v.alias(k) for k, v in attributes(t).items()]
-    return rows.withColumn(prefix, F.struct(t.alias("title"), *found, kind(t).alias("kind"), brand_family(t).alias("family"), model(t).alias("model"), F.lower(F.try_element_at(identity_tokens(t), F.lit(1))).alias("brand"), telling_tokens(t).alias("tokens")))
+    return rows.withColumn(out, F.struct(t.alias("title"), kind(t).alias("kind"), brand_family(t).alias("family"), compact_tokens(normalised(t)).alias("words"), *found))
+
 
+def literal(x: Column) -> Column:
+    """A pattern that fits x and nothing else."""
+    return F.regexp_replace(x, r"([.*+?^${}()|\[\]\\])", r"\\$1")
 
-def accessory(lot: Column, candidate: Column, exact: Column, branded: Column) -> Column:
+
+def sufficient(lot: Column) -> Column:
+    """Whether a lot says enough to be compared at all."""
+    return lot["model"].isNotNull() | (F.size(lot["telling"]) >= 3) | (lot["kind"].isNotNull() & (lot["evidence"] > 0))
+
+
+def _accessory(lot: Column, offer: Column, exact: Column, branded: Column) -> Column:
     """Whether a candidate is a part or accessory of a product like the lot's, by rules in order over positions in its title."""
-    title = F.lower(candidate["title"])
+    title, name = F.lower(offer["title"]), F.lower(lot["name"])
     at = lambda pattern: F.regexp_instr(title, F.lit(ascii_words(pattern)))  # noqa: E731  from 1; 0 where it does not occur
-    noun, marker, verb = at(ACCESSORY), at(MARKER), at(FOR_PRODUCT)
-    named = F.coalesce(F.lower(lot["model"]), lot["brand"], F.lit(""))
-    after = F.substring(title, verb, F.lit(80))
-    about = (verb > 0) & (F.coalesce(F.contains(after, lot["brand"]) & (lot["brand"] != ""), F.lit(False)) | F.coalesce(F.contains(after, F.lower(lot["model"])), F.lit(False)))
-    kind_at = F.coalesce(*(F.when(lot["kind"] == k, at(p)) for k, p in KINDS.items()), F.lit(0))
-    shared = F.arrays_overlap(lot["platformVariants"], candidate["platformVariants"]) | F.arrays_overlap(lot["seriesSignatures"], candidate["seriesSignatures"])
-    same_kind = F.coalesce(lot["kind"] == candidate["kind"], F.lit(False))
+    noun, marker = at(V.ACCESSORY), at(V.LATER_MARKER)
+    loose = lambda x: F.regexp_replace(literal(F.lower(x)), r"[-\s]", r"[-\\s]?")
+    known = F.array_join(F.transform(F.filter(F.array(lot["brand"], lot["model"], lot["model2"]), lambda x: F.coalesce(x != "", F.lit(False))), loose), "|")
+    about = (known != "") & F.rlike(title, F.concat(F.lit(B + rf"(?:{V.FOR_VERBS})\s+(?:the\s+)?[^,;.]{{0,40}}?(?:"), known, F.lit(")")))
+    shared = F.arrays_overlap(lot["platformVariants"], offer["platformVariants"]) | F.arrays_overlap(lot["seriesSignatures"], offer["seriesSignatures"])
+    kind_at = F.coalesce(*(F.when(lot["kind"] == k, at(p)) for k, p in V.KINDS.items()), F.lit(0))
     between = F.substring(title, kind_at, F.greatest(noun - kind_at, F.lit(0)))
-    first = F.regexp_extract(F.regexp_replace(title, CONDITION_PREFIX, ""), r"[a-z0-9][a-z0-9.&'-]*", 0)
-    named_at = F.coalesce(F.when(named != "", F.position(named, title)), F.lit(0))
+    first = F.regexp_extract(F.regexp_replace(title, V.TITLE_PREFIX, ""), r"[a-z0-9][a-z0-9.&'-]*", 0)
+    brand = F.lower(lot["brand"])
+    own = F.when(lot["model"].isNotNull(), loose(lot["model"])).when(brand != "", F.concat(F.lit(B), literal(brand), F.lit(B)))
+    own_at = F.regexp_instr(title, own)
     return (
-        F.when((F.coalesce(lot["kind"], F.lit("")) == "game-console") & (F.coalesce(candidate["kind"], F.lit("")) != "game-console"), True)
-        .when(at(NOT_WHOLE) > 0, True)
-        .when((noun == 0) | F.lower(lot["title"]).rlike(ascii_words(ACCESSORY)), False)
-        .when(about | (verb > 0), True)
+        F.when(lot["kind"].eqNullSafe("game-console") & ~offer["kind"].eqNullSafe("game-console"), True)
+        .when(at(V.NOT_WHOLE) > 0, True)
+        .when((noun == 0) | name.rlike(ascii_words(V.ACCESSORY)), False)
+        .when(about | (at(V.MARKER) > 0), True)
         .when((marker > noun) & (F.coalesce(shared, F.lit(False)) | branded | exact), True)
-        .when(same_kind & (kind_at > 0) & (kind_at < noun) & (exact | between.rlike(ascii_words(r"\b(?:with|includes?|bundle)\b"))), False)
+        .when(offer["kind"].eqNullSafe(lot["kind"]) & (kind_at > 0) & (kind_at < noun) & (exact | between.rlike(ascii_words(r"\b(?:with|includes?|bundle)\b"))), False)
         .when(exact & (marker == 0), False)
-        .when((F.coalesce(lot["brand"], F.lit("")) != "") & (first != "") & (first != lot["brand"]) & ~branded, True)
-        .when(named == "", noun < 21)
-        .when(named_at == 0, True)
-        .otherwise(noun < named_at)
+        .when((brand != "") & (first != "") & (first != brand) & ~branded, True)
+        .when(own.isNull(), noun < 21)
+        .when(own_at == 0, True)
+        .otherwise(noun < own_at)
     )
 
 
-def _rival(expected: Column, actual: Column, names: list[str]) -> Column:
-    """Whether the expected families have one of these names and the actual ones another."""
-    group = F.array(*map(F.lit, names))
-    return F.arrays_overlap(expected, group) & (F.size(F.array_except(F.array_intersect(actual, group), expected)) > 0)
-
+def evaluated(rows: DataFrame, lot: str, offer: str, out: str = "evaluation") -> DataFrame:
+    """rows with struct(accepted, score, reasons, evidence, donor_score) of a candidate (``offered``) for a lot (``identified``).
 
-def evaluated(lot: Column, candidate: Column) -> Column:
-    """struct(accepted, score, reasons) of a described candidate for a described lot.
-
-    Reasons: too little identity, an accessory, contradicted or critical missing attributes, another model, kind or brand,
-    weak overlap of tokens. Without any, the score adds 5 for the model, 2 for brand and kind each, the shared attributes
-    and 4 times the share of tokens.
+    Reasons: too little identity, an accessory, contradicted or critical missing attributes, another brand, kind or model,
+    weak overlap of words. Without any, the score adds 5 for the model, 2 each for a second model, brand and kind, the
+    shared attributes and 4 times the share of words. The donor score is that of plain words behind the same hard
+    conflicts, and the higher of the two. Values within a reason are sorted.
     """
-    groups = [*RULES, "capacities", "colors", "materials"]
-    title = candidate["title"]
-    shared = {g: F.size(F.array_intersect(lot[g], candidate[g])) for g in groups}
-    absent = {g: F.size(F.array_except(lot[g], candidate[g])) for g in groups}
-    matched = sum((n * (2 if g in DOUBLE else 1) for g, n in shared.items()), F.lit(0))
-    exact = lot["model"].isNotNull() & model_matches(title, lot["model"])
-    literal = F.coalesce(F.array_contains(compact_tokens(title), lot["brand"]), F.lit(False))
-    branded = F.when(lot["family"].isNotNull(), F.coalesce(lot["family"] == candidate["family"], F.lit(False))).otherwise(literal)
-    same_kind = F.coalesce(lot["kind"] == candidate["kind"], F.lit(False))
-    hits, total = F.size(F.array_intersect(lot["tokens"], compact_tokens(title))), F.size(lot["tokens"])
-    share = F.coalesce(F.try_divide(hits, total), F.lit(0.0))
-    evidence = exact | branded | same_kind | (matched > 0)
-    rivals = [F.when(_rival(lot["productFamilies"], candidate["productFamilies"], names), "attribute-conflict:productFamilies") for names in EXCLUSIVE]
-    reasons = F.array_compact(
+    l, o = F.col(lot), F.col(offer)
+    title = F.lower(o["title"])
+    credible = (l["brand"] != "") & ~l["brand"].rlike(V.GENERIC_BRAND) & ~l["brand"].rlike(V.CAPACITY) & l["brand"].rlike("(?i)[a-z]")
+    named = F.rlike(title, F.concat(F.lit(r"(?:^|[^a-z0-9])"), F.regexp_replace(literal(F.lower(l["brand"])), r"\s+", r"\\s+"), F.lit(r"(?:$|[^a-z0-9])")))
+    branded = credible & F.when(l["family"].isNotNull(), o["family"].eqNullSafe(l["family"])).otherwise(named)
+    shared = sum((F.size(F.array_intersect(l[g], o[g])) * (2 if g in DOUBLE else 1) for g in GROUPS), F.lit(0))
+    hits = F.size(F.array_intersect(l["telling"], o["words"]))
+    rows = rows.withColumns(
+        {
+            "_i_exact": l["model"].isNotNull() & model_matches(o["title"], l["model"]), "_i_credible": F.coalesce(credible, F.lit(False)), "_i_branded": F.coalesce(branded, F.lit(False)), "_i_same": l["kind"].isNotNull() & o["kind"].eqNullSafe(l["kind"]),
+            "_i_shared": shared, "_i_hits": hits, "_i_total": F.size(l["telling"]), "_i_share": F.coalesce(F.try_divide(hits, F.size(l["telling"])), F.lit(0.0)),
+        }
+    )
+    exact, branded, same, shared, hits, total, share = (F.col(f"_i_{x}") for x in ("exact", "branded", "same", "shared", "hits", "total", "share"))
+    gone = lambda g: F.array_except(l[g], o[g])
+    say = lambda what, g: F.concat(F.lit(f"{what}:{g}:"), F.array_join(gone(g), ","))
+    conflicts = [F.when((F.size(gone(g)) > 0) & (F.size(o[g]) > 0), say("attribute-conflict", g)) for g in GROUPS]
+    lacks = [F.when((F.size(gone(g)) > 0) & (F.size(o[g]) == 0), say("attribute-missing", g)) for g in CRITICAL]
+    rivals = []
+    for names in V.EXCLUSIVE:
+        mine = F.get(F.filter(F.array(*map(F.lit, names)), lambda n: F.array_contains(l["productFamilies"], n)), F.lit(0))
+        wrong = F.filter(F.array(*map(F.lit, names)), lambda n: (n != mine) & F.array_contains(o["productFamilies"], n))  # noqa: B023
+        rivals.append(F.when(mine.isNotNull() & (F.size(wrong) > 0), F.concat(F.lit("attribute-conflict:productFamilies:"), mine, F.lit("!="), F.array_join(wrong, ","))))
+    structured = exact | branded | same | (shared > 0)
+    weak = (~structured & ((hits < 3) | (share < 0.6))) | (structured & ~exact & ((hits < 2) | (share <= 0.5)) & (shared == 0))
+    other_family = l["family"].isNotNull() & o["family"].isNotNull() & (l["family"] != o["family"])
+    reasons = F.array_distinct(
+        F.array_compact(
+            F.array(
+                F.when(~sufficient(l), F.lit("insufficient-source-identity")),
+                F.when(_accessory(l, o, exact, branded), F.lit("accessory-or-component")),
+                *conflicts, *rivals, *lacks,
+                F.when(~exact & other_family, F.concat(F.lit("brand-mismatch:"), l["family"])),
+                F.when(~exact & l["family"].isNull() & F.col("_i_credible") & ~branded, F.concat(F.lit("brand-mismatch:"), F.lower(l["brand"]))),
+                F.when(~exact & (l["kind"] != o["kind"]), F.concat(F.lit("kind-mismatch:"), l["kind"], F.lit(":"), o["kind"])),
+                F.when(l["model"].isNotNull() & ~exact, F.concat(F.lit("model-mismatch:"), l["model"])),
+                F.when(weak, F.concat(F.lit("weak-title-overlap:"), hits, F.lit("/"), total)),
+            )
+        )
+    )
+    rows = rows.withColumn("_i_reasons", F.when(o["title"] == "", F.array(F.lit("empty-title"))).otherwise(reasons))
+    second = l["model2"].isNotNull() & model_matches(o["title"], l["model2"])
+    score = F.when(exact, 5).otherwise(0) + F.when(second, 2).otherwise(0) + F.when(branded, 2).otherwise(0) + F.when(same, 2).otherwise(0) + shared + share * 4
+    accepted = (F.size("_i_reasons") == 0) & (score > 0)
+    evidence = F.array_compact(
         F.array(
-            F.when(title == "", "empty-title"),
-            F.when(lot["model"].isNull() & (total < 3) & ~(lot["kind"].isNotNull() & (sum((F.size(lot[g]) for g in groups), F.lit(0)) > 0)), "insufficient-source-identity"),
-            F.when(accessory(lot, candidate, exact, branded), "accessory-or-component"),
-            *(F.when((absent[g] > 0) & (F.size(candidate[g]) > 0), f"attribute-conflict:{g}") for g in groups),
-            *rivals,
-            *(F.when((absent[g] > 0) & (F.size(candidate[g]) == 0), f"attribute-missing:{g}") for g in CRITICAL),
-            F.when(~exact & ~branded & (F.coalesce(lot["brand"], F.lit("")) != ""), "brand-mismatch"),
-            F.when(~exact & lot["kind"].isNotNull() & candidate["kind"].isNotNull() & ~same_kind, "kind-mismatch"),
-            F.when(lot["model"].isNotNull() & ~exact, "model-mismatch"),
-            F.when(~evidence & ((hits < 3) | (share < 0.6)) | evidence & ~exact & ((hits < 2) | (share <= 0.5)) & (matched == 0), "weak-title-overlap"),
+            F.when(exact, F.concat(F.lit("model:"), l["model"])), F.when(second, F.concat(F.lit("model2:"), l["model2"])), F.when(branded, F.concat(F.lit("brand:"), F.coalesce(l["family"], F.lower(l["brand"])))),
+            F.when(shared > 0, F.concat(F.lit("attributes:"), shared)), F.when(hits > 0, F.concat(F.lit("tokens:"), hits, F.lit("/"), total)), F.when(same, F.concat(F.lit("kind:"), l["kind"])),
         )
-    )
-    score = F.when(exact, 5).otherwise(0) + F.when(branded, 2).otherwise(0) + F.when(same_kind, 2).otherwise(0) + matched + share * 4
-    reasons = F.array_distinct(reasons)
-    return F.struct((F.size(reasons) == 0).alias("accepted"), F.when(F.size(reasons) == 0, score).otherwise(F.lit(0.0)).alias("score"), reasons.alias("reasons"))
+    )
+    long = F.filter(F.transform(l["tokens"], F.lower), lambda t: F.length(t) > 2)
+    plain = F.when(l["model"].isNotNull(), 5).otherwise(0) + F.when(second, 2).otherwise(0) + F.when((l["brand"] != "") & F.contains(title, F.lower(l["brand"])), 2).otherwise(0)
+    plain = plain + F.coalesce(F.try_divide(F.size(F.filter(long, lambda t: F.contains(title, t))), F.size(long)), F.lit(0.0)) * 3
+    hard = F.exists("_i_reasons", lambda r: r.rlike("^(?:accessory-or-component|attribute-conflict|attribute-missing|kind-mismatch|model-mismatch|brand-mismatch|empty-title)"))
+    scored = F.when(accepted, score).otherwise(F.lit(0.0))
+    result = F.struct(accepted.alias("accepted"), scored.alias("score"), F.col("_i_reasons").alias("reasons"), F.when(accepted, evidence).otherwise(_empty()).alias("evidence"), F.when(hard, F.lit(0.0)).otherwise(F.greatest(plain, scored)).alias("donor_score"))
+    kept = [F.col(f"`{c}`") for c in rows.columns if not c.startswith("_i_") and c != out]
+    return rows.select(*kept, result.alias(out))

@@ -64,41 +64,6 @@ def visible_text(x: Column) -> Column:
     return squeezed(unescaped_html(F.regexp_replace(x, r"<[^>]*>", " ")))
 
 
-#: Kinds of goods by the first pattern that fits. Fixed values.
-KINDS = [
-    ("projector", r"\bprojectors?\b"),
-    ("monitor", r"\bmonitors?\b"),
-    ("television", r"\b(?:tv|television|smart tv)s?\b"),
-    ("headphones", r"\b(?:headphones?|earbuds?|headset)\b"),
-    ("laptop", r"\b(?:laptop|notebook|chromebook|macbook)s?\b"),
-    ("tablet", r"\b(?:tablet|ipad)s?\b"),
-    ("phone", r"\b(?:phone|smartphone|iphone)s?\b"),
-    ("speaker", r"\b(?:speaker|soundbar|subwoofer)s?\b"),
-    ("camera", r"\b(?:camera|camcorder)s?\b"),
-    ("printer", r"\bprinters?\b"),
-    ("storage", r"\b(?:ssd|hdd|hard drive|flash drive)s?\b"),
-    ("power-tool", r"\b(?:drill|impact driver|saw|sander)s?\b"),
-]
-#: Patterns of attribute groups; the whole match is the value. Fixed values.
-ATTRIBUTES = {
-    "capacities": r"\b\d+(?:\.\d+)? ?(?:gb|tb|mb)\b",
-    "voltages": r"\b\d{1,3} ?(?:v|volts?)\b",
-    "sizes": r"\b\d{1,3}(?:\.\d+)? ?(?:in|inch|cm|mm|ft)\b",
-    "packs": r"\b\d{1,3}[ -]?(?:pack|pk|count|ct|pcs?)\b",
-    "colors": r"\b(?:black|white|red|blue|green|grey|gray|pink|purple|silver|gold|brown|orange|yellow|clear)\b",
-    "materials": r"\b(?:steel|brass|copper|nickel|tin|plastic|wood|leather|cotton|glass|aluminum)\b",
-    "generations": r"\b(?:gen|generation|mk|mark|version|v) ?\d{1,2}\b",
-}
-#: Reasons to read a lot with care, by pattern of its description. Fixed values.
-CAUTIONS = {
-    "parts-only": r"\b(?:for parts|parts only|not working|does not (?:power|turn) on|broken)\b",
-    "untested": r"\buntested\b|\bnot tested\b",
-    "damaged": r"\b(?:damaged|cracked|dented|scratched)\b",
-    "incomplete": r"\b(?:missing|incomplete|no charger|no remote)\b",
-    "as-is": r"\bas[ -]is\b",
-}
-
-
 def first_fit(x: Column, patterns: list[tuple[str, str]]) -> Column:
     """The name of the first pattern that occurs in x, whatever the case; null if none does."""
     return F.coalesce(*(F.when(x.rlike("(?i)" + ascii_words(p)), name) for name, p in patterns))
@@ -107,38 +72,3 @@ def first_fit(x: Column, patterns: list[tuple[str, str]]) -> Column:
 def all_fits(x: Column, patterns: dict[str, str]) -> Column:
     """The names of all patterns that occur in x, in order."""
     return F.array_compact(F.array(*(F.when(x.rlike("(?i)" + ascii_words(p)), name) for name, p in patterns.items())))
-
-
-def attribute(x: Column, name: str) -> Column:
-    """Distinct values of one attribute group, lower-cased and without inner spaces, sorted."""
-    found = F.regexp_extract_all(F.lower(x), F.lit(ascii_words(ATTRIBUTES[name])), F.lit(0))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda v: F.regexp_replace(v, "[ -]", ""))))
-
-
-def structured_fields(x: Column) -> Column:
-    """Map of the ``key: value`` lines of a description, keys lower-cased; of a repeated key the last value."""
-    lines = F.filter(F.split(x, "\n"), lambda v: v.rlike(r"^\s*[A-Za-z][A-Za-z #/]{0,30}[:?]\s*\S"))
-    entries = F.transform(lines, lambda v: F.struct(F.lower(F.trim(F.regexp_extract(v, r"^\s*([A-Za-z][A-Za-z #/]{0,30})[:?]", 1))).alias("key"), F.trim(F.regexp_extract(v, r"[:?]\s*(.*)$", 1)).alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(last)
-
-
-def tristate(x: Column) -> Column:
-    return F.when(F.lower(F.trim(x)).rlike("^(?:yes|y|true|working)"), True).when(F.lower(F.trim(x)).rlike("^(?:no|n|false|none)(?:[^a-z]|$)"), False)
-
-
-#: Words that say nothing about a product. Fixed values.
-STOP = ["the", "a", "an", "and", "or", "of", "for", "with", "lot", "new", "used", "in", "on", "by", "to"]
-
-
-def research_query(x: Column, most: int = 120) -> Column:
-    """A search phrase from a title: plain lower case, no stop words, at most ``most`` characters at a word boundary.
-
-    Accents of Latin letters are dropped by a table, as Spark has no decomposition. Titles that leave fewer than two
-    words keep all their words.
-    """
-    plain = F.translate(F.lower(typographic(x)), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    tokens = F.filter(F.split(F.regexp_replace(plain, r"[^a-z0-9.+\-]+", " "), " "), lambda t: F.length(F.regexp_replace(t, r"[.\-]", "")) > 0)
-    telling = F.filter(tokens, lambda t: ~t.isin(STOP))
-    chosen = F.array_join(F.when(F.size(telling) >= 2, telling).otherwise(tokens), " ")
-    return F.when(F.length(chosen) <= most, chosen).otherwise(F.regexp_replace(F.left(chosen, F.lit(most + 1)), r" [^ ]*$", ""))

@@ -1,4 +1,4 @@
-"""Queries about product identity and candidate evaluation, over literal titles and the part table."""
+"""Queries about models and kinds of parts."""
 
 from __future__ import annotations
 
@@ -6,62 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwright.functions import identity as I
-from lotwright.operators import match
 
-from .registry import operator, query, table
-
-LOTS = [
-    (1, "Onkyo TX-SR304 receiver"),
-    (2, "Samsung Portable SSD drive 1TB"),
-    (3, "Acme AB123 camera"),
-    (4, "Duracell batteries alkaline 24 pack"),
-    (5, 'Vizio 55" smart TV 4K black'),
-    (6, "Widget"),
-]
-CANDIDATES = [
-    (1, 0, "Onkyo TX SR304 7.1 channel receiver", 210.0), (1, 1, "Onkyo TX-SR304 AV receiver", 190.0), (1, 2, "Onkyo TX-NR696 receiver", 99.0), (2, 0, "Samsung Portable SSD drive 2TB", 80.0),
-    (2, 1, "Samsung Portable SSD drive 1TB blue", 70.0), (3, 0, "Protective case for Acme AB123 camera", 9.0), (4, 0, "Duracell batteries alkaline 24 count", 15.0), (4, 1, "Duracell batteries alkaline", 5.0),
-    (5, 0, "Vizio 55 inch smart TV 2160p black", 300.0), (5, 1, "Vizio 65 inch smart TV 4K black", 400.0), (6, 0, "Widget thing", 1.0),
-]
-
-
-def _literal(spark: SparkSession) -> DataFrame:
-    lots = I.described(spark.createDataFrame(LOTS, "lot long, title string"), "title", "l").drop("title")
-    offers = I.described(spark.createDataFrame(CANDIDATES, "lot long, pos int, title string, price double"), "title", "c")
-    return lots.join(offers, "lot")
-
-
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of an order as a candidate for the part of the order's first line; each part is described once."""
-    part = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("title"))
-    lines = table(spark, sf_dir, "lineitem")
-    first = lines.groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("k"))
-    lots = first.join(I.described(part, "title", "l").drop("title"), F.col("k") == F.col("p_partkey")).select(F.col("l_orderkey").alias("lot"), "l")
-    offers = lines.join(I.described(part, "title", "c"), F.col("l_partkey") == F.col("p_partkey"))
-    offers = offers.select(F.col("l_orderkey").alias("lot"), F.col("l_linenumber").alias("pos"), "title", F.col("l_extendedprice").alias("price"), "c")
-    return lots.join(offers, "lot")
-
-
-def _evaluated(rows: DataFrame) -> DataFrame:
-    return rows.select("lot", "pos", "title", "price", I.evaluated(F.col("l"), F.col("c")).alias("e"))
-
-
-@operator("""
-SELECT * FROM (VALUES (1::BIGINT, 0, true), (1, 1, true), (1, 2, false), (2, 0, false), (2, 1, true), (3, 0, false), (4, 0, true), (4, 1, false), (5, 0, true), (5, 1, false), (6, 0, false)) AS t(lot, pos, accepted)
-""", _literal, _lines)
-def q_candidate_eval(rows: DataFrame) -> DataFrame:
-    return _evaluated(rows).select("lot", "pos", "e.accepted")
-
-
-@operator("SELECT * FROM (VALUES (1::BIGINT, 1, 190.0::DOUBLE), (2, 1, 70.0), (4, 0, 15.0), (5, 0, 300.0)) AS t(lot, pos, price)", _literal, _lines)
-def q_donor_score(rows: DataFrame) -> DataFrame:
-    rows = _evaluated(rows).select("lot", "pos", "price", F.col("e.score").alias("score"))
-    return match.band_choice(rows, "lot", "score", "price", ["pos"], 1.5).select("lot", "pos", "price")
-
-
-@operator("""SELECT * FROM (VALUES (1::BIGINT, 'TX-SR304', 'receiver'), (2, NULL, 'storage'), (3, 'AB123', 'camera'), (4, NULL, NULL), (5, NULL, 'television'), (6, NULL, NULL)) AS t(lot, model, kind)""", lambda spark: spark.createDataFrame(LOTS, "lot long, title string"), lambda spark, sf_dir: table(spark, sf_dir, "documents").select(F.col("doc_id").alias("lot"), F.col("text").alias("title")))
-def q_identity(rows: DataFrame) -> DataFrame:
-    return I.described(rows, "title", "l").select("lot", "l.model", "l.kind")
+from .registry import query, table
 
 
 @query("SELECT p_partkey, contains(regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g'), lower(split_part(p_name, ' ', 1))) AS joined FROM part")
