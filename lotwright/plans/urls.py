@@ -10,27 +10,6 @@ from lotwright.functions import urls as U
 from .registry import query, table
 
 HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1))"
-PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)"
-PARAMS = "list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '')"
-
-
-@query(f"""
-SELECT page_id, {HOST} AS host, CASE WHEN {HOST} = '' THEN 'invalid' WHEN regexp_matches({PATH}, '^/(?:en|de|fr|es)/\\d+\\.html$') THEN 'document'
- WHEN regexp_matches({PATH}, '^/(?:en|de|fr|es)/\\d+/$') THEN 'folder' WHEN regexp_matches({PATH}, '^/(?:en|de|fr|es)/\\d+$') THEN 'lot' WHEN {PATH} IN ('', '/') THEN 'home' ELSE 'other' END AS kind FROM pages
-""")
-def q_url_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", U.host(F.col("url")).alias("host"), U.route(F.col("url")).alias("kind"))
-
-
-@query(f"SELECT page_id, {HOST} || {PATH} || '?' || array_to_string(list_sort(list_filter({PARAMS}, lambda p: split_part(p, '=', 1) NOT IN ('page'))), '&') AS fingerprint FROM pages")
-def q_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", U.fingerprint(F.col("url"), ["page"]).alias("fingerprint"))
-
-
-@query(f"SELECT split_part(p, '=', 1) AS k, count(*) AS n, count(DISTINCT p) AS forms FROM (SELECT unnest({PARAMS}) AS p FROM pages) GROUP BY 1")
-def q_param_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select(F.explode(U.parameters(F.col("url"))).alias("p")).select("p.*")
-    return rows.groupBy("k").agg(F.count("*").alias("n"), F.countDistinct("v").alias("forms"))
 
 
 @query(f"SELECT page_id, {HOST} LIKE '%.example.com' OR {HOST} = 'example.com' AS known, starts_with(url, 'https://') AS secure FROM pages")
