@@ -6,38 +6,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Reasons in the order in which they are reported.
-REASONS = ["scope-changed", "total-unknown", "duplicate-ids", "duplicate-records", "missing-records", "unexpected-records", "count-mismatch"]
+REASONS = [
+    "route-fingerprint-changed", "user-stop", "api-page-failure", "api-hydration-failure", "api-total-drift", "api-visible-total-mismatch", "api-total-missing",
+    "api-duplicate-ids", "api-enumeration-count-mismatch", "api-missing-hydration", "api-unexpected-hydration", "api-hydration-count-mismatch",
+]
+#: What an expectation may say beside its total and fingerprints, and what holds where it does not.
+FACTS = {"visible_total": None, "failed_pages": 0, "failed_batches": 0, "drifted": 0, "stopped": False}
 
 
 def audit(enumerated: DataFrame, hydrated: DataFrame, expected: DataFrame) -> DataFrame:
-    """One row per snapshot with counts of both sides, whether the capture is complete, and the first reason if not.
+    """One row per snapshot with counts of both sides, whether the capture is complete, and the first of twelve reasons if not.
 
-    ``enumerated`` and ``hydrated`` have snapshot and id; ``expected`` has snapshot, total, start and end (fingerprints).
-    Both sides are counted per (snapshot, id) first, so repeated ids and large snapshots combine before the shuffle.
+    ``enumerated`` and ``hydrated`` have snapshot and id; ``expected`` has snapshot, total, start and end (fingerprints;
+    a null one is not compared) and any of FACTS. Both sides are counted per (snapshot, id) first, so repeated ids and
+    large snapshots combine before the shuffle; null ids do not count.
     """
-    a = enumerated.groupBy("snapshot", "id").agg(F.count("*").alias("a"))
-    b = hydrated.groupBy("snapshot", "id").agg(F.count("*").alias("b"))
+    a = enumerated.where("id IS NOT NULL").groupBy("snapshot", "id").agg(F.count("*").alias("a"))
+    b = hydrated.where("id IS NOT NULL").groupBy("snapshot", "id").agg(F.count("*").alias("b"))
     both = a.join(b, ["snapshot", "id"], "full")
     counts = both.groupBy("snapshot").agg(
         F.coalesce(F.sum("a"), F.lit(0)).alias("enumerated"),
         F.count("a").alias("enumerated_ids"),
         F.coalesce(F.sum("b"), F.lit(0)).alias("hydrated"),
         F.count("b").alias("hydrated_ids"),
+        F.count_if(F.col("a") > 1).alias("duplicates"),
         F.count_if(F.col("b").isNull()).alias("missing"),
         F.count_if(F.col("a").isNull()).alias("unexpected"),
     )
-    rows = expected.join(counts, "snapshot", "left").fillna(0, ["enumerated", "enumerated_ids", "hydrated", "hydrated_ids", "missing", "unexpected"])
+    rows = expected.join(counts, "snapshot", "left").fillna(0, ["enumerated", "enumerated_ids", "hydrated", "hydrated_ids", "duplicates", "missing", "unexpected"])
+    fact = lambda name: F.coalesce(F.col(name), F.lit(FACTS[name])) if name in expected.columns else F.lit(FACTS[name])
     failed = [
-        ~F.col("start").eqNullSafe(F.col("end")),
+        F.col("start") != F.col("end"),
+        fact("stopped"),
+        fact("failed_pages") > 0,
+        fact("failed_batches") > 0,
+        fact("drifted") > 0,
+        fact("visible_total").isNotNull() & ~F.col("total").eqNullSafe(fact("visible_total")),
         F.col("total").isNull(),
-        F.col("enumerated") != F.col("enumerated_ids"),
-        F.col("hydrated") != F.col("hydrated_ids"),
+        F.col("duplicates") > 0,
+        F.col("enumerated_ids") != F.col("total"),
         F.col("missing") > 0,
         F.col("unexpected") > 0,
-        F.col("enumerated_ids") != F.col("total"),
+        F.col("hydrated_ids") != F.col("total"),
     ]
     reason = F.coalesce(*(F.when(x, name) for x, name in zip(failed, REASONS)))
-    return rows.withColumn("reason", reason).withColumn("complete", F.col("reason").isNull()).drop("start", "end")
+    return rows.withColumn("reason", reason).withColumn("complete", F.col("reason").isNull()).drop("start", "end", *FACTS)
 
 
 def missing(enumerated: DataFrame, hydrated: DataFrame, key: str = "id") -> DataFrame:

@@ -166,12 +166,6 @@ def q_size_conflict(rows: DataFrame) -> DataFrame:
     return rows.select("id", ((F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_intersect(a, b)) == 0)).alias("conflict"))
 
 
-@operator("SELECT * FROM (VALUES (1::BIGINT, 'lot', 'a.com/x?a=1'), (2, 'other', 'a.com/y?')) AS t(id, kind, scope)", lambda spark: spark.createDataFrame([(1, "https://A.com/x?page=2&a=1"), (2, "http://a.com/y")], "id long, url string"), lambda spark, sf_dir: table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url"))
-def q_route_literals(rows: DataFrame) -> DataFrame:
-    kind = F.when(U.path(F.col("url")) == "/x", "lot").otherwise(U.route(F.col("url")))
-    return rows.select("id", kind.alias("kind"), U.fingerprint(F.col("url"), ["page"]).alias("scope"))
-
-
 @query("""
 SELECT 'urgent' AS kind, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 'all', count(*) FROM orders
 """)

@@ -11,24 +11,6 @@ from lotwright.operators import keyed, match
 from .registry import query, table
 
 
-@query("""
-WITH l AS (SELECT l_orderkey, count(*) AS images, min(l_shipdate) AS ends, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS categories, min(l_returnflag) AS category FROM lineitem GROUP BY 1)
-SELECT o_orderkey AS id, coalesce(nullif(trim(o_orderpriority), ''), 'none') AS title, images, categories, category, '/lot/' || o_orderkey AS url,
-       array_to_string(list_filter([n_name, r_name], lambda x: x IS NOT NULL AND x <> ''), ', ') AS location
-FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN l ON l_orderkey = o_orderkey
-""")
-def q_lot_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
-    buyers = table(spark, sf_dir, "customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name")
-    parts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("images"), F.array_sort(F.collect_set("l_returnflag")).alias("c"))
-    rows = table(spark, sf_dir, "orders").join(buyers, F.col("o_custkey") == F.col("c_custkey")).join(parts, F.col("o_orderkey") == F.col("l_orderkey"))
-    return rows.select(
-        F.col("o_orderkey").alias("id"), F.coalesce(F.nullif(F.trim("o_orderpriority"), F.lit("")), F.lit("none")).alias("title"), "images",
-        F.array_join("c", ",").alias("categories"), F.try_element_at("c", F.lit(1)).alias("category"), F.concat(F.lit("/lot/"), F.col("o_orderkey").cast("string")).alias("url"),
-        F.concat_ws(", ", F.nullif(F.col("n_name"), F.lit("")), F.nullif(F.col("r_name"), F.lit(""))).alias("location"),
-    )
-
-
 ANALYSIS = """
 a AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_extendedprice AS hammer, p_retailprice * greatest(1, l_quantity) AS market, coalesce(CAST(s_nationkey AS DOUBLE), 15.0) AS premium,
   l_extendedprice * (1 + coalesce(CAST(s_nationkey AS DOUBLE), 15.0) / 100) * (1 + l_tax) AS cost, l_returnflag <> 'R' AND l_quantity < 40 AS eligible
@@ -141,23 +123,6 @@ def q_keyed_merge_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.best(rows, ["key"], F.col("event_id"))
 
 
-@query("""
-SELECT user_id, count(*) AS jobs, max(event_id) FILTER (WHERE event_type IN ('view', 'click') AND value >= 10) AS latest, count(*) FILTER (WHERE event_type = 'purchase' AND value IS NOT NULL) AS complete FROM events GROUP BY 1
-""")
-def q_job_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fits = F.col("event_type").isin("view", "click") & (F.col("value") >= 10)
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("jobs"), F.max(F.when(fits, F.col("event_id"))).alias("latest"), F.count_if((F.col("event_type") == "purchase") & F.col("value").isNotNull()).alias("complete"))
-
-
-@query("""
-WITH g AS (SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_orderkey) AS ids, count(*) FILTER (WHERE o_totalprice IS NULL) AS bad FROM orders GROUP BY 1)
-SELECT o_orderstatus, n, n = ids AND bad = 0 AS exportable FROM g
-""")
-def q_export_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("ids"), F.count_if(F.col("o_totalprice").isNull()).alias("bad"))
-    return g.select("o_orderstatus", "n", ((F.col("n") == F.col("ids")) & (F.col("bad") == 0)).alias("exportable"))
-
-
 @query("""
 SELECT CAST(floor((o_orderkey - 1) / 100) AS BIGINT) AS page, count(*) AS n, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id, count(*) = 100 AS whole FROM orders GROUP BY 1
 """)
@@ -253,12 +218,6 @@ def q_partial_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("items"), taken.alias("exported"), (taken == F.count("*")).alias("complete"))
 
 
-@query("SELECT c_custkey, least(95, greatest(1, CAST(floor(c_acctbal / 100) AS BIGINT))) AS pct, CASE WHEN c_mktsegment = 'BUILDING' THEN true ELSE false END AS opt_in FROM customer")
-def q_settings_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pct = F.least(F.lit(95), F.greatest(F.lit(1), F.floor(F.col("c_acctbal") / 100).cast("long")))
-    return table(spark, sf_dir, "customer").select("c_custkey", pct.alias("pct"), F.coalesce(F.col("c_mktsegment") == "BUILDING", F.lit(False)).alias("opt_in"))
-
-
 @query("SELECT user_id, event_type, arg_max(value, event_id) AS value, count(*) AS writes FROM events WHERE user_id % 3 = 0 GROUP BY ALL")
 def q_job_store_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").where("user_id % 3 = 0")

@@ -14,20 +14,29 @@ from .registry import query, table
 WITH e AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS snapshot, o_orderkey AS id FROM orders),
 h AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS snapshot, l_orderkey AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 a AS (SELECT snapshot, id, count(*) AS a FROM e GROUP BY ALL), b AS (SELECT snapshot, id, count(*) AS b FROM h GROUP BY ALL),
-c AS (SELECT snapshot, coalesce(sum(a), 0) AS enumerated, count(a) AS enumerated_ids, coalesce(sum(b), 0) AS hydrated, count(b) AS hydrated_ids,
+c AS (SELECT snapshot, coalesce(sum(a), 0) AS enumerated, count(a) AS enumerated_ids, coalesce(sum(b), 0) AS hydrated, count(b) AS hydrated_ids, count(*) FILTER (WHERE a > 1) AS duplicates,
              count(*) FILTER (WHERE b IS NULL) AS missing, count(*) FILTER (WHERE a IS NULL) AS unexpected FROM a FULL JOIN b USING (snapshot, id) GROUP BY 1),
-x AS (SELECT snapshot, count(*) AS total FROM e GROUP BY 1)
-SELECT snapshot, total, CAST(enumerated AS BIGINT) AS enumerated, enumerated_ids, CAST(hydrated AS BIGINT) AS hydrated, hydrated_ids, missing, unexpected,
-       CASE WHEN enumerated <> enumerated_ids THEN 'duplicate-ids' WHEN hydrated <> hydrated_ids THEN 'duplicate-records' WHEN missing > 0 THEN 'missing-records'
-            WHEN unexpected > 0 THEN 'unexpected-records' WHEN enumerated_ids <> total THEN 'count-mismatch' END AS reason,
-       NOT (enumerated <> enumerated_ids OR hydrated <> hydrated_ids OR missing > 0 OR unexpected > 0 OR enumerated_ids <> total) AS complete
-FROM x JOIN c USING (snapshot)
+x AS (SELECT snapshot, count(*) AS n, CAST(snapshot AS INT) % 9 AS k FROM e GROUP BY 1),
+f AS (SELECT snapshot, CASE WHEN k = 6 THEN NULL WHEN k = 8 THEN n + 1 ELSE n END AS total, k, n FROM x)
+SELECT snapshot, total, CAST(enumerated AS BIGINT) AS enumerated, enumerated_ids, CAST(hydrated AS BIGINT) AS hydrated, hydrated_ids, duplicates, missing, unexpected,
+       CASE WHEN k = 0 THEN 'route-fingerprint-changed' WHEN k = 1 THEN 'user-stop' WHEN k = 2 THEN 'api-page-failure' WHEN k = 3 THEN 'api-hydration-failure' WHEN k = 4 THEN 'api-total-drift' WHEN k = 5 THEN 'api-visible-total-mismatch'
+            WHEN total IS NULL THEN 'api-total-missing' WHEN duplicates > 0 THEN 'api-duplicate-ids' WHEN enumerated_ids <> total THEN 'api-enumeration-count-mismatch' WHEN missing > 0 THEN 'api-missing-hydration'
+            WHEN unexpected > 0 THEN 'api-unexpected-hydration' WHEN hydrated_ids <> total THEN 'api-hydration-count-mismatch' END AS reason, reason IS NULL AS complete
+FROM f JOIN c USING (snapshot)
 """)
 def q_coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("string").alias("snapshot"), F.col("o_orderkey").alias("id"))
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id")).join(orders, "id").select("snapshot", "id")
-    expected = orders.groupBy("snapshot").agg(F.count("*").alias("total")).withColumns({"start": F.lit("s"), "end": F.lit("s")})
-    return coverage.audit(orders, lines, expected)
+    """Orders of a year against those that lines are found for; each year states other facts about its capture."""
+    year = F.year("o_orderdate").cast("string").alias("snapshot")
+    orders = table(spark, sf_dir, "orders").select(year, F.col("o_orderkey").alias("id"))
+    counted = table(spark, sf_dir, "lineitem").select("l_orderkey")
+    lines = counted.join(orders, F.col("l_orderkey") == F.col("id")).select("snapshot", "id")
+    k = F.col("snapshot").cast("int") % 9
+    stated = orders.groupBy("snapshot").agg(F.count("*").alias("n"))
+    stated = stated.select(
+        "snapshot", F.when(k == 6, F.lit(None)).when(k == 8, F.col("n") + 1).otherwise(F.col("n")).alias("total"), F.lit("a").alias("start"), F.when(k == 0, "b").otherwise("a").alias("end"), (k == 1).alias("stopped"),
+        F.when(k == 2, 1).otherwise(0).alias("failed_pages"), F.when(k == 3, 1).otherwise(0).alias("failed_batches"), F.when(k == 4, 1).otherwise(0).alias("drifted"), F.when(k == 5, F.lit(0)).cast("long").alias("visible_total"),
+    )
+    return coverage.audit(orders, lines, stated)
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -181,16 +190,6 @@ def q_last_writer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.merged(rows, "user_id", "event_id")
 
 
-@query("""
-SELECT c_custkey, regexp_replace(lower(c_name), '([0-9]+)', '0000000000\\1', 'g') AS padded, row_number() OVER (ORDER BY CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT), c_custkey) AS place FROM customer
-ORDER BY place LIMIT 50
-""")
-def q_natural_sort_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = F.regexp_extract("c_name", "([0-9]+)", 1).cast("long")
-    top = table(spark, sf_dir, "customer").select("c_custkey", F.regexp_replace(F.lower("c_name"), "([0-9]+)", "0000000000$1").alias("padded"), number.alias("n")).orderBy("n", "c_custkey").limit(50)
-    return top.select("c_custkey", "padded", F.row_number().over(Window.orderBy("n", "c_custkey")).alias("place"))  # 50 rows
-
-
 @query("""
 SELECT 'union' AS kind, count(*) AS n FROM (SELECT c_nationkey FROM customer UNION ALL SELECT s_nationkey FROM supplier)
 UNION ALL SELECT 'distinct', count(*) FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)

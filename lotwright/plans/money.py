@@ -122,21 +122,6 @@ def q_current_bid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.round(F.max(bid), 6).alias("current_bid"))
 
 
-#: Sales tax by nation key, as a stand-in for the table by state.
-TAX_RULE = "CAST(n_nationkey % 11 AS DOUBLE) * 0.75"
-
-
-@query(f"""
-SELECT c_mktsegment, count(*) AS buyers, round(sum(CASE WHEN c_acctbal < 0 THEN 0 ELSE coalesce(r, 0) END), 6) AS tax
-FROM customer LEFT JOIN (SELECT n_nationkey, {TAX_RULE} AS r FROM nation WHERE n_regionkey <> 3) ON c_nationkey = n_nationkey GROUP BY 1
-""")
-def q_tax_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = table(spark, sf_dir, "nation").where("n_regionkey <> 3").selectExpr("n_nationkey", f"{TAX_RULE} AS r")
-    rows = table(spark, sf_dir, "customer").join(rates, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    tax = F.when(F.col("c_acctbal") < 0, 0.0).otherwise(F.coalesce("r", F.lit(0.0)))
-    return rows.groupBy("c_mktsegment").agg(F.count("*").alias("buyers"), F.round(F.sum(tax), 6).alias("tax"))
-
-
 @query("""
 SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 10.0
        WHEN s_suppkey IS NOT NULL AND o_orderkey % 60 <= 30 THEN CAST(s_nationkey AS DOUBLE)

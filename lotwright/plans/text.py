@@ -89,15 +89,6 @@ def q_link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.size("h").cast("long").alias("links"), total.cast("long").alias("chars"))
 
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-
-
-@query(f"SELECT doc_id, len(regexp_extract_all(text, '{EMAIL}')) AS found, sha256(regexp_replace(text, '{EMAIL}', '[email]', 'g')) AS digest FROM documents WHERE regexp_matches(text, '{EMAIL}')")
-def q_pii_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike(EMAIL))
-    return rows.select("doc_id", F.regexp_count("text", F.lit(EMAIL)).cast("long").alias("found"), F.sha2(F.regexp_replace("text", EMAIL, "[email]"), 256).alias("digest"))
-
-
 @query("SELECT p_partkey, regexp_matches(p_name, '(?i)' || regexp_escape(string_split(p_type, ' ')[1])) AS literal FROM part")
 def q_dynamic_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a word of one column occurs in another, as text rather than as a pattern for each row."""

@@ -24,12 +24,6 @@ def q_encode_keys_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", U.encoded(F.col("p_name")).alias("encoded"), F.octet_length("p_name").cast("long").alias("bytes"), key.alias("key"))
 
 
-@query(f"SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '[?&](?:utm_[a-z]+|ref)=[^&#]*', '', 'g') AS canonical FROM pages")
-def q_redirect_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bare = F.regexp_replace("url", "#.*$", "")
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(bare, "[?&](?:utm_[a-z]+|ref)=[^&#]*", "").alias("canonical"))
-
-
 @query("SELECT page_id, octet_length(encode(html)) <= 5000 AS within, url LIKE 'http%' AS fetched, (url IS NOT NULL AND html IS NOT NULL) AS complete FROM pages")
 def q_ingest_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages")

@@ -70,7 +70,7 @@ def test_coverage_reasons(spark):
     b = ids([("ok", 2), ("ok", 1), ("dup", 1), ("miss", 1), ("extra", 1), ("extra", 5), ("drift", 1)])
     x = spark.createDataFrame([("ok", 2, "f", "f"), ("dup", 2, "f", "f"), ("miss", 2, "f", "f"), ("extra", 1, "f", "f"), ("drift", 1, "f", "g"), ("none", None, "f", "f")], "snapshot string, total long, start string, end string")
     got = {r["snapshot"]: r["reason"] for r in coverage.audit(a, b, x).collect()}
-    assert got == {"ok": None, "dup": "duplicate-ids", "miss": "missing-records", "extra": "unexpected-records", "drift": "scope-changed", "none": "total-unknown"}
+    assert got == {"ok": None, "dup": "api-duplicate-ids", "miss": "api-missing-hydration", "extra": "api-unexpected-hydration", "drift": "route-fingerprint-changed", "none": "api-total-missing"}
 
 
 def test_band_choice_takes_the_cheapest_near_the_top(spark):

@@ -17,7 +17,7 @@ def test_job_store_reads_all_events(spark):
 #: Queries over literal rows, and the table that each operator runs over in full as name_all.
 OPERATORS = {
     "documents": "q_cautions q_kind q_discriminators q_discriminators_rest q_currency q_mixed_lot q_stated_retail q_structured_desc q_tristate q_research_query q_inventory_prefix q_max_rate q_size_conflict q_identity",
-    "pages": "q_html_tiles q_page_state q_html_candidates q_json_pages q_html_groups q_embedded_json_bfs q_state_normalize q_script_literals q_json_fragment q_listing_snapshot q_jsonld_richest q_route_literals",
+    "pages": "q_html_tiles q_page_state q_html_candidates q_json_pages q_html_groups q_embedded_json_bfs q_state_normalize q_script_literals q_json_fragment q_listing_snapshot q_jsonld_richest",
 }
 
 
@@ -27,7 +27,7 @@ def test_operator_reads_the_whole_table(spark, table, name):
     assert any(f"/{table}.parquet" in f for f in df.inputFiles())
     rows = spark.read.parquet(f"{DATA}/{table}.parquet").count()
     n = df.count()
-    if name in "q_cautions q_kind q_discriminators q_currency q_mixed_lot q_stated_retail q_research_query q_inventory_prefix q_max_rate q_size_conflict q_identity q_page_state q_state_normalize q_route_literals".split():
+    if name in "q_cautions q_kind q_discriminators q_currency q_mixed_lot q_stated_retail q_research_query q_inventory_prefix q_max_rate q_size_conflict q_identity q_page_state q_state_normalize".split():
         assert n == rows  # one row each
 
 
