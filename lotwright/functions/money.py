@@ -116,3 +116,13 @@ def usd(x: Column) -> Column:
 
 def max_bid_label(current: Column, max_bid: Column) -> Column:
     return F.when(max_bid.isNull() | current.isNull(), "none").when(current < max_bid, "under").when(current == max_bid, "at").otherwise("over")
+
+
+def first_number(x: Column, signed: bool = False) -> Column:
+    """The first number in text, commas taken out; with ``signed`` a minus before it counts."""
+    return F.nullif(F.regexp_extract(F.replace(x, F.lit(","), F.lit("")), (r"-?" if signed else "") + r"\d+(?:\.\d+)?", 0), F.lit("")).try_cast("double")
+
+
+def usd_number(x: Column) -> Column:
+    """The first amount in text that is followed by USD; null if there is none."""
+    return F.nullif(F.regexp_extract(F.replace(x, F.lit(","), F.lit("")), r"(?i)(\d+(?:\.\d+)?)\s*USD(?![A-Za-z0-9_])", 1), F.lit("")).try_cast("double")

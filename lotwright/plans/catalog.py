@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotwright.plans import captures, identity, landed, listings, lots, matching, money, records, routes, state, text, urls  # noqa: F401  each registers its queries
+from lotwright.plans import captures, identity, landed, listings, lots, matching, money, records, retail, routes, state, text, urls  # noqa: F401  each registers its queries
 
 from .registry import ORACLES, QUERIES, Query
 

@@ -51,13 +51,6 @@ def q_html_candidates(rows: DataFrame) -> DataFrame:
     return markup.candidates(rows, "html", ["page_id"])
 
 
-@query("""
-SELECT page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS title, len(regexp_extract_all(html, '(?i)<p>')) AS paragraphs FROM pages
-""")
-def q_html_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?is)<h1[^>]*>(.*?)</h1>", 1).alias("title"), F.regexp_count("html", F.lit("(?i)<p>")).cast("long").alias("paragraphs"))
-
-
 PAGES = [{"pageNumber": k, "pageLength": 2, "totalCount": 5, "results": [{"id": 2 * k + i, "title": f"Lot {2 * k + i}", "highBid": float(k)} for i in range(2 if k < 3 else 1)]} for k in (1, 2, 3)]
 
 

@@ -154,16 +154,6 @@ def q_page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.contiguous(ranges, ["l_orderkey"], "s", "e")
 
 
-@query("""
-WITH t AS (SELECT conv_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM conversations)
-SELECT before, role, count(*) AS n, coalesce(before = role, false) AS repeated FROM t GROUP BY ALL
-""")
-def q_phase_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sequences.transitions(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn", "role", "text"], "role")
-    same = F.coalesce(F.col("before") == F.col("role"), F.lit(False))
-    return rows.groupBy("before", "role").agg(F.count("*").alias("n")).withColumn("repeated", same)
-
-
 @query("""
 WITH h AS (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS total, max(l_linestatus) AS status FROM lineitem GROUP BY 1)
 SELECT o_orderkey, CASE WHEN total > 0 THEN total ELSE o_totalprice END AS price, CASE WHEN o_orderstatus = 'F' THEN o_orderstatus ELSE coalesce(status, o_orderstatus) END AS status, total IS NOT NULL AS hydrated

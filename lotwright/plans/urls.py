@@ -22,9 +22,3 @@ def q_host_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_encode_keys_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat(F.lit("retail:v1:"), F.lower("p_brand"), F.lit(":"), F.col("p_size").cast("string"))
     return table(spark, sf_dir, "part").select("p_partkey", U.encoded(F.col("p_name")).alias("encoded"), F.octet_length("p_name").cast("long").alias("bytes"), key.alias("key"))
-
-
-@query("SELECT page_id, octet_length(encode(html)) <= 5000 AS within, url LIKE 'http%' AS fetched, (url IS NOT NULL AND html IS NOT NULL) AS complete FROM pages")
-def q_ingest_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages")
-    return rows.select("page_id", (F.octet_length("html") <= 5000).alias("within"), F.col("url").startswith("http").alias("fetched"), (F.col("url").isNotNull() & F.col("html").isNotNull()).alias("complete"))
