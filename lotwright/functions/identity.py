@@ -116,6 +116,12 @@ def kind(title: Column) -> Column:
     return F.coalesce(*(F.when(text.rlike(ascii_words(p)), k) for k, p in V.KINDS.items()))
 
 
+def kind_position(title: Column, of: Column) -> Column:
+    """Where in a title a kind's pattern first fits, from 1; 0 if it does not, or without a kind."""
+    text = F.lower(title)
+    return F.coalesce(*(F.when(of == k, F.regexp_instr(text, F.lit(ascii_words(p)))) for k, p in V.KINDS.items()), F.lit(0))
+
+
 def brand_family(title: Column) -> Column:
     text = F.lower(normalised(title))
     return F.coalesce(*(F.when(text.rlike(ascii_words(p)), k) for k, p in V.BRANDS.items()))
@@ -217,7 +223,7 @@ def _accessory(lot: Column, offer: Column, exact: Column, branded: Column) -> Co
     known = F.array_join(F.transform(F.filter(F.array(lot["brand"], lot["model"], lot["model2"]), lambda x: F.coalesce(x != "", F.lit(False))), loose), "|")
     about = (known != "") & F.rlike(title, F.concat(F.lit(B + rf"(?:{V.FOR_VERBS})\s+(?:the\s+)?[^,;.]{{0,40}}?(?:"), known, F.lit(")")))
     shared = F.arrays_overlap(lot["platformVariants"], offer["platformVariants"]) | F.arrays_overlap(lot["seriesSignatures"], offer["seriesSignatures"])
-    kind_at = F.coalesce(*(F.when(lot["kind"] == k, at(p)) for k, p in V.KINDS.items()), F.lit(0))
+    kind_at = kind_position(offer["title"], lot["kind"])
     between = F.substring(title, kind_at, F.greatest(noun - kind_at, F.lit(0)))
     first = F.regexp_extract(F.regexp_replace(title, V.TITLE_PREFIX, ""), r"[a-z0-9][a-z0-9.&'-]*", 0)
     brand = F.lower(lot["brand"])

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwright.functions import urls as U
 from lotwright.operators import sequences
 from lotwright.sources import markup
 
-from .registry import operator, query, table
-
-ACCOUNT = "<h2>Won</h2><div data-lot-id=\"1\"><h3>Lamp</h3></div><div data-lot-id=\"2\"><h3>Desk</h3></div><h2>Lost</h2><div data-lot-id=\"3\"><h3>Rug</h3></div>"
+from .landed import TILES
+from .registry import landed, query, table
 
+#: What a store of nested records, a page with script literals, an answer with a fragment, a listing table and linked data hold, by page_id.
+STORE = """CASE WHEN page_id % 4 = 0 THEN 'broken {' ELSE '{"a":{"b":[{"portalChildren":[12,"' || page_id || '","x",12]}]},"portalChildren":"56, ' || (page_id + 100000) || '"}' END"""
+SCRIPT = """'<script>lots.push(new Lot({id:' || page_id || ',title:\'\'Lamp\'\',bid:12.50}));lots.push(new Lot({id:9' || page_id || ',title:\'\'Desk\'\'}));</script><div data-lot-id="' || page_id || '"><h3>lamp</h3></div><div data-lot-id="m' || page_id || '"><h3>Rug</h3>Bid: $4</div>'"""
+FRAGMENT = r"""'{"ok":true,"email":"x@y.zz","html":"<div data-lot-id=\\"' || page_id || '\\"><h3>Vase</h3></div><div data-lot-id=\\"y' || page_id || '\\"><h3>Bowl &amp; dish</h3></div>"}'"""
+LISTING = "'<table><tr><th>Item</th><th>Status</th><th>Price</th></tr><tr><td>A' || page_id || '</td><td>Active</td><td>$5</td></tr><tr><td>B2</td><td>Ended</td><td>$1,20' || page_id % 10 || '</td></tr></table>'"
+LINKED = """'<script type="application/ld+json">{"@type":"Product","name":"a"}</script><script type="application/ld+json">{"@type":"Product","name":"b' || page_id || '","sku":"9"}</script>'"""
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "html")
@@ -22,11 +26,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
 
 
-def _page(html: str):
-    return lambda spark: spark.createDataFrame([(1, html)], "page_id long, html string")
-
-
-@operator("SELECT * FROM (VALUES ('1', 'Won'), ('2', 'Won'), ('3', 'Lost')) AS t(id, grp)", _page(ACCOUNT), _pages, drop="page_id")
+@landed("SELECT page_id, CAST(page_id AS VARCHAR) AS id, 'Won' AS grp FROM pages UNION ALL SELECT page_id, 'x' || page_id, 'Lost' FROM pages", {"page_id": "page_id", "html": f"coalesce(html, '') || {TILES}"}, _pages)
 def q_html_groups(rows: DataFrame) -> DataFrame:
     """Tiles with the heading that they stand under: the last one before them on the page."""
     parts = markup.slices(rows, "html", r"<(?:h2>|div\b[^>]*\bdata-lot-id\s*=)", ["page_id"])
@@ -35,13 +35,12 @@ def q_html_groups(rows: DataFrame) -> DataFrame:
     return placed.where("id IS NOT NULL").select("page_id", "id", "grp")
 
 
-STORES = [(1, '{"a":{"b":[{"portalChildren":[12,"34","x",12]}]},"portalChildren":["56"]}'), (2, '{"portalChildren":[]}'), (3, None), (4, "broken {")]
-
-
-@operator("SELECT * FROM (VALUES (1::BIGINT, '12'), (1, '34'), (1, '56')) AS t(id, child)", lambda spark: spark.createDataFrame(STORES, "id long, body string"), lambda spark, sf_dir: table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("body")))
+@landed("""
+SELECT page_id AS id, unnest(list_distinct(['12', CAST(page_id AS VARCHAR), '56', CAST(page_id + 100000 AS VARCHAR)])) AS child FROM pages WHERE page_id % 4 <> 0
+""", {"id": "page_id", "body": STORE}, lambda spark, sf_dir: table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("body")))
 def q_embedded_json_bfs(rows: DataFrame) -> DataFrame:
-    lists = F.regexp_extract_all("body", F.lit(r'"portalChildren"\s*:\s*\[([^\]]*)\]'), F.lit(1))
-    found = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r'(?:^|[\s,"])(\d+)(?=$|[\s,"])'), F.lit(1))))
+    lists = F.regexp_extract_all("body", F.lit(r'"portalChildren"\s*:\s*(\[[^\]]*\]|"[^"]*")'), F.lit(1))
+    found = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r'(?:^|[\s,"\[])(\d+)(?=$|[\s,"\]])'), F.lit(1))))
     return rows.select("id", F.explode(F.array_distinct(found)).alias("child"))
 
 
@@ -55,26 +54,24 @@ def q_state_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.coalesce("resale", F.lit(-1.0)).alias("resale"), F.col("resale").isNotNull().alias("stored"))
 
 
-STORED = [(1, "12.5", "2"), (2, "", None), (3, "n/a", "0"), (4, "0", "900")]
-
-
 def _url_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last part of each page's URL, as text that may be a number."""
     end = F.substring_index("url", "/", -1)
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), end.alias("r"), end.alias("q"))
 
 
-@operator("SELECT * FROM (VALUES (1::BIGINT, 12.5::DOUBLE, 2), (2, NULL, 1), (3, NULL, 1), (4, 0.0, 500)) AS t(id, resale, quantity)", lambda spark: spark.createDataFrame(STORED, "id long, r string, q string"), _url_ends)
+@landed("""
+SELECT page_id AS id, CASE page_id % 4 WHEN 0 THEN page_id + 0.5 WHEN 3 THEN 0.0 END AS resale, CAST(CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN least(500, page_id + 1) ELSE 1 END AS INT) AS quantity FROM pages
+""", {"id": "page_id", "r": "CASE page_id % 4 WHEN 0 THEN page_id || '.5' WHEN 1 THEN '' WHEN 2 THEN 'n/a' ELSE '0' END", "q": "CASE page_id % 3 WHEN 0 THEN '0' WHEN 1 THEN '' || (page_id + 1) ELSE NULL END"}, _url_ends)
 def q_state_normalize(rows: DataFrame) -> DataFrame:
     """Stored text to numbers: what is no number is null and never 0; quantities are 1 to 500, 1 where unknown."""
     quantity = F.greatest(F.lit(1), F.least(F.lit(500), F.coalesce(F.col("q").try_cast("int"), F.lit(1))))
     return rows.select("id", F.nullif(F.col("r"), F.lit("")).try_cast("double").alias("resale"), quantity.alias("quantity"))
 
 
-PREMIUMS = [(1, "A buyer's premium of 15% online, 18% on site. 25% off today."), (2, "Premium: 15.5 %"), (3, "Sales tax 8%. Premium 45%"), (4, None)]
-
-
-@operator("SELECT * FROM (VALUES (1::BIGINT, 18.0::DOUBLE), (2, 15.5), (3, NULL), (4, NULL)) AS t(id, rate)", lambda spark: spark.createDataFrame(PREMIUMS, "id long, t string"), _texts)
+@landed("SELECT page_id AS id, CASE WHEN page_id % 6 = 0 THEN NULL WHEN page_id % 40 <= 30 THEN greatest(15.0, page_id % 40) ELSE 15.0 END::DOUBLE AS rate FROM pages", {
+    "id": "page_id", "t": "CASE WHEN page_id % 6 = 0 THEN 'Sales tax 8%. Premium 45%' ELSE 'A buyer''s premium of 15% online, ' || page_id % 40 || '% on site. 29% off today.' END"
+}, _texts)
 def q_max_rate(rows: DataFrame) -> DataFrame:
     """The highest buyer's premium from 0 to 30 % that a text states in a sentence about premiums."""
     sentences = F.filter(F.split("t", r"(?<=[.!?])\s"), lambda s: F.lower(s).contains("premium"))
@@ -101,10 +98,7 @@ def q_page_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(bare.alias("scope")).agg(F.count("*").alias("pages"))
 
 
-SCRIPT = "<script>lots.push(new Lot({id:7,title:'Lamp',bid:12.50}));lots.push(new Lot({id:8,title:'Desk'}));</script><div data-lot-id=\"7\"><h3>lamp</h3></div>"
-
-
-@operator("SELECT * FROM (VALUES ('7', 'Lamp', 12.5::DOUBLE), ('8', 'Desk', NULL)) AS t(id, title, bid)", _page(SCRIPT), _pages, drop="page_id")
+@landed("SELECT page_id, CAST(page_id AS VARCHAR) AS id, 'Lamp' AS title, 12.5::DOUBLE AS bid FROM pages UNION ALL SELECT page_id, '9' || page_id, 'Desk', NULL FROM pages UNION ALL SELECT page_id, 'm' || page_id, 'Rug', 4.0 FROM pages", {"page_id": "page_id", "html": f"coalesce(html, '') || {SCRIPT}"}, _pages)
 def q_script_literals(rows: DataFrame) -> DataFrame:
     """Records of script literals joined with those of the markup; the script's title counts, the markup fills gaps."""
     literals = rows.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"new Lot\((\{[^}]*\})\)"), F.lit(1))).alias("x"))
@@ -114,10 +108,7 @@ def q_script_literals(rows: DataFrame) -> DataFrame:
     return own.join(tiles, ["page_id", "id"], "full").select("page_id", "id", F.coalesce("title", "t2").alias("title"), F.coalesce("bid", "b2").alias("bid"))
 
 
-FRAGMENT = '{"ok":true,"email":"x@y.zz","html":"<div data-lot-id=\\"5\\"><h3>Vase</h3></div><div data-lot-id=\\"6\\"><h3>Bowl &amp; dish</h3></div>"}'
-
-
-@operator("SELECT * FROM (VALUES ('5', 'Vase'), ('6', 'Bowl & dish')) AS t(id, title)", _page(FRAGMENT), _pages, drop="page_id")
+@landed("SELECT page_id, CAST(page_id AS VARCHAR) AS id, 'Vase' AS title FROM pages UNION ALL SELECT page_id, 'y' || page_id, 'Bowl & dish' FROM pages", {"page_id": "page_id", "html": FRAGMENT}, _pages)
 def q_json_fragment(rows: DataFrame) -> DataFrame:
     pages = rows.select("page_id", F.get_json_object("html", "$.html").alias("html"))
     return markup.lot_tiles(pages, "html", ["page_id"]).select("page_id", "id", "title")
@@ -129,10 +120,7 @@ def q_source_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("lines"), F.count_if(F.col("o_orderkey").isNull()).alias("orphans"), F.count_if(F.col("l_shipdate") < F.col("o_orderdate")).alias("early"))
 
 
-LISTING = "<table><tr><th>Item</th><th>Status</th><th>Price</th></tr><tr><td>A1</td><td>Active</td><td>$5</td></tr><tr><td>B2</td><td>Ended</td><td>$1,200</td></tr></table>"
-
-
-@operator("SELECT * FROM (VALUES ('A1', 'Active', '$5'), ('B2', 'Ended', '$1,200')) AS t(item, status, price)", _page(LISTING), _pages, drop="page_id")
+@landed("SELECT page_id, 'A' || page_id AS item, 'Active' AS status, '$5' AS price FROM pages UNION ALL SELECT page_id, 'B2', 'Ended', '$1,20' || page_id % 10 FROM pages", {"page_id": "page_id", "html": f"coalesce(html, '') || {LISTING}"}, _pages)
 def q_listing_snapshot(rows: DataFrame) -> DataFrame:
     """Cells of a table by the name of their column, wherever the column stands."""
     lines = F.regexp_extract_all("html", F.lit(r"(?is)<tr>(.*?)</tr>"), F.lit(1))
@@ -142,24 +130,20 @@ def q_listing_snapshot(rows: DataFrame) -> DataFrame:
     return rows.select("page_id", *(cell(k).alias(k) for k in ("item", "status", "price")))
 
 
-LINKED = '<script type="application/ld+json">{"@type":"Product","name":"a"}</script><script type="application/ld+json">{"@type":"Product","name":"b","sku":"9"}</script>'
-
-
-@operator("SELECT * FROM (VALUES (1::BIGINT, 'b', '9', 3)) AS t(p, name, sku, fields)", lambda spark: spark.createDataFrame([(1, LINKED)], "p long, html string"), lambda spark, sf_dir: table(spark, sf_dir, "pages").select(F.col("page_id").alias("p"), "html"))
+@landed("SELECT page_id AS p, 'b' || page_id AS name, '9' AS sku, 3 AS fields FROM pages", {"p": "page_id", "html": f"coalesce(html, '') || {LINKED}"}, lambda spark, sf_dir: table(spark, sf_dir, "pages").select(F.col("page_id").alias("p"), "html"))
 def q_jsonld_richest(rows: DataFrame) -> DataFrame:
     return markup.json_ld(rows, "html", ["p"])
 
 
-SIZES = [(1, "Shirt size XL", "Size: M, cotton"), (2, "Shirt size L", "size L"), (3, "Shirt", "size M")]
-
-
 def _first_and_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first sentence of each document as title, the others as description."""
     parts = F.split("text", r"(?<=[.!?])\s", 2)
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.get(parts, F.lit(0)).alias("title"), F.get(parts, F.lit(1)).alias("description"))
 
 
-@operator("SELECT * FROM (VALUES (1::BIGINT, true), (2, false), (3, false)) AS t(id, conflict)", lambda spark: spark.createDataFrame(SIZES, "id long, title string, description string"), _first_and_rest)
+@landed("SELECT page_id AS id, page_id % 3 <> page_id % 2 AND page_id % 5 <> 0 AS conflict FROM pages", {
+    "id": "page_id", "title": "'Shirt size ' || CASE page_id % 3 WHEN 0 THEN 'XL' WHEN 1 THEN 'M' ELSE 's' END", "description": "CASE WHEN page_id % 5 = 0 THEN 'cotton' ELSE 'Size: ' || CASE page_id % 2 WHEN 0 THEN 'xl' ELSE 'M' END || ', cotton' END"
+}, _first_and_rest)
 def q_size_conflict(rows: DataFrame) -> DataFrame:
     sizes = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"\bsize:?\s*(xs|s|m|l|xl|xxl)\b"), F.lit(1)))
     a, b = sizes("title"), sizes("description")

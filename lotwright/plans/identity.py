@@ -13,8 +13,3 @@ from .registry import query, table
 @query("SELECT p_partkey, contains(regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g'), lower(split_part(p_name, ' ', 1))) AS joined FROM part")
 def q_model_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", I.model_matches(F.col("p_name"), F.split_part("p_name", F.lit(" "), F.lit(1))).alias("joined"))
-
-
-@query("SELECT p_partkey, instr(lower(p_name), split_part(lower(p_name), ' ', 2)) AS at FROM part")
-def q_kind_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.expr("instr(lower(p_name), split_part(lower(p_name), ' ', 2))").cast("long").alias("at"))

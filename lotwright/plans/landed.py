@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,50 +10,48 @@ from pyspark.sql import functions as F
 from lotwright.sources import markup, paged
 from lotwright.streaming import watch
 
-from .registry import operator, query, table
+from .registry import landed, query, table
 
-TILES = [
-    (1, '<h2>Tools</h2><div data-lot-id="11"><h3>Drill &amp; bits</h3><a href="/lot/11">see</a> High bid: $1,040.00</div><div data-lot-id="12"><h3>Saw</h3><a href="/lot/12">see</a></div>'),
-    (2, '<p>No exact matches</p>'),
-    (3, "<p>Showing 1 to 24 of 1,250 lots</p><div data-lot-id='13'><h4>Desk</h4> Bid: $5</div>"),
-]
-RESULTS = [
-    (1, '<div data-key="B000000001"><h2>Acme TV</h2>Sponsored<span class="price">$10</span></div><div data-key="B000000001"><h2>Acme TV</h2><span class="price">$30.50</span></div>'),
-    (2, '<div data-key="B000000002"><h2>Acme TV renewed</h2><span class="price">$7</span></div><div data-key="bad"><h2>x</h2></div>'),
-]
-
-
-def _tiles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TILES, "page_id long, html string")
-
-
-def _results(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RESULTS, "page_id long, html string")
+#: What a page of a catalogue, its counter, a page of retail results, and a page of the lot scan hold, by page_id.
+TILES = """'<h2>Won</h2><div data-lot-id="' || page_id || '"><h3>Drill &amp; ' || page_id || '</h3><a href="/lot/' || page_id || '">see</a> High bid: $1,04' || page_id % 10 || '.00</div><h2>Lost</h2><div data-lot-id="x' || page_id || '"><h3>Saw</h3></div>'"""
+STATE = "CASE page_id % 3 WHEN 0 THEN '<p>Showing 1 to 24 of 1,' || (100 + page_id % 900) || ' lots</p>' WHEN 1 THEN '<p>No lots found</p>' ELSE '' END"
+_KEY = "lpad('' || page_id, 9, '0')"
+RESULTS = f"""'<div data-key="B' || {_KEY} || '"><h2>Acme TV</h2>Sponsored<span class="price">$10</span></div><div data-key="B' || {_KEY} || '"><h2>Acme TV</h2><span class="price">$30.50</span></div><div data-key="C' || {_KEY} || '"><h2>Acme TV renewed</h2>'
+  || CASE WHEN page_id % 2 = 0 THEN '<span class="price">$7</span>' ELSE '' END || '</div><div data-key="bad"><h2>x</h2></div>'"""
+BODY = """'{"pageNumber":' || page_id || ',"totalCount":5,"noExactMatches":' || CASE WHEN page_id % 5 = 0 THEN 'true' ELSE 'false' END || CASE WHEN page_id % 4 = 1 THEN ',"filteredCount":' || page_id % 7 ELSE '' END
+  || ',"results":[{"id":' || page_id * 2 || ',"title":"Lot 0","highBid":1.5},{"id":' || (page_id * 2 + 1) || ',"title":"Lot 1"}]}'"""
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "html")
 
 
-@operator("SELECT * FROM (VALUES (1::BIGINT, 1, '11', 'Drill & bits', '/lot/11', 1040.0::DOUBLE), (1, 2, '12', 'Saw', '/lot/12', NULL), (3, 1, '13', 'Desk', NULL, 5.0)) AS t(page_id, pos, id, title, url, bid)", _tiles, _pages)
+@landed(f"""
+SELECT page_id, 1 AS pos, CAST(page_id AS VARCHAR) AS id, 'Drill & ' || page_id AS title, '/lot/' || page_id AS url, CAST('104' || page_id % 10 AS DOUBLE) AS bid FROM pages UNION ALL SELECT page_id, 2, 'x' || page_id, 'Saw', NULL, NULL FROM pages
+""", {"page_id": "page_id", "html": f"coalesce(html, '') || {TILES}"}, _pages)
 def q_html_tiles(rows: DataFrame) -> DataFrame:
     return markup.lot_tiles(rows, "html", ["page_id"])
 
 
-@operator("SELECT * FROM (VALUES (1::BIGINT, NULL::INT, NULL::INT, NULL::INT, false), (2, NULL, NULL, NULL, true), (3, 1, 24, 1250, false)) AS t(page_id, first, last, total, none)", _tiles, _pages)
+@landed("""
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 1 END AS first, CASE WHEN page_id % 3 = 0 THEN 24 END AS last, CASE WHEN page_id % 3 = 0 THEN CAST(1100 + page_id % 900 AS INT) END AS total, page_id % 3 = 1 AS none FROM pages
+""", {"page_id": "page_id", "html": f"coalesce(html, '') || {STATE}"}, _pages)
 def q_page_state(rows: DataFrame) -> DataFrame:
     return rows.select("page_id", markup.page_state(F.col("html")).alias("s")).select("page_id", "s.*")
 
 
-@operator("SELECT * FROM (VALUES (1::BIGINT, 'B000000001', 'Acme TV', 30.5::DOUBLE, false, false), (2, 'B000000002', 'Acme TV renewed', 7.0, false, true)) AS t(page_id, key, title, price, sponsored, used)", _results, _pages)
+@landed("""
+SELECT page_id, 'B' || lpad('' || page_id, 9, '0') AS key, 'Acme TV' AS title, 30.5::DOUBLE AS price, false AS sponsored, false AS used FROM pages
+UNION ALL SELECT page_id, 'C' || lpad('' || page_id, 9, '0'), 'Acme TV renewed', CASE WHEN page_id % 2 = 0 THEN 7.0 END, false, true FROM pages
+""", {"page_id": "page_id", "html": f"coalesce(html, '') || {RESULTS}"}, _pages)
 def q_html_candidates(rows: DataFrame) -> DataFrame:
     return markup.candidates(rows, "html", ["page_id"])
 
 
-PAGES = [{"pageNumber": k, "pageLength": 2, "totalCount": 5, "results": [{"id": 2 * k + i, "title": f"Lot {2 * k + i}", "highBid": float(k)} for i in range(2 if k < 3 else 1)]} for k in (1, 2, 3)]
-
-
-@operator("SELECT * FROM (VALUES (1, 0, 5::BIGINT, 2::BIGINT, 'Lot 2', 1.0::DOUBLE), (1, 1, 5, 3, 'Lot 3', 1.0), (2, 0, 5, 4, 'Lot 4', 2.0), (2, 1, 5, 5, 'Lot 5', 2.0), (3, 0, 5, 6, 'Lot 6', 3.0)) AS t(page, pos, total, id, title, bid)", lambda spark: spark.createDataFrame([(json.dumps(p),) for p in PAGES], "body string"), lambda spark, sf_dir: table(spark, sf_dir, "pages").select(F.col("html").alias("body")))
+@landed("""
+SELECT CAST(page_id AS INT) AS page, CAST(pos AS INT) AS pos, CASE WHEN page_id % 4 = 1 THEN page_id % 7 ELSE 5 END AS total, page_id * 2 + pos AS id, 'Lot ' || pos AS title, CASE WHEN pos = 0 THEN 1.5 END AS bid
+FROM pages, (VALUES (0), (1)) AS v(pos) WHERE page_id % 5 <> 0
+""", {"body": BODY}, lambda spark, sf_dir: table(spark, sf_dir, "pages").select(F.col("html").alias("body")))
 def q_json_pages(rows: DataFrame) -> DataFrame:
     return paged.page_rows(rows, "body")
 

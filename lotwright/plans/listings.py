@@ -211,6 +211,21 @@ def q_identity(rows: DataFrame) -> DataFrame:
     return I.identified(rows, "title", "description").select("id", "identity.name", "identity.query", "identity.brand", "identity.model", "identity.model2", "identity.kind", "identity.family", "identity.sizes", "identity.tokens", "identity.telling", "identity.evidence")
 
 
+@listing_query(f""", k AS (SELECT id, lower(title) AS t FROM listings)
+SELECT id, CASE {' '.join(f"WHEN regexp_matches(t, '{p}') THEN length(regexp_extract(t, '(?s)^(.*?)(?:{p})', 1)) + 1" for p in V.KINDS.values())} ELSE 0 END AS at FROM k""")
+def q_kind_position(rows: DataFrame) -> DataFrame:
+    """Where a listing's title names its kind."""
+    return rows.select("id", I.kind_position(F.col("title"), I.kind(F.col("title"))).cast("long").alias("at"))
+
+
+@listing_query(f""", w AS (SELECT DISTINCT id, unnest(string_split_regex(title, '[\s,;/]+')) AS w FROM listings)
+SELECT id, w AS token, length(w) BETWEEN 2 AND 24 AND NOT regexp_matches(w, '{V.GENERIC_MODEL}') AND (regexp_matches(w, '\d') OR regexp_matches(w, '{V.STATED_MODEL}')) AS shaped FROM w""")
+def q_model_shape(rows: DataFrame) -> DataFrame:
+    """Which words of a listing's title are shaped like a model."""
+    rows = rows.select("id", F.explode(F.split("title", r"[\s,;/]+")).alias("token")).distinct()
+    return rows.select("id", "token", I.looks_like_model(F.col("token")).alias("shaped"))
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of an order as a candidate for the part of the order's first line; each part is read once as a lot and once as an offer."""
     parts = listings(spark, sf_dir)

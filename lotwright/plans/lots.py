@@ -236,11 +236,6 @@ def q_export_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", F.to_json(F.struct(F.struct(F.lit(1).alias("schemaVersion")).alias("context"), F.struct("c_name", "c_mktsegment").alias("item"))).alias("payload"))
 
 
-@query("SELECT p_partkey, length(p_name) BETWEEN 2 AND 24 AND regexp_matches(p_brand, '[0-9]') AS modelish, regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') AS compact FROM part")
-def q_model_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", (F.length("p_name").between(2, 24) & F.col("p_brand").rlike("[0-9]")).alias("modelish"), F.regexp_replace("p_brand", "[^A-Za-z0-9]", "").alias("compact"))
-
-
 @query("""
 WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity * (1 - l_discount) / 10 AS score FROM lineitem)
 SELECT CASE WHEN score >= 3 THEN 'matched' WHEN score > 0 THEN 'low_confidence' ELSE 'no_match' END AS status, count(*) AS n, round(min(score), 9) AS least FROM s GROUP BY 1

@@ -23,20 +23,22 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def operator(sql: str | None, literal: Query | Callable[[SparkSession], DataFrame], whole: Query, whole_sql: str | None = None, drop: str | None = None) -> Callable:
-    """Registers a function of rows twice: over literal rows (without the column ``drop``), and as name_all over a whole table."""
+def landed(sql: str, columns: dict[str, str], whole: Query) -> Callable:
+    """Registers a function of rows twice: over every page with what a site would have landed there, and as name_all over a table as it is.
+
+    ``columns`` are SQL expressions of page_id and html that Spark and DuckDB read alike; ``sql`` says what must be found in them.
+    """
 
     def add(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-        def fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-            out = f(literal(spark))
-            return out.drop(drop) if drop else out
+        def every(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(table(spark, sf_dir, "pages").selectExpr(*(f"{x} AS {n}" for n, x in columns.items())))
 
         def full(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(whole(spark, sf_dir))
 
-        fixture.__name__, full.__name__ = f.__name__, f"{f.__name__}_all"
-        query(sql)(fixture)
-        query(whole_sql)(full)
+        every.__name__, full.__name__ = f.__name__, f"{f.__name__}_all"
+        query(sql)(every)
+        query()(full)
         return f
 
     return add

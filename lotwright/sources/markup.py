@@ -57,8 +57,8 @@ def candidates(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:
 
 def page_state(text: Column) -> Column:
     """struct(first, last, total, none) of ``Showing a to b of n lots``."""
-    n = lambda k: F.replace(F.regexp_extract(text, r"(?i)showing\s+([\d,]+)\s+to\s+([\d,]+)\s+of\s+([\d,]+)\s+lots", k), F.lit(","), F.lit("")).try_cast("int")
-    return F.struct(n(1).alias("first"), n(2).alias("last"), n(3).alias("total"), F.coalesce(text.rlike(r"(?i)\bno (?:exact )?matches\b"), F.lit(False)).alias("none"))
+    n = lambda k: F.replace(F.regexp_extract(text, r"(?i)showing\s+([\d,]+)\s*(?:-|to)\s*([\d,]+)\s+of\s+([\d,]+)\s+lots?", k), F.lit(","), F.lit("")).try_cast("int")
+    return F.struct(n(1).alias("first"), n(2).alias("last"), n(3).alias("total"), F.coalesce(text.rlike(r"(?i)\bno\s+(?:(?:exact\s+)?matches\b|(?:lots|results)\s+found)"), F.lit(False)).alias("none"))
 
 
 def json_ld(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:

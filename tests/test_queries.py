@@ -28,13 +28,21 @@ def plain(v):
     return v
 
 
+#: Queries without SQL, and the tests that hold their expressions against known outcomes.
+ELSEWHERE = {
+    "q_candidate_eval": "test_identity.py", "q_donor_score": "test_identity.py", "q_identity": "test_identity.py", "q_discriminators_rest": "test_identity.py", "q_identity_revalidate": "test_retail.py",
+    "q_export_payload": "test_whole_tables.py", "stream_watch_state": "test_sources_and_streams.py",
+}
+
+
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, duck, name):
     df = catalog.queries()[name](spark, str(DATA))
     columns = sorted(df.columns)
     rows = Counter(tuple(plain(r[c]) for c in columns) for r in df.collect())
     sql = catalog.oracle_sql().get(name)
-    if sql is None:
+    if sql is None:  # a query over a table as it is may find nothing there; every other one has rows, and outcomes that another test knows
+        assert name.endswith("_all") and name.removesuffix("_all") in catalog.queries() or name in ELSEWHERE and rows
         return
     got = duck.execute(sql)
     names = [d[0] for d in got.description]

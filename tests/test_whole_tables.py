@@ -37,3 +37,11 @@ def test_listing_snapshot_of_tables_that_do_not_fit(spark):
     html = ["<p>no table</p>", "<table><tr><th>Price</th><th>Item</th><th>Item</th></tr><tr><td>$1</td></tr><tr><td>$2</td><td>C3</td></tr></table>", None]
     df = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
     assert sorted(map(tuple, captures.q_listing_snapshot(df).collect()), key=str) == [(1, "C3", None, "$2"), (1, None, None, "$1")]
+
+
+def test_export_payload_of_all_orders(spark):
+    import json
+
+    got = {r["c_custkey"]: json.loads(r["payload"]) for r in catalog.queries()["q_export_payload"](spark, DATA).collect()}
+    rows = spark.read.parquet(f"{DATA}/customer.parquet").collect()
+    assert got == {r["c_custkey"]: {"context": {"schemaVersion": 1}, "item": {"c_name": r["c_name"], "c_mktsegment": r["c_mktsegment"]}} for r in rows}
