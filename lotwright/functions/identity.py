@@ -91,7 +91,11 @@ def _series(text: Column) -> Column:
 
 def attributes(title: Column) -> dict[str, Column]:
     """Sorted array of distinct canonical values for each attribute group of a title."""
-    text = F.lower(normalised(title))
+    return attributes_of(F.lower(normalised(title)))
+
+
+def attributes_of(text: Column) -> dict[str, Column]:
+    """The same for text that is lower-cased and in plain signs: a column, so that this is done once and not for each pattern."""
     out: dict[str, Column] = {}
     for name, rules in RULES.items():
         found = [F.transform(F.regexp_extract_all(text, F.lit(ascii_words(p)), F.lit(0)), _form(p, form)) for p, form in rules]
@@ -112,7 +116,10 @@ def attributes(title: Column) -> dict[str, Column]:
 
 
 def kind(title: Column) -> Column:
-    text = F.lower(normalised(title))
+    return kind_of(F.lower(normalised(title)))
+
+
+def kind_of(text: Column) -> Column:
     return F.coalesce(*(F.when(text.rlike(ascii_words(p)), k) for k, p in V.KINDS.items()))
 
 
@@ -123,7 +130,10 @@ def kind_position(title: Column, of: Column) -> Column:
 
 
 def brand_family(title: Column) -> Column:
-    text = F.lower(normalised(title))
+    return family_of(F.lower(normalised(title)))
+
+
+def family_of(text: Column) -> Column:
     return F.coalesce(*(F.when(text.rlike(ascii_words(p)), k) for k, p in V.BRANDS.items()))
 
 
@@ -177,7 +187,8 @@ def identified(rows: DataFrame, title: str, description: str | None = None, stat
     brand = F.when((stated_brand != "") & ((F.col("_i_first") == "") | F.col("_i_first").rlike(V.GENERIC_BRAND) | appears), stated_brand).otherwise(F.col("_i_first"))
     good = F.when(looks_like_model(number), number)
     found = F.coalesce(F.when(model_matches(F.col("_i_name"), number), good), _model(F.col("_i_tokens")), good)
-    rows = rows.withColumns({"_i_brand": brand, "_i_model": found, **{f"_i_g_{g}": c for g, c in attributes(F.col("_i_name")).items()}})
+    rows = rows.withColumns({"_i_brand": brand, "_i_model": found, "_i_text": F.lower(normalised(F.col("_i_name")))})
+    rows = rows.withColumns({"_i_family": F.concat(F.lower(normalised(F.col("_i_brand"))), F.lit(" "), F.col("_i_text")), **{f"_i_g_{g}": c for g, c in attributes_of(F.col("_i_text")).items()}})
     own = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("_i_model", "_i_brand")]
     second = F.filter("_i_tokens", lambda t: (F.lower(t) != own[0]) & (F.lower(t) != own[1]) & t.rlike(V.TITLE_MODEL) & ~t.rlike(V.GENERIC_MODEL))
     certain = F.col("_i_model").isNotNull() | (F.size("_i_g_gpuModels") > 0) | (F.size("_i_g_cpuModels") > 0)
@@ -187,8 +198,8 @@ def identified(rows: DataFrame, title: str, description: str | None = None, stat
     retail = F.col(stated).cast("double") if stated else F.lit(None).cast("double")
     result = F.struct(
         F.col("_i_name").alias("name"), research_query(F.col("_i_name")).alias("query"), F.col("_i_brand").alias("brand"), F.col("_i_model").alias("model"), F.get(second, F.lit(0)).alias("model2"),
-        kind(F.col("_i_name")).alias("kind"), F.array_distinct(F.filter("_i_tokens", lambda t: t.rlike(V.CAPACITY))).alias("sizes"), tokens.alias("tokens"),
-        F.when((retail > 0) & (retail < float("inf")), retail).alias("stated_retail"), brand_family(F.concat_ws(" ", "_i_brand", "_i_name")).alias("family"),
+        kind_of(F.col("_i_text")).alias("kind"), F.array_distinct(F.filter("_i_tokens", lambda t: t.rlike(V.CAPACITY))).alias("sizes"), tokens.alias("tokens"),
+        F.when((retail > 0) & (retail < float("inf")), retail).alias("stated_retail"), family_of(F.col("_i_family")).alias("family"),
         sum((F.size(f"_i_g_{g}") for g in GROUPS), F.lit(0)).alias("evidence"),
         F.array_distinct(F.filter(small, lambda t: (F.length(t) > 2) & ~t.isin(V.RETAIL_NOISE) & ~t.rlike("^[0-9]+$"))).alias("telling"),
         *(F.col(f"_i_g_{g}").alias(g) for g in GROUPS),
@@ -199,9 +210,12 @@ def identified(rows: DataFrame, title: str, description: str | None = None, stat
 
 def offered(rows: DataFrame, title: str, out: str = "offer") -> DataFrame:
     """rows with struct(title, kind, family, words, and every attribute group) of a candidate's title."""
-    t = F.coalesce(F.col(title).cast("string"), F.lit(""))
-    found = [v.alias(k) for k, v in attributes(t).items()]
-    return rows.withColumn(out, F.struct(t.alias("title"), kind(t).alias("kind"), brand_family(t).alias("family"), compact_tokens(normalised(t)).alias("words"), *found))
+    rows = rows.withColumn("_i_title", F.coalesce(F.col(title).cast("string"), F.lit("")))
+    rows = rows.withColumn("_i_text", F.lower(normalised(F.col("_i_title"))))
+    found = [v.alias(k) for k, v in attributes_of(F.col("_i_text")).items()]
+    result = F.struct(F.col("_i_title").alias("title"), kind_of(F.col("_i_text")).alias("kind"), family_of(F.col("_i_text")).alias("family"), compact_tokens(F.col("_i_text")).alias("words"), *found)
+    kept = [F.col(f"`{c}`") for c in rows.columns if not c.startswith("_i_") and c != out]
+    return rows.select(*kept, result.alias(out))
 
 
 def literal(x: Column) -> Column:

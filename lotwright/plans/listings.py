@@ -99,15 +99,15 @@ SELECT id, {', '.join(map(_rules_sql, SIMPLE))}, list_sort({flags('t', V.MATERIA
        list_sort(CASE WHEN regexp_matches(t, '\\bballs?\\b') AND NOT list_has_any(f, ['kickball', 'football', 'soccer-ball', 'bounce-ball']) THEN list_append(f, 'other-ball') ELSE f END) AS "productFamilies"
 FROM w""")
 def q_discriminators(rows: DataFrame) -> DataFrame:
-    found = I.attributes(F.col("title"))
-    return rows.select("id", *(found[g].alias(g) for g in (*SIMPLE, "materials", "colors", "productFamilies")))
+    found = I.attributes_of(F.col("t"))
+    return rows.withColumn("t", F.lower(L.normalised(F.col("title")))).select("id", *(found[g].alias(g) for g in (*SIMPLE, "materials", "colors", "productFamilies")))
 
 
 @listing_query()
 def q_discriminators_rest(rows: DataFrame) -> DataFrame:
     """The groups whose patterns look around their matches; tested on titles with known outcomes."""
-    found = I.attributes(F.col("title"))
-    return rows.select("id", *(found[g].alias(g) for g in I.GROUPS if g not in (*SIMPLE, "materials", "colors", "productFamilies")))
+    found = I.attributes_of(F.col("t"))
+    return rows.withColumn("t", F.lower(L.normalised(F.col("title")))).select("id", *(found[g].alias(g) for g in I.GROUPS if g not in (*SIMPLE, "materials", "colors", "productFamilies")))
 
 
 #: Labelled lines (k: id, key, value of the last one) and other lines (r: id, free).
@@ -215,7 +215,8 @@ def q_identity(rows: DataFrame) -> DataFrame:
 SELECT id, CASE {' '.join(f"WHEN regexp_matches(t, '{p}') THEN length(regexp_extract(t, '(?s)^(.*?)(?:{p})', 1)) + 1" for p in V.KINDS.values())} ELSE 0 END AS at FROM k""")
 def q_kind_position(rows: DataFrame) -> DataFrame:
     """Where a listing's title names its kind."""
-    return rows.select("id", I.kind_position(F.col("title"), I.kind(F.col("title"))).cast("long").alias("at"))
+    rows = rows.withColumn("kind", I.kind(F.col("title")))  # once, and not for each kind
+    return rows.select("id", I.kind_position(F.col("title"), F.col("kind")).cast("long").alias("at"))
 
 
 @listing_query(f""", w AS (SELECT DISTINCT id, unnest(string_split_regex(title, '[\s,;/]+')) AS w FROM listings)
