@@ -219,8 +219,8 @@ def q_kind_position(rows: DataFrame) -> DataFrame:
     return rows.select("id", I.kind_position(F.col("title"), F.col("kind")).cast("long").alias("at"))
 
 
-@listing_query(f""", w AS (SELECT DISTINCT id, unnest(string_split_regex(title, '[\s,;/]+')) AS w FROM listings)
-SELECT id, w AS token, length(w) BETWEEN 2 AND 24 AND NOT regexp_matches(w, '{V.GENERIC_MODEL}') AND (regexp_matches(w, '\d') OR regexp_matches(w, '{V.STATED_MODEL}')) AS shaped FROM w""")
+@listing_query(f""", w AS (SELECT DISTINCT id, unnest(string_split_regex(title, '[\\s,;/]+')) AS w FROM listings)
+SELECT id, w AS token, length(w) BETWEEN 2 AND 24 AND NOT regexp_matches(w, '{V.GENERIC_MODEL}') AND (regexp_matches(w, '\\d') OR regexp_matches(w, '{V.STATED_MODEL}')) AS shaped FROM w""")
 def q_model_shape(rows: DataFrame) -> DataFrame:
     """Which words of a listing's title are shaped like a model."""
     rows = rows.select("id", F.explode(F.split("title", r"[\s,;/]+")).alias("token")).distinct()
