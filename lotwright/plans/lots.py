@@ -218,10 +218,15 @@ def q_partial_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("items"), taken.alias("exported"), (taken == F.count("*")).alias("complete"))
 
 
-@query("SELECT user_id, event_type, arg_max(value, event_id) AS value, count(*) AS writes FROM events WHERE user_id % 3 = 0 GROUP BY ALL")
+@query("""
+WITH s AS (SELECT user_id, event_type, arg_max(value, event_id) AS value, count(*) AS writes FROM events GROUP BY ALL)
+SELECT c_custkey, event_type, value, coalesce(writes, 0) AS writes FROM customer LEFT JOIN s ON user_id = c_custkey
+""")
 def q_job_store_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("user_id % 3 = 0")
-    return rows.groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"), F.count("*").alias("writes"))
+    """Point reads: what the store holds under the key of every customer; a key without an entry gives one row of nulls."""
+    wanted = table(spark, sf_dir, "customer").select("c_custkey")
+    stored = q_job_store_full(spark, sf_dir)
+    return wanted.join(stored, F.col("c_custkey") == F.col("user_id"), "left").select("c_custkey", "event_type", "value", F.coalesce("writes", F.lit(0)).alias("writes"))
 
 
 @query("SELECT user_id, event_type, arg_max(value, event_id) AS value, count(*) AS writes FROM events GROUP BY ALL")
