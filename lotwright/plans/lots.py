@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwright.functions import money as M
-from lotwright.operators import keyed, match
+from lotwright.operators import keyed, match, sequences
 
 from .registry import query, table
 
@@ -138,7 +138,7 @@ SELECT o_orderpriority, pos, o_orderkey, lines, total FROM i JOIN h ON l_orderke
 """)
 def q_id_scan_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_orderpriority")
-    ids = ids.withColumn("pos", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")))
+    ids = sequences.numbered(ids, ["o_orderpriority"], ["o_orderkey"], "pos", sequences.blocks("o_orderkey"))
     records = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
     return ids.join(records, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderpriority", "pos", "o_orderkey", "lines", "total")
 

@@ -130,7 +130,7 @@ SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_
 """)
 def q_group_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    return sequences.under_headers(rows, ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup", F.col("event_id"), "header").select("event_id", "user_id", "header")
+    return sequences.under_headers(rows, ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup", F.col("event_id"), "header", sequences.spans("ts")).select("event_id", "user_id", "header")
 
 
 @query("""
@@ -140,7 +140,7 @@ SELECT event_id, user_id, failures, failures >= 2 AS stale FROM (
 """)
 def q_failure_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    return sequences.failure_runs(rows, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error").select("event_id", "user_id", "failures", "stale")
+    return sequences.failure_runs(rows, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", piece=sequences.spans("ts")).select("event_id", "user_id", "failures", "stale")
 
 
 @query("""

@@ -99,7 +99,7 @@ SELECT before, phase, count(*) AS n, CASE WHEN before IS NULL THEN phase IN ('id
 def q_phase_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phases of jobs (users) by their events, and whether each may follow the one before."""
     phase = F.element_at(F.array(*map(F.lit, _PHASES)), ((F.col("event_id") * 7 + F.floor("value").cast("long")) % 10 + 1).cast("int"))
-    rows = sequences.transitions(table(spark, sf_dir, "events").select("user_id", "event_id", phase.alias("phase")), ["user_id"], ["event_id"], "phase")
+    rows = sequences.transitions(table(spark, sf_dir, "events").select("user_id", "event_id", phase.alias("phase")), ["user_id"], ["event_id"], "phase", sequences.blocks("event_id"))
     return rows.groupBy("before", "phase").agg(F.count("*").alias("n")).withColumn("allowed", R.may_follow(F.col("before"), F.col("phase")))
 
 

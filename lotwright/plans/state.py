@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwright.functions import times as X
@@ -57,7 +57,7 @@ r AS (SELECT event_id, event_type, sum(CASE WHEN event_type = 'error' THEN 1 ELS
 SELECT event_id, CAST(least(120000, greatest(2000, 5000 * power(2, least(5, n - 1)))) AS BIGINT) AS wait_ms FROM r WHERE event_type = 'error'
 """)
 def q_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = sequences.failure_runs(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("event_type") == "error")
+    runs = sequences.failure_runs(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", piece=sequences.spans("ts"))
     return runs.where("event_type = 'error'").select("event_id", X.backoff(F.col("failures"), F.lit(2000)).alias("wait_ms"))
 
 
@@ -67,11 +67,10 @@ b AS (SELECT user_id, batch, count(*) AS items, bool_and(event_type = 'view') AS
 SELECT user_id, batch, items, cached, CAST(sum(CASE WHEN cached THEN 0 ELSE 350 END) OVER (PARTITION BY user_id ORDER BY batch ROWS UNBOUNDED PRECEDING) AS BIGINT) AS paced_ms FROM b
 """)
 def q_queue_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    rows = _events(spark, sf_dir).withColumn("batch", F.floor(place / 6).cast("long"))
+    rows = sequences.numbered(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"], "place", sequences.blocks("event_id"))
+    rows = rows.withColumn("batch", F.floor((F.col("place") - 1) / 6).cast("long"))
     rows = rows.groupBy("user_id", "batch").agg(F.count("*").alias("items"), F.bool_and(F.col("event_type") == "view").alias("cached"))
-    upto = Window.partitionBy("user_id").orderBy("batch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("paced_ms", F.sum(F.when(F.col("cached"), 0).otherwise(350)).over(upto).cast("long"))
+    return sequences.running(rows, ["user_id"], ["batch"], "sum", F.when(F.col("cached"), 0).otherwise(350), "paced_ms", sequences.blocks("batch"))
 
 
 @query("""
@@ -105,7 +104,7 @@ def q_end_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, user_id, value > 80 AND NOT coalesce(lag(value > 80) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS alert FROM events
 """)
 def q_over_max_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.edges(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("value") > 80).select("event_id", "user_id", "alert")
+    return state.edges(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("value") > 80, piece=sequences.spans("ts")).select("event_id", "user_id", "alert")
 
 
 @query("""
@@ -113,7 +112,7 @@ SELECT event_id, user_id FROM (SELECT event_id, user_id, floor(value) AS v, max(
 """)
 def q_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.floor("value").alias("v"))
-    return state.accepted(rows, ["user_id"], ["event_id"], "v").select("event_id", "user_id")
+    return state.accepted(rows, ["user_id"], ["event_id"], "v", sequences.blocks("event_id")).select("event_id", "user_id")
 
 
 @query("""
@@ -122,7 +121,7 @@ SELECT event_id, user_id, fresh, count(*) OVER w = 4 AND sum(CAST(fresh AS INT))
 """)
 def q_settled_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    return state.settled(rows, ["user_id"], ["event_id"], "event_type", 4).select("event_id", "user_id", "fresh", "settled")
+    return state.settled(rows, ["user_id"], ["event_id"], "event_type", 4, sequences.blocks("event_id")).select("event_id", "user_id", "fresh", "settled")
 
 
 @query("""
@@ -131,7 +130,7 @@ b AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) //
 SELECT user_id, CAST(burst AS BIGINT) AS burst, count(*) AS n, max(event_id) AS fires FROM b GROUP BY ALL
 """)
 def q_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sequences.islands(_events(spark, sf_dir), ["user_id"], "ms", F.lit(600_000))
+    rows = sequences.islands(_events(spark, sf_dir), ["user_id"], ["ms", "event_id"], F.lit(600_000), sequences.spans("ts"))
     return rows.groupBy("user_id", "burst").agg(F.count("*").alias("n"), F.max("event_id").alias("fires"))
 
 
