@@ -44,16 +44,6 @@ def q_embedded_json_bfs(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.explode(F.array_distinct(found)).alias("child"))
 
 
-@query("""
-WITH s AS (SELECT user_id, max(value) AS resale FROM events WHERE event_type = 'purchase' AND value > 60 GROUP BY 1)
-SELECT o_orderkey, coalesce(resale, -1) AS resale, resale IS NOT NULL AS stored FROM orders LEFT JOIN s ON o_custkey % 150 = user_id
-""")
-def q_state_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = table(spark, sf_dir, "events").where("event_type = 'purchase' AND value > 60").groupBy("user_id").agg(F.max("value").alias("resale"))
-    rows = table(spark, sf_dir, "orders").join(stored, F.col("o_custkey") % 150 == F.col("user_id"), "left")
-    return rows.select("o_orderkey", F.coalesce("resale", F.lit(-1.0)).alias("resale"), F.col("resale").isNotNull().alias("stored"))
-
-
 def _url_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last part of each page's URL, as text that may be a number."""
     end = F.substring_index("url", "/", -1)
@@ -114,12 +104,6 @@ def q_json_fragment(rows: DataFrame) -> DataFrame:
     return markup.lot_tiles(pages, "html", ["page_id"]).select("page_id", "id", "title")
 
 
-@query("SELECT count(*) AS lines, count(*) FILTER (WHERE o_orderkey IS NULL) AS orphans, count(*) FILTER (WHERE l_shipdate < o_orderdate) AS early FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
-def q_source_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return rows.agg(F.count("*").alias("lines"), F.count_if(F.col("o_orderkey").isNull()).alias("orphans"), F.count_if(F.col("l_shipdate") < F.col("o_orderdate")).alias("early"))
-
-
 @landed("SELECT page_id, 'A' || page_id AS item, 'Active' AS status, '$5' AS price FROM pages UNION ALL SELECT page_id, 'B2', 'Ended', '$1,20' || page_id % 10 FROM pages", {"page_id": "page_id", "html": f"coalesce(html, '') || {LISTING}"}, _pages)
 def q_listing_snapshot(rows: DataFrame) -> DataFrame:
     """Cells of a table by the name of their column, wherever the column stands."""

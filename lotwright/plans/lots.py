@@ -35,18 +35,6 @@ def q_analysis_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_orderkey", "l_linenumber", "premium", F.round("cost", 6).alias("cost"), F.round(F.col("cost") / F.col("market"), 6).alias("ratio"), "eligible").agg(F.count("*").alias("n"))
 
 
-@query(f"""
-WITH {ANALYSIS} SELECT l_returnflag, count(*) AS total, count(*) FILTER (WHERE eligible) AS analyzed, count(*) FILTER (WHERE eligible AND cost < market * 0.75) AS matched,
- count(*) FILTER (WHERE NOT eligible) AS skipped, bool_and(premium > 20) AS all_high, round(100.0 * count(*) FILTER (WHERE eligible) / count(*)) AS progress FROM a GROUP BY 1
-""")
-def q_analysis_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = F.col("eligible") & (F.col("cost") < F.col("market") * 0.75)
-    out = _analysis(spark, sf_dir).groupBy("l_returnflag").agg(
-        F.count("*").alias("total"), F.count_if("eligible").alias("analyzed"), F.count_if(good).alias("matched"), F.count_if(~F.col("eligible")).alias("skipped"), F.bool_and(F.col("premium") > 20).alias("all_high")
-    )
-    return out.withColumn("progress", F.round(100.0 * F.col("analyzed") / F.col("total")))
-
-
 @query("""
 WITH v AS (SELECT l_orderkey, list_sort(list_distinct(list(l_partkey))) AS images FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1), d AS (SELECT l_orderkey, list_sort(list_distinct(list(l_partkey))) AS images, max(l_shipdate) AS ends FROM lineitem WHERE l_linenumber > 1 GROUP BY 1)
 SELECT v.l_orderkey, list_sort(list_distinct(list_concat(v.images, coalesce(d.images, [])))) AS images, len(list_filter(v.images, lambda x: NOT list_contains(coalesce(d.images, []), x))) AS only_visible FROM v LEFT JOIN d ON v.l_orderkey = d.l_orderkey
@@ -92,13 +80,6 @@ def q_attribute_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_partkey", "f.conflicts", F.col("f.matched").cast("long").alias("matched"))
 
 
-@query("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'P'")
-def q_ref_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
-    rows = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.select("o_orderkey", "c_name", "n_name")
-
-
 @query("""
 WITH t AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS token, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part)
 SELECT p_partkey, CAST(i AS INT) AS i, token, coalesce(lag(token, 2) OVER w || ' ', '') || coalesce(lag(token) OVER w, '') AS before, coalesce(lead(token) OVER w, '') AS after FROM t WINDOW w AS (PARTITION BY p_partkey ORDER BY i)
@@ -202,22 +183,6 @@ def q_filter_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.bool_and(F.lower("p_name").contains("a")).alias("contained"), F.count("*").alias("n"))
 
 
-@query("""
-WITH b AS (SELECT user_id, min(event_id) AS first_id FROM events WHERE event_type = 'signup' GROUP BY 1), u AS (SELECT DISTINCT user_id FROM events)
-SELECT u.user_id, coalesce(first_id, -1) AS plan, first_id IS NULL AS migrated FROM u LEFT JOIN b USING (user_id)
-""")
-def q_plan_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.min(F.when(F.col("event_type") == "signup", F.col("event_id"))).alias("f")
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(first)
-    return rows.select("user_id", F.coalesce("f", F.lit(-1)).alias("plan"), F.col("f").isNull().alias("migrated"))
-
-
-@query("SELECT o_orderstatus, count(*) AS items, count(*) FILTER (WHERE o_totalprice > 100000) AS exported, count(*) FILTER (WHERE o_totalprice > 100000) = count(*) AS complete FROM orders GROUP BY 1")
-def q_partial_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = F.count_if(F.col("o_totalprice") > 100_000)
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("items"), taken.alias("exported"), (taken == F.count("*")).alias("complete"))
-
-
 @query("""
 WITH s AS (SELECT user_id, event_type, arg_max(value, event_id) AS value, count(*) AS writes FROM events GROUP BY ALL)
 SELECT c_custkey, event_type, value, coalesce(writes, 0) AS writes FROM customer LEFT JOIN s ON user_id = c_custkey
@@ -257,11 +222,6 @@ def q_shipping_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.when(t.rlike("BRASS"), "pickup_only").when(t.rlike("STEEL"), "available").otherwise("unknown").alias("shipping"))
 
 
-@query("SELECT c_custkey, left(c_name, 12) AS name, length(c_name) > 12 AS cut FROM customer")
-def q_diagnostic_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", F.left("c_name", F.lit(12)).alias("name"), (F.length("c_name") > 12).alias("cut"))
-
-
 @query(f"""
 WITH m AS (SELECT p_partkey, p_retailprice AS price, CASE WHEN p_size % 3 = 0 THEN 'matched' ELSE 'no_match' END AS status, p_size % 4 AS q FROM part)
 SELECT status, count(*) AS n, round(sum(CASE WHEN status = 'matched' AND price > 0 THEN price * greatest(1, q) END), 2) AS trusted FROM m GROUP BY 1

@@ -100,9 +100,3 @@ def q_dynamic_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_private_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer")
     return rows.select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("c_name"), F.lit(None).cast("int").alias("c_acctbal"), F.left("c_mktsegment", F.lit(5)).alias("segment"))
-
-
-@query("SELECT c_custkey, 'Lot ' || c_custkey || ': ' || c_name || ' (' || c_mktsegment || ')' || chr(10) || 'Balance ' || CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) AS brief FROM customer")
-def q_llm_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
-    brief = F.concat(F.lit("Lot "), F.col("c_custkey").cast("string"), F.lit(": "), F.col("c_name"), F.lit(" ("), F.col("c_mktsegment"), F.lit(")\nBalance "), F.floor("c_acctbal").cast("string"))
-    return table(spark, sf_dir, "customer").select("c_custkey", brief.alias("brief"))
