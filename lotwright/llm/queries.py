@@ -16,6 +16,7 @@ from .packing import op3_best_fit_packing
 from .quality import op9_quality
 from .token_files import op4_token_files
 from .url_filter import op6_url_filter
+from .window_packing import op11_window_packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,7 @@ def queries() -> dict[str, Query]:
         "op8_reply_pairs": op8_reply_pairs,
         "op9_quality": op9_quality,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
+        "op11_window_packing": op11_window_packing,
     }
 
 
