@@ -11,6 +11,7 @@ from .decontaminate import OP2_SQL, op2_decontamination
 from .embeddings import op10_embedding_near_dedup
 from .html_content import op5_html_extraction
 from .language_id import op1_language_id
+from .lexical import OP12_SQL, op12_lexical_search
 from .minhash import op7_minhash_near_dedup
 from .packing import op3_best_fit_packing
 from .quality import op9_quality
@@ -35,8 +36,9 @@ def queries() -> dict[str, Query]:
         "op9_quality": op9_quality,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
         "op11_window_packing": op11_window_packing,
+        "op12_lexical_search": op12_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op8_chat_formatting": OP8_SQL, "op8_reply_pairs": OP8_REPLIES_SQL}
+    return {"op2_decontamination": OP2_SQL, "op8_chat_formatting": OP8_SQL, "op8_reply_pairs": OP8_REPLIES_SQL, "op12_lexical_search": OP12_SQL}
