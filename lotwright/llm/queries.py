@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP8_REPLIES_SQL, OP8_SQL, op8_chat_formatting, op8_reply_pairs
+from .conversation_trie import OP13_SQL, op13_conversation_trie
 from .decontaminate import OP2_SQL, op2_decontamination
 from .embeddings import op10_embedding_near_dedup
 from .html_content import op5_html_extraction
@@ -37,8 +38,9 @@ def queries() -> dict[str, Query]:
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
         "op11_window_packing": op11_window_packing,
         "op12_lexical_search": op12_lexical_search,
+        "op13_conversation_trie": op13_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op8_chat_formatting": OP8_SQL, "op8_reply_pairs": OP8_REPLIES_SQL, "op12_lexical_search": OP12_SQL}
+    return {"op2_decontamination": OP2_SQL, "op8_chat_formatting": OP8_SQL, "op8_reply_pairs": OP8_REPLIES_SQL, "op12_lexical_search": OP12_SQL, "op13_conversation_trie": OP13_SQL}
