@@ -233,19 +233,17 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, met = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        end = np.array([end_id], "<u4").tobytes()
         kind = narrow(vocabulary, end_id)
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
             out: list[tuple] = []
-            for row, raw in byte_encoded(vocabulary, (x.as_py() for x in batch.column("text"))):
-                raw += end
-                for at in range(0, len(raw), 4 * capacity):
-                    own = raw[at : at + 4 * capacity]
-                    length = len(own) // 4
-                    ids = np.frombuffer(own, "<u4").astype(kind).tobytes() if length < capacity else None
-                    out.append((names[row], at // 4, length, zlib.crc32(own), len(raw) // 4, ids, part, int(met[length])))
-                    met[length] += 1
+            for row, ids in byte_encoded(vocabulary, (x.as_py() for x in batch.column("text"))):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
+                for at in range(0, len(ids), capacity):
+                    own = ids[at : at + capacity]
+                    kept = own.astype(kind).tobytes() if len(own) < capacity else None
+                    out.append((names[row], at, len(own), zlib.crc32(own), len(ids), kept, part, int(met[len(own)])))
+                    met[len(own)] += 1
             columns = list(zip(*out)) or [()] * 8
             kinds = [pa.int64()] * 5 + [pa.binary()] + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "part", "k"])

@@ -20,19 +20,24 @@ def test_byte_encoder_equals_the_library():
     letters = "abcXYZ  \n'.,!?-0123éÉßñ sdtll\t\r²¼µİ"
     texts = ["".join(random.choices(letters, k=200)) for _ in range(200)] + [x or "" for _, x in ODD]
     own = byte_tokens.ByteEncoder(VOCABULARY, keep=50)
-    for part in (texts[:50], texts[50:], texts):
-        for text, raw in zip(part, own.encode(part)):
-            assert np.frombuffer(raw, "<u4").tolist() == own.whole.encode(text, add_special_tokens=False).ids
+    for part in (texts[:50], texts[50:], texts, [], [""]):
+        got = own.encode(part)
+        assert len(got) == len(part)
+        for text, ids in zip(part, got):
+            assert ids.tolist() == own.whole.encode(text, add_special_tokens=False).ids
 
 
-def test_the_fast_pattern_equals_that_of_the_vocabulary():
+def test_words_are_those_of_the_pattern():
     import regex
 
-    word, fast = regex.compile(byte_tokens.WORD), regex.compile(byte_tokens.PLAIN_WORD)
+    word = regex.compile(byte_tokens.WORD)
     signs = "".join(c for c in map(chr, range(0x180)) if regex.fullmatch(byte_tokens.PLAIN, c))
     random.seed(12)
-    texts = [*signs, *("".join(random.choices(signs + "'stvrelmd  ab\n", k=40)) for _ in range(2000))]
-    assert all(word.findall(x) == fast.findall(x) for x in texts)
+    texts = [*signs, "", "'", "'re", "don'tis '", *("".join(random.choices(signs + "'stvrelmd  ab\n" * 9, k=40)) for _ in range(3000)), *("".join(random.choices("''strelv \n!1", k=12)) for _ in range(20000))]
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    bounds = np.cumsum([0, *map(len, texts)])
+    want = [a + m.start() for a, x in zip(bounds.tolist(), texts) for m in word.finditer(x)]
+    assert byte_tokens.word_starts(chars, bounds[bounds < len(chars)]).tolist() == want
 
 
 def contents(plan):
