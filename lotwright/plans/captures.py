@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwright.operators import sequences
-from lotwright.sources import markup
+from lotwright.sources import embedded, markup
 
 from .landed import TILES
 from .registry import landed, query, table
 
 #: What a store of nested records, a page with script literals, an answer with a fragment, a listing table and linked data hold, by page_id.
-STORE = """CASE WHEN page_id % 4 = 0 THEN 'broken {' ELSE '{"a":{"b":[{"portalChildren":[12,"' || page_id || '","x",12]}]},"portalChildren":"56, ' || (page_id + 100000) || '"}' END"""
+STORE = """CASE page_id % 8 WHEN 0 THEN 'broken {' WHEN 1 THEN '{"a":{"b":[{"portalChildren":[12,"' || page_id || '","x",12]}]},"portalChildren":"56, ' || (page_id + 100000) || '"}'
+  WHEN 2 THEN '{"x":"{\\"portalChildren\\":[1]}","y":[{"PORTALCHILDREN":" 5 ,' || page_id || ',-3"}]}' WHEN 3 THEN '{"a":{"a":{"a":{"a":{"a":{"a":{"portalChildren":[' || page_id || ']}}}}}}}'
+  WHEN 4 THEN '{"a":{"a":{"a":{"a":{"a":{"a":{"a":{"portalChildren":[' || page_id || ']}}}}}}},"z":[[[{"portalChildren":[7]}]]]}' WHEN 5 THEN '{"portalChildren":{"portalChildren":[' || page_id || ']}}'
+  WHEN 6 THEN '[{"k":[1,"2"],"portalChildren":[1,"2","x",null,' || page_id || ',[4]]},[{"portalChildren":[' || (page_id + 1) || ']}]]' ELSE '{"portalChildren":' || page_id || ',"z":{"portalchildren":"7,8, 9x,"}}' END"""
 SCRIPT = """'<script>lots.push(new Lot({id:' || page_id || ',title:\'\'Lamp\'\',bid:12.50}));lots.push(new Lot({id:9' || page_id || ',title:\'\'Desk\'\'}));</script><div data-lot-id="' || page_id || '"><h3>lamp</h3></div><div data-lot-id="m' || page_id || '"><h3>Rug</h3>Bid: $4</div>'"""
 FRAGMENT = r"""'{"ok":true,"email":"x@y.zz","html":"<div data-lot-id=\\"' || page_id || '\\"><h3>Vase</h3></div><div data-lot-id=\\"y' || page_id || '\\"><h3>Bowl &amp; dish</h3></div>"}'"""
 LISTING = "'<table><tr><th>Item</th><th>Status</th><th>Price</th></tr><tr><td>A' || page_id || '</td><td>Active</td><td>$5</td></tr><tr><td>B2</td><td>Ended</td><td>$1,20' || page_id % 10 || '</td></tr></table>'"
@@ -35,13 +38,27 @@ def q_html_groups(rows: DataFrame) -> DataFrame:
     return placed.where("id IS NOT NULL").select("page_id", "id", "grp")
 
 
-@landed("""
-SELECT page_id AS id, unnest(list_distinct(['12', CAST(page_id AS VARCHAR), '56', CAST(page_id + 100000 AS VARCHAR)])) AS child FROM pages WHERE page_id % 4 <> 0
-""", {"id": "page_id", "body": STORE}, lambda spark, sf_dir: table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("body")))
+@landed(f"""
+WITH RECURSIVE s AS (
+  SELECT page_id AS id, TRY_CAST({STORE} AS JSON) AS j FROM pages
+), w AS (
+  SELECT id, 0 AS depth, j FROM s WHERE json_type(j) IN ('OBJECT', 'ARRAY')
+  UNION ALL
+  SELECT id, depth + 1, e.v FROM (
+    SELECT id, depth, unnest(CASE json_type(j) WHEN 'OBJECT' THEN list_transform(json_keys(j), lambda k: struct_pack(k := k, v := json_extract(j, '$."' || k || '"')))
+      ELSE list_transform(range(CAST(json_array_length(j) AS BIGINT)), lambda i: struct_pack(k := '', v := json_extract(j, '$[' || i || ']'))) END) AS e FROM w
+  ) WHERE lower(e.k) <> 'portalchildren' AND json_type(e.v) IN ('OBJECT', 'ARRAY') AND depth < 6
+), h AS (
+  SELECT id, json_extract(j, '$."' || k || '"') AS v FROM (SELECT id, j, unnest(json_keys(j)) AS k FROM w WHERE json_type(j) = 'OBJECT') WHERE lower(k) = 'portalchildren'
+), t AS (
+  SELECT id, unnest(CASE WHEN json_type(v) = 'ARRAY' THEN list_transform(range(CAST(json_array_length(v) AS BIGINT)), lambda i: json_extract_string(v, '$[' || i || ']')) ELSE string_split(json_extract_string(v, '$'), ',') END) AS x FROM h
+)
+SELECT DISTINCT id, trim(x) AS child FROM t WHERE regexp_full_match(x, '\\s*[0-9]+\\s*')
+""", {"id": "page_id", "html": f"""coalesce(html, '') || '<script id="page-state" type="application/json">' || {STORE} || '</script>'"""}, lambda spark, sf_dir: table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "html"))
 def q_embedded_json_bfs(rows: DataFrame) -> DataFrame:
-    lists = F.regexp_extract_all("body", F.lit(r'"portalChildren"\s*:\s*(\[[^\]]*\]|"[^"]*")'), F.lit(1))
-    found = F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r'(?:^|[\s,"\[])(\d+)(?=$|[\s,"\]])'), F.lit(1))))
-    return rows.select("id", F.explode(F.array_distinct(found)).alias("child"))
+    """Ids below a key of the JSON that a page carries, at most six levels down."""
+    stores = rows.select("id", embedded.script_json(F.col("html"), "page-state").alias("body"))
+    return embedded.children(stores, "body", ["id"]).select("id", "child")
 
 
 def _url_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
