@@ -13,7 +13,7 @@ from .registry import landed, query, table
 
 #: What a store of nested records, a page with script literals, an answer with a fragment, a listing table and linked data hold, by page_id.
 STORE = """CASE page_id % 8 WHEN 0 THEN 'broken {' WHEN 1 THEN '{"a":{"b":[{"portalChildren":[12,"' || page_id || '","x",12]}]},"portalChildren":"56, ' || (page_id + 100000) || '"}'
-  WHEN 2 THEN '{"x":"{\\"portalChildren\\":[1]}","y":[{"PORTALCHILDREN":" 5 ,' || page_id || ',-3"}]}' WHEN 3 THEN '{"a":{"a":{"a":{"a":{"a":{"a":{"portalChildren":[' || page_id || ']}}}}}}}'
+  WHEN 2 THEN '{"x":"{' || chr(92) || '"portalChildren' || chr(92) || '":[1]}","y":[{"PORTALCHILDREN":" 5 ,' || page_id || ',-3"}]}' WHEN 3 THEN '{"a":{"a":{"a":{"a":{"a":{"a":{"portalChildren":[' || page_id || ']}}}}}}}'
   WHEN 4 THEN '{"a":{"a":{"a":{"a":{"a":{"a":{"a":{"portalChildren":[' || page_id || ']}}}}}}},"z":[[[{"portalChildren":[7]}]]]}' WHEN 5 THEN '{"portalChildren":{"portalChildren":[' || page_id || ']}}'
   WHEN 6 THEN '[{"k":[1,"2"],"portalChildren":[1,"2","x",null,' || page_id || ',[4]]},[{"portalChildren":[' || (page_id + 1) || ']}]]' ELSE '{"portalChildren":' || page_id || ',"z":{"portalchildren":"7,8, 9x,"}}' END"""
 SCRIPT = """'<script>lots.push(new Lot({id:' || page_id || ',title:\'\'Lamp\'\',bid:12.50}));lots.push(new Lot({id:9' || page_id || ',title:\'\'Desk\'\'}));</script><div data-lot-id="' || page_id || '"><h3>lamp</h3></div><div data-lot-id="m' || page_id || '"><h3>Rug</h3>Bid: $4</div>'"""
