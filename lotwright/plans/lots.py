@@ -124,14 +124,6 @@ def q_id_scan_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(records, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderpriority", "pos", "o_orderkey", "lines", "total")
 
 
-@query("""
-SELECT user_id, event_type, CASE WHEN count(*) FILTER (WHERE value > 20) > 0 THEN min(event_id) FILTER (WHERE value > 20) ELSE max(event_id) END AS picked FROM events GROUP BY ALL
-""")
-def q_short_page_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = F.when(F.col("value") > 20, F.col("event_id"))
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.coalesce(F.min(whole), F.max("event_id")).alias("picked"))
-
-
 @query("""
 WITH k AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS ids, max(l_linenumber) AS top FROM lineitem GROUP BY 1)
 SELECT CASE WHEN n = ids AND ids = top THEN 'api-exact' WHEN ids = top THEN 'pagination-exact' WHEN ids >= 3 THEN 'dom-bottom-settled' ELSE 'unproven' END AS tier, count(*) AS orders FROM k GROUP BY 1

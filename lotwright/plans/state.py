@@ -139,17 +139,6 @@ def q_inflight_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"), F.count("*").alias("joined"))
 
 
-@query("""
-WITH a AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT day, sum(n) AS got, max(n) AS most FROM a GROUP BY 1)
-SELECT min(day) FILTER (WHERE most >= 60) AS first_complete, min(day) FILTER (WHERE got >= 200) AS first_full, count(*) AS attempts FROM t
-""")
-def q_snapshot_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
-    days = days.groupBy("day").agg(F.sum("n").alias("got"), F.max("n").alias("most"))
-    at = lambda cond: F.min(F.when(cond, F.col("day")))
-    return days.agg(at(F.col("most") >= 60).alias("first_complete"), at(F.col("got") >= 200).alias("first_full"), F.count("*").alias("attempts"))
-
-
 @query("""
 WITH r AS (SELECT user_id, arg_max(value, event_id) AS v, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1), w AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1)
 SELECT w.user_id, coalesce(v, -1) AS value, CASE WHEN event_id IS NULL THEN n ELSE 0 END AS failures FROM w LEFT JOIN r USING (user_id)
