@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwright.sources import markup, paged
+from lotwright.sources.shared import shared_root
 from lotwright.streaming import watch
 
 from .registry import landed, query, table
@@ -56,7 +55,36 @@ def q_json_pages(rows: DataFrame) -> DataFrame:
     return paged.page_rows(rows, "body")
 
 
-@query()
+@query("""
+WITH e AS (
+  SELECT user_id AS lot_id, epoch_us(ts) // 1000 AS ms, event_id AS seq, event_type = 'click' AS ask, event_type = 'error' AS miss, value, event_id - event_id % 5 * 400 AS revision, CASE WHEN event_id % 7 = 0 THEN 'b' ELSE 'a' END AS fp,
+         CAST(floor((epoch_us(ts) // 1000 - CASE WHEN event_type = 'click' THEN 0 ELSE event_id % 4 * 86400000 END) / 518400000) AS BIGINT) AS gen
+  FROM events
+), w AS (
+  SELECT max(ms) - 600000 AS mark FROM e
+), p AS (
+  SELECT *, max(CASE WHEN ask THEN gen END) OVER (PARTITION BY lot_id ORDER BY ms, seq) AS cur FROM e, w WHERE ms < mark
+), g AS (
+  SELECT lot_id, gen AS cur, arg_min(fp, struct_pack(ms := ms, seq := seq)) AS cur_fp FROM p WHERE ask AND gen = cur GROUP BY ALL
+), a AS (
+  SELECT *, gen IS NOT DISTINCT FROM cur AND fp IS NOT DISTINCT FROM cur_fp AS fits FROM p LEFT JOIN g USING (lot_id, cur) WHERE NOT ask
+), f AS (
+  SELECT *, max(CASE WHEN NOT miss THEN revision END) OVER (PARTITION BY lot_id ORDER BY ms, seq) AS top FROM a WHERE fits
+), s AS (
+  SELECT *, sum(CASE WHEN NOT miss AND revision = top THEN 1 ELSE 0 END) OVER (PARTITION BY lot_id ORDER BY ms, seq) AS news FROM f
+), m AS (
+  SELECT lot_id, ms, row_number() OVER (PARTITION BY lot_id, news ORDER BY ms, seq) AS n FROM s WHERE miss
+), t AS (
+  SELECT *, lag(value > 80) OVER o AS before, lead(ms) OVER o AS later FROM s WHERE NOT miss AND revision >= top WINDOW o AS (PARTITION BY lot_id ORDER BY ms, seq)
+), d AS (
+  SELECT lot_id, k, min(due) AS due FROM (SELECT lot_id, k, greatest(ms + 1000, ms + 1200000 - 60000 * k) AS due, later, mark FROM t, (VALUES (15), (2)) AS v(k)) WHERE due < mark AND (later IS NULL OR due < later) GROUP BY ALL
+)
+SELECT lot_id, 'late' AS kind, ms AS at_ms FROM a WHERE NOT fits
+UNION ALL SELECT lot_id, 'late', ms FROM f WHERE NOT miss AND revision < top
+UNION ALL SELECT lot_id, 'stale', ms FROM m WHERE n = 2
+UNION ALL SELECT lot_id, 'over_max', ms FROM t WHERE value > 80 AND NOT coalesce(before, false)
+UNION ALL SELECT lot_id, 'alarm_' || k, due FROM d
+""")
 def stream_watch_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()  # the last in tests only
-    return watch.alerts_of_events(spark, sf_dir, folder.rstrip("/"))
+    """The watchlist stream over all events, against windows over those that the last watermark has passed."""
+    return watch.alerts_of_events(spark, sf_dir, shared_root(spark))

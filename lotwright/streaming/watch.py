@@ -1,83 +1,218 @@
-"""A watchlist as keyed streaming state: newest revision wins, alerts once per crossing, alarms before the end once each."""
+"""A watchlist as keyed streaming state: rows in order of event time, late answers rejected, alerts and alarms once each."""
 
 from __future__ import annotations
 
+import heapq
+import json
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-STATE = "revision long, failures int, over boolean, ends long, fired array<int>"
 OUT = "lot_id long, kind string, at_ms long"
-#: Minutes before the end of a lot at which it is announced; misses in a row after which it is stale. Fixed values.
-ALARMS, STALE = (15, 2), 2
-
-
-def _step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    revision, failures, over, ends, fired = state.get if state.exists else (-1, 0, False, None, [])
-    fired, out = list(fired), []
-    if state.hasTimedOut:
-        now = state.getCurrentWatermarkMs()
-    else:
-        rows = pd.concat(list(parts)).sort_values(["at_ms", "revision"])
-        for r in rows.itertuples():
-            if not r.ok:
-                failures += 1
-                if failures == STALE:
-                    out.append((key[0], "stale", r.at_ms))
-                continue
-            if r.revision < revision:  # late: an older version than the one that is kept
-                continue
-            revision, failures = r.revision, 0
-            ends = None if pd.isna(r.ends_ms) else int(r.ends_ms)
-            above = r.bid > r.ceiling
-            if above and not over:
-                out.append((key[0], "over_max", r.at_ms))
-            over = bool(above)
-        now = max(state.getCurrentWatermarkMs(), 0)
-    due = sorted(((ends - 60_000 * k, k) for k in ALARMS if k not in fired), key=lambda x: x[0]) if ends is not None else []
-    for at, k in due:
-        if at <= now:
-            fired.append(k)  # before it is announced: at most once
-            if now < ends or state.hasTimedOut:
-                out.append((key[0], f"alarm_{k}", at))
-    later = [at for at, k in due if k not in fired]
-    state.update((int(revision), int(failures), over, ends, fired))
-    if later:
-        state.setTimeoutTimestamp(max(min(later), now + 1))
-    if out:
-        yield pd.DataFrame(out, columns=["lot_id", "kind", "at_ms"])
-
-
-def watch(refreshes: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """Alerts of a stream of refreshes (lot_id, at, revision, ok, bid, ceiling, ends_ms).
-
-    A refresh that failed counts as a miss, and the second in a row makes the lot stale; one of an older revision than
-    the state's is dropped. A bid that rises over the ceiling alerts once until it has been under it again. Fifteen and
-    two minutes before the end each lot is announced once, when the watermark passes. State is bounded per lot.
+#: Minutes before the end of a lot at which it is announced, at the earliest so many milliseconds after its end became known; misses in a row after which it is stale. Fixed values.
+ALARMS, SOONEST, STALE = (15, 2), 1000, 2
+#: Rows that are sorted in memory at once, and of a piece of what waits in the state.
+RUN, CHUNK = 16_384, 256
+#: How long after its end a lot without news is forgotten.
+KEEP_MS = 40 * 86_400_000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What a row may lack, and what it then is.
+OPTIONAL = {"kind": "'answer'", "generation": "CAST(NULL AS BIGINT)", "fingerprint": "CAST(NULL AS STRING)", "seq": "revision"}
+ROW = ["at_ms", "seq", "kind", "generation", "fingerprint", "revision", "ok", "bid", "ceiling", "ends_ms"]
+
+
+@dataclass
+class Lot:
+    """What is known of a watched lot. Rows are taken in order of time; both methods return alerts (kind, at)."""
+
+    generation: int | None = None
+    fingerprint: str | None = None
+    revision: int | None = None
+    failures: int = 0
+    over: bool = False
+    seen: int | None = None
+    ends: int | None = None
+    fired: list[int] = field(default_factory=list)
+    touched: int = 0
+
+    SCHEMA = "generation long, fingerprint string, revision long, failures int, over boolean, seen long, ends long, fired array<int>, touched long"
+
+    def take(self, at: int, seq: int, kind: str, generation: int | None, fingerprint: str | None, revision: int | None, ok: bool, bid: float | None, ceiling: float | None, ends: int | None) -> list[tuple[str, int]]:
+        self.touched = at
+        if kind == "ask":  # a new refresh: answers to earlier ones are late from now on
+            if generation is not None and (self.generation is None or generation > self.generation):
+                self.generation, self.fingerprint = generation, fingerprint
+            return []
+        if generation != self.generation or fingerprint != self.fingerprint:
+            return [("late", at)]
+        if not ok:
+            self.failures += 1
+            return [("stale", at)] if self.failures == STALE else []
+        if revision is not None and self.revision is not None and revision < self.revision:
+            return [("late", at)]
+        self.revision, self.failures, self.seen, self.ends = self.revision if revision is None else revision, 0, at, ends
+        crossed, self.over = self.over, bid is not None and ceiling is not None and bid > ceiling
+        return [("over_max", at)] if self.over and not crossed else []
+
+    def due(self) -> list[tuple[int, int]]:
+        """(time, minutes before the end) of the alarms to come."""
+        if self.ends is None or self.ends <= self.seen:
+            return []
+        return sorted((max(self.seen + SOONEST, self.ends - 60_000 * k), k) for k in ALARMS if k not in self.fired)
+
+    def alarms(self, before: int) -> list[tuple[str, int]]:
+        """Announces what is due before a time, each kind once in a lot's life."""
+        out = [(f"alarm_{k}", at) for at, k in self.due() if at < before]
+        self.fired += [int(x[0].removeprefix("alarm_")) for x in out]
+        return out
+
+
+class Watch(StatefulProcessor):
+    """Rows wait in the state until the watermark has passed them, in sorted runs of small pieces, and are then merged.
+
+    So the order of arrival does not matter, and a lot with any number of rows needs the memory of one run while
+    they arrive and of one piece of each run while they are merged.
     """
-    rows = refreshes.withWatermark("at", lateness).withColumn("at_ms", F.unix_millis("at"))
-    return rows.groupBy("lot_id").applyInPandasWithState(_step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+    def __init__(self, keep_ms: int = KEEP_MS, run: int = RUN, chunk: int = CHUNK):
+        self.keep_ms, self.run, self.chunk = keep_ms, run, chunk
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lot = handle.getValueState("lot", Lot.SCHEMA)
+        self.runs = handle.getValueState("runs", "next long, runs array<array<long>>")  # of each run: number, piece, row in it, pieces, time of that row
+        self.pieces = handle.getMapState("pieces", "run long, piece long", "rows string")
+
+    def _waiting(self) -> tuple[int, list[list[int]]]:
+        if not self.runs.exists():
+            return 0, []
+        number, runs = self.runs.get()
+        return number, [list(x) for x in runs]
+
+    def _piece(self, run: int, piece: int) -> list[list]:
+        return json.loads(self.pieces.getValue((run, piece))[0])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        number, runs = self._waiting()
+        fields = lambda r: [r[name] for name in ROW]
+        while own := sorted(map(fields, islice(rows, self.run)), key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+            for k in range(0, len(own), self.chunk):
+                self.pieces.updateValue((number, k // self.chunk), (json.dumps(own[k : k + self.chunk]),))
+            runs.append([number, 0, 0, -(-len(own) // self.chunk), own[0][0]])
+            number += 1
+        self.runs.update((number, runs))
+        self.handle.registerTimer(min(r[4] for r in runs) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        alert = lambda x: Row(lot_id=key[0], kind=x[0], at_ms=x[1])
+        lot = Lot(*self.lot.get()) if self.lot.exists() else Lot()
+        lot.fired = list(lot.fired)
+        number, runs = self._waiting()
+        later = [r for r in runs if r[4] >= now]
+        for row in self._merged([r for r in runs if r[4] < now], now, later):
+            yield from map(alert, lot.alarms(row[0]))
+            if self._forgotten(lot) < row[0]:
+                lot = Lot()
+            yield from map(alert, lot.take(*row))
+        yield from map(alert, lot.alarms(now))
+        if not later and self._forgotten(lot) < now:
+            self.lot.clear()
+            self.runs.clear()
+            return
+        self.lot.update((lot.generation, lot.fingerprint, lot.revision, lot.failures, lot.over, lot.seen, lot.ends, lot.fired, lot.touched))
+        self.runs.update((number, later))
+        self.handle.registerTimer(max(now, min([r[4] for r in later] + [at for at, _ in lot.due()] + [self._forgotten(lot)])) + 1)
+
+    def _forgotten(self, lot: Lot) -> int:
+        """When a lot is forgotten if nothing more comes."""
+        return max(lot.touched, lot.ends or 0) + self.keep_ms
+
+    def _merged(self, runs: list[list[int]], now: int, later: list[list[int]]) -> Iterator[list]:
+        """The waiting rows before ``now`` in order; what is left of the runs goes to ``later``."""
+        heap = []
+        for run in runs:
+            rows = self._piece(run[0], run[1])
+            heap.append((self._place(rows[run[2]]), run[0], run, rows))
+        heapq.heapify(heap)
+        while heap:
+            place, _, run, rows = heap[0]
+            if place[0] >= now:
+                later += [[*x[2][:4], x[0][0]] for x in heap]
+                return
+            yield rows[run[2]]
+            run[2] += 1
+            if run[2] == len(rows):
+                self.pieces.removeKey((run[0], run[1]))
+                run[1], run[2] = run[1] + 1, 0
+                if run[1] == run[3]:
+                    heapq.heappop(heap)
+                    continue
+                rows = self._piece(run[0], run[1])
+            heapq.heapreplace(heap, (self._place(rows[run[2]]), run[0], run, rows))
+
+    @staticmethod
+    def _place(row: list) -> tuple:
+        return row[0], row[1] is not None, row[1] or 0
+
+
+def watch(refreshes: DataFrame, lateness: str = "10 minutes", processor: Watch | None = None) -> DataFrame:
+    """Alerts of a stream of refreshes: lot_id, at, revision, ok, bid, ceiling, ends_ms, and any of OPTIONAL.
+
+    Rows of kind ``ask`` begin a generation with a fingerprint; an answer of another generation or fingerprint than its lot's
+    is ``late``, and so is one of an older revision than the lot's. A refresh that failed is a miss, and the second in a row
+    makes the lot ``stale``. A bid that rises over the ceiling alerts once until it has been under it again. Fifteen and two
+    minutes before the end each lot is announced once, when the watermark passes. A row that comes after the watermark has
+    passed it is dropped. Equal times are by seq (the revision, where there is none). What is known of a lot is bounded, and
+    goes the processor's ``keep_ms`` after the lot's end.
+    """
+    rows = refreshes.withWatermark("at", lateness)
+    rows = rows.withColumns({name: F.expr(x) for name, x in OPTIONAL.items() if name not in rows.columns})
+    rows = rows.select("lot_id", "at", F.unix_millis("at").alias("at_ms"), *ROW[1:])
+    return rows.groupBy("lot_id").transformWithState(processor or Watch(), OUT, "append", "EventTime")
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, on disk, as timers and maps need it."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def run_to_end(alerts: DataFrame, folder: str) -> DataFrame:
     """Runs a stream over what its source has now, and reads back what it wrote below ``folder``."""
     spark = alerts.sparkSession
     out = f"{folder}/alerts-{uuid.uuid4().hex}"
-    query = alerts.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    with rocks(spark):
+        query = alerts.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(OUT).parquet(f"{out}/rows")
 
 
 def refreshes_of_events(rows: DataFrame) -> DataFrame:
-    """The events table as refreshes: an error is a miss, the value is the bid."""
-    at = F.col("ts").cast("timestamp")
+    """The events table as refreshes: a click asks, an error is a miss, the value of another event is the bid.
+
+    The generation is a span of six days: that of a click, and for answers that of up to three days before. Every seventh row has
+    another fingerprint, and revisions fall now and then.
+    """
+    at, n = F.col("ts").cast("timestamp"), F.col("event_id")
+    asks = F.col("event_type") == "click"
+    span = F.floor((F.unix_millis(at) - F.when(asks, 0).otherwise(n % 4) * 86_400_000) / 518_400_000)
     return rows.select(
-        F.col("user_id").alias("lot_id"), at.alias("at"), F.col("event_id").alias("revision"), (F.col("event_type") != "error").alias("ok"),
-        F.col("value").alias("bid"), F.lit(80.0).alias("ceiling"), (F.unix_millis(at) + 20 * 60_000).alias("ends_ms"),
+        F.col("user_id").alias("lot_id"), at.alias("at"), n.alias("seq"), F.when(asks, "ask").otherwise("answer").alias("kind"), span.alias("generation"), F.when(n % 7 == 0, "b").otherwise("a").alias("fingerprint"),
+        (n - n % 5 * 400).alias("revision"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("bid"), F.lit(80.0).alias("ceiling"), (F.unix_millis(at) + 20 * 60_000).alias("ends_ms"),
     )
 
 

@@ -2,6 +2,8 @@
 
 import datetime
 import json
+import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -60,7 +62,62 @@ def test_watchlist(spark, tmp_path):
     spark.createDataFrame(history, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     got = sorted((r["lot_id"], r["kind"], r["at_ms"]) for r in watch.run_to_end(watch.watch(stream), str(tmp_path)).collect())
-    assert got == [(1, "alarm_15", ms(45)), (1, "alarm_2", ms(58)), (1, "over_max", ms(1)), (1, "over_max", ms(5)), (2, "stale", ms(2))]
+    assert got == [(1, "alarm_15", ms(45)), (1, "alarm_2", ms(58)), (1, "late", ms(3)), (1, "over_max", ms(1)), (1, "over_max", ms(5)), (2, "stale", ms(2))]
+
+
+REFRESH = "lot_id long, at timestamp, seq long, kind string, generation long, fingerprint string, revision long, ok boolean, bid double, ceiling double, ends_ms long"
+
+
+def landed_refreshes(spark, folder, files):
+    """A stream of one micro-batch for each list of rows (lot, minute, ...)."""
+    t0 = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    for k, own in enumerate(files):
+        table = spark.createDataFrame([(r[0], t0 + datetime.timedelta(minutes=r[1]), *r[2:]) for r in own], REFRESH)
+        table.coalesce(1).write.parquet(f"{folder}/in/{k}")
+        for part in (folder / "in" / str(k)).glob("part-*"):
+            os.utime(part, (1_700_000_000 + k, 1_700_000_000 + k))
+    return spark.readStream.schema(REFRESH).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+
+
+def minutes(alerts):
+    return sorted((r["lot_id"], r["kind"], (r["at_ms"] - 1_704_067_200_000) / 60_000) for r in alerts.collect())
+
+
+def answer(lot, at, revision=1, ok=True, bid=1.0, ends=None, generation=None, fingerprint=None, seq=0):
+    return (lot, at, seq, "answer", generation, fingerprint, revision, ok, bid, 10.0, None if ends is None else 1_704_067_200_000 + ends * 60_000)
+
+
+def ask(lot, at, generation, fingerprint, seq=0):
+    return (lot, at, seq, "ask", generation, fingerprint, None, None, None, None, None)
+
+
+def test_late_answers_are_rejected(spark, tmp_path):
+    rows = [
+        answer(1, 0), ask(1, 1, 1, "a"), answer(1, 2, bid=20.0, generation=1, fingerprint="a"), ask(1, 3, 2, "b"), answer(1, 4, generation=1, fingerprint="a"), answer(1, 5, generation=2, fingerprint="a"), answer(1, 6, generation=2, fingerprint="b", bid=5.0),
+        ask(1, 7, 1, "a"), answer(1, 8, generation=2, fingerprint="b", bid=11.0), answer(1, 9, revision=0, generation=2, fingerprint="b", bid=1.0), answer(1, 10), answer(9, 600),
+    ]
+    got = minutes(watch.run_to_end(watch.watch(landed_refreshes(spark, tmp_path, [rows])), str(tmp_path)))
+    assert got == [(1, "late", 4), (1, "late", 5), (1, "late", 9), (1, "late", 10), (1, "over_max", 2), (1, "over_max", 8)]
+
+
+def test_order_of_arrival_and_size_of_runs_do_not_matter(spark, tmp_path):
+    """A hot lot's rows, mixed and in four micro-batches within the lateness, give what one ordered batch gives."""
+    own = random.Random(5)
+    rows = [answer(7, k / 4, revision=k - own.choice((0, 0, 0, 5)), ok=own.random() < 0.7, bid=own.choice((1.0, 20.0)), ends=own.choice((None, k // 4 + 30, k // 4 + 3)), seq=k) for k in range(1200)]
+    rows += [answer(8, 299, ends=320), answer(9, 2000)]
+    want = minutes(watch.run_to_end(watch.watch(landed_refreshes(spark, tmp_path / "a", [rows])), str(tmp_path / "a")))
+    mixed = sorted(rows[:-1], key=lambda r: r[1] + own.uniform(0, 60))
+    files = [mixed[:300], mixed[300:320], mixed[320:900], mixed[900:], rows[-1:]]
+    small = watch.watch(landed_refreshes(spark, tmp_path / "b", files), "120 minutes", watch.Watch(run=50, chunk=8))
+    got = minutes(watch.run_to_end(small, str(tmp_path / "b")))
+    assert got == want and {k for _, k, _ in got} == {"late", "stale", "over_max", "alarm_15", "alarm_2"}
+
+
+def test_lots_are_forgotten_after_their_end(spark, tmp_path):
+    files = [[answer(1, 0, ends=30, bid=20.0), answer(2, 0, bid=20.0)], [answer(9, 200)], [answer(1, 300, ends=330, bid=20.0), answer(2, 300, bid=20.0), answer(9, 500)]]
+    forgetful = watch.watch(landed_refreshes(spark, tmp_path, files), processor=watch.Watch(keep_ms=60 * 60_000))
+    got = minutes(watch.run_to_end(forgetful, str(tmp_path)))
+    assert got == sorted([(lot, "over_max", at) for lot in (1, 2) for at in (0, 300)] + [(1, "alarm_15", 15), (1, "alarm_2", 28), (1, "alarm_15", 315), (1, "alarm_2", 328)])
 
 
 def test_hourly_windows(spark, tmp_path):
