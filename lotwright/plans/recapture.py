@@ -1,4 +1,4 @@
-"""Queries about captures that are read again: short pages, changing snapshots."""
+"""Queries about captures that are read again: short pages, changing snapshots, refreshes of a watchlist."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lotwright.operators import retry, sequences
 from lotwright.sources.shared import shared_path
+from lotwright.streaming import refresh
 
 from .registry import query, table
 
@@ -85,3 +86,43 @@ def q_snapshot_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("snapshot"))
     _, report = retry.complete_snapshots(_read(_answers(spark, sf_dir)), months)
     return report.select("snapshot", "attempt", "total", "enumerated", "duplicates", "reason", "complete")
+
+
+ROUNDS, ROUND_MS, START_MS = 5, 518_400_000, 1_704_067_200_000
+
+
+@query(f"""
+WITH RECURSIVE l AS (
+  SELECT user_id AS lot_id, (row_number() OVER (ORDER BY user_id) - 1) // 100 AS batch FROM (SELECT DISTINCT user_id FROM events)
+), a AS (
+  SELECT user_id AS lot_id, (epoch_us(ts) // 1000 - {START_MS}) // {ROUND_MS} AS round, arg_max(struct_pack(v := value, s := CASE WHEN event_id % 5 <> 0 THEN event_id % 9000 END), event_id) AS x FROM events WHERE event_type = 'purchase' GROUP BY ALL
+), r AS (
+  SELECT 0 AS round, lot_id, batch, CAST(NULL AS BIGINT) AS bid_cents, CAST(NULL AS BIGINT) AS ends_ms, CAST(NULL AS BIGINT) AS refreshed_ms, 0 AS failures, false AS notified, false AS alert FROM l
+  UNION ALL
+  SELECT round + 1, lot_id, batch, coalesce(bid, bid_cents), coalesce(ends, ends_ms), CASE WHEN got THEN now ELSE refreshed_ms END, CASE WHEN got THEN 0 ELSE failures + 1 END,
+         notified OR coalesce(got AND bid > 6000, false), coalesce(got AND NOT notified AND bid > 6000, false)
+  FROM (
+    SELECT r.*, {START_MS} + CAST(r.round + 1 AS BIGINT) * {ROUND_MS} AS now, x IS NOT NULL AND (batch + r.round) % 4 <> 0 AS got, CASE WHEN (batch + r.round) % 4 <> 0 THEN CAST(round(x.v * 100) AS BIGINT) END AS bid,
+           CASE WHEN (batch + r.round) % 4 <> 0 THEN {START_MS} + CAST(r.round + 1 AS BIGINT) * {ROUND_MS} + x.s * 1000 END AS ends
+    FROM r LEFT JOIN a ON a.lot_id = r.lot_id AND a.round = r.round WHERE r.round < {ROUNDS}
+  )
+)
+SELECT lot_id, bid_cents, ends_ms, refreshed_ms, CAST(failures AS INT) AS failures, failures >= 2 AS stale, notified, alert FROM r WHERE round = {ROUNDS}
+""")
+def stream_watch_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five refreshes of all users' lots, each a micro-batch: a purchase answers, every fourth request fails."""
+    events = table(spark, sf_dir, "events")
+    lots = events.select(F.col("user_id").alias("lot_id")).distinct()
+    store = refresh.Store(spark, shared_path(spark, "watched"))
+    store.create(lots.withColumn("max_cents", F.lit(6000).cast("long")))
+    number = F.floor((F.unix_millis(F.col("ts").cast("timestamp")) - START_MS) / ROUND_MS)
+    answers = events.where("event_type = 'purchase'").select(F.col("user_id").alias("lot_id"), F.col("value").alias("high_bid"), F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 9000).cast("double").alias("seconds_left"), F.col("event_id").alias("place"), F.lit(None).cast("long").alias("batch"), number.alias("round"))
+    asked = refresh.batched(lots).select("batch").distinct().withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(ROUNDS - 1))))
+    none = {"lot_id": "long", "high_bid": "double", "seconds_left": "double", "place": "long"}
+    failed = asked.where("(batch + round) % 4 = 0").select(*(F.lit(None).cast(t).alias(n) for n, t in none.items()), "batch", F.col("round").cast("long").alias("round"))
+    rows = answers.union(failed).withColumn("at_ms", F.lit(START_MS) + (F.col("round") + 1) * ROUND_MS)
+    path = shared_path(spark, "answers")
+    for k in range(ROUNDS):  # one file for each refresh, in the order in which they come
+        rows.where(F.col("round") == k).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return refresh.run_to_end(stream, store).drop("max_cents")

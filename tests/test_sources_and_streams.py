@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from lotwright.sources import markup, paged
-from lotwright.streaming import watch, windows
+from lotwright.streaming import refresh, watch, windows
 
 
 def rows(df):
@@ -140,3 +140,28 @@ def test_tree_records(spark):
     html = """<div data-key="a1"><h2>Sony <b>TV</b></h2><div data-key="b2"><h2>Inner</h2><span class="x-price">$5</span></div><span class="price">$1,030.50</span></div><div data-key="c3"><img alt="Pic"><i>Sponsored</i></div>"""
     got = rows(tree.records(spark.createDataFrame([(1, html), (2, None), (3, "<p>")], "p long, html string"), "html", ["p"]))
     assert [(r["key"], r["title"], r["price"], r["sponsored"]) for r in sorted(got, key=lambda r: r["pos"])] == [("A1", "Sony TV", 1030.5, False), ("B2", "Inner", 5.0, False), ("C3", "Pic", None, True)]
+
+
+def test_refreshes_merge_in_batches(spark, tmp_path):
+    store = refresh.Store(spark, str(tmp_path / "watched"))
+    store.create(spark.createDataFrame([(k, 500 if k == 3 else None) for k in range(250)], "lot_id long, max_cents long"))
+    assert sorted(len(r["lot_ids"]) for r in refresh.requests(store.read()).collect()) == [50, 100, 100]
+    schema = "lot_id long, high_bid double, seconds_left double, place long, at_ms long, batch long"
+    rounds = [
+        [(3, 5.01, 60.0, 1, 1000, None), (3, 6.5, None, 2, 1000, None), (150, 1.0, float("nan"), 1, 1000, None), (999, 9.0, 1.0, 1, 1000, None)],
+        [(3, 7.0, 10.0, 1, 2000, None), (150, 2.0, 5.0, 1, 2000, None), (None, None, None, None, 2000, 0)],
+        [(3, float("inf"), 10.0, 1, 3000, None), (None, None, None, None, 3000, 0), (None, None, None, None, 3000, 0)],
+    ]
+    tables = [spark.createDataFrame(r, schema) for r in rounds]
+    store.refresh(tables[0], 0)
+    row = lambda k: tuple(store.read().where(f"lot_id = {k}").first())[2:]
+    assert row(3) == (650, None, 1000, 0, False, True, True) and row(150) == (100, None, 1000, 0, False, False, False) and row(9) == (None, None, None, 1, False, False, False)
+    store.refresh(tables[1], 1)
+    assert row(3) == (650, None, 1000, 1, False, True, False) and row(150) == (200, 7000, 2000, 0, False, False, False) and row(9)[3:5] == (2, True)
+    before = {tuple(r) for r in store.read().collect()}
+    store.refresh(tables[1], 1)  # the same micro-batch again
+    assert {tuple(r) for r in store.read().collect()} == before and store.versions() == [1, 2]
+    tables[2].write.parquet(str(tmp_path / "watched/3"))
+    (tmp_path / "watched/3/_SUCCESS").unlink()  # a version that was begun and not finished
+    store.refresh(tables[2], 2)
+    assert row(3) == (650, None, 1000, 2, True, True, False) and store.read().count() == 250 and store.versions() == [2, 3]
