@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwright.operators import retry, sequences
+from lotwright.operators import changelog, retry, sequences
 from lotwright.sources.shared import shared_path
 from lotwright.streaming import refresh
 
@@ -126,3 +126,24 @@ def stream_watch_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.where(F.col("round") == k).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return refresh.run_to_end(stream, store).drop("max_cents")
+
+
+@query("""
+WITH c AS (
+  SELECT user_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS op, CASE WHEN event_type <> 'click' THEN value END AS value, CASE WHEN event_type <> 'view' THEN props END AS props FROM events
+), r AS (
+  SELECT user_id, max(seq) AS last, max(seq) FILTER (WHERE op <> 'update') AS reset, arg_max(op, seq) FILTER (WHERE op <> 'update') AS op FROM c GROUP BY 1
+)
+SELECT user_id, last AS seq, arg_max(c.value, c.seq) FILTER (WHERE c.value IS NOT NULL) AS value, arg_max(c.props, c.seq) FILTER (WHERE c.props IS NOT NULL) AS props
+FROM r JOIN c USING (user_id) WHERE r.op = 'insert' AND c.seq >= r.reset GROUP BY user_id, last
+""")
+def q_message_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store holds after all events: a signup inserts, an error deletes, others update; merged in three parts that overlap."""
+    kind = F.when(F.col("event_type") == "signup", "insert").when(F.col("event_type") == "error", "delete").otherwise("update")
+    changes = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), kind.alias("op"), F.when(F.col("event_type") != "click", F.col("value")).alias("value"), F.when(F.col("event_type") != "view", F.col("props")).alias("props"))
+    path, buckets = shared_path(spark, "store"), 8
+    changelog.create(path, changes.select("user_id", F.lit(-1).cast("long").alias("seq"), F.lit(True).alias("deleted"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("props")).distinct(), "user_id", buckets)
+    n = changes.agg(F.max("seq")).first()[0] or 0
+    for a, b in ((0, n // 2), (n // 4, 3 * n // 4), (n // 2, n)):
+        changelog.merge(path, changes.where(F.col("seq").between(a, b)), "user_id", buckets)
+    return changelog.live(path, spark)
