@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwright.sources import markup, paged
+from lotwright.sources import markup, paged, tiles
 from lotwright.sources.shared import shared_root
 from lotwright.streaming import watch
 
@@ -21,10 +21,42 @@ BODY = """'{"pageNumber":' || page_id || ',"totalCount":5,"noExactMatches":' ||
   || ',"results":[{"id":' || page_id * 2 || ',"title":"Lot 0","highBid":1.5},{"id":' || (page_id * 2 + 1) || ',"title":"Lot 1"}]}'"""
 
 
+#: Two groups, each from its heading element to the next one; tiles named by their id, their link and an element inside; a lot's second tile.
+GROUPED = """'<app-watched-auction-header><div class="listing-box-title"><a href="/catalog/' || page_id || '/a"><strong>Sale A</strong></a><a href="https://maps.google.com/maps?q=x">Town, NJ</a> | July 1</div></app-watched-auction-header><p>Showing 1 to 2 of ' || (40 + page_id) || ' lots</p>
+<app-lot-tile id="lot-a' || page_id || '"><a href="/lot/5/x">Lot 7B | Drill &amp; bits</a> High Bid: $1,040.50 3 Bids Outbid</app-lot-tile><div data-event-item-id="5"><a href="/lot/' || page_id || '/saw"><b>Saw</b></a><i hidden>Won</i></div>
+<app-watched-auction-header><div class="listing-box-title"><a href="/catalog/9' || page_id || '"><strong>Sale B</strong></a></div></app-watched-auction-header><app-lot-tile id="lot-a' || page_id || '"><h3>again</h3></app-lot-tile><div data-event-item-id="z"><p data-event-item-id="q' || page_id || '">Rug, shipping</p></div>'"""
+
+
+def _as_catalogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is, as a catalogue's."""
+    return table(spark, sf_dir, "pages").select("page_id", "html", "url", F.lit("catalog").alias("kind"), F.lit("").alias("grp"))
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "html")
 
 
+@landed("""
+SELECT page_id, CAST(pos AS INT) AS pos, id, lot, title, 'https://site.example' || path AS url, bid AS current_bid, CAST(bids AS INT) AS bid_count, status, shipping,
+       CASE WHEN page_id % 3 = 0 THEN CASE pos WHEN 2 THEN '9' || page_id ELSE '' || page_id END END AS auction_id, CASE WHEN page_id % 3 = 0 THEN CASE pos WHEN 2 THEN 'Sale B' ELSE 'Sale A' END END AS auction_title,
+       CASE WHEN page_id % 3 = 0 THEN CASE pos WHEN 2 THEN '' ELSE 'Town, NJ' END END AS location
+FROM pages, LATERAL (VALUES (0, 'a' || page_id, '7B', 'Drill & bits', '/lot/5/x', 1040.5, 3, 'Outbid', false), (1, '' || page_id, '' || page_id, 'Saw', '/lot/' || page_id || '/saw', NULL, NULL, '', false),
+  (2, 'q' || page_id, 'q' || page_id, 'Lot q' || page_id, '/lot/q' || page_id, NULL, NULL, '', true)) AS v(pos, id, lot, title, path, bid, bids, status, shipping) WHERE pos < 2 OR page_id % 3 <> 1
+""", {"page_id": "page_id", "html": f"{GROUPED} || coalesce(html, '')", "url": "'https://site.example/page'", "kind": "CASE page_id % 3 WHEN 0 THEN 'watchlist' WHEN 1 THEN 'pastbids' ELSE 'catalog' END", "grp": "'' || page_id"}, _as_catalogues)
+def q_account_lots(rows: DataFrame) -> DataFrame:
+    """Lots of account and catalogue pages by their element tree, those of account pages with their group."""
+    return tiles.account_lots(rows, "html", "url", "kind", "grp", ["page_id"]).drop("images", "next_bid", "time_left", "raw")
+
+
+@landed("""
+SELECT page_id, 0 AS pos, '' || page_id AS id, 'Sale A' AS title, 'https://site.example/catalog/' || page_id || '/a' AS catalog_url, 'Town, NJ' AS location, 'July 1' AS dated, CAST(40 + page_id AS INT) AS expected, 2 AS visible FROM pages
+UNION ALL SELECT page_id, 1, '9' || page_id, 'Sale B', 'https://site.example/catalog/9' || page_id, '', '', 3, 3 FROM pages
+""", {"page_id": "page_id", "html": f"{GROUPED} || coalesce(html, '')", "url": "'https://site.example/page'"}, _as_catalogues)
+def q_auction_groups(rows: DataFrame) -> DataFrame:
+    """Auction groups of a page, with the lots that each says it has and shows."""
+    return tiles.auction_groups(rows, "html", "url", ["page_id"])
+
+
 @landed(f"""
 SELECT page_id, 1 AS pos, CAST(page_id AS VARCHAR) AS id, 'Drill & ' || page_id AS title, '/lot/' || page_id AS url, CAST('104' || page_id % 10 AS DOUBLE) AS bid FROM pages UNION ALL SELECT page_id, 2, 'x' || page_id, 'Saw', NULL, NULL FROM pages
 """, {"page_id": "page_id", "html": f"coalesce(html, '') || {TILES}"}, _pages)
