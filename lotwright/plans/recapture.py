@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwright.operators import changelog, retry, sequences
+from lotwright.sources import paged
 from lotwright.sources.shared import shared_path
 from lotwright.streaming import refresh
 
@@ -147,3 +148,18 @@ def q_message_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     for a, b in ((0, n // 2), (n // 4, 3 * n // 4), (n // 2, n)):
         changelog.merge(path, changes.where(F.col("seq").between(a, b)), "user_id", buckets)
     return changelog.live(path, spark)
+
+
+@query("""
+WITH p AS (SELECT o_orderkey AS id, 1 + (o_orderkey % 40) AS page, o_orderpriority AS title, row_number() OVER (PARTITION BY o_orderkey % 40 ORDER BY o_orderkey) - 1 AS pos, count(*) OVER (PARTITION BY o_orderkey % 40) AS total FROM orders)
+SELECT CAST(page AS INT) AS page, CAST(pos AS INT) AS pos, CAST(total AS BIGINT) AS total, id, title FROM p WHERE page BETWEEN 3 AND 7 AND id > 1000 AND title LIKE '%HIGH'
+""")
+def q_pushed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed pages of orders: a filter on the page opens five of forty, one on the id is applied as they are read, one on the title after."""
+    orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 40 + 1).cast("int").alias("page"), F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title")).alias("r"))
+    pages = orders.groupBy("page").agg(F.array_sort(F.collect_list("r")).alias("results"))  # what one page holds
+    bodies = pages.select("page", F.to_json(F.struct(F.col("page").alias("pageNumber"), F.size("results").alias("totalCount"), "results")).alias("body"))
+    path = shared_path(spark, "landed")
+    bodies.repartition("page").write.partitionBy("page").text(path)
+    rows = paged.read_landed(spark, path, 40, layout="folders")
+    return rows.where(F.col("page").between(3, 7) & (F.col("id") > 1000) & F.col("title").endswith("HIGH"))

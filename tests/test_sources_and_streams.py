@@ -5,6 +5,7 @@ import json
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lotwright.sources import markup, paged
@@ -44,11 +45,39 @@ def test_pages(spark, tmp_path):
     assert [r["page"] for r in rows(paged.next_pages(spark.createDataFrame([(245,)], "total long"), 100))] == [2, 3]
     for p in pages:
         (tmp_path / f"page-{p['pageNumber']}.json").write_text(json.dumps(p))
-    spark.dataSource.register(paged.LandedPages)
-    got = spark.read.format("landed_pages").option("pages", 3).load(str(tmp_path))
+    got = paged.read_landed(spark, str(tmp_path), 3)
     assert got.rdd.getNumPartitions() == 3 and sorted(r["id"] for r in got.collect()) == [10, 11, 20, 21, 30]
 
 
+@pytest.mark.parametrize(
+    ("condition", "pages", "left"),
+    [
+        ("page = 2", 1, False), ("page >= 2 AND page < 4 AND id > 21", 2, False), ("page IN (1, 9)", 1, False), ("page = 7", 1, False), ("title LIKE 't1%' AND page <= 2", 2, True), ("page = 1 OR id = 30", 4, True), ("id IS NULL", 4, False), ("page <> 2", 4, True),
+        ("title = 't0' AND id = 10", 4, True), ("total = 7 AND pos = 1", 4, False),
+    ],
+)
+def test_filters_are_pushed_into_the_pages(spark, tmp_path, condition, pages, left):
+    for k in (1, 2, 3, 4):
+        results = [{"id": 10 * k + i, "title": f"t{i}"} for i in range(3)] + [{"title": "none"}]
+        (tmp_path / f"page-{k}.json").write_text(json.dumps({"pageNumber": k, "totalCount": 9, "filteredCount": 7, "results": results}))
+    own = paged.read_landed(spark, str(tmp_path), 4)
+    pushed = own.where(condition)
+    plain = spark.createDataFrame(own.collect(), own.schema).where(condition)
+    assert sorted(pushed.collect(), key=str) == sorted(plain.collect(), key=str)
+    assert pushed.rdd.getNumPartitions() == pages
+    assert ("Filter" in pushed._jdf.queryExecution().executedPlan().toString().split("BatchScan")[0]) == left
+
+
+def test_pages_of_ids(spark, tmp_path):
+    pages = [{"data": {"pageNumber": 1, "totalCount": 9, "filteredCount": 6, "lots": [{"id": 91}, {"id": None}, {"id": 92}]}}, {"totalCount": 3, "lots": [{"id": 5}]}, {"data": {"pageNumber": 1, "totalCount": 455, "noExactMatches": True, "lots": [{"id": 1}]}}, {}]
+    df = spark.createDataFrame([(json.dumps(p), k) for k, p in enumerate(pages)] + [("broken", 9), (None, 9)], "body string, k int")
+    assert sorted(tuple(r) for r in paged.id_rows(df, "body", "k").collect()) == [(1, 0, 3, 5), (1, 0, 6, 91), (1, 2, 6, 92)]
+    for k, p in enumerate(pages, 1):
+        (tmp_path / f"page-{k}.json").write_text(json.dumps(p))
+    got = paged.read_landed(spark, str(tmp_path), 4, ids="true")
+    assert sorted(tuple(r) for r in got.where("id IS NOT NULL").collect()) == [(1, 0, 6, 91), (1, 2, 6, 92), (2, 0, 3, 5)]
+
+
 def test_watchlist(spark, tmp_path):
     t0 = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
     at = lambda m: t0 + datetime.timedelta(minutes=m)
