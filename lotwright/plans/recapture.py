@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwright.operators import changelog, retry, sequences
-from lotwright.sources import paged
+from lotwright.sources import batches, paged
 from lotwright.sources.shared import shared_path
 from lotwright.streaming import refresh
 
@@ -163,3 +163,28 @@ def q_pushed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies.repartition("page").write.partitionBy("page").text(path)
     rows = paged.read_landed(spark, path, 40, layout="folders")
     return rows.where(F.col("page").between(3, 7) & (F.col("id") > 1000) & F.col("title").endswith("HIGH"))
+
+
+@query("""
+SELECT DISTINCT 'c_custkey,c_name,c_acctbal' AS line FROM customer
+UNION ALL SELECT '"' || c_custkey || '","' || replace(c_name, '"', '""') || '","' || CAST(CAST(c_acctbal * 100 AS BIGINT) AS VARCHAR) || '"' FROM customer
+""")
+def q_quoted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a file that the sink for quoted text has written."""
+    path = shared_path(spark, "quoted")
+    batches.write_quoted(table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.round(F.col("c_acctbal") * 100).cast("long").alias("c_acctbal")), path)
+    return spark.read.option("lineSep", "\r\n").text(path).distinct().withColumnRenamed("value", "line")
+
+
+@query("""
+SELECT lower(substr(o_orderpriority, 3, 3)) AS job, o_orderkey AS id FROM orders WHERE o_orderpriority NOT LIKE '1%' OR o_orderkey % 3 = 0
+UNION ALL SELECT lower(substr(o_orderpriority, 3, 3)), -o_orderkey FROM orders WHERE o_orderpriority LIKE '5%' AND o_orderkey % 4 = 0
+""")
+def q_keyed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as batches by priority; one priority is replaced by a third of it, another one gets more rows."""
+    job = F.lower(F.substring("o_orderpriority", 3, 3)).alias("job")
+    orders, path = table(spark, sf_dir, "orders"), shared_path(spark, "batches")
+    batches.put_batches(orders.select(job, F.col("o_orderkey").alias("id")), path, "job")
+    batches.put_batches(orders.where("o_orderpriority LIKE '1%' AND o_orderkey % 3 = 0").select(job, F.col("o_orderkey").alias("id")), path, "job", replace=True)
+    batches.put_batches(orders.where("o_orderpriority LIKE '5%' AND o_orderkey % 4 = 0").select(job, (-F.col("o_orderkey")).alias("id")), path, "job")
+    return batches.read_batches(spark, path, "job", "id long")

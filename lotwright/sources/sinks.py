@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lotwright.operators import keyed
 
+from .batches import write_quoted
+
 
 def gated(rows: DataFrame, audit: DataFrame) -> DataFrame:
     """rows, if every row of the audit is complete; evaluating the result fails with the first reason otherwise."""
@@ -20,8 +22,8 @@ def to_json(rows: DataFrame, path: str) -> None:
 
 
 def to_csv(rows: DataFrame, path: str) -> None:
-    """Every cell quoted, quotes doubled, lines ended by CRLF."""
-    rows.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("lineSep", "\r\n").csv(path)
+    """A bare header, every cell quoted, quotes doubled, lines parted by CRLF; null and empty cells are alike."""
+    write_quoted(rows, path)
 
 
 def to_text(lines: DataFrame, path: str) -> None:
@@ -41,8 +43,3 @@ def upserted(stored: DataFrame, incoming: DataFrame, key: str, revision: str) ->
 
 def alive(cache: DataFrame, now_ms: int) -> DataFrame:
     return cache.where(F.col("expires_at") > now_ms)
-
-
-def diagnostic(rows: DataFrame, allowed: dict[str, int]) -> DataFrame:
-    """The allowed text columns only, each cut to its length."""
-    return rows.select(*(F.left(F.col(c).cast("string"), F.lit(n)).alias(c) for c, n in allowed.items()))
