@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lotwright.operators.sequences import blocks, numbered
+
 from .common import table, written
 
 #: The template of one message: role between OPEN and MIDDLE, then the text, then CLOSE.
@@ -37,8 +39,8 @@ def messages(conversations: DataFrame) -> DataFrame:
     """conv_id, pos (from 0), role and text of every message, in order of turn, role and text.
 
     Rows of a turn with equal role and text count once. A null role is ``unknown``, a null text is empty, a null turn
-    comes last; rows without conv_id are left out. Positions come from one range partitioning of the whole table, so a
-    conversation may be of any length.
+    comes last; rows without conv_id are left out. Positions come from blocks of 65,536 turns whose sizes are carried
+    on, so a conversation of many turns is many tasks.
     """
     rows = conversations.where("conv_id IS NOT NULL").select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -46,9 +48,8 @@ def messages(conversations: DataFrame) -> DataFrame:
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    rows = _numbered(rows.distinct(), "conv_id", "turn", "role", "text")
-    first = rows.groupBy(F.col("conv_id").alias("c")).agg(F.min("n").alias("first"))
-    return rows.join(first, F.col("conv_id") == F.col("c")).select("conv_id", (F.col("n") - F.col("first")).alias("pos"), "role", "text")
+    rows = numbered(rows.distinct(), ["conv_id"], ["turn", "role", "text"], "n", blocks("turn"))
+    return rows.select("conv_id", (F.col("n") - 1).alias("pos"), "role", "text")
 
 
 def preference_pairs(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -67,42 +68,56 @@ def preference_pairs(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
     return formatted(messages(conversations).join(sides, F.col("conv_id") == F.col("of")).select("pair_id", "side", "pos", "role", "text"))
 
 
-def formatted(rows: DataFrame) -> DataFrame:
-    """The result of preference_pairs for rows pair_id, side (0 chosen, 1 rejected), pos, role, text; one for each pair, side and pos."""
+def formatted(rows: DataFrame, unpaired: bool = False) -> DataFrame:
+    """The result of preference_pairs for rows pair_id, side (0 chosen, 1 rejected), pos, role, text; one for each pair, side and pos.
+
+    With ``unpaired``, pairs of which one side is missing, equal to or the beginning of the other are given too, with no loss.
+    """
     of = lambda side: F.max(F.when(F.col("side") == side, F.struct("role", "text")))
     both = rows.groupBy("pair_id", "pos").agg(of(0).alias("c"), of(1).alias("r"))
     end = lambda x: F.max(F.when(F.col(x).isNotNull(), F.col("pos")))
     cuts = both.groupBy(F.col("pair_id").alias("p")).agg(F.min(F.when(~F.col("c").eqNullSafe(F.col("r")), F.col("pos"))).alias("cut"), F.least(end("c"), end("r")).alias("end"), F.count("c").alias("nc"), F.count("r").alias("nr"))
-    placed = both.join(cuts.where("nc > 0 AND nr > 0 AND end >= cut"), F.col("pair_id") == F.col("p"))
+    cuts = cuts.select("p", F.coalesce("cut", F.lit(LAST)).alias("cut"), F.coalesce((F.col("nc") > 0) & (F.col("nr") > 0) & (F.col("end") >= F.col("cut")), F.lit(False)).alias("paired"))
+    placed = both.join(cuts if unpaired else cuts.where("paired"), F.col("pair_id") == F.col("p"))
     row = lambda part, m: F.struct(F.lit(part).alias("part"), F.col(m)["role"].alias("role"), F.col(m)["text"].alias("text"))
     answers = F.array_compact(F.array(F.when(F.col("c").isNotNull(), row("chosen", "c")), F.when(F.col("r").isNotNull(), row("rejected", "r"))))
-    out = placed.select("pair_id", "pos", F.explode(F.when(F.col("pos") < F.col("cut"), F.array(row("prompt", "c"))).otherwise(answers)).alias("m"))
-    loss = (F.col("m.part") != "prompt") & (F.col("m.role") == "assistant")
+    out = placed.select("pair_id", "pos", "paired", F.explode(F.when(F.col("pos") < F.col("cut"), F.array(row("prompt", "c"))).otherwise(answers)).alias("m"))
+    loss = F.col("paired") & (F.col("m.part") != "prompt") & (F.col("m.role") == "assistant")
     return out.select("pair_id", "m.part", "pos", "m.role", rendered(F.col("m.role"), F.col("m.text")).alias("text"), loss.alias("loss"))
 
 
-def answer_pairs(conversations: DataFrame) -> DataFrame:
-    """pair_id, side, pos, role, text: every conversation up to its last reply, against the same one with another reply.
+def _followed(ids: DataFrame) -> DataFrame:
+    """conv_id and other: the next one in order, for the last one the first. Windows within blocks of ids, then one row for each block."""
+    rows = ids.withColumn("block", blocks("conv_id"))
+    rows = rows.withColumn("other", F.lead("conv_id").over(Window.partitionBy("block").orderBy("conv_id")))
+    firsts = rows.groupBy(F.col("block").alias("b")).agg(F.min("conv_id").alias("first"))
+    whole = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = firsts.select("b", F.coalesce(F.lead("first").over(Window.orderBy("b")), F.min("first").over(whole)).alias("after"))  # one row for each block
+    return rows.join(after, F.col("block") == F.col("b")).select("conv_id", F.coalesce("other", "after").alias("other"))
 
-    The other reply is the last one of the next conversation in order of conv_id (of the last conversation: the first);
-    conversations without a message of the assistant take no part. pair_id is the conv_id.
+
+def continued_pairs(conversations: DataFrame) -> DataFrame:
+    """pair_id, side, pos, role, text: every whole conversation, against its beginning with the rest of another one.
+
+    Of each conversation one reply is drawn by a hash of its place; where there is none, its last message. The rejected side has
+    what comes before that, and then the next conversation in order of conv_id (after the last one: the first) from the
+    place that was drawn there on. So either side may go on for many turns, and may agree beyond the place. pair_id is the conv_id.
     """
-    rows = messages(conversations)
-    last = rows.where("role = 'assistant'").groupBy("conv_id").agg(F.max("pos").alias("last"), F.max_by("text", "pos").alias("own"))
-    last = _numbered(last, "conv_id")
-    total = last.agg(F.count("*").alias("k"))
-    others = last.select(F.col("n").alias("n2"), F.col("own").alias("other"))
-    last = last.crossJoin(F.broadcast(total)).withColumn("next", F.col("n") % F.col("k") + 1)  # one row
-    last = written(last.join(others, F.col("next") == F.col("n2")).select(F.col("conv_id").alias("pair_id"), "last", "other"), "answers")
-    upto = rows.join(last.select("pair_id", "last"), F.col("conv_id") == F.col("pair_id"))
-    side = lambda df, k: df.select("pair_id", F.lit(k).alias("side"), "pos", "role", "text")
-    other = last.select("pair_id", F.lit(1).alias("side"), F.col("last").alias("pos"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
-    return side(upto.where("pos <= last"), 0).union(side(upto.where("pos < last"), 1)).union(other)
+    rows = written(messages(conversations), "messages")
+    drawn = F.when(F.col("role") == "assistant", F.md5(F.concat_ws(":", "conv_id", "pos").cast("binary")))
+    places = rows.groupBy("conv_id").agg(F.coalesce(F.min_by("pos", drawn), F.max("pos")).alias("place"))
+    places = places.join(_followed(places.select("conv_id")).withColumnRenamed("conv_id", "c"), F.col("conv_id") == F.col("c")).drop("c")
+    heads = rows.join(places.select(F.col("conv_id").alias("pair_id"), "place"), F.col("conv_id") == F.col("pair_id")).where("pos < place")
+    begins = places.select(F.col("conv_id").alias("d"), F.col("place").alias("from"))
+    rests = rows.join(places.select("other", F.col("conv_id").alias("pair_id"), "place"), F.col("conv_id") == F.col("other")).join(begins, F.col("other") == F.col("d")).where("pos >= from")
+    side = lambda df, k, pair, pos: df.select(pair.alias("pair_id"), F.lit(k).alias("side"), pos.alias("pos"), "role", "text")
+    pair, pos = F.col("pair_id"), F.col("pos")
+    return side(rows, 0, F.col("conv_id"), pos).union(side(heads, 1, pair, pos)).union(side(rests, 1, pair, F.col("place") + pos - F.col("from")))
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Preference pairs of all ``conversations``: each conversation's last reply over another one's after the same turns."""
-    return formatted(answer_pairs(table(spark, sf_dir, "conversations")))
+    """Preference pairs of all ``conversations``: each whole one over its beginning with the rest of another one. No message is left out."""
+    return formatted(continued_pairs(table(spark, sf_dir, "conversations")), unpaired=True)
 
 
 #: What both queries' SQL begins with: messages with their positions, and the template.
@@ -116,23 +131,22 @@ WITH d AS (
 _TEXT_SQL = "'<|' || replace(replace(role, '<|', '<||'), '|>', '||>') || '|>' || chr(10) || replace(text, '<|', '<||') || '<|end|>' || chr(10)"
 
 OP8_SQL = f"""{_MESSAGES_SQL}, l AS (
-  SELECT conv_id, max(pos) AS last, arg_max(text, pos) AS own, row_number() OVER (ORDER BY conv_id) AS n, count(*) OVER () AS k
-  FROM m WHERE role = 'assistant' GROUP BY conv_id
+  SELECT conv_id, coalesce(arg_min(pos, md5(conv_id || ':' || pos)) FILTER (WHERE role = 'assistant'), max(pos)) AS place FROM m GROUP BY conv_id
 ), o AS (
-  SELECT a.conv_id, a.last, b.own AS other FROM l a JOIN l b ON b.n = a.n % a.k + 1
+  SELECT conv_id, place, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS other FROM l
 ), s AS (
-  SELECT conv_id AS pair_id, 0 AS side, pos, role, text FROM m JOIN o USING (conv_id) WHERE pos <= last
-  UNION ALL SELECT conv_id, 1, pos, role, text FROM m JOIN o USING (conv_id) WHERE pos < last
-  UNION ALL SELECT conv_id, 1, last, 'assistant', other FROM o
+  SELECT conv_id AS pair_id, 0 AS side, pos, role, text FROM m
+  UNION ALL SELECT conv_id, 1, pos, role, text FROM m JOIN o USING (conv_id) WHERE pos < place
+  UNION ALL SELECT o.conv_id, 1, o.place + m.pos - l.place, role, text FROM o JOIN l ON l.conv_id = o.other JOIN m ON m.conv_id = o.other WHERE m.pos >= l.place
 ), b AS (
   SELECT pair_id, pos, max(struct_pack(role := role, text := text)) FILTER (WHERE side = 0) AS c,
          max(struct_pack(role := role, text := text)) FILTER (WHERE side = 1) AS r FROM s GROUP BY ALL
 ), k AS (
-  SELECT pair_id, min(pos) FILTER (WHERE c IS DISTINCT FROM r) AS cut, max(pos) FILTER (WHERE c IS NOT NULL) AS ce, max(pos) FILTER (WHERE r IS NOT NULL) AS re FROM b GROUP BY pair_id
+  SELECT pair_id, coalesce(min(pos) FILTER (WHERE c IS DISTINCT FROM r), {LAST}) AS cut, max(pos) FILTER (WHERE c IS NOT NULL) AS ce, max(pos) FILTER (WHERE r IS NOT NULL) AS re FROM b GROUP BY pair_id
 )
 SELECT pair_id, CASE WHEN pos < cut THEN 'prompt' WHEN side = 0 THEN 'chosen' ELSE 'rejected' END AS part, pos, role, {_TEXT_SQL} AS text,
-       pos >= cut AND role = 'assistant' AS loss
-FROM s JOIN k USING (pair_id) WHERE least(ce, re) >= cut AND NOT (pos < cut AND side = 1)
+       pos >= cut AND role = 'assistant' AND least(ce, re) >= cut AS loss
+FROM s JOIN k USING (pair_id) WHERE NOT (pos < cut AND side = 1)
 """
 
 

@@ -563,10 +563,51 @@ def same_by_sql(rows, sql, data="/root/testdata/sf0.001", tables=("conversations
 def test_chat_queries_equal_their_sql(spark):
     data = "/root/testdata/sf0.001"
     rows = dicts(chat.op8_chat_formatting(spark, data))
-    parts = lambda p: {r["pair_id"] for r in rows if r["part"] == p}
-    assert parts("chosen") == parts("rejected") and parts("prompt") and parts("prompt") <= parts("chosen")
     same_by_sql(rows, chat.OP8_SQL)
     same_by_sql(dicts(chat.op8_reply_pairs(spark, data)), chat.OP8_REPLIES_SQL)
+    whole = dicts(chat.messages(spark.read.parquet(f"{data}/conversations.parquet")))
+    own = {(r["pair_id"], r["pos"]): r["role"] for r in rows if r["part"] != "rejected"}
+    assert own == {(r["conv_id"], r["pos"]): r["role"] for r in whole}  # every message, once
+    turns = lambda part: max(sum(r["pair_id"] == p and r["part"] == part for r in rows) for p in own for p in [p[0]])
+    assert turns("chosen") > 1 and turns("rejected") > 1 and any(r["loss"] for r in rows)
+
+
+def brute_pairs(rows):
+    """Pair -> (chosen, rejected) as lists of (role, text)."""
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, set()).add((turn is None, turn or 0, role or "unknown", text or ""))
+    own = {c: [x[2:] for x in sorted(v)] for c, v in own.items()}
+    place = {c: min((hashlib.md5(f"{c}:{k}".encode()).hexdigest(), k) for k, (role, _) in enumerate(v) if role == "assistant")[1] if any(r == "assistant" for r, _ in v) else len(v) - 1 for c, v in own.items()}
+    order = sorted(own)
+    return {c: (own[c], own[c][: place[c]] + own[d][place[d] :]) for c, d in zip(order, order[1:] + order[:1])}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pairs_share_what_they_have_in_common(spark, seed):
+    """Few texts, so prefixes go beyond the drawn place, end before it, and cover whole conversations."""
+    random.seed(seed)
+    rows = [(c * (1 if c % 2 else 40_000), t, ("user", "assistant", None)[(t + (c % 5 == 0)) % 2 if c % 7 else 0], random.choice(("a", "a", "b", None))) for c in range(-20, 40) for t in range(random.randint(1, 6))]
+    rows += [rows[3], (None, 0, "user", "lost"), (9, None, None, None), (9, None, "assistant", "last")]
+    got = {}
+    for r in dicts(chat.formatted(chat.continued_pairs(spark.createDataFrame(rows, CHAT).withColumn("place", F.lit(1)).withColumn("other", F.lit(1))), unpaired=True)):
+        got.setdefault(r["pair_id"], []).append((r["part"], r["pos"], r["role"], r["text"], r["loss"]))
+    want = {}
+    for p, (chosen, rejected) in brute_pairs(rows).items():
+        cut = next((k for k, (x, y) in enumerate(zip(chosen, rejected)) if x != y), min(len(chosen), len(rejected)))
+        paired = cut < min(len(chosen), len(rejected))
+        want[p] = [("prompt", k, role, wrap(role, text), False) for k, (role, text) in enumerate(chosen[:cut])]
+        for part, side in (("chosen", chosen), ("rejected", rejected)):
+            want[p] += [(part, k, role, wrap(role, text), paired and role == "assistant") for k, (role, text) in enumerate(side) if k >= cut]
+    assert {p: sorted(v) for p, v in got.items()} == {p: sorted(v) for p, v in want.items()}
+    assert any(all(x[0] == "prompt" or not x[4] for x in v) for v in got.values())
+
+
+def test_pairs_of_one_and_no_conversation(spark):
+    one = spark.createDataFrame([(3, 0, "user", "a"), (3, 1, "assistant", "b")], CHAT)
+    assert sorted((r["part"], r["loss"]) for r in dicts(chat.formatted(chat.continued_pairs(one), unpaired=True))) == [("prompt", False)] * 2
+    assert chat.formatted(chat.continued_pairs(one.limit(0)), unpaired=True).count() == 0
 
 
 # ---- 9 quality
