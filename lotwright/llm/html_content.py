@@ -56,21 +56,37 @@ AWAY = {"nav", "footer", "aside", "menu", "dialog", "search"}
 #: Those that hold it unless they are wrapped around the main text.
 WRAPPERS = {"form", "fieldset"}
 MAIN = {"article", "main"}
-#: Words of class, id and role that say the same: as a whole name, or as the first or last part of one.
+#: Words of class, id and role that say the same, in four languages: as a whole name, or as its last part (what a compound is) or, of FIRST, its first.
 AWAY_WORDS = set(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead banner sidebar rail widget widgets cookie cookies"
-    " consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments reply replies respond discussion disqus toolbar"
-    " pagination pager legal copyright search complementary contentinfo".split()
+    " consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended toolbar pagination pager legal copyright search complementary contentinfo"
+    " werbung anzeige anzeigen hauptmenue navigationsleiste seitenleiste randspalte fusszeile fußzeile kopfzeile hinweis anmeldung"
+    " publicite publicité annonce annonces pied avertissement connexion inscription publicidad anuncio anuncios navegacion navegación pie aviso registro".split()
 )
-MAIN_WORDS = set("article content main post entry story body text".split())
+#: Words of what readers say below a text, which count whatever else is on the page.
+TALK_WORDS = set("comment comments reply replies respond discussion disqus kommentar kommentare leserkommentare commentaire commentaires avis comentario comentarios opiniones".split())
+FIRST = set("ad ads advert nav sidebar footer cookie consent newsletter related share social comment comments kommentar kommentare barre barra pied pie menu".split())
+#: Two-part names whose parts say nothing alone.
+PHRASES = {"barre laterale", "colonne laterale", "barra lateral", "columna lateral", "menu principal", "bas page", "seiten fuss"}
+MAIN_WORDS = set("article content main post entry story body text artikel beitrag inhalt contenu corps billet contenido cuerpo entrada".split())
 #: First and last parts that make a name say what else a page has, or how it is laid out.
 STATES = set("has with no without is open opened closed enabled disabled on off wrap wrapper layout container page row left right".split())
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|/|$)""", re.I)
 SENTENCE = re.compile(r"[.!?\u2026:;\u3002\uff01\uff1f](?=[\s\"\u201d\u00bb')]|$)")
 #: Features of a block, in the order of the classifier's weights.
-FEATURES = ["bias", "length", "short", "linked", "sentences", "ends", "heading", "item", "paragraph", "main", "main_name", "away", "away_name", "away_part", "form", "share", "alone", "bars"]
-#: The most that one block's classifier may weigh, and smoothness: of neighbours, and of blocks by distance in the tree.
-LIMIT, NEXT, NEAR = 6.0, 0.4, 1.6
+FEATURES = ["bias", "length", "short", "linked", "sentences", "ends", "heading", "item", "paragraph", "main", "outside", "core", "after", "main_name", "away", "named", "talk", "form", "share", "alone", "bars"]
+#: The most that a name's weight may be, that one block's classifier may weigh, and smoothness: of neighbours, and of blocks by distance in the tree.
+NAMED, LIMIT, NEXT, NEAR = 3.0, 4.0, 0.5, 2.0
+#: Scales of the smoothness of which training takes the one that labels further pages best.
+SCALES = (1.0, 1.5, 2.0, 3.0)
+
+
+@dataclass(slots=True)
+class Model:
+    """Weights of FEATURES, and how strong smoothness is."""
+
+    weights: np.ndarray
+    scale: float
 
 
 @dataclass(slots=True)
@@ -82,7 +98,7 @@ class Node:
     main_name: bool
     away: bool
     hidden: bool
-    marks: tuple[tuple[int, str], ...]  # (element, kind) of the away marks around it: name, part or form
+    marks: tuple[tuple[int, str], ...]  # (element, kind) of the away marks around it: name, talk or form
 
 
 @dataclass(slots=True)
@@ -92,30 +108,31 @@ class Block:
     node: int
 
     def prose(self) -> int:
-        return len(self.text) - self.linked if len(self.text) >= 20 and SENTENCE.search(self.text) else 0
+        """Characters that are no links, of a block that is no mere label."""
+        return len(self.text) - self.linked if len(self.text) >= 20 else 0
 
 
-def _says(value: str) -> tuple[bool, bool, bool]:
-    """(main, away, away in part) of a class, id or role."""
-    main = away = part = False
+def _says(value: str) -> tuple[bool, str]:
+    """(main, what is said against it: name, talk or nothing) of a class, id or role."""
+    main, against = False, ""
     for name in value.lower().split():
-        if name in AWAY_WORDS:
-            away = True
-        elif name in MAIN_WORDS:
-            main = True
+        words = [w for w in re.split(r"[_-]+", name) if w]
+        if not words or len(words) > 1 and STATES & {words[0], words[-1]}:
+            continue
+        if words[-1] in TALK_WORDS or words[0] in TALK_WORDS & FIRST:
+            against = "talk"
+        elif words[-1] in AWAY_WORDS or words[0] in FIRST or " ".join(w for w in words if w != "de")[:40] in PHRASES:
+            against = against or "name"
         else:
-            words = [w for w in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])", name) if w]
-            if len(words) > 1 and not STATES & {words[0], words[-1]}:
-                part |= words[0] in AWAY_WORDS or words[-1] in AWAY_WORDS
-                main |= words[0] in MAIN_WORDS or words[-1] in MAIN_WORDS
-    return main and not away and not part, away, part
+            main |= words[0] in MAIN_WORDS or words[-1] in MAIN_WORDS
+    return main and not against, against
 
 
-def _names(attributes: str) -> tuple[bool, bool, bool, bool]:
-    """(says main, says away, says away in part, is hidden) of a tag's attributes."""
+def _names(attributes: str) -> tuple[bool, str, bool]:
+    """(says main, what is said against it, is hidden) of a tag's attributes."""
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return False, False, False, False
-    main = away = part = hidden = False
+        return False, "", False
+    main, against, hidden = False, "", False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -123,9 +140,9 @@ def _names(attributes: str) -> tuple[bool, bool, bool, bool]:
         elif name == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         elif name != "aria-hidden":
-            m, a, p = _says(value)
-            main, away, part = main or m, away or a, part or p
-    return main, away, part, hidden
+            m, said = _says(value)
+            main, against = main or m, "talk" if "talk" in (said, against) else said or against
+    return main, against, hidden
 
 
 def blocks(source: str) -> tuple[list[Block], list[Node]]:
@@ -202,17 +219,17 @@ def blocks(source: str) -> tuple[list[Block], list[Node]]:
                     break
             continue
         implied(name)
-        says_main, says_away, says_part, hidden = _names(attributes)
+        says_main, against, hidden = _names(attributes)
         up = nodes[stack[-1]]
         within = up.main or up.main_name
         if name == "header" or re.search(r"(?:class|id)\s*=\s*[\"']?[^\"'>]*header", attributes, re.I):  # a header in the main text has its title
-            says_away |= not within
+            against = against or "" if within else "name"
+        if name in MAIN and against != "talk":  # an article may be about anything
+            against = ""
         number = len(nodes)
         marks = () if name == "main" else up.marks
-        if says_away:
-            marks = (*marks, (number, "name"))
-        if says_part:
-            marks = (*marks, (number, "part"))
+        if against:
+            marks = (*marks, (number, against))
         if name in WRAPPERS:
             marks = (*marks, (number, "form"))
         nodes.append(Node(name, stack[-1], up.depth + 1, up.main or name in MAIN, up.main_name or says_main, up.away or name in AWAY, up.hidden or hidden, marks))
@@ -237,61 +254,91 @@ def _raw_end(source: str, at: int, name: str, ends: dict[str, int]) -> int:
 
 
 def _cancelled(found: list[Block], nodes: list[Node]) -> set[int]:
-    """Elements whose away marks do not count, as they are wrapped around the main text.
+    """Elements whose marks do not count, as they hold most of the page's prose.
 
-    These are forms, and elements that are away by a part of a name, that hold most of the page's prose. None is
-    cancelled on a page with text of its main part outside all marks; a whole name always counts.
+    None outside the elements that hold main text does, if those have text of their own. What readers say may be most of a page,
+    too: its mark is cancelled only where there is no other prose in a main part and a title inside, the other marks
+    where that prose is less than a quarter of what they hold.
     """
     inside: dict[int, int] = {}
-    total = 0
+    kinds: dict[int, str] = {}
+    titled: set[int] = set()
+    total = plain = 0
+    told = False
     for b in found:
         own = nodes[b.node]
-        if own.away or any(kind == "name" for _, kind in own.marks):
+        if own.away:
             continue
-        if (own.main or own.main_name) and not own.marks and len(b.text) > b.linked:
-            return set()
         n = b.prose()
         total += n
-        for k, _ in own.marks:
-            inside[k] = inside.get(k, 0) + n
-    return {k for k, n in inside.items() if 2 * n > total}
+        if not own.marks:
+            told |= own.main
+            plain += n * (own.main or own.main_name)
+        for k, kind in own.marks:
+            inside[k], kinds[k] = inside.get(k, 0) + n, kind
+            if own.name == "h1":
+                titled.add(k)
+    free = lambda k, n: k in titled and not plain if kinds[k] == "talk" else 4 * plain < n
+    return {k for k, n in inside.items() if 2 * n > total and (nodes[k].main or not told) and free(k, n)}
+
+
+def _core(found: list[Block], nodes: list[Node], kinds: list[set[str]]) -> int:
+    """The element around most prose: each block counts for what its paragraph stands in, and half for the element around that."""
+    held: dict[int, float] = {}
+    for b, own in zip(found, kinds):
+        if own or nodes[b.node].away:
+            continue
+        at, n = _around(b, nodes), b.prose()
+        held[at] = held.get(at, 0) + n
+        held[nodes[at].parent] = held.get(nodes[at].parent, 0) + n / 2
+    return max(held, key=lambda k: (held[k], k), default=0) if any(held.values()) else 0
+
+
+def _around(b: Block, nodes: list[Node]) -> int:
+    own = nodes[b.node]
+    return own.parent if own.name in ITEMS or own.name in HEADINGS or own.name in ("p", "ul", "ol", "blockquote") else b.node
 
 
 def features(found: list[Block], nodes: list[Node]) -> np.ndarray:
-    """One row of FEATURES for each block."""
+    """One row of FEATURES for each block: its text, its place among what holds the page's prose, and what names say."""
     out = np.zeros((len(found), len(FEATURES)))
     cancelled = _cancelled(found, nodes)
+    kinds = [{kind for k, kind in nodes[b.node].marks if k not in cancelled} for b in found]
     open_: dict[int, int] = {}  # text without marks or links by the element around it
-    rows = []
-    for b in found:
-        own = nodes[b.node]
-        kinds = {kind for k, kind in own.marks if k not in cancelled}
-        around = own.parent if own.name in ITEMS or own.name in HEADINGS or own.name == "p" else b.node
-        if not kinds and not own.away:
-            open_[around] = open_.get(around, 0) + len(b.text) - b.linked
-        rows.append((own, kinds, around))
+    for b, own in zip(found, kinds):
+        if not own and not nodes[b.node].away:
+            open_[_around(b, nodes)] = open_.get(_around(b, nodes), 0) + len(b.text) - b.linked
     most = max(open_.values(), default=0) or 1
-    for row, b, (own, kinds, around) in zip(out, found, rows):
-        n = len(b.text)
-        text = b.text
-        sentences = min(8, len(SENTENCE.findall(text[:4000])))
+    core = _core(found, nodes, kinds)
+    below = {core}
+    for k in range(core + 1, len(nodes)):  # elements are numbered as they begin
+        if nodes[k].parent in below:
+            below.add(k)
+    prose = [b.prose() * (not nodes[b.node].away) for b in found]
+    framed = 3 * sum(n for n, b in zip(prose, found) if nodes[b.node].main) >= sum(prose) > 0
+    last = max((i for i, b in enumerate(found) if b.node in below), default=-1)
+    for i, (row, b, own) in enumerate(zip(out, found, kinds)):
+        n, text, node = len(b.text), b.text, nodes[b.node]
         row[:] = (
             1.0,
             min(3.0, math.log1p(n / 40)),
             n < 25,
             b.linked / n,
-            math.log1p(sentences),
+            math.log1p(min(8, sum(1 for _ in zip(range(8), SENTENCE.finditer(text))))),
             text[-1] in ".!?\u2026:;\"\u201d\u00bb\u3002",
-            own.name in HEADINGS,
-            own.name in ITEMS,
-            own.name == "p",
-            own.main,
-            own.main_name,
-            own.away,
-            "name" in kinds,
-            "part" in kinds,
-            "form" in kinds,
-            0.0 if kinds or own.away else open_.get(around, 0) / most,
+            node.name in HEADINGS,
+            node.name in ITEMS,
+            node.name == "p",
+            node.main,
+            framed and not node.main,
+            core > 0 and b.node in below,
+            core > 0 and i > last,
+            node.main_name,
+            node.away,
+            "name" in own,
+            "talk" in own,
+            "form" in own,
+            0.0 if own or node.away else open_.get(_around(b, nodes), 0) / most,
             len(found) <= 2,
             min(1.0, sum(text.count(x) for x in "|\u00b7\u00a9\u203a\u00bb") / (1 + n / 20)),
         )
@@ -400,26 +447,29 @@ def smoothness(found: list[Block], nodes: list[Node]) -> list[tuple[int, int, fl
     return edges
 
 
-def labelled(source: str, weights: np.ndarray) -> tuple[list[Block], np.ndarray, list[bool]]:
+def labelled(source: str, model: Model) -> tuple[list[Block], np.ndarray, list[bool]]:
     """Blocks of a page, their classifier scores (positive: content), and whether each is content by the minimum cut."""
     found, nodes = blocks(source)
-    scores = np.clip(features(found, nodes) @ weights, -LIMIT, LIMIT)
-    return found, scores, min_cut(scores.tolist(), smoothness(found, nodes))
+    scores = np.clip(features(found, nodes) @ model.weights, -LIMIT, LIMIT)
+    return found, scores, min_cut(scores.tolist(), [(a, b, c * model.scale) for a, b, c in smoothness(found, nodes)])
 
 
-def main_text(source: str | None, weights: np.ndarray) -> str:
+def main_text(source: str | None, model: Model) -> str:
     """The content blocks of a page, in order, joined by one space."""
-    found, _, content = labelled(source or "", weights)
+    found, _, content = labelled(source or "", model)
     return " ".join([b.text for b, inside in zip(found, content) if inside])
 
 
-def train(pages: list[tuple[str, dict[str, bool]]], epochs: int = 600, rate: float = 0.5, decay: float = 3e-4) -> np.ndarray:
-    """Weights of a logistic regression on the blocks of labelled pages: (html, text of a block -> is it content).
+def train(pages: list[tuple[str, dict[str, bool]]], epochs: int = 600, rate: float = 0.5, decay: float = 3e-4) -> Model:
+    """A model of the blocks of labelled pages: (html, text of a block -> is it content).
 
-    Gradient steps on the mean log loss, both classes weighing the same. Blocks without a label are left out.
+    Two thirds of the pages give the weights of a logistic regression, by gradient steps on the mean log loss, both classes
+    weighing the same and names within NAMED. The others give the scale of smoothness, the one with which the cut
+    labels most of their blocks right. Blocks without a label are left out.
     """
+    fitted = [p for k, p in enumerate(pages) if k % 3] or pages
     x, y = [], []
-    for source, says in pages:
+    for source, says in fitted:
         found, nodes = blocks(source)
         known = [k for k, b in enumerate(found) if b.text in says]
         x.append(features(found, nodes)[known])
@@ -427,11 +477,20 @@ def train(pages: list[tuple[str, dict[str, bool]]], epochs: int = 600, rate: flo
     x, y = np.concatenate(x), np.array(y, float)
     share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     w, velocity = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    bound = np.array([NAMED if name in ("named", "talk", "main_name") else np.inf for name in FEATURES])
     for _ in range(epochs):
         slope = x.T @ (share * (1 / (1 + np.exp(-(x @ w))) - y)) + decay * w
         velocity = 0.9 * velocity - rate * slope
-        w += velocity
-    return w
+        w = np.clip(w + velocity, -bound, bound)
+
+    def right(scale: float) -> int:
+        out = 0
+        for source, says in pages[::3]:
+            found, _, content = labelled(source, Model(w, scale))
+            out += sum(says[b.text] == inside for b, inside in zip(found, content) if b.text in says)
+        return out
+
+    return Model(w, max(SCALES, key=lambda s: (right(s), s)))
 
 
 def extracted(pages: DataFrame, training: list[tuple[str, dict[str, bool]]] | None = None) -> DataFrame:
@@ -444,12 +503,12 @@ def extracted(pages: DataFrame, training: list[tuple[str, dict[str, bool]]] | No
     A null or empty html, or one without content, gives an empty text. Repeated rows give equal rows; an empty table
     gives an empty result; other columns are ignored.
     """
-    weights = train(html_layouts.pages() if training is None else training)
+    model = train(html_layouts.pages() if training is None else training)
     taken = pages.select("page_id", "url", F.col("html").cast("string").alias("_html"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [main_text(x.as_py(), weights) for x in batch.column("_html")]
+            text = [main_text(x.as_py(), model) for x in batch.column("_html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return taken.mapInArrow(work, extended(taken.select("page_id", "url"), "text string, n_chars long"))

@@ -1,6 +1,8 @@
 """Labelled pages in many layouts: what the block classifier of html_content is learned from.
 
-Texts are random syllables, so that the classifier learns shapes and places, not words.
+Texts are random syllables, so that the classifier learns shapes and places, not words. On about half of the pages the
+names of elements are random or missing, and articles and their parts bear names of other things now and then, so that
+names are one hint among others.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ AWAY = {
 MAIN = ["<article>", "<main>", '<div class="content">', '<div id="post">', '<div class="entry-content">', "<div>", "<div>", "<td>", '<section class="story">', "<form>", '<div class="content-sidebar-wrap">', ""]
 
 
+#: Names of other things that articles and parts of them may have.
+ELSEWHERE = ["social", "menu", "legal", "related", "search", "promo", "notice-board", "alert-system", "widget", "tag-social category-news", "banner-story"]
+
+
 def _word(r: random.Random) -> str:
     return "".join(r.choices(SYLLABLES, k=r.choice((1, 2, 2, 3, 4))))
 
@@ -42,7 +48,20 @@ def _end(tag: str) -> str:
 
 class _Page:
     def __init__(self, r: random.Random):
-        self.r, self.says, self.out = r, {}, []
+        self.r, self.says = r, {}
+        self.style = r.choice(("named", "named", "named", "random", "nameless"))
+        self.main = r.choice(MAIN)
+        if self.main == "<article>" and r.random() < 0.5:
+            self.main = f'<article class="post {r.choice(ELSEWHERE)}">'
+        #: Whether the page's own elements tell where the content ends.
+        self.framed = self.main.startswith(("<article", "<main"))
+
+    def _marked(self, tag: str) -> str:
+        """tag with the names that this page's style has."""
+        if self.style == "named" or " " not in tag or tag.startswith("<form"):
+            return tag
+        bare = tag[1:].split()[0]
+        return f"<{bare}>" if self.style == "nameless" else f'<{bare} class="{_word(self.r)}">'
 
     def text(self, text: str, content: bool, wrap: str) -> str:
         """wrap with the text in it, which is remembered with its label."""
@@ -56,7 +75,9 @@ class _Page:
 
     def away(self, kind: str) -> str:
         r = self.r
-        tag = r.choice(AWAY[kind])
+        tag = self._marked(r.choice(AWAY[kind]))
+        if self.style != "named" and not self.framed and kind in ("ad", "notice", "comments", "header"):
+            return ""  # nothing would tell it from content
         inside = ("@",) if tag.startswith("<p") else ("@", "<p>@</p>", "<div>@</div>")
         prose = lambda most=2: self.text(_prose(r, most), False, r.choice(inside))
         if kind == "nav":
@@ -83,7 +104,11 @@ class _Page:
             out.append(f"<header>{title}</header>" if r.random() < 0.15 else title)
         for _ in range(r.choice((1, 2, 4, 8, 14))):
             k = r.random()
-            if k < 0.7:
+            if k < 0.05:
+                out.append(self.text(_prose(r, 2), True, '<p><a href="/y">@</a></p>'))
+            elif k < 0.1:
+                out.append(f'<div class="{r.choice(ELSEWHERE)}">' + self.text(_prose(r), True, "<p>@</p>") + "</div>")
+            elif k < 0.7:
                 out.append(self.text(_prose(r), True, "<p>@</p>"))
             elif k < 0.78:
                 out.append(self.text(_prose(r, 2), True, r.choice(("<p><b>@</b>", "<div>@</div>", "<blockquote>@</blockquote>", "<p><i>@</i><br>", "@<hr>"))))
@@ -94,7 +119,7 @@ class _Page:
             else:
                 out.append("<table>" + "".join("<tr>" + self.text(_sentence(r), True, "<td>@</td>") + self.text(_word(r) + " " + str(r.randint(1, 999)), True, "<td>@</td>") + "</tr>" for _ in range(r.randint(1, 4))) + "</table>")
         for kind in ("ad", "related", "form", "notice"):
-            if r.random() < 0.2:
+            if r.random() < 0.2 and (self.style == "named" or kind in ("related", "form")):
                 out.insert(r.randint(1, len(out)), self.away(kind))
         return "".join(out)
 
@@ -105,8 +130,8 @@ def page(seed: int) -> tuple[str, dict[str, bool]]:
     p = _Page(r)
     if r.random() < 0.08:
         return "<body>" + p.text(_prose(r, 2) if r.random() < 0.5 else _word(r) + " " + _word(r), True, r.choice(("@", "<p>@</p>", "<div>@</div>"))) + "</body>", p.says
-    tag = r.choice(MAIN)
-    content = tag + p.content() + (p.away("comments") if r.random() < 0.3 else "") + _end(tag)
+    tag = p.main if p.style == "named" or p.framed else p._marked(p.main)
+    content = tag + p.content() + (p.away("comments") if r.random() < 0.3 and p.style == "named" else "") + _end(tag)
     before = [p.away(k) for k in ("header", "nav", "notice", "ad") if r.random() < 0.5]
     after = [p.away(k) for k in ("comments", "sidebar", "related", "form", "ad", "footer") if r.random() < 0.4]
     if r.random() < 0.2 and after:
@@ -116,6 +141,6 @@ def page(seed: int) -> tuple[str, dict[str, bool]]:
     return f"<!DOCTYPE html><html><head><title>{_word(r)}</title></head><body>{wrap.replace('@', body)}</body></html>", p.says
 
 
-def pages(first: int = 0, number: int = 300) -> list[tuple[str, dict[str, bool]]]:
+def pages(first: int = 0, number: int = 600) -> list[tuple[str, dict[str, bool]]]:
     """``number`` labelled pages, the same at every call."""
     return [page(k) for k in range(first, first + number)]
