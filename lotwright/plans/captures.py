@@ -86,15 +86,6 @@ def q_max_rate(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.array_max(F.filter(F.transform(rates, lambda r: r.cast("double")), lambda r: (r >= 0) & (r <= 30))).alias("rate"))
 
 
-@query("""
-WITH p AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), g AS (SELECT o_custkey, CAST(ceil(n / 5.0) AS BIGINT) AS pages, n FROM p)
-SELECT o_custkey, pages, n % 5 <> 0 OR pages = 1 AS short_last, n < 20 AS broader FROM g
-""")
-def q_exhaustion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).withColumn("pages", F.ceil(F.col("n") / 5).cast("long"))
-    return rows.select("o_custkey", "pages", ((F.col("n") % 5 != 0) | (F.col("pages") == 1)).alias("short_last"), (F.col("n") < 20).alias("broader"))
-
-
 @query("""
 WITH k AS (SELECT page_id, regexp_replace(regexp_replace(split_part(url, '#', 1), '([?&])page=[^&]*&?', '\\1'), '[?&]$', '') AS scope FROM pages)
 SELECT scope, count(*) AS pages FROM k GROUP BY 1

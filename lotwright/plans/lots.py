@@ -152,24 +152,6 @@ def q_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("g"), 2).alias("gross"), F.round(F.sum("f"), 2).alias("fees"), F.round(F.sum(F.col("g") - F.col("f")), 2).alias("net"))
 
 
-@query("""
-WITH m AS (SELECT l_orderkey, count(*) AS photos, count(DISTINCT l_partkey) AS hashes, count(DISTINCT l_linenumber) AS places, max(l_linenumber) AS top FROM lineitem GROUP BY 1)
-SELECT l_orderkey, photos, photos = hashes AND photos = places AND places = top AND photos <= 10 AS valid, least(photos, 10) AS kept FROM m
-""")
-def q_photo_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("photos"), F.countDistinct("l_partkey").alias("hashes"), F.countDistinct("l_linenumber").alias("places"), F.max("l_linenumber").alias("top"))
-    valid = (F.col("photos") == F.col("hashes")) & (F.col("photos") == F.col("places")) & (F.col("places") == F.col("top")) & (F.col("photos") <= 10)
-    return m.select("l_orderkey", "photos", valid.alias("valid"), F.least(F.col("photos"), F.lit(10)).alias("kept"))
-
-
-@query("SELECT split_part(p_type, ' ', 1) AS leaf, coalesce(parent, 'other') AS parent, count(*) AS n FROM part LEFT JOIN (VALUES ('STANDARD', 'basic'), ('ECONOMY', 'basic'), ('PROMO', 'offers')) AS t(leaf, parent) ON upper(split_part(p_type, ' ', 1)) = t.leaf GROUP BY ALL")
-def q_category_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parents = spark.createDataFrame([("STANDARD", "basic"), ("ECONOMY", "basic"), ("PROMO", "offers")], "k string, parent string")
-    rows = table(spark, sf_dir, "part").select(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("leaf"))
-    rows = rows.join(F.broadcast(parents), F.upper("leaf") == F.col("k"), "left")  # three rows
-    return rows.groupBy("leaf", F.coalesce("parent", F.lit("other")).alias("parent")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT p_brand, bool_and(contains(lower(p_name), 'a')) AS contained, count(*) AS n FROM part GROUP BY 1")
 def q_filter_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.bool_and(F.lower("p_name").contains("a")).alias("contained"), F.count("*").alias("n"))
