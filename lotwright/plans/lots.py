@@ -135,12 +135,6 @@ def q_proof_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.groupBy(tier.alias("tier")).agg(F.count("*").alias("orders"))
 
 
-@query("SELECT l_suppkey || ':' || l_partkey AS composite, count(*) AS n, count(DISTINCT l_returnflag) > 1 AS mismatch FROM lineitem GROUP BY 1")
-def q_composite_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"), (F.countDistinct("l_returnflag") > 1).alias("mismatch"))
-    return rows.select(F.concat_ws(":", "l_suppkey", "l_partkey").alias("composite"), "n", "mismatch")
-
-
 @query("""
 SELECT kind, count(*) AS n, round(sum(gross), 2) AS gross, round(sum(abs(fee)), 2) AS fees, round(sum(gross - abs(fee)), 2) AS net
 FROM (SELECT CASE l_returnflag WHEN 'R' THEN 'refund' WHEN 'A' THEN 'sale' ELSE 'pending' END AS kind, CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END AS gross, -l_extendedprice * l_discount AS fee FROM lineitem) GROUP BY 1
@@ -152,11 +146,6 @@ def q_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("g"), 2).alias("gross"), F.round(F.sum("f"), 2).alias("fees"), F.round(F.sum(F.col("g") - F.col("f")), 2).alias("net"))
 
 
-@query("SELECT p_brand, bool_and(contains(lower(p_name), 'a')) AS contained, count(*) AS n FROM part GROUP BY 1")
-def q_filter_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.bool_and(F.lower("p_name").contains("a")).alias("contained"), F.count("*").alias("n"))
-
-
 @query("""
 WITH s AS (SELECT user_id, event_type, arg_max(value, event_id) AS value, count(*) AS writes FROM events GROUP BY ALL)
 SELECT c_custkey, event_type, value, coalesce(writes, 0) AS writes FROM customer LEFT JOIN s ON user_id = c_custkey

@@ -1,11 +1,11 @@
-"""Queries about proofs: photo manifests, listings read to their end, category trees."""
+"""Queries about proofs: photo manifests, listings read to their end, category trees, identities, requests, searches."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwright.operators import hierarchy, pager, photos
+from lotwright.operators import containment, hierarchy, pager, photos, quarantine
 
 from .registry import query, table
 
@@ -114,3 +114,54 @@ def q_category_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts at or below each category."""
     part = table(spark, sf_dir, "part")
     return hierarchy.rolled_up(part, _links(part), "p_name")
+
+
+@query("""
+WITH r AS (
+  SELECT l_suppkey AS account, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_partkey END AS asset, l_suppkey + CASE WHEN l_orderkey % 17 = 0 THEN 1 ELSE 0 END AS wanted_account, l_partkey + CASE WHEN l_partkey % 19 = 0 THEN 1 ELSE 0 END AS wanted_asset FROM lineitem
+), j AS (
+  SELECT account || ':' || asset AS id, asset IS NULL AS gone, coalesce(account <> wanted_account, false) OR coalesce(asset <> wanted_asset, false) AS other FROM r
+)
+SELECT id, concat_ws(',', CASE WHEN gone THEN 'asset-identity-missing' END, CASE WHEN other THEN 'asset-identity-mismatch' END) AS reasons, count(*) AS n FROM j GROUP BY ALL
+""")
+def q_composite_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as records of an account's asset against what was asked for: accepted ones, and rejected ones with their reasons."""
+    c = F.col
+    rows = table(spark, sf_dir, "lineitem").select(
+        c("l_suppkey").alias("account"), F.when(c("l_linenumber") != 7, c("l_partkey")).alias("asset"),
+        (c("l_suppkey") + F.when(c("l_orderkey") % 17 == 0, 1).otherwise(0)).alias("wanted_account"), (c("l_partkey") + F.when(c("l_partkey") % 19 == 0, 1).otherwise(0)).alias("wanted_asset"),
+    )
+    accepted, rejected = quarantine.separated(rows, quarantine.identity_faults(c("account"), c("asset"), c("wanted_account"), c("wanted_asset")))
+    both = accepted.withColumn("reasons", F.lit("")).unionByName(rejected.withColumn("reasons", F.array_join("reasons", ",")))
+    return both.groupBy(quarantine.composite_id(c("account"), c("asset")).alias("id"), "reasons").agg(F.count("*").alias("n"))
+
+
+@query("SELECT min(event_id) AS first, count(*) AS n FROM events GROUP BY user_id % 100, event_type, event_id % 5 = 0")
+def q_request_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that differ in page, session and the order of members only have one fingerprint."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 100).alias("zip"), F.when(F.col("event_id") % 5 == 0, "7529").otherwise("").alias("seller"))
+    page, session = F.format_string('"page":%d', F.col("event_id") % 40), F.format_string('"sessionId":"s%d"', F.col("event_id"))
+    rest = F.format_string('"zipcode":"%d","accountIds":[%s],"searchText":"%s"', "zip", "seller", "event_type")
+    back = F.format_string('"searchText":"%s","accountIds":[%s],"zipcode":"%d"', "event_type", "seller", "zip")
+    body = F.concat(F.lit("{"), F.when(F.col("event_id") % 2 == 0, F.concat_ws(",", page, session, rest)).otherwise(F.concat_ws(", ", back, page)), F.lit("}"))
+    return rows.groupBy(quarantine.request_fingerprint(body).alias("f")).agg(F.min("event_id").alias("first"), F.count("*").alias("n")).drop("f")
+
+
+@query(r"""
+WITH s AS (
+  SELECT item_id AS scope, unnest(list_distinct(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:2], ' ')), '[\p{L}\p{N}]+'))) AS term FROM benchmark
+), d AS (
+  SELECT doc_id AS id, doc_id % 40 AS scope, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents
+), m AS (
+  SELECT scope, id, count(*) FILTER (WHERE NOT list_contains(w, term)) AS missing FROM d JOIN s USING (scope) GROUP BY ALL
+), c AS (
+  SELECT scope, count(DISTINCT id) AS rows FROM d GROUP BY 1
+)
+SELECT scope, coalesce(any_value(c.rows), 0) AS rows, count(*) FILTER (WHERE missing > 0) AS unmatched, CASE WHEN count(*) FILTER (WHERE missing > 0) > 0 THEN 'filtered-search-results-do-not-match-query' END AS reason
+FROM (SELECT DISTINCT item_id AS scope FROM benchmark) LEFT JOIN m USING (scope) LEFT JOIN c USING (scope) GROUP BY scope
+""")
+def q_filter_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two words of each benchmark item as a search that returned every fortieth document."""
+    searches = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("scope"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("phrase"))
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("scope"), F.col("doc_id").alias("id"), "text")
+    return containment.refusals(rows, searches)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lotwright.operators import hierarchy, pager, photos
+from lotwright.operators import containment, hierarchy, pager, photos, quarantine
 
 MANIFEST = "listing string, position int, path string, sha256 string, bytes long, expected int"
 
@@ -78,3 +78,32 @@ def test_rolled_up_categories(spark):
     facts = spark.createDataFrame([("laptops",), ("laptops",), ("computers",), ("video games",), ("tools",), (None,), ("x",)], "k string")
     assert {r["ancestor"]: r["n"] for r in hierarchy.rolled_up(facts, links, "k").collect()} == {"laptops": 2, "computers": 3, "electronics": 3, "video games": 1, "entertainment": 1, "tools": 1, None: 1, "x": 1}
     assert hierarchy.placed(links.limit(0)).count() == 0 and hierarchy.ancestors(links.limit(0)).count() == 0
+
+
+def test_rejected_rows_keep_their_reasons(spark):
+    rows = [("7529", "6883", "7529", "6883"), ("7529", "9999", "7529", "6883"), ("9999", "6883", "7529", "6883"), ("7529", None, "7529", "6883"), ("", "5", None, None), (" 8 ", "5", None, None), (None, None, "1", "2")]
+    df = spark.createDataFrame(rows, "account string, asset string, wa string, wi string").withColumn("a b, c", F.lit(1))
+    c = F.col
+    accepted, rejected = quarantine.separated(df, quarantine.identity_faults(c("account"), c("asset"), c("wa"), c("wi")))
+    assert accepted.columns == df.columns and rejected.columns == [*df.columns, "reasons"]
+    assert sorted(r["id"] for r in accepted.select(quarantine.composite_id(c("account"), c("asset")).alias("id")).collect()) == ["7529:6883", "8:5"]
+    assert sorted((r["account"] or "-", r["asset"] or "-", r["reasons"]) for r in rejected.collect()) == [
+        ("-", "-", ["asset-identity-missing"]), ("-", "5", ["asset-identity-missing"]), ("7529", "-", ["asset-identity-missing"]), ("7529", "9999", ["asset-identity-mismatch"]), ("9999", "6883", ["asset-identity-mismatch"]),
+    ]
+
+
+def test_fingerprints_ignore_page_and_session_only(spark):
+    first = '{"page":1,"sessionId":"a","displayRows":24,"zipcode":"07008","proximityWithinDistance":"50","searchText":"*","accountIds":[]}'
+    bodies = [first, '{"accountIds":[], "searchText":"*","zipcode":"07008","proximityWithinDistance":"50","displayRows":24,"SessionID":"other","page":19}']
+    bodies += [first.replace('"50"', '"25"'), first.replace('"*"', '"laptop"'), first.replace("[]", "[7529]"), "[1]", "broken", None]
+    got = [r["f"] for r in spark.createDataFrame([(k, b) for k, b in enumerate(bodies)], "k int, b string").select("k", quarantine.request_fingerprint(F.col("b")).alias("f")).orderBy("k").collect()]
+    assert got[0] == got[1] and len({*got[1:5]}) == 4 and None not in got[:5] and got[5:] == [None, None, None]
+
+
+def test_searches_whose_results_lack_their_terms(spark):
+    rows = [("toys", 1, "LeBron James Jersey"), ("toys", 2, "Kids Toy"), ("all", 1, "Red wool, RED!"), ("all", 2, "wool red"), ("none", 5, None), ("all", 2, "wool red"), ("blank", 1, "x"), ("other", 1, "x"), (None, 1, "x")]
+    table = spark.createDataFrame(rows, "scope string, id long, text string").withColumn("term", F.lit("x"))
+    searches = spark.createDataFrame([("toys", "lebron"), ("all", "Red"), ("all", "wool red"), ("none", "thing two"), ("blank", " ... "), ("empty", "word"), ("toys", None)], "scope string, phrase string")
+    assert sorted((r["scope"], r["id"], r["missing"]) for r in containment.unmatched(table, searches).collect()) == [("none", 5, 2), ("toys", 2, 1)]
+    got = {r["scope"]: (r["rows"], r["unmatched"], r["reason"]) for r in containment.refusals(table, searches).collect()}
+    assert got == {"toys": (2, 1, containment.REASON), "all": (2, 0, None), "none": (1, 1, containment.REASON), "blank": (1, 0, None), "empty": (0, 0, None)}
