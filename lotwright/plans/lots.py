@@ -11,30 +11,6 @@ from lotwright.operators import keyed, match, sequences
 from .registry import query, table
 
 
-ANALYSIS = """
-a AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_extendedprice AS hammer, p_retailprice * greatest(1, l_quantity) AS market, coalesce(CAST(s_nationkey AS DOUBLE), 15.0) AS premium,
-  l_extendedprice * (1 + coalesce(CAST(s_nationkey AS DOUBLE), 15.0) / 100) * (1 + l_tax) AS cost, l_returnflag <> 'R' AND l_quantity < 40 AS eligible
-  FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0)
-"""
-
-
-def _analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    seller = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_suppkey", F.col("s_nationkey").cast("double").alias("stored"))
-    rows = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).join(seller, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    rows = rows.withColumn("premium", F.coalesce("stored", F.lit(15.0)))
-    return rows.select(
-        "l_orderkey", "l_linenumber", "l_returnflag", F.col("l_extendedprice").alias("hammer"), (F.col("p_retailprice") * F.greatest(F.lit(1.0), F.col("l_quantity"))).alias("market"), "premium",
-        (F.col("l_extendedprice") * (1 + F.col("premium") / 100) * (1 + F.col("l_tax"))).alias("cost"), ((F.col("l_returnflag") != "R") & (F.col("l_quantity") < 40)).alias("eligible"),
-    )
-
-
-@query(f"WITH {ANALYSIS} SELECT l_orderkey, l_linenumber, premium, round(cost, 6) AS cost, round(cost / market, 6) AS ratio, eligible, count(*) AS n FROM a GROUP BY ALL")
-def q_analysis_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _analysis(spark, sf_dir)
-    return rows.groupBy("l_orderkey", "l_linenumber", "premium", F.round("cost", 6).alias("cost"), F.round(F.col("cost") / F.col("market"), 6).alias("ratio"), "eligible").agg(F.count("*").alias("n"))
-
-
 @query("""
 WITH v AS (SELECT l_orderkey, list_sort(list_distinct(list(l_partkey))) AS images FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1), d AS (SELECT l_orderkey, list_sort(list_distinct(list(l_partkey))) AS images, max(l_shipdate) AS ends FROM lineitem WHERE l_linenumber > 1 GROUP BY 1)
 SELECT v.l_orderkey, list_sort(list_distinct(list_concat(v.images, coalesce(d.images, [])))) AS images, len(list_filter(v.images, lambda x: NOT list_contains(coalesce(d.images, []), x))) AS only_visible FROM v LEFT JOIN d ON v.l_orderkey = d.l_orderkey

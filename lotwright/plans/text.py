@@ -94,9 +94,3 @@ def q_dynamic_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a word of one column occurs in another, as text rather than as a pattern for each row."""
     word = F.split("p_type", " ")[0]
     return table(spark, sf_dir, "part").select("p_partkey", F.contains(F.lower("p_name"), F.lower(word)).alias("literal"))
-
-
-@query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_name END AS c_name, NULL AS c_acctbal, left(c_mktsegment, 5) AS segment FROM customer")
-def q_private_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer")
-    return rows.select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("c_name"), F.lit(None).cast("int").alias("c_acctbal"), F.left("c_mktsegment", F.lit(5)).alias("segment"))
