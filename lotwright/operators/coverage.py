@@ -17,12 +17,12 @@ FACTS = {"visible_total": None, "failed_pages": 0, "failed_batches": 0, "drifted
 def audit(enumerated: DataFrame, hydrated: DataFrame, expected: DataFrame) -> DataFrame:
     """One row per snapshot with counts of both sides, whether the capture is complete, and the first of twelve reasons if not.
 
-    ``enumerated`` and ``hydrated`` have snapshot and id; ``expected`` has snapshot, total, start and end (fingerprints;
+    ``enumerated`` and ``hydrated`` have snapshot and id, and may have n, how often it occurs; ``expected`` has snapshot, total, start and end (fingerprints;
     a null one is not compared) and any of FACTS. Both sides are counted per (snapshot, id) first, so repeated ids and
     large snapshots combine before the shuffle; null ids do not count.
     """
-    a = enumerated.where("id IS NOT NULL").groupBy("snapshot", "id").agg(F.count("*").alias("a"))
-    b = hydrated.where("id IS NOT NULL").groupBy("snapshot", "id").agg(F.count("*").alias("b"))
+    counted = lambda df, name: df.where("id IS NOT NULL").groupBy("snapshot", "id").agg((F.sum("n") if "n" in df.columns else F.count("*")).alias(name))
+    a, b = counted(enumerated, "a"), counted(hydrated, "b")
     both = a.join(b, ["snapshot", "id"], "full")
     counts = both.groupBy("snapshot").agg(
         F.coalesce(F.sum("a"), F.lit(0)).alias("enumerated"),

@@ -139,7 +139,9 @@ def q_job_store_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"), F.count("*").alias("writes"))
 
 
-@query()
+@query("""
+SELECT c_custkey, '{"context":{"schemaVersion":1},"item":{"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}}' AS payload FROM customer
+""")
 def q_export_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer")
     return rows.select("c_custkey", F.to_json(F.struct(F.struct(F.lit(1).alias("schemaVersion")).alias("context"), F.struct("c_name", "c_mktsegment").alias("item"))).alias("payload"))

@@ -28,8 +28,8 @@ def q_coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a year against those that lines are found for; each year states other facts about its capture."""
     year = F.year("o_orderdate").cast("string").alias("snapshot")
     orders = table(spark, sf_dir, "orders").select(year, F.col("o_orderkey").alias("id"))
-    counted = table(spark, sf_dir, "lineitem").select("l_orderkey")
-    lines = counted.join(orders, F.col("l_orderkey") == F.col("id")).select("snapshot", "id")
+    counted = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))  # before the join
+    lines = counted.join(orders, F.col("l_orderkey") == F.col("id")).select("snapshot", "id", "n")
     k = F.col("snapshot").cast("int") % 9
     stated = orders.groupBy("snapshot").agg(F.count("*").alias("n"))
     stated = stated.select(

@@ -31,7 +31,6 @@ def plain(v):
 #: Queries without SQL, and the tests that hold their expressions against known outcomes.
 ELSEWHERE = {
     "q_candidate_eval": "test_identity.py", "q_donor_score": "test_identity.py", "q_identity": "test_identity.py", "q_discriminators_rest": "test_identity.py", "q_identity_revalidate": "test_retail.py",
-    "q_export_payload": "test_whole_tables.py",
 }
 
 
