@@ -55,3 +55,24 @@ def audit(enumerated: DataFrame, hydrated: DataFrame, expected: DataFrame) -> Da
 
 def missing(enumerated: DataFrame, hydrated: DataFrame, key: str = "id") -> DataFrame:
     return enumerated.select(key).distinct().join(hydrated.select(key), key, "left_anti")
+
+
+#: What a reason of an audit is called in a proof.
+PROOF_REASONS = {"route-fingerprint-changed": "route-fingerprint-changed", "user-stop": "stopped", "api-total-missing": "expected-total-unknown", "api-duplicate-ids": "duplicate-identities"}
+
+
+def proven(audited: DataFrame, proofs: DataFrame) -> DataFrame:
+    """audited (of ``audit``) with tier and proof, its reason: ``complete``, or why the capture is not proven.
+
+    ``proofs`` has snapshot, exhausted and settled, as far as they are known. An exact total proves by the audit, an unknown one by
+    pages that were read to their end, or by a bottom that had settled; neither helps where ids repeat or the route changed.
+    """
+    other = lambda name: F.coalesce(F.col(name), F.lit(False))
+    rows = audited.join(proofs.select("snapshot", "exhausted", "settled"), "snapshot", "left")
+    unknown = F.col("reason") == "api-total-missing"
+    clean = F.col("duplicates") == 0
+    tier = F.when(F.col("complete"), "api-exact").when(unknown & clean & other("exhausted"), "pagination-exact").when(unknown & clean & other("settled"), "dom-bottom-settled").otherwise("unproven")
+    named = F.coalesce(*(F.when(F.col("reason") == k, v) for k, v in PROOF_REASONS.items()), F.when(F.col("reason") == "api-total-drift", "total-drift"), F.lit("count-mismatch"))
+    rows = rows.withColumn("tier", tier)
+    proof = F.when(F.col("tier") != "unproven", "complete").when(unknown & ~clean, "duplicate-identities").otherwise(named)
+    return rows.withColumn("proof", proof).drop("exhausted", "settled")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotwright.plans import analysis, captures, exports, identity, landed, listings, lots, matching, money, proofs, recapture, records, retail, routes, state, text, urls  # noqa: F401  each registers its queries
+from lotwright.plans import analysis, captures, exports, identity, landed, listings, lots, matching, money, proofs, recapture, records, rest, retail, routes, state, text, urls  # noqa: F401  each registers its queries
 
 from .registry import ORACLES, QUERIES, Query
 

@@ -100,17 +100,6 @@ def q_id_scan_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(records, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderpriority", "pos", "o_orderkey", "lines", "total")
 
 
-@query("""
-WITH k AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS ids, max(l_linenumber) AS top FROM lineitem GROUP BY 1)
-SELECT CASE WHEN n = ids AND ids = top THEN 'api-exact' WHEN ids = top THEN 'pagination-exact' WHEN ids >= 3 THEN 'dom-bottom-settled' ELSE 'unproven' END AS tier, count(*) AS orders FROM k GROUP BY 1
-""")
-def q_proof_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.countDistinct("l_linenumber").alias("ids"), F.max("l_linenumber").alias("top"))
-    whole = F.col("ids") == F.col("top")
-    tier = F.when((F.col("n") == F.col("ids")) & whole, "api-exact").when(whole, "pagination-exact").when(F.col("ids") >= 3, "dom-bottom-settled").otherwise("unproven")
-    return k.groupBy(tier.alias("tier")).agg(F.count("*").alias("orders"))
-
-
 @query("""
 SELECT kind, count(*) AS n, round(sum(gross), 2) AS gross, round(sum(abs(fee)), 2) AS fees, round(sum(gross - abs(fee)), 2) AS net
 FROM (SELECT CASE l_returnflag WHEN 'R' THEN 'refund' WHEN 'A' THEN 'sale' ELSE 'pending' END AS kind, CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END AS gross, -l_extendedprice * l_discount AS fee FROM lineitem) GROUP BY 1

@@ -45,8 +45,6 @@ def test_listings_read_to_their_end(spark):
         "one": (1, 1, 1, 0, 0, True, done), "two": (2, 2, 2, 0, 0, True, done), "loop": (2, 2, 10, 0, 0, False, done), "hole": (1, 1, 5, 1, 1, True, gap), "ahead": (2, 2, 10, 1, 0, False, gap), "apart": (1, 1, 5, 0, 1, False, done),
         "late": (None, 0, 0, 0, 2, False, "no-first-page"), "leap": (3, 2, 4, 1, 0, False, gap), "long": (300, 300, 300, 0, 0, False, done),
     }
-    r = spark.range(1).select(*(pager.proof_tier(*(F.lit(x) for x in case)).alias(f"c{k}") for k, case in enumerate([(True, False, False), (False, True, True), (None, None, True), (False, None, False)]))).first()
-    assert tuple(r) == ("api-exact", "pagination-exact", "dom-bottom-settled", "unproven")
 
 
 def brute_tree(links):
