@@ -13,9 +13,11 @@ bounded size; each pair of tiles is one group. Only link counts and a spanning f
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ BLOCKS, GRID, TILE = 4, 2, 16384
 SCALE, SLACK, ROUGH = 32767, 3e-4, 1e-4
 
 
+#: Cells and neighbourhoods that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+@lru_cache(maxsize=64)
 def rotation(dimensions: int, seed: int = 17) -> np.ndarray:
     """A random orthogonal matrix, the same on every machine."""
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dimensions, dimensions)))
@@ -40,6 +47,11 @@ def block_edges(dimensions: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
+def block_budgets(dimensions: int, least: float) -> list[float]:
+    """Each block's share of the squared distance that a cosine of ``least`` allows."""
+    return [(2.0 - 2.0 * least) * (b - a) / dimensions for a, b in block_edges(dimensions)]
+
+
 def unit_vectors(column: pa.Array, dimensions: int) -> np.ndarray:
     """Rows of an Arrow list column of ``dimensions`` finite numbers each, scaled to length 1 in double precision."""
     if isinstance(column, pa.ChunkedArray):
@@ -49,30 +61,34 @@ def unit_vectors(column: pa.Array, dimensions: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _cells(dimensions: int, radii: list[float]):
-    """mapInArrow function: (c, m, v) to (c, m, v, q: rotated coordinates, cells: the grid cell of each block)."""
-    turn = rotation(dimensions)
+def _cells(least: float):
+    """mapInArrow function: (c, m, v) to (c, m, v, d: length, q: rotated coordinates, cells: the grid cell of each block)."""
 
     def work(batches):
         for batch in batches:
-            q = np.rint(unit_vectors(batch.column("v"), dimensions) @ turn * SCALE).astype("<i2")
-            cells = []
-            for (a, b), r in zip(block_edges(dimensions), radii):
-                grid = np.floor(q[:, a : min(b, a + GRID)] / (r * SCALE)).astype(np.int64) + (1 << 20)
-                grid = np.pad(grid, ((0, 0), (0, GRID - grid.shape[1])))
-                cells.append(grid[:, 0] << 32 | grid[:, 1])
-            flat = list(np.stack(cells, axis=1))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in "cmv"), pa.array([x.tobytes() for x in q], pa.binary()), pa.array(flat, pa.list_(pa.int64()))], ["c", "m", "v", "q", "cells"])
+            lengths = pc.list_value_length(batch.column("v")).to_numpy()
+            for d in np.unique(lengths).tolist():
+                own = batch.filter(pa.array(lengths == d))
+                q = np.rint(unit_vectors(own.column("v"), d) @ rotation(d) * SCALE).astype("<i2")
+                cells = []
+                for (a, b), budget in zip(block_edges(d), block_budgets(d, least)):
+                    r = math.sqrt(budget + SLACK) * 1.0001
+                    grid = np.floor(q[:, a : min(b, a + GRID)] / (r * SCALE)).astype(np.int64) + (1 << 20)
+                    grid = np.pad(grid, ((0, 0), (0, GRID - grid.shape[1])))
+                    cells.append(grid[:, 0] << 32 | grid[:, 1])
+                flat = list(np.stack(cells, axis=1))
+                columns = [pa.array(np.full(len(q), d, np.int32)), pa.array([x.tobytes() for x in q], pa.binary()), pa.array(flat, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(own.column(k) for k in "cmv"), *columns], ["c", "m", "v", "d", "q", "cells"])
 
     return work
 
 
-def _joined(dimensions: int, least: float, budgets: list[float]):
-    """applyInArrow function for a pair of tiles of one block: link counts by class, and a forest of its links."""
-    edges = block_edges(dimensions)
+def _joined(least: float):
+    """applyInArrow function for a pair of tiles of one length and block: link counts by class, and a forest of its links."""
 
     def work(got: pa.Table) -> pa.Table:
-        block = got["b"][0].as_py()
+        block, dimensions = got["b"][0].as_py(), got["d"][0].as_py()
+        edges, budgets = block_edges(dimensions), block_budgets(dimensions, least)
         x = unit_vectors(got["v"], dimensions)
         q = np.frombuffer(b"".join(got["q"].to_pylist()), "<i2").reshape(len(x), dimensions)
         c, m = got["c"].to_numpy(), got["m"].to_numpy()
@@ -134,7 +150,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, tile: int = TILE) ->
 
     The cosine is that of double precision on the given components. Vectors that are null or zero, or hold null, NaN or
     infinite components, link with nothing: each is its own component. Vectors of different lengths have no cosine and
-    never link; the join is run once for each length that occurs. Vectors of equal components form one class at once;
+    never link: their length is part of every key, so all lengths go through one join. Vectors of equal components form one class at once;
     the rows of a class are linked with each other, as their cosine is 1. Rows without vec_id take part; a component's
     id is the smallest vec_id in it, null if it has none, and such rows are never kept. An empty table gives an empty
     result; other columns are ignored.
@@ -143,45 +159,38 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, tile: int = TILE) ->
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists("v", lambda e: e != 0)
     rows = rows.withColumn("v", F.when(F.coalesce(finite, F.lit(False)), F.col("v")))
     good = rows.where("v IS NOT NULL")
-    lengths = [r["d"] for r in good.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
     out = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    for d in lengths:
-        own = good if len(lengths) == 1 else good.where(F.size("v") == d)
-        out = out.union(_of_length(own, d, least, tile))
-    return out
-
-
-def _of_length(rows: DataFrame, dimensions: int, least: float, tile: int) -> DataFrame:
-    """near_duplicates of vectors that all have ``dimensions`` finite components, not all zero."""
-    budget = 2.0 - 2.0 * least
-    edges = block_edges(dimensions)
-    budgets = [budget * (b - a) / dimensions for a, b in edges]
-    radii = [math.sqrt(x + SLACK) * 1.0001 for x in budgets]
+    return out.union(_linked(good, least, tile))
+
+
+def _linked(rows: DataFrame, least: float, tile: int) -> DataFrame:
+    """near_duplicates of vectors that all have finite components, not all zero."""
     classes = rows.groupBy("v").agg(F.count("*").alias("m"), F.min("vec_id").alias("vec_id")).withColumn("c", F.monotonically_increasing_id())
     classes = written(classes, "vectors")
     kind = dict(classes.dtypes)["v"]
-    placed = classes.select("c", "m", "v").mapInArrow(_cells(dimensions, radii), f"c long, m long, v {kind}, q binary, cells array<bigint>")
-    homes = written(placed.select("c", "m", "v", "q", F.posexplode("cells").alias("b", "cell")), "cells")
-    # at most (2 / radius + 2) ** GRID cells in each block, whatever the number of vectors
-    cells = written(homes.groupBy("b", "cell").agg(F.count("*").alias("n")), "cell-sizes")
+    placed = classes.select("c", "m", "v").mapInArrow(_cells(least), f"c long, m long, v {kind}, d int, q binary, cells array<bigint>")
+    homes = written(placed.select("c", "m", "v", "d", "q", F.posexplode("cells").alias("b", "cell")), "cells")
+    # at most (2 / radius + 2) ** GRID cells in each block of a length, whatever the number of vectors
+    cells = written(homes.groupBy("d", "b", "cell").agg(F.count("*").alias("n")), "cell-sizes")
+    small = F.broadcast if 9 * cells.count() <= BROADCAST_ROWS else lambda df: df  # a cell's neighbours are eight at most
     step = 1 << 32
     ahead = F.explode(F.array(*(F.lit(s).cast("long") for s in (1, step - 1, step, step + 1))))  # each pair of neighbours once
-    around = cells.select("b", F.col("cell").alias("home"), ahead.alias("s")).withColumn("cell", F.col("home") + F.col("s"))
-    around = around.join(cells, ["b", "cell"]).select("b", "home", "cell", "n")
-    visitors = around.groupBy("b", "home").agg(F.ceil(F.sum("n") / tile).alias("q_tiles"))
-    plan = cells.withColumnRenamed("cell", "home").join(visitors, ["b", "home"], "left")
-    plan = plan.select("b", "home", F.ceil(F.col("n") / tile).alias("p_tiles"), F.coalesce("q_tiles", F.lit(0)).cast("long").alias("q_tiles"))
-    visits = around.select("b", "home", "cell").join(plan, ["b", "home"])
+    around = cells.select("d", "b", F.col("cell").alias("home"), ahead.alias("s")).withColumn("cell", F.col("home") + F.col("s"))
+    around = around.join(cells, ["d", "b", "cell"]).select("d", "b", "home", "cell", "n")
+    visitors = around.groupBy("d", "b", "home").agg(F.ceil(F.sum("n") / tile).alias("q_tiles"))
+    plan = cells.withColumnRenamed("cell", "home").join(visitors, ["d", "b", "home"], "left")
+    plan = plan.select("d", "b", "home", F.ceil(F.col("n") / tile).alias("p_tiles"), F.coalesce("q_tiles", F.lit(0)).cast("long").alias("q_tiles"))
+    visits = around.select("d", "b", "home", "cell").join(plan, ["d", "b", "home"])
     tile_of = lambda k: F.pmod(F.xxhash64("c"), F.col(k))
     upto = lambda a, b: F.explode(F.sequence(a, b))
-    group, zero = ["b", "home", "i", "j", "c", "m", "v", "q", "left"], F.lit(0).cast("long")
-    inside = homes.withColumnRenamed("cell", "home").join(F.broadcast(plan), ["b", "home"]).withColumn("t", tile_of("p_tiles"))
+    group, zero = ["d", "b", "home", "i", "j", "c", "m", "v", "q", "left"], F.lit(0).cast("long")
+    inside = homes.withColumnRenamed("cell", "home").join(small(plan), ["d", "b", "home"]).withColumn("t", tile_of("p_tiles"))
     hosts = inside.withColumns({"i": F.col("t"), "left": F.lit(True)}).withColumn("j", upto(F.col("t"), F.col("p_tiles") + F.col("q_tiles") - 1))
     peers = inside.where("t > 0").withColumns({"j": F.col("t"), "left": F.lit(False)}).withColumn("i", upto(zero, F.col("t") - 1))
-    guests = homes.join(F.broadcast(visits), ["b", "cell"]).withColumn("j", F.col("p_tiles") + tile_of("q_tiles"))
+    guests = homes.join(small(visits), ["d", "b", "cell"]).withColumn("j", F.col("p_tiles") + tile_of("q_tiles"))
     guests = guests.withColumn("left", F.lit(False)).withColumn("i", upto(zero, F.col("p_tiles") - 1))
     dealt = hosts.select(group).union(peers.select(group)).union(guests.select(group))
-    found = spread(dealt, "b", "home", "i", "j").groupBy("b", "home", "i", "j").applyInArrow(_joined(dimensions, least, budgets), "c long, n long, other long")
+    found = spread(dealt, "d", "b", "home", "i", "j").groupBy("d", "b", "home", "i", "j").applyInArrow(_joined(least), "c long, n long, other long")
     found = written(found, "links")
     links = found.where("other IS NOT NULL").select(F.col("c").alias("a"), F.col("other").alias("b"))
     groups = components(links).select(F.col("vertex").alias("c"), F.col("component").alias("g"))

@@ -758,3 +758,19 @@ def test_embeddings_of_several_lengths(spark):
     for d in {len(v or ()) for _, v in rows}:
         want += brute_vectors([(i, v) for i, v in rows if len(v or ()) == d], 0.9)
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_embeddings_of_many_lengths_in_one_join(spark, monkeypatch, most):
+    """Sixty lengths take one chain of jobs; cells beyond the bound are joined without a broadcast."""
+    monkeypatch.setattr(embeddings, "BROADCAST_ROWS", most)
+    random_ = np.random.default_rng(8)
+    rows = []
+    for d in range(1, 61):
+        center = random_.normal(size=d)
+        rows += [(len(rows) + k, (center + s * random_.normal(size=d)).tolist()) for k, s in enumerate((0.0, 0.1, 1.0))]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in dicts(embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))))
+    want = []
+    for d in range(1, 61):
+        want += brute_vectors([(i, v) for i, v in rows if len(v) == d], 0.9)
+    assert got == sorted(want)
