@@ -40,7 +40,7 @@ def number(x: Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
 
 
-#: Settings by name: kind, default, and the range that numbers are kept in.
+# Settings by name: kind, default, and the range that numbers are kept in.
 SETTINGS: dict[str, tuple] = {
     "stateCode": ("text", None), "taxPctOverride": ("number", None), "taxOnPremium": ("flag", True), "ebayFeePct": ("number", 13.25), "ebayFeeFixedCents": ("number", 30.0), "catalogChips": ("flag", True),
     "nativeWatchSync": ("flag", False), "taxExempt": ("flag", False), "debugMode": ("flag", False), "includePrivateWatchNotes": ("flag", False), "amazonAutoLookup": ("flag", True), "retailTargetPct": ("number", 50.0, 1.0, 95.0),
@@ -133,3 +133,17 @@ def asserted(record: Column) -> Column:
     """The map, or an error when it is read if it still holds private data."""
     bad = F.exists(F.map_entries(record), lambda e: e["key"].rlike(PRIVATE_FIELD) | unsafe(e["value"]))
     return F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit("unsafe buyer pii")).cast("map<string,string>")).otherwise(record)
+
+
+# Fixed value: the most pieces that a lot's confirmed quantity may be.
+MOST_PIECES = 500
+
+
+def stored_amount(x: Column) -> Column:
+    """A stored amount; what is no number is null and never 0."""
+    return F.nullif(F.trim(x), F.lit("")).try_cast("double")
+
+
+def stored_quantity(x: Column) -> Column:
+    """A stored quantity from 1 to MOST_PIECES; 1 where unknown."""
+    return F.greatest(F.lit(1), F.least(F.lit(MOST_PIECES), F.coalesce(x.try_cast("int"), F.lit(1))))

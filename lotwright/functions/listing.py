@@ -75,7 +75,7 @@ def research_query(title: Column) -> Column:
     return F.when(F.size(tokens) >= 2, phrase).otherwise(F.left(original, F.lit(120)))
 
 
-#: A line that says something under a name: name, sign, value.
+#: Fixed value: a line that says something under a name: name, sign, value.
 LINE = r"^[ \t]*([^:?\n]{2,60}?)[ \t]*([:?])[ \t]*(.*)$"
 
 
@@ -202,3 +202,21 @@ def description_labels(description: Column) -> Column:
     """Map of what a description says under the labels of the catalogue, wherever they begin a line or a part after a bar."""
     found = [F.struct(F.lit(n).alias("key"), trimmed(F.regexp_extract(description, r"(?i)(?:^|\n|\|)\s*" + n.replace("?", r"\?") + r"\s*:?\s*([^\n|]+)", 1)).alias("value")) for n in V.LABELS]
     return F.map_from_entries(F.filter(F.array(*found), lambda e: e["value"] != ""))
+
+
+# The rates of a premium that are believed, and the sizes that titles and descriptions name.
+LEAST_RATE, MOST_RATE, SIZE = 0, 30, r"\bsize:?\s*(xs|s|m|l|xl|xxl)\b"
+
+
+def stated_premium(text: Column) -> Column:
+    """The highest buyer's premium from 0 to 30 % that a text states in a sentence about premiums; null if none."""
+    sentences = F.filter(F.split(text, r"(?<=[.!?])\s"), lambda s: F.lower(s).contains("premium"))
+    rates = F.flatten(F.transform(sentences, lambda s: F.regexp_extract_all(s, F.lit(r"(\d+(?:\.\d+)?)\s*%"), F.lit(1))))
+    return F.array_max(F.filter(F.transform(rates, lambda r: r.cast("double")), lambda r: r.between(LEAST_RATE, MOST_RATE)))
+
+
+def size_conflict(title: Column, description: Column) -> Column:
+    """Whether title and description both name sizes and none of them is the same."""
+    sizes = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(SIZE), F.lit(1)))
+    a, b = sizes(title), sizes(description)
+    return (F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_intersect(a, b)) == 0)

@@ -85,3 +85,16 @@ def normalised_lot(lot: Column, page_kind: Column, source_url: Column, auction_i
         "raw_text": F.left(raw, F.lit(RAW_TEXT)), "description_fields": description_labels(description), "audit": F.struct((description != "").alias("has_description"), F.size(images).alias("image_count")),
     }
     return F.when(number != "", F.struct(*(c.alias(n) for n, c in fields.items())))
+
+
+def merged_visible(visible: Column, hydrated: Column) -> Column:
+    """struct(current_bid, status, hydrated) of what a page shows (current_bid, status, raw_text) and its hydrated record, null if there is none.
+
+    The record counts, but for a realized price or a closed lot's bid that the page shows while the record has none or 0,
+    and for a status that the record leaves empty.
+    """
+    realized = F.coalesce(visible["raw_text"], F.lit("")).rlike(r"(?i)\bPrice\s+Realized\b") | F.coalesce(visible["status"], F.lit("")).rlike("(?i)^Closed$")
+    keeps = realized & (F.coalesce(hydrated["current_bid"], F.lit(0.0)) == 0) & (visible["current_bid"] > 0)
+    bid = F.when(hydrated.isNull() | F.coalesce(keeps, F.lit(False)), visible["current_bid"]).otherwise(hydrated["current_bid"])
+    status = F.coalesce(F.nullif(hydrated["status"], F.lit("")), visible["status"])
+    return F.struct(bid.alias("current_bid"), status.alias("status"), hydrated.isNotNull().alias("hydrated"))

@@ -126,3 +126,10 @@ def first_number(x: Column, signed: bool = False) -> Column:
 def usd_number(x: Column) -> Column:
     """The first amount in text that is followed by USD; null if there is none."""
     return F.nullif(F.regexp_extract(F.replace(x, F.lit(","), F.lit("")), r"(?i)(\d+(?:\.\d+)?)\s*USD(?![A-Za-z0-9_])", 1), F.lit("")).try_cast("double")
+
+
+def transaction(flag: Column, amount: Column, fee: Column) -> Column:
+    """struct(kind, gross, fee, net) of an account's line: sales (A) and refunds (R), all others pending; a refund's gross is negative, fees are positive."""
+    kind = F.when(flag == "R", "refund").when(flag == "A", "sale").otherwise("pending")
+    gross, cost = F.when(flag == "R", -amount).otherwise(amount), F.abs(fee)
+    return F.struct(kind.alias("kind"), gross.alias("gross"), cost.alias("fee"), (gross - cost).alias("net"))

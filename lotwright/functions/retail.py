@@ -83,7 +83,7 @@ def request_fault(page: Column, size: Column, ids: Column, body: Column) -> Colu
     )
 
 
-#: Phases of a capture job, and those that each may be followed by; every phase may also be stopped, fail or go stale.
+# Phases of a capture job, and those that each may be followed by; every phase may also be stopped, fail or go stale.
 PHASES = {
     "idle": ["queued"], "queued": ["enumerating", "hydrating"], "enumerating": ["enumerating", "hydrating", "validating"], "hydrating": ["hydrating", "validating"], "validating": ["completed"],
     "stopping": ["stopped"], "completed": [], "stopped": [], "failed": [], "stale": [],

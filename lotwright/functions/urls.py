@@ -47,7 +47,7 @@ def resolved(link: Column, base: Column) -> Column:
     )
 
 
-#: Parameters that hold the address that a redirect leads to, that only say where a visit came from, and that hold a person.
+# Parameters that hold the address that a redirect leads to, that only say where a visit came from, and that hold a person.
 REDIRECTS = ["url", "u", "target", "dest", "redirect"]
 TRACKING = r"(?i)^(?:utm_.*|ref|fbclid|gclid|mc_.*|session(?:id)?)$"
 PRIVATE = r"(?i)(?:email|phone|name|address|buyer|user)"

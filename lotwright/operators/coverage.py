@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Reasons in the order in which they are reported.
+#: Reasons in the order in which they are reported.
 REASONS = [
     "route-fingerprint-changed", "user-stop", "api-page-failure", "api-hydration-failure", "api-total-drift", "api-visible-total-mismatch", "api-total-missing",
     "api-duplicate-ids", "api-enumeration-count-mismatch", "api-missing-hydration", "api-unexpected-hydration", "api-hydration-count-mismatch",

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: the score of what a user has chosen.
+CHOSEN = 100
+
 
 def band_choice(scored: DataFrame, key: str, score: str, price: str, position: list[str], width: float) -> DataFrame:
     """Of each key's candidates with a score above 0 and within ``width`` of its best: the cheapest; ties by score, then position.
@@ -37,3 +40,9 @@ def attribute_sets(expected: dict[str, Column], actual: dict[str, Column], doubl
     absent = F.array_compact(F.array(*(F.when((F.size(expected[k]) > 0) & (F.size(actual[k]) == 0), k) for k in expected)))
     matched = sum((both(k) * (2 if k in double else 1) for k in expected), F.lit(0))
     return F.struct(conflicts.alias("conflicts"), absent.alias("missing"), matched.alias("matched"))
+
+
+def overridden(chosen: Column, found: Column, found_score: Column | float) -> Column:
+    """struct(key, score): the user's choice at a score of 100, else what was found at its own."""
+    score = found_score if isinstance(found_score, Column) else F.lit(found_score)
+    return F.struct(F.coalesce(chosen, found).alias("key"), F.when(chosen.isNotNull(), F.lit(CHOSEN)).when(found.isNotNull(), score).alias("score"))

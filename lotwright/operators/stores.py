@@ -46,11 +46,18 @@ def migrated_plans(plans: DataFrame, legacy: DataFrame) -> DataFrame:
 
 
 def partial_export(expected: DataFrame, items: DataFrame, key: str) -> DataFrame:
-    """(key, expected, items, missing, complete, partial) of each capture: ``expected`` has key and ids (array), ``items`` key and id.
+    """(key, expected, items, missing, complete, partial) of each capture: ``expected`` has key and id (a null id says that nothing is expected), ``items`` key and id.
 
-    ``missing`` are the ids that no item has, in order. A partial export is always said to be one.
+    ``missing`` counts the expected ids that no item has; ``missing_ids`` lists them. A partial export is always said to be one.
     """
-    found = items.groupBy(key).agg(F.count("*").alias("items"), F.collect_set("id").alias("_ids"))
-    rows = expected.join(found, key, "left").withColumn("missing", F.array_sort(F.array_except("ids", F.coalesce("_ids", F.array().cast("array<bigint>")))))
-    whole = (F.size("missing") == 0) & (F.coalesce("items", F.lit(0)) == F.size("ids"))
-    return rows.select(key, F.size("ids").cast("long").alias("expected"), F.coalesce("items", F.lit(0)).alias("items"), "missing", whole.alias("complete"), (~whole).alias("partial"))
+    wanted = expected.groupBy(key).agg(F.count("id").alias("expected"))
+    found = items.groupBy(key).agg(F.count("*").alias("items"))
+    gone = missing_ids(expected, items, key).groupBy(key).agg(F.count("*").alias("missing"))
+    rows = wanted.join(found, key, "left").join(gone, key, "left").fillna(0, ["items", "missing"])
+    whole = (F.col("missing") == 0) & (F.col("items") == F.col("expected"))
+    return rows.select(key, "expected", "items", "missing", whole.alias("complete"), (~whole).alias("partial"))
+
+
+def missing_ids(expected: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """(key, id) that is expected and that no item has."""
+    return expected.where("id IS NOT NULL").select(key, "id").distinct().join(items.select(key, "id"), [key, "id"], "left_anti")

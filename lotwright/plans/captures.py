@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotwright.functions import jobs as J
+from lotwright.functions import listing as L
 from lotwright.operators import sequences
 from lotwright.sources import embedded, markup
 
@@ -71,19 +73,16 @@ def _url_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT page_id AS id, CASE page_id % 4 WHEN 0 THEN page_id + 0.5 WHEN 3 THEN 0.0 END AS resale, CAST(CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN least(500, page_id + 1) ELSE 1 END AS INT) AS quantity FROM pages
 """, {"id": "page_id", "r": "CASE page_id % 4 WHEN 0 THEN page_id || '.5' WHEN 1 THEN '' WHEN 2 THEN 'n/a' ELSE '0' END", "q": "CASE page_id % 3 WHEN 0 THEN '0' WHEN 1 THEN '' || (page_id + 1) ELSE NULL END"}, _url_ends)
 def q_state_normalize(rows: DataFrame) -> DataFrame:
-    """Stored text to numbers: what is no number is null and never 0; quantities are 1 to 500, 1 where unknown."""
-    quantity = F.greatest(F.lit(1), F.least(F.lit(500), F.coalesce(F.col("q").try_cast("int"), F.lit(1))))
-    return rows.select("id", F.nullif(F.col("r"), F.lit("")).try_cast("double").alias("resale"), quantity.alias("quantity"))
+    """Stored text to numbers."""
+    return rows.select("id", J.stored_amount(F.col("r")).alias("resale"), J.stored_quantity(F.col("q")).alias("quantity"))
 
 
 @landed("SELECT page_id AS id, CASE WHEN page_id % 6 = 0 THEN NULL WHEN page_id % 40 <= 30 THEN greatest(15.0, page_id % 40) ELSE 15.0 END::DOUBLE AS rate FROM pages", {
     "id": "page_id", "t": "CASE WHEN page_id % 6 = 0 THEN 'Sales tax 8%. Premium 45%' ELSE 'A buyer''s premium of 15% online, ' || page_id % 40 || '% on site. 29% off today.' END"
 }, _texts)
 def q_max_rate(rows: DataFrame) -> DataFrame:
-    """The highest buyer's premium from 0 to 30 % that a text states in a sentence about premiums."""
-    sentences = F.filter(F.split("t", r"(?<=[.!?])\s"), lambda s: F.lower(s).contains("premium"))
-    rates = F.flatten(F.transform(sentences, lambda s: F.regexp_extract_all(s, F.lit(r"(\d+(?:\.\d+)?)\s*%"), F.lit(1))))
-    return rows.select("id", F.array_max(F.filter(F.transform(rates, lambda r: r.cast("double")), lambda r: (r >= 0) & (r <= 30))).alias("rate"))
+    """The buyer's premium that a text states."""
+    return rows.select("id", L.stated_premium(F.col("t")).alias("rate"))
 
 
 @query("""
@@ -137,9 +136,8 @@ def _first_and_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     "id": "page_id", "title": "'Shirt size ' || CASE page_id % 3 WHEN 0 THEN 'XL' WHEN 1 THEN 'M' ELSE 's' END", "description": "CASE WHEN page_id % 5 = 0 THEN 'cotton' ELSE 'Size: ' || CASE page_id % 2 WHEN 0 THEN 'xl' ELSE 'M' END || ', cotton' END"
 }, _first_and_rest)
 def q_size_conflict(rows: DataFrame) -> DataFrame:
-    sizes = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"\bsize:?\s*(xs|s|m|l|xl|xxl)\b"), F.lit(1)))
-    a, b = sizes("title"), sizes("description")
-    return rows.select("id", ((F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_intersect(a, b)) == 0)).alias("conflict"))
+    """Whether title and description name different sizes."""
+    return rows.select("id", L.size_conflict(F.col("title"), F.col("description")).alias("conflict"))
 
 
 @query("""

@@ -40,7 +40,8 @@ SELECT o_orderkey, coalesce(chosen, auto) AS part, CASE WHEN chosen IS NOT NULL
 def q_override_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     auto = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct("l_extendedprice", "l_linenumber", "l_partkey")).alias("auto"))
     rows = table(spark, sf_dir, "orders").join(auto, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("chosen", F.when(F.col("o_orderstatus") == "P", F.col("o_custkey")))
-    return rows.select("o_orderkey", F.coalesce("chosen", "auto").alias("part"), F.when(F.col("chosen").isNotNull(), 100).when(F.col("auto").isNotNull(), 50).alias("score"))
+    rows = rows.select("o_orderkey", match.overridden(F.col("chosen"), F.col("auto"), 50).alias("m"))
+    return rows.select("o_orderkey", F.col("m.key").alias("part"), "m.score")
 
 
 @query("""
@@ -105,10 +106,9 @@ SELECT kind, count(*) AS n, round(sum(gross), 2) AS gross, round(sum(abs(fee)),
 FROM (SELECT CASE l_returnflag WHEN 'R' THEN 'refund' WHEN 'A' THEN 'sale' ELSE 'pending' END AS kind, CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END AS gross, -l_extendedprice * l_discount AS fee FROM lineitem) GROUP BY 1
 """)
 def q_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("l_returnflag") == "R", "refund").when(F.col("l_returnflag") == "A", "sale").otherwise("pending")
-    gross = F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))
-    rows = table(spark, sf_dir, "lineitem").select(kind.alias("kind"), gross.alias("g"), F.abs(F.col("l_extendedprice") * F.col("l_discount")).alias("f"))
-    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("g"), 2).alias("gross"), F.round(F.sum("f"), 2).alias("fees"), F.round(F.sum(F.col("g") - F.col("f")), 2).alias("net"))
+    rows = table(spark, sf_dir, "lineitem").select(M.transaction(F.col("l_returnflag"), F.col("l_extendedprice"), -F.col("l_extendedprice") * F.col("l_discount")).alias("t"))
+    total = lambda c: F.round(F.sum(f"t.{c}"), 2)
+    return rows.groupBy("t.kind").agg(F.count("*").alias("n"), total("gross").alias("gross"), total("fee").alias("fees"), total("net").alias("net"))
 
 
 @query("""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lotwright.functions.lots import merged_visible
 from lotwright.operators import coverage, keyed, match, sequences
 
 from .registry import query, table
@@ -156,18 +157,17 @@ def q_page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH h AS (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS total, max(l_linestatus) AS status FROM lineitem GROUP BY 1)
-SELECT o_orderkey, CASE WHEN total > 0 THEN total ELSE o_totalprice END AS price, CASE WHEN o_orderstatus = 'F' THEN o_orderstatus ELSE coalesce(status, o_orderstatus) END AS status, total IS NOT NULL AS hydrated
+SELECT o_orderkey, CASE WHEN total IS NULL OR o_orderstatus = 'F' AND o_orderkey % 4 = 0 THEN o_totalprice WHEN o_orderkey % 4 = 0 THEN 0.0 ELSE total END AS price, CASE WHEN o_orderkey % 5 = 0 OR status IS NULL THEN CASE WHEN o_orderstatus = 'F' THEN 'Closed' ELSE o_orderstatus END ELSE status END AS status, total IS NOT NULL AS hydrated
 FROM orders LEFT JOIN h ON o_orderkey = l_orderkey
 """)
 def q_merge_visible_hydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("total"), F.max("l_linestatus").alias("s"))
     rows = table(spark, sf_dir, "orders").join(h, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return rows.select(
-        "o_orderkey",
-        F.when(F.col("total") > 0, F.col("total")).otherwise(F.col("o_totalprice")).alias("price"),
-        F.when(F.col("o_orderstatus") == "F", F.col("o_orderstatus")).otherwise(F.coalesce("s", "o_orderstatus")).alias("status"),
-        F.col("total").isNotNull().alias("hydrated"),
-    )
+    k = F.col("o_orderkey")
+    shown = F.struct(F.col("o_totalprice").alias("current_bid"), F.when(F.col("o_orderstatus") == "F", "Closed").otherwise(F.col("o_orderstatus")).alias("status"), F.lit("").alias("raw_text"))
+    record = F.when(F.col("total").isNotNull(), F.struct(F.when(k % 4 == 0, 0.0).otherwise(F.col("total")).alias("current_bid"), F.when(k % 5 == 0, "").otherwise(F.col("s")).alias("status")))
+    merged = rows.select(k, merged_visible(shown, record).alias("m"))
+    return merged.select(k, F.col("m.current_bid").alias("price"), "m.status", "m.hydrated")
 
 
 @query("""

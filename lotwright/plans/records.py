@@ -9,7 +9,7 @@ from lotwright.functions import jobs as J
 from lotwright.functions import lots as L
 from lotwright.functions import urls as U
 from lotwright.functions import values as V
-from lotwright.operators import keyed
+from lotwright.operators import keyed, sequences
 
 from .registry import query, table
 
@@ -149,15 +149,11 @@ def q_cache_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.best(rows, ["user_id"], F.struct("evidence", "ts", "event_id")).select("user_id", F.col("event_id").alias("hit"))
 
 
-@query("""
-WITH p AS (SELECT o_custkey, o_orderkey % 4 AS page, list(o_orderkey ORDER BY o_orderkey) AS ids FROM orders GROUP BY ALL)
-SELECT o_custkey, flatten(list(ids ORDER BY page)) AS ids FROM p GROUP BY 1
-""")
+@query("SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 4, o_orderkey) AS pos, o_orderkey AS id FROM orders")
 def q_pages_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a customer's orders one after the other, whatever order they were landed in."""
-    pages = table(spark, sf_dir, "orders").groupBy("o_custkey", (F.col("o_orderkey") % 4).alias("page")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("ids"))
-    whole = pages.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("page", "ids"))).alias("pages"))
-    return whole.select("o_custkey", F.flatten(F.transform("pages", lambda p: p["ids"])).alias("ids"))
+    rows = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 4).alias("page"), F.col("o_orderkey").alias("id"))
+    return sequences.numbered(rows, ["o_custkey"], ["page", "id"], "pos", F.col("page")).select("o_custkey", "pos", "id")  # a page is a piece
 
 
 _SCRUBBED_SQL = "text"

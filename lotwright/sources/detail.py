@@ -17,7 +17,7 @@ from lotwright.functions.text import ascii_words
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 UNSEEN = {"script", "style", "template"}
-#: Labels that are also read from the visible text where no table has them.
+#: Labels that are also read from the visible text where no table has them.
 LABELS = ["Lot #", "Lead", "Group - Category", "Condition", "In Packaging?", "Assembly Required?", "Damaged?", "Functional?", "Missing Parts?", "Shelf Location"]
 
 

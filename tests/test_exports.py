@@ -65,7 +65,8 @@ def test_second_choice_and_repeats_and_partial(spark):
     assert [tuple(r) for r in stores.stored_state(lots, stored, watched, "k").orderBy("k").collect()] == [(1, 9.0, 2.5), (2, 1.99, None), (3, None, None)]
     rows = spark.createDataFrame([(7, 1), (8, 2), (8, 3), (7, 4), (8, 5), (6, 6)], "k long, p long")
     assert [tuple(r) for r in stores.first_repeats(rows, "k", "p").collect()] == [(8, 3, 3), (7, 4, 2)]
-    expected = spark.createDataFrame([("a", [1, 2, 3]), ("b", [4]), ("c", [])], "k string, ids array<long>")
+    expected = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 4), ("c", None)], "k string, id long")
     items = spark.createDataFrame([("a", 1), ("a", 2), ("b", 4)], "k string, id long")
     got = [tuple(r) for r in stores.partial_export(expected, items, "k").orderBy("k").collect()]
-    assert got == [("a", 3, 2, [3], False, True), ("b", 1, 1, [], True, False), ("c", 0, 0, [], True, False)]
+    assert got == [("a", 3, 2, 1, False, True), ("b", 1, 1, 0, True, False), ("c", 0, 0, 0, True, False)]
+    assert [tuple(r) for r in stores.missing_ids(expected, items, "k").collect()] == [("a", 3)]

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from lotwright.functions import jobs as J
 from lotwright.functions import lots as L
+from lotwright.functions import listing
+from lotwright.functions import money as M
 from lotwright.functions import urls as U
+from lotwright.operators import match
 
 
 def one(spark, column):
@@ -111,3 +114,19 @@ def test_private_data(spark):
     assert clean == {"records.0.sale_date": "Jul 12, 2026 buyer: [private]", "records.0.nested.message": "Please call [phone] or [email]", "records.0.nested.note": "Ship to [address]", "page_kind": "sold"}
     with pytest.raises(Exception, match="unsafe buyer pii"):
         one(spark, J.asserted(record))
+
+
+def test_rules_that_queries_share(spark):
+    one = lambda x: spark.range(1).select(x.alias("x")).first()["x"]
+    lit = lambda x, t: F.lit(x).cast(t)
+    assert [one(listing.stated_premium(lit(t, "string"))) for t in ("A buyer's premium of 15% online, 18% on site. 29% off.", "Premium 45%", "29% off", None)] == [18.0, None, None, None]
+    assert [one(listing.size_conflict(lit(a, "string"), lit(b, "string"))) for a, b in (("Shirt size XL", "Size: M"), ("size XL", "Size: m, size xl"), ("size XL", ""), ("size s", None))] == [True, False, False, False]
+    assert [one(J.stored_amount(lit(t, "string"))) for t in ("1.5", " ", "n/a", None, "0")] == [1.5, None, None, None, 0.0]
+    assert [one(J.stored_quantity(lit(t, "string"))) for t in ("3", "0", "900", "x", None)] == [3, 1, 500, 1, 1]
+    assert [tuple(one(M.transaction(F.lit(f), F.lit(10.0), F.lit(-2.0)))) for f in "RAN"] == [("refund", -10.0, 2.0, -12.0), ("sale", 10.0, 2.0, 8.0), ("pending", 10.0, 2.0, 8.0)]
+    assert [tuple(one(match.overridden(lit(a, "string"), lit(b, "string"), 7))) for a, b in (("u", "f"), (None, "f"), (None, None))] == [("u", 100), ("f", 7), (None, None)]
+    shown = lambda bid, status, raw="": F.struct(F.lit(bid).alias("current_bid"), F.lit(status).alias("status"), F.lit(raw).alias("raw_text"))
+    record = lambda bid, status: F.struct(lit(bid, "double").alias("current_bid"), F.lit(status).alias("status"))
+    none = F.lit(None).cast("struct<current_bid:double,status:string>")
+    cases = [(shown(9.0, "Open"), record(0.0, "")), (shown(9.0, "Closed"), record(0.0, "Sold")), (shown(9.0, "", "Price Realized: $9"), record(None, "Sold")), (shown(9.0, "closed"), record(5.0, "")), (shown(0.0, "Closed"), record(None, "x")), (shown(9.0, "Open"), none)]
+    assert [tuple(one(L.merged_visible(a, b))) for a, b in cases] == [(0.0, "Open", True), (9.0, "Sold", True), (9.0, "Sold", True), (5.0, "closed", True), (None, "x", True), (9.0, "Open", False)]
