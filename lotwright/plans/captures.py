@@ -19,7 +19,7 @@ STORE = """CASE page_id % 8 WHEN 0 THEN 'broken {' WHEN 1 THEN '{"a":{"b":[{"por
   WHEN 4 THEN '{"a":{"a":{"a":{"a":{"a":{"a":{"a":{"portalChildren":[' || page_id || ']}}}}}}},"z":[[[{"portalChildren":[7]}]]]}' WHEN 5 THEN '{"portalChildren":{"portalChildren":[' || page_id || ']}}'
   WHEN 6 THEN '[{"k":[1,"2"],"portalChildren":[1,"2","x",null,' || page_id || ',[4]]},[{"portalChildren":[' || (page_id + 1) || ']}]]' ELSE '{"portalChildren":' || page_id || ',"z":{"portalchildren":"7,8, 9x,"}}' END"""
 SCRIPT = """'<script>lots.push(new Lot({id:' || page_id || ',title:\'\'Lamp\'\',bid:12.50}));lots.push(new Lot({id:9' || page_id || ',title:\'\'Desk\'\'}));</script><div data-lot-id="' || page_id || '"><h3>lamp</h3></div><div data-lot-id="m' || page_id || '"><h3>Rug</h3>Bid: $4</div>'"""
-FRAGMENT = r"""'{"ok":true,"email":"x@y.zz","html":"<div data-lot-id=\\"' || page_id || '\\"><h3>Vase</h3></div><div data-lot-id=\\"y' || page_id || '\\"><h3>Bowl &amp; dish</h3></div>"}'"""
+FRAGMENT = r"""'{"ok":true,"email":"x@y.zz","source":"' || coalesce(url, '') || '","html":"<div data-lot-id=\\"' || page_id || '\\"><h3>Vase</h3></div><div data-lot-id=\\"y' || page_id || '\\"><h3>Bowl &amp; dish</h3></div>"}'"""
 LISTING = "'<table><tr><th>Item</th><th>Status</th><th>Price</th></tr><tr><td>A' || page_id || '</td><td>Active</td><td>$5</td></tr><tr><td>B2</td><td>Ended</td><td>$1,20' || page_id % 10 || '</td></tr></table>'"
 LINKED = """'<script type="application/ld+json">{"@type":"Product","name":"a"}</script><script type="application/ld+json">{"@type":"Product","name":"b' || page_id || '","sku":"9"}</script>'"""
 
@@ -78,7 +78,7 @@ def q_state_normalize(rows: DataFrame) -> DataFrame:
 
 
 @landed("SELECT page_id AS id, CASE WHEN page_id % 6 = 0 THEN NULL WHEN page_id % 40 <= 30 THEN greatest(15.0, page_id % 40) ELSE 15.0 END::DOUBLE AS rate FROM pages", {
-    "id": "page_id", "t": "CASE WHEN page_id % 6 = 0 THEN 'Sales tax 8%. Premium 45%' ELSE 'A buyer''s premium of 15% online, ' || page_id % 40 || '% on site. 29% off today.' END"
+    "id": "page_id", "t": "coalesce(html, '') || '. ' || CASE WHEN page_id % 6 = 0 THEN 'Sales tax 8%. Premium 45%' ELSE 'A buyer''s premium of 15% online, ' || page_id % 40 || '% on site. 29% off today.' END"
 }, _texts)
 def q_max_rate(rows: DataFrame) -> DataFrame:
     """The buyer's premium that a text states."""
@@ -133,7 +133,7 @@ def _first_and_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @landed("SELECT page_id AS id, page_id % 3 <> page_id % 2 AND page_id % 5 <> 0 AS conflict FROM pages", {
-    "id": "page_id", "title": "'Shirt size ' || CASE page_id % 3 WHEN 0 THEN 'XL' WHEN 1 THEN 'M' ELSE 's' END", "description": "CASE WHEN page_id % 5 = 0 THEN 'cotton' ELSE 'Size: ' || CASE page_id % 2 WHEN 0 THEN 'xl' ELSE 'M' END || ', cotton' END"
+    "id": "page_id", "title": "'Shirt size ' || CASE page_id % 3 WHEN 0 THEN 'XL' WHEN 1 THEN 'M' ELSE 's' END", "description": "coalesce(html, '') || ' ' || CASE WHEN page_id % 5 = 0 THEN 'cotton' ELSE 'Size: ' || CASE page_id % 2 WHEN 0 THEN 'xl' ELSE 'M' END || ', cotton' END"
 }, _first_and_rest)
 def q_size_conflict(rows: DataFrame) -> DataFrame:
     """Whether title and description name different sizes."""

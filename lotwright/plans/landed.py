@@ -17,7 +17,7 @@ STATE = "CASE page_id % 3 WHEN 0 THEN '<p>Showing 1 to 24 of 1,' || (100 + page_
 _KEY = "lpad('' || page_id, 9, '0')"
 RESULTS = f"""'<div data-key="B' || {_KEY} || '"><h2>Acme TV</h2>Sponsored<span class="price">$10</span></div><div data-key="B' || {_KEY} || '"><h2>Acme TV</h2><span class="price">$30.50</span></div><div data-key="C' || {_KEY} || '"><h2>Acme TV renewed</h2>'
   || CASE WHEN page_id % 2 = 0 THEN '<span class="price">$7</span>' ELSE '' END || '</div><div data-key="bad"><h2>x</h2></div>'"""
-BODY = """'{"pageNumber":' || page_id || ',"totalCount":5,"noExactMatches":' || CASE WHEN page_id % 5 = 0 THEN 'true' ELSE 'false' END || CASE WHEN page_id % 4 = 1 THEN ',"filteredCount":' || page_id % 7 ELSE '' END
+BODY = """'{"source":"' || coalesce(url, '') || '","pageNumber":' || page_id || ',"totalCount":5,"noExactMatches":' || CASE WHEN page_id % 5 = 0 THEN 'true' ELSE 'false' END || CASE WHEN page_id % 4 = 1 THEN ',"filteredCount":' || page_id % 7 ELSE '' END
   || ',"results":[{"id":' || page_id * 2 || ',"title":"Lot 0","highBid":1.5},{"id":' || (page_id * 2 + 1) || ',"title":"Lot 1"}]}'"""
 
 

@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def landed(sql: str, columns: dict[str, str], whole: Query) -> Callable:
     """Registers a function of rows twice: over every page with what a site would have landed there, and as name_all over a table as it is.
 
-    ``columns`` are SQL expressions of page_id and html that Spark and DuckDB read alike; ``sql`` says what must be found in them.
+    ``columns`` are SQL expressions of page_id, url and html that Spark and DuckDB read alike; ``sql`` says what must be found in them.
     """
 
     def add(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
