@@ -258,6 +258,29 @@ def _accessory(lot: Column, offer: Column, exact: Column, branded: Column) -> Co
     )
 
 
+def _say(what: str, g: str, lot: Column, offer: Column) -> Column:
+    return F.concat(F.lit(f"{what}:{g}:"), F.array_join(F.array_except(lot[g], offer[g]), ","))
+
+
+def _contradicted(lot: Column, offer: Column) -> list[Column]:
+    return [F.when((F.size(F.array_except(lot[g], offer[g])) > 0) & (F.size(offer[g]) > 0), _say("attribute-conflict", g, lot, offer)) for g in GROUPS]
+
+
+def _lacking(lot: Column, offer: Column) -> list[Column]:
+    return [F.when((F.size(F.array_except(lot[g], offer[g])) > 0) & (F.size(offer[g]) == 0), _say("attribute-missing", g, lot, offer)) for g in CRITICAL]
+
+
+def compared(lot: Column, offer: Column) -> Column:
+    """struct(shared, evidence, conflicts, missing) of two structs that have an array for each of GROUPS.
+
+    ``shared`` counts values in both, those of DOUBLE twice; ``evidence`` all values of the lot. A group conflicts if the offer
+    states values of it and lacks one of the lot's; a group of CRITICAL is missing if the offer states none.
+    """
+    shared = sum((F.size(F.array_intersect(lot[g], offer[g])) * (2 if g in DOUBLE else 1) for g in GROUPS), F.lit(0))
+    evidence = sum((F.size(lot[g]) for g in GROUPS), F.lit(0))
+    return F.struct(shared.alias("shared"), evidence.alias("evidence"), F.array_compact(F.array(*_contradicted(lot, offer))).alias("conflicts"), F.array_compact(F.array(*_lacking(lot, offer))).alias("missing"))
+
+
 def evaluated(rows: DataFrame, lot: str, offer: str, out: str = "evaluation") -> DataFrame:
     """rows with struct(accepted, score, reasons, evidence, donor_score) of a candidate (``offered``) for a lot (``identified``).
 
@@ -271,7 +294,7 @@ def evaluated(rows: DataFrame, lot: str, offer: str, out: str = "evaluation") ->
     credible = (l["brand"] != "") & ~l["brand"].rlike(V.GENERIC_BRAND) & ~l["brand"].rlike(V.CAPACITY) & l["brand"].rlike("(?i)[a-z]")
     named = F.rlike(title, F.concat(F.lit(r"(?:^|[^a-z0-9])"), F.regexp_replace(literal(F.lower(l["brand"])), r"\s+", r"\\s+"), F.lit(r"(?:$|[^a-z0-9])")))
     branded = credible & F.when(l["family"].isNotNull(), o["family"].eqNullSafe(l["family"])).otherwise(named)
-    shared = sum((F.size(F.array_intersect(l[g], o[g])) * (2 if g in DOUBLE else 1) for g in GROUPS), F.lit(0))
+    shared = compared(l, o)["shared"]
     hits = F.size(F.array_intersect(l["telling"], o["words"]))
     rows = rows.withColumns(
         {
@@ -280,10 +303,7 @@ def evaluated(rows: DataFrame, lot: str, offer: str, out: str = "evaluation") ->
         }
     )
     exact, branded, same, shared, hits, total, share = (F.col(f"_i_{x}") for x in ("exact", "branded", "same", "shared", "hits", "total", "share"))
-    gone = lambda g: F.array_except(l[g], o[g])
-    say = lambda what, g: F.concat(F.lit(f"{what}:{g}:"), F.array_join(gone(g), ","))
-    conflicts = [F.when((F.size(gone(g)) > 0) & (F.size(o[g]) > 0), say("attribute-conflict", g)) for g in GROUPS]
-    lacks = [F.when((F.size(gone(g)) > 0) & (F.size(o[g]) == 0), say("attribute-missing", g)) for g in CRITICAL]
+    conflicts, lacks = _contradicted(l, o), _lacking(l, o)
     rivals = []
     for names in V.EXCLUSIVE:
         mine = F.get(F.filter(F.array(*map(F.lit, names)), lambda n: F.array_contains(l["productFamilies"], n)), F.lit(0))
