@@ -69,3 +69,23 @@ def q_canonical_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", F.lower(F.expr(_TITLE_SQL)).alias("t"))
     found = I.attributes_of(F.col("t"))
     return rows.select("p_partkey", *(F.array_join(found[g], ",").alias(g) for g in _SHOWN))
+
+
+#: Candidates for a lot of one model by key, with M for the model, and what each must give: reasons (none: accepted), score and donor score.
+_CANDIDATES = [
+    ("Acme M Cordless Drill 18V Black Kit", "", 15.0, 15.0), ("Acme M9 Cordless Drill 18V Black", "model-mismatch:M", 0.0, 0.0), ("Case for Acme M Cordless Drill", "accessory-or-component", 0.0, 0.0),
+    ("Acme M Cordless Drill 12V Black", "attribute-conflict:voltages:18v", 0.0, 0.0), ("Acme M Cordless Drill 18V White", "attribute-conflict:colors:black", 0.0, 0.0), ("M Drill", "", 6.6, 6.6), ("", "empty-title", 0.0, 0.0),
+]
+_OFFER = f"CASE p_partkey % {len(_CANDIDATES)} " + " ".join(f"WHEN {k} THEN replace('{t}', 'M', 'AX' || (1000 + p_partkey))" for k, (t, *_) in enumerate(_CANDIDATES)) + " END"
+
+
+def _given(column: int) -> str:
+    return f"CASE p_partkey % {len(_CANDIDATES)} " + " ".join(f"WHEN {k} THEN " + (f"replace('{c[column]}', 'M', 'AX' || (1000 + p_partkey))" if column == 1 else f"{c[column]}") for k, c in enumerate(_CANDIDATES)) + " END"
+
+
+@query(f"SELECT p_partkey, {_given(1)} = '' AS accepted, {_given(1)} AS reasons, CAST({_given(2)} AS DOUBLE) AS score, CAST({_given(3)} AS DOUBLE) AS donor_score FROM part")
+def q_candidate_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A candidate for every part as a lot of its own model: accepted, or why not."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr("'Acme AX' || (1000 + p_partkey) || ' Cordless Drill 18V Black'").alias("a"), F.expr(_OFFER).alias("b"))
+    rows = I.evaluated(I.offered(I.identified(rows, "a", out="lot"), "b"), "lot", "offer")
+    return rows.select("p_partkey", "evaluation.accepted", F.array_join("evaluation.reasons", ";").alias("reasons"), F.round("evaluation.score", 6).alias("score"), F.round("evaluation.donor_score", 6).alias("donor_score"))
