@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, extended, mix, steps, table, text_bytes, words, written
+from .common import LOWER, extended, mix, steps, table, text_bytes, tidied, words, written
 
 #: Bytes of words: digits, letters, and all bytes of characters outside ASCII.
 INSIDE = np.zeros(256, bool)
@@ -225,19 +225,19 @@ def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], nameless: boo
         return spark.sparkContext.broadcast(compiled([(r["i"], r["t"]) for r in own]))
 
     if blocks == 1:
-        return rows.mapInArrow(_whole(matchers(0), keep), schema)
+        return rows.mapInArrow(tidied(_whole(matchers(0), keep)), schema)
     rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "texts")
     found = None
     for k in range(blocks):
         shared = matchers(k)
-        part = written(rows.select("_row", "_text").mapInArrow(_part(shared), "_row long, _spans array<bigint>, _items array<string>"), "hits")
+        part = written(rows.select("_row", "_text").mapInArrow(tidied(_part(shared)), "_row long, _spans array<bigint>, _items array<string>"), "hits")
         shared.unpersist()
         found = part if found is None else found.union(part)
     found = found.groupBy("_row").agg(F.collect_list("_spans").alias("_spans"), F.collect_list("_items").alias("_items"))  # one row a block at most
     text = F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     n_words = F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
     joined = rows.select(*keep, "_row", n_words.alias("_words")).join(found, "_row", "left").select(*keep, "_words", "_spans", "_items")
-    return joined.mapInArrow(_joined(keep), schema)
+    return joined.mapInArrow(tidied(_joined(keep)), schema)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

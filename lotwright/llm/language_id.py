@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, extended, steps, table, text_bytes, uniform
+from .common import crc_bucket, extended, steps, table, text_bytes, tidied, uniform
 
 #: Bytes of a window, of the embedding of a byte, filter widths and filters of each width.
 WINDOW, EMBED, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 16
@@ -172,7 +172,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None, keep: list[str]) -> DataFr
                 [*(batch.column(c) for c in keep), pa.array([names[k] for k in label], pa.string()), pa.array(np.clip(score, 0, 1))], [*keep, "lang_pred", "score"]
             )
 
-    return taken.mapInArrow(work, schema)
+    return taken.mapInArrow(tidied(work), schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

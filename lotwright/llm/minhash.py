@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, spread, steps, table, text_bytes, words, written
+from .common import LOWER, mix, spread, steps, table, text_bytes, tidied, words, written
 from .graph import components
 
 #: Bytes of words: all but space and 0x09 to 0x0D.
@@ -131,7 +131,7 @@ def signed(docs: DataFrame, width: int, bands: int) -> DataFrame:
                     ["doc_id", "h", "n_shingles", "fp", "keys", "sig"],
                 )
 
-    return docs.mapInArrow(work, "doc_id long, h long, n_shingles long, fp binary, keys array<long>, sig binary")
+    return docs.mapInArrow(tidied(work), "doc_id long, h long, n_shingles long, fp binary, keys array<long>, sig binary")
 
 
 def _links(width: int, percent: int):
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, block: i
     pairs = written(pairs, "pairs")
     wanted = with_text(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct())
     left, right = wanted.toDF("a", "ta"), wanted.toDF("b", "tb")
-    links = written(pairs.join(left, "a").join(right, "b").mapInArrow(_links(width, percent), "a long, b long"), "links")
+    links = written(pairs.join(left, "a").join(right, "b").mapInArrow(tidied(_links(width, percent)), "a long, b long"), "links")
     groups = components(links).select(F.col("vertex").alias("c"), F.col("component").alias("g"))
     size, t = bands * ROWS, percent / 100
     need = max(ROWS, math.floor(size * (t - 5 * math.sqrt(t * (1 - t) / size))))

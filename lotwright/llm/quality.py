@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, extended, steps, table, text_bytes, uniform
+from .common import crc_bucket, extended, steps, table, text_bytes, tidied, uniform
 
 #: Bytes of a passage, hashed byte-pair features beside 256 byte features, units of the encoder and of the gate.
 PASSAGE, PAIRS, HIDDEN, GATE = 512, 256, 24, 16
@@ -161,7 +161,7 @@ def score(docs: DataFrame, net: GatedAttention | None, keep: list[str]) -> DataF
                 p[i:j] = net.forward(*passages(data, offsets[i : j + 1]))["p"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p), pa.array((p >= GOOD).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return taken.mapInArrow(work, schema)
+    return taken.mapInArrow(tidied(work), schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
