@@ -1,80 +1,94 @@
 """Token ids of whole texts by the tokenizers library, with distinct words encoded once per worker.
 
 ``word_bpe_49k.json`` drops white space and merges within the words of its own pattern only, so the ids of a
-text are the ids of its words end to end. A worker keeps the ids of recent words; words that it has not met
-go to the library's BPE model together. Texts with characters outside plain Latin text, or with what may be
-a special token, go to the full tokenizer (normaliser included) as they are.
+text are the ids of its words end to end. The words of plain Latin texts are cut by array operations and known by a 64-bit
+hash and their length; words that a worker has not met go to the library's BPE model together. Texts with other
+characters, or with what may be a special token, go to the full tokenizer (normaliser included) as they are.
 """
 
 from __future__ import annotations
 
-import gc
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import regex
 
-#: The word pattern of the vocabulary file (WORD), letters and numbers being those of Unicode.
+from .byte_tokens import CONTRACTIONS, KINDS, LETTER, NUMBER, OTHER, SPACE, ByteEncoder
+from .common import mix, powers
+
+#: The word pattern of the vocabulary file, letters and numbers being those of Unicode.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same words in lower-cased PLAIN text, by the ranges of its letters and numbers: twice as fast.
-PLAIN_LETTERS, PLAIN_NUMBERS = "a-zªµºß-öø-ſ", "0-9²³¹¼-¾"
-PLAIN_WORD = rf"[{PLAIN_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{PLAIN_NUMBERS}]|[^\s{PLAIN_LETTERS}{PLAIN_NUMBERS}]+"
 #: Characters whose normalisation is lower-casing alone: printable ASCII, space, line end, Latin-1 and Latin Extended-A but U+0130.
 PLAIN = r"[ -~\n¡-¬®-įı-ſ]*+"
 
 
-class Encoder:
-    """Encodes texts to bytes of little-endian unsigned 32-bit ids; holds about 2 * keep words."""
-
-    def __init__(self, path: str, keep: int = 250_000):
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.whole = Tokenizer.from_file(path)
-        self.pieces = Tokenizer(self.whole.model)
-        self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+def word_starts(chars: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Whether a word begins at each character of lower-cased plain texts: code points end to end, and where each text begins."""
+    kind = KINDS[chars]
+    head = np.zeros(len(chars) + 1, bool)
+    head[bounds] = True
+    starts = head[:-1] | (kind == NUMBER)
+    starts[1:] |= kind[1:] != kind[:-1]
+    starts &= kind != SPACE
+    at = np.flatnonzero((chars[:-1] == 39) & (kind[1:] == LETTER))
+    for p in at[head[at] | (kind[np.maximum(at - 1, 0)] != OTHER)]:
+        for tail in CONTRACTIONS:
+            end = p + 1 + len(tail)
+            if end <= len(chars) and not head[p + 1 : end].any() and all(chars[p + 1 + k] == ord(x) for k, x in enumerate(tail)):
+                starts[p + 1] = False
+                if end < len(chars) and kind[end] != SPACE:
+                    starts[end] = True
+                break
+    return starts
+
+
+class Encoder(ByteEncoder):
+    """Encodes texts to bytes of little-endian unsigned 32-bit ids; holds about ``keep`` words: hashes in order, and where their ids are."""
+
+    def __init__(self, path: str, keep: int = 1_000_000):
+        super().__init__(path, keep)
         vocabulary = self.whole.get_vocab()
         self.vocabulary_size = max(vocabulary.values()) + 1
         self.last = np.zeros(self.vocabulary_size, bool)  # ids that end a word
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in printable]
-        self.letters = [""] * 256  # a byte's character in a byte-level vocabulary
-        for b in printable:
-            self.letters[b] = chr(b)
-        for i, b in enumerate(others):
-            self.letters[b] = chr(256 + i)
-        self.word, self.plain, self.keep = re.compile(PLAIN_WORD), regex.compile(PLAIN), keep
-        self.words: list[dict[str, bytes]] = [{}, {}]
-
-    def _encode_words(self, missing: list[str]) -> dict[str, bytes]:
+        self.plain = regex.compile(PLAIN)
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words end to end, and how many each has."""
         letters = self.letters
-        spelled = [x if x.isascii() else "".join([letters[b] for b in x.encode()]) for x in missing]
-        ids = np.array(self.pieces.encode_batch_fast([" ".join(spelled)], add_special_tokens=False)[0].ids, "<u4")
+        spelled = [x if x.isascii() else "".join([letters[b] for b in x.encode()]) for x in words]
+        ids = np.array(self.pieces.encode_batch_fast([" ".join(spelled)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(missing):
+        if len(ends) != len(words):
             raise ValueError("the vocabulary has words without an end token")
-        raw, cuts = ids.tobytes(), (ends * 4).tolist()
-        return dict(zip(missing, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]))
+        return ids, np.diff(ends, prepend=0)
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of plain texts."""
+        joined = "".join(texts).lower()
+        chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        bounds = np.append(0, np.cumsum([len(x) for x in texts]))
+        starts = word_starts(chars, bounds[bounds < len(chars)])
+        first = np.flatnonzero(starts)
+        if not len(first):
+            return [np.empty(0, np.uint32) for _ in texts]
+        solid = KINDS[chars] != SPACE  # words hold no space, so their characters are neighbours without it
+        bare = chars[solid]
+        begin = np.flatnonzero(starts[solid])
+        lengths = np.diff(begin, append=len(bare))
+        within = np.arange(len(bare)) - np.repeat(begin, lengths)
+        hashed = np.add.reduceat((bare.astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[within], begin)
+        hashed = mix(hashed ^ (lengths.astype(np.uint64) << np.uint64(48)))
+        distinct, example, number = np.unique(hashed, return_index=True, return_inverse=True)
+        at = self._known(distinct, lambda new: [joined[a : a + n] for a, n in zip(first[example[new]].tolist(), lengths[example[new]].tolist())])
+        start, size = self.first[at][number], self.size[at][number]
+        upto = np.append(0, np.cumsum(size))
+        ids = self.pool[np.arange(upto[-1]) + np.repeat(start - upto[:-1], size)]
+        cuts = upto[np.searchsorted(first, bounds)]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain, find = self.plain.fullmatch, self.word.findall
-        split = [find(x.lower()) if plain(x) and "<|" not in x else None for x in texts]
-        new, old = self.words
-        absent = set().union(*[x for x in split if x]).difference(new)
-        kept = [x for x in absent if x in old]
-        for x in kept:
-            new[x] = old[x]
-        absent.difference_update(kept)
-        if absent:
-            new.update(self._encode_words(list(absent)))
-        out = [self._encode_odd(x) if parts is None else b"".join(map(new.__getitem__, parts)) for x, parts in zip(texts, split)]
-        if len(new) > self.keep:
-            self.words = [{}, new]
-        return out
-
-    def _encode_odd(self, text: str) -> bytes:
-        return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        return [x.astype("<u4", copy=False).tobytes() for x in super().encode(texts)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -90,19 +104,13 @@ def encoder(path: str) -> Encoder:
 def encoded(path: str, texts: Iterable[str | None], step: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
     """(position, ids as bytes) of every text; null is empty. About ``step`` characters are encoded at once."""
     own = encoder(path)
-    was = gc.isenabled()
-    gc.disable()  # the caches hold strings only; walking them again and again is wasted
-    try:
-        held: list[str] = []
-        size = first = at = 0
-        for at, text in enumerate(texts, 1):
-            held.append(text or "")
-            size += len(held[-1])
-            if size >= step:
-                yield from enumerate(own.encode(held), first)
-                held, size, first = [], 0, at
-        if held:
+    held: list[str] = []
+    size = first = at = 0
+    for at, text in enumerate(texts, 1):
+        held.append(text or "")
+        size += len(held[-1])
+        if size >= step:
             yield from enumerate(own.encode(held), first)
-    finally:
-        if was:
-            gc.enable()
+            held, size, first = [], 0, at
+    if held:
+        yield from enumerate(own.encode(held), first)

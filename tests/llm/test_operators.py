@@ -180,14 +180,19 @@ def test_encoder_equals_the_library():
             assert np.frombuffer(raw, "<u4").tolist() == own.whole.encode(text, add_special_tokens=False).ids
 
 
-def test_the_fast_pattern_equals_that_of_the_vocabulary():
+def test_words_are_those_of_the_vocabulary():
     import regex
 
-    word, fast = regex.compile(tokens.WORD), re.compile(tokens.PLAIN_WORD)
+    word = regex.compile(tokens.WORD)
     signs = "".join(c for c in map(chr, range(0x180)) if regex.fullmatch(tokens.PLAIN, c)).lower()
     random.seed(12)
-    texts = [*signs, *("".join(random.choices(signs + "'stvrelmd  ab", k=40)) for _ in range(2000))]
-    assert all(word.findall(x) == fast.findall(x) for x in texts)
+    texts = [*signs, "", "'", "'re", "don'tis '", *("".join(random.choices(signs + "'stvrelmd  ab" * 9, k=40)) for _ in range(2000)), *("".join(random.choices("''strelv \n!1", k=12)) for _ in range(20000))]
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    bounds = np.cumsum([0, *map(len, texts)])
+    want = [a + m.start() for a, x in zip(bounds.tolist(), texts) for m in word.finditer(x)]
+    assert np.flatnonzero(tokens.word_starts(chars, bounds[bounds < len(chars)])).tolist() == want
+    own, texts = tokens.Encoder(packing.vocabulary_path(), keep=2000), random.sample(texts, 3000)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [e.ids for e in own.whole.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_packing(spark):
