@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, small_batches, table, written
+from .common import shared_path, small_batches, table, tidied, written
 from .tokens import encoded, encoder
 
 MAGIC = b"LWTOKEN1"
@@ -193,7 +193,7 @@ def write(docs: DataFrame, uri: str, vocabulary: str, end_id: int) -> DataFrame:
     rows = rows.withColumns({"h": F.xxhash64("text"), "m": F.monotonically_increasing_id()})  # ties are spread, too
     rows = rows.repartitionByRange(shards, "doc_id", "h", "m").sortWithinPartitions("doc_id", "h", "m").select("doc_id", "text")
     with small_batches(spark):
-        return written(rows.mapInArrow(work, "part int, path string, documents long, ids long"), "manifest")
+        return written(rows.mapInArrow(tidied(work), "part int, path string, documents long, ids long"), "manifest")
 
 
 def read(uri: str, shards: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def read(uri: str, shards: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(bounds[:-1] + first), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                         i = j
 
-    return rows.repartition(max(1, shards.count())).mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.repartition(max(1, shards.count())).mapInArrow(tidied(work), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
