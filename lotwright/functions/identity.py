@@ -6,12 +6,14 @@ results as columns (names begin with ``_i_``), so that no expression is repeated
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import values as V
 from .listing import first_present, has, labelled_lines, normalised, research_query, trimmed, without_prefix
-from .text import B, ascii_words, compact_tokens, identity_tokens
+from .text import B, ascii_words, compact_tokens, fits, identity_tokens, may_fit
 
 _N = r"\b(\d+(?:\.\d+)?)"
 # What attributes look like in titles (pattern on the lower-cased title, canonical form of a match).
@@ -60,6 +62,11 @@ def _empty() -> Column:
     return F.array().cast("array<string>")
 
 
+def _all(text: Column, pattern: str) -> Column:
+    """Every match of a pattern in a lower-cased text."""
+    return F.when(may_fit(text, pattern), F.regexp_extract_all(text, F.lit(ascii_words(pattern)), F.lit(0))).when(text.isNotNull(), _empty())
+
+
 def _form(pattern: str, form: str):
     """The canonical form of a match: a constant, or its groups put into a template."""
     bare = pattern.replace(r"\b", "").replace(r"(?=\s|$|[),/])", "")  # the match stands alone: what must be around it is not there
@@ -67,7 +74,7 @@ def _form(pattern: str, form: str):
 
 
 def _named(text: Column, patterns: dict[str, str]) -> Column:
-    return F.array_compact(F.array(*(F.when(text.rlike(ascii_words(p)), F.lit(n)) for n, p in patterns.items())))
+    return F.array_compact(F.array(*(F.when(fits(text, p), F.lit(n)) for n, p in patterns.items())))
 
 
 def _series(text: Column) -> Column:
@@ -86,7 +93,8 @@ def _series(text: Column) -> Column:
         parts = F.array_compact(F.array(family, w["t"], F.when(one, w["a1"]), F.when(two, w["a2"]), F.when(three, w["a3"])))
         return F.when(number & ~other & family.isin(V.SERIES), F.array_join(parts, ":"))
 
-    return F.array_sort(F.array_distinct(F.array_compact(F.transform(around, member))))
+    named = reduce(Column.__or__, (F.contains(text, F.lit(s)) for s in V.SERIES))
+    return F.when(named, F.array_sort(F.array_distinct(F.array_compact(F.transform(around, member))))).when(text.isNotNull(), _empty())
 
 
 def attributes(title: Column) -> dict[str, Column]:
@@ -98,15 +106,16 @@ def attributes_of(text: Column) -> dict[str, Column]:
     """The same for text that is lower-cased and in plain signs: a column, so that this is done once and not for each pattern."""
     out: dict[str, Column] = {}
     for name, rules in RULES.items():
-        found = [F.transform(F.regexp_extract_all(text, F.lit(ascii_words(p)), F.lit(0)), _form(p, form)) for p, form in rules]
-        out[name] = F.array_sort(F.array_distinct(F.concat(*found)))
+        found = [F.transform(_all(text, p), _form(p, form)) for p, form in rules]
+        some = reduce(Column.__or__, (may_fit(text, p) for p, _ in rules))
+        out[name] = F.when(some, F.array_sort(F.array_distinct(F.concat(*found)))).when(text.isNotNull(), _empty())
     series = _series(text)
     out["seriesSignatures"] = F.when(F.size(out["platformVariants"]) > 0, _empty()).otherwise(series)
     families = _named(text, V.FAMILIES)
-    ball = text.rlike(ascii_words(r"\bballs?\b")) & ~F.arrays_overlap(families, F.array(*map(F.lit, V.EXCLUSIVE[0])))
+    ball = fits(text, r"\bballs?\b") & ~F.arrays_overlap(families, F.array(*map(F.lit, V.EXCLUSIVE[0])))
     out["productFamilies"] = F.array_sort(F.when(ball, F.array_append(families, F.lit("other-ball"))).otherwise(families))
     units = {"kb": 0, "mb": 1, "gb": 2, "tb": 3}
-    sizes = F.regexp_extract_all(text, F.lit(ascii_words(_N + r"[\s-]*(?:tb|gb|mb|kb)\b")), F.lit(0))
+    sizes = _all(text, _N + r"[\s-]*(?:tb|gb|mb|kb)\b")
     weighed = F.transform(sizes, lambda m: F.struct((F.regexp_extract(m, r"(\d+(?:\.\d+)?)", 1).cast("double") * sum((F.when(F.right(m, F.lit(2)) == u, 1024.0**k).otherwise(0.0) for u, k in units.items()), F.lit(0.0))).alias("n"), F.regexp_replace(m, r"[\s-]", "").alias("v")))
     out["capacities"] = F.when(F.size(weighed) > 0, F.array(F.array_max(weighed)["v"])).otherwise(_empty())  # the largest alone
     colors = F.array_distinct(F.transform(_named(text, {c: rf"\b{c}\b" for c in V.COLORS}), lambda c: F.when(c == "gray", "grey").otherwise(c)))
@@ -120,7 +129,7 @@ def kind(title: Column) -> Column:
 
 
 def kind_of(text: Column) -> Column:
-    return F.coalesce(*(F.when(text.rlike(ascii_words(p)), k) for k, p in V.KINDS.items()))
+    return F.coalesce(*(F.when(fits(text, p), k) for k, p in V.KINDS.items()))
 
 
 def kind_position(title: Column, of: Column) -> Column:
@@ -134,7 +143,7 @@ def brand_family(title: Column) -> Column:
 
 
 def family_of(text: Column) -> Column:
-    return F.coalesce(*(F.when(text.rlike(ascii_words(p)), k) for k, p in V.BRANDS.items()))
+    return F.coalesce(*(F.when(fits(text, p), k) for k, p in V.BRANDS.items()))
 
 
 def looks_like_model(x: Column) -> Column:

@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import values as V
-from .text import ascii_words
+from .text import ascii_words, may_fit
 
 
 def has(x: Column, pattern: str) -> Column:
     """Whether the pattern occurs in x, whatever the case; false for null."""
-    return F.coalesce(x.rlike("(?i)" + ascii_words(pattern)), F.lit(False))
+    return F.coalesce(may_fit(F.lower(x), pattern) & x.rlike("(?i)" + ascii_words(pattern)), F.lit(False))
 
 
 def normalised(x: Column) -> Column:
@@ -85,13 +85,14 @@ def labelled_lines(text: Column) -> tuple[Column, Column]:
     A question without an answer is one of the other lines.
     """
     lines = F.split(normalised(text), "\n")
-    name = lambda v: trimmed(F.regexp_extract(v, LINE, 1))
-    answer = lambda v: trimmed(F.regexp_extract(v, LINE, 3))
-    says = lambda v: (name(v) != "") & ((F.regexp_extract(v, LINE, 2) != "?") | (answer(v) != ""))
-    said = F.array_sort(F.transform(F.filter(F.transform(lines, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda e: says(e["v"])), lambda e: F.struct(collapsed(F.lower(name(e["v"]))).alias("key"), e["i"].alias("at"), answer(e["v"]).alias("value"))))
+    signed = lambda v: F.contains(v, F.lit(":")) | F.contains(v, F.lit("?"))  # noqa: E731  no other line can be a labelled one
+    cut = lambda v, i: F.struct(v.alias("v"), i.alias("at"), *(F.when(signed(v), trimmed(F.regexp_extract(v, LINE, k))).otherwise("").alias(n) for k, n in ((1, "name"), (2, "sign"), (3, "answer"))))
+    parsed = F.transform(lines, cut)  # every line is cut once
+    says = lambda e: (e["name"] != "") & ((e["sign"] != "?") | (e["answer"] != ""))
+    said = F.array_sort(F.transform(F.filter(parsed, says), lambda e: F.struct(collapsed(F.lower(e["name"])).alias("key"), e["at"].alias("at"), e["answer"].alias("value"))))
     later = F.concat(F.transform(F.slice(said, 2, F.greatest(F.size(said), F.lit(1))), lambda e: e["key"]), F.array(F.lit(None).cast("string")))
     last = F.filter(F.zip_with(said, later, lambda e, k: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.coalesce(k != e["key"], F.lit(True)).alias("last"))), lambda e: e["key"].isNotNull() & e["last"])
-    free = F.array_join(F.filter(lines, lambda v: (trimmed(v) != "") & ~says(v)), "\n")
+    free = F.array_join(F.transform(F.filter(parsed, lambda e: (trimmed(e["v"]) != "") & ~says(e)), lambda e: e["v"]), "\n")
     return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))), trimmed(free)
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import cache, reduce
+from re import _constants as C
+from re import _parser
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +18,67 @@ def ascii_words(pattern: str) -> str:
     return pattern.replace(r"\b", B)
 
 
+def _best(sets: list[frozenset[str]]) -> list[frozenset[str]]:
+    """The set whose shortest literal is longest, of these the smallest."""
+    return sorted(sets, key=lambda s: (-min(map(len, s)), len(s)))[:1]
+
+
+def _lead(parsed) -> str:
+    """The literal that a pattern begins with."""
+    lead = ""
+    for op, arg in parsed:
+        if op is not C.LITERAL:
+            break
+        lead += chr(arg).lower()
+    return lead
+
+
+def _needed(parsed) -> list[frozenset[str]]:
+    found, run = [], ""
+    for op, arg in [*parsed, (None, None)]:
+        if op is C.LITERAL:
+            run += chr(arg).lower()
+            continue
+        if run:  # alternatives with a common beginning are parsed as that and their rests
+            found.append(frozenset(run + _lead(way) for way in arg[1]) if op is C.BRANCH else frozenset([run]))
+        run = ""
+        if op is C.SUBPATTERN:
+            found += _needed(arg[3])
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0] > 0:
+            found += _needed(arg[2])
+        elif op is C.BRANCH:
+            ways = [_needed(way) for way in arg[1]]
+            found += [frozenset().union(*(w[0] for w in ways))] if all(ways) else []
+        elif op is C.IN and all(o is C.LITERAL for o, _ in arg):
+            found.append(frozenset(chr(a).lower() for _, a in arg))
+    return _best(found)
+
+
+@cache
+def needed(pattern: str) -> tuple[str, ...]:
+    """Lower-case literals of which every text that the pattern fits holds one, whatever the case; none if there are no such literals."""
+    return tuple(sorted(*_needed(_parser.parse(pattern)))) if _needed(_parser.parse(pattern)) else ()
+
+
+@cache
+def _loose(pattern: str) -> str | None:
+    """For patterns that begin with a number: what fits wherever they do, and is tried at digits only."""
+    return pattern.replace(r"\b", "") if pattern.startswith(r"\b(\d") and "(?!" not in pattern and "(?<" not in pattern else None
+
+
+def may_fit(lowered: Column, pattern: str) -> Column:
+    """Whether the pattern may fit a lower-cased text, by a cheap test: never false where it does fit."""
+    literals = needed(pattern)
+    test = reduce(Column.__or__, (F.contains(lowered, F.lit(x)) for x in literals)) if literals else F.lit(True)
+    loose = _loose(pattern)
+    return test & lowered.rlike(loose) if loose and min(map(len, literals), default=0) < 3 else test
+
+
+def fits(lowered: Column, pattern: str) -> Column:
+    """Whether the pattern occurs in a lower-cased text, with each \\b on ASCII words."""
+    return may_fit(lowered, pattern) & lowered.rlike(ascii_words(pattern))
+
+
 def squeezed(x: Column) -> Column:
     """White space, no-break spaces included, to single spaces, and trimmed."""
     return F.trim(F.regexp_replace(x, r"[\s\x{00A0}]+", " "))
@@ -66,9 +131,9 @@ def visible_text(x: Column) -> Column:
 
 def first_fit(x: Column, patterns: list[tuple[str, str]]) -> Column:
     """The name of the first pattern that occurs in x, whatever the case; null if none does."""
-    return F.coalesce(*(F.when(x.rlike("(?i)" + ascii_words(p)), name) for name, p in patterns))
+    return F.coalesce(*(F.when(may_fit(F.lower(x), p) & x.rlike("(?i)" + ascii_words(p)), name) for name, p in patterns))
 
 
 def all_fits(x: Column, patterns: dict[str, str]) -> Column:
     """The names of all patterns that occur in x, in order."""
-    return F.array_compact(F.array(*(F.when(x.rlike("(?i)" + ascii_words(p)), name) for name, p in patterns.items())))
+    return F.array_compact(F.array(*(F.when(may_fit(F.lower(x), p) & x.rlike("(?i)" + ascii_words(p)), name) for name, p in patterns.items())))

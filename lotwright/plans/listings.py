@@ -12,7 +12,7 @@ from lotwright.functions import listing as L
 from lotwright.functions import values as V
 from lotwright.operators import match
 
-from .registry import query, table
+from .registry import query, spread, table
 
 TITLES = [
     "Lot 41 | Apple iPhone 15 Pro Max 256GB Phone", "Corsair Vengeance DDR5 32GB 6000MHz Memory Kit", "Samsung 27 inch 1440p 144Hz Monitor", "AV - PLAYSTATION 5 CONSOLE", "DeWalt 20V 5Ah Cordless Impact Driver",
@@ -31,12 +31,14 @@ DESCRIPTIONS = [
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, title, description: every part under one of the titles, and one of the descriptions."""
     pick = lambda texts: F.element_at(F.array(*map(F.lit, texts)), (F.col("p_partkey") % len(texts) + 1).cast("int"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(pick(TITLES), F.lit(" "), F.col("p_name")).alias("title"), pick(DESCRIPTIONS).alias("description"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
+    return parts.select(F.col("p_partkey").alias("id"), F.concat(pick(TITLES), F.lit(" "), F.col("p_name")).alias("title"), pick(DESCRIPTIONS).alias("description"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a listing: its text is title and description."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"), F.col("text").alias("description"))
+    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return texts.select(F.col("doc_id").alias("id"), F.col("text").alias("title"), F.col("text").alias("description"))
 
 
 def _sql_text(x: str) -> str:
