@@ -106,14 +106,16 @@ def q_source_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, top AS expected, items, top - len(ids) AS missing, items = top AND len(ids) = top AS complete, NOT (items = top AND len(ids) = top) AS partial
+SELECT l_orderkey, top AS expected, items, list_filter(range(1, top + 1), lambda x: NOT list_contains(ids, x)) AS missing, items = top AND len(ids) = top AS complete, NOT (items = top AND len(ids) = top) AS partial
 FROM (SELECT l_orderkey, max(CAST(l_linenumber AS BIGINT)) AS top, count(*) AS items, list_distinct(list(CAST(l_linenumber AS BIGINT))) AS ids FROM lineitem GROUP BY 1)
 """)
 def q_partial_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as captures that should hold every line number up to their highest."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("id"))
     expected = items.groupBy("l_orderkey").agg(F.max("id").alias("top")).select("l_orderkey", F.explode(F.sequence(F.lit(1).cast("long"), F.col("top"))).alias("id"))
-    return stores.partial_export(expected, items, "l_orderkey")
+    gone = stores.missing_ids(expected, items, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("id")).alias("missing"))
+    rows = stores.partial_export(expected, items, "l_orderkey").drop("missing").join(gone, "l_orderkey", "left")
+    return rows.select("l_orderkey", "expected", "items", F.coalesce("missing", F.array().cast("array<bigint>")).alias("missing"), "complete", "partial")
 
 
 @query("""
