@@ -27,7 +27,7 @@ def normalised(x: Column) -> Column:
 
 
 def collapsed(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    return F.trim(F.regexp_replace(x, r"\s(?:\s+|(?<! ))", " "))  # single spaces stay as they are
 
 
 def without_prefix(x: Column) -> Column:

@@ -55,28 +55,38 @@ def categories(lot: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.transform(every, each)), lambda c: c != ""))
 
 
-def normalised_lot(lot: Column, page_kind: Column, source_url: Column, auction_id: Column) -> Column:
+def lot_number(lot: Column) -> Column:
+    """The id of a RAW_LOT record in one line; empty without one."""
+    return words(F.coalesce(lot["eventItemId"], lot["id"], lot["itemId"]))
+
+
+def markup_of(lot: Column) -> Column:
+    return trimmed(F.coalesce(lot["description"], F.lit("")))
+
+
+def normalised_lot(lot: Column, page_kind: Column, source_url: Column, auction_id: Column, text: Column | None = None) -> Column:
     """struct of the flat lot (31 fields) for a RAW_LOT record read on a page; null without an id.
 
     The current bid is the realized price if that is above 0, else the high bid, else the price. Where a record has no
-    address the lot's page on the source's site is given.
+    address the lot's page on the source's site is given. ``text`` is ``description_text(markup_of(lot))`` as a column, where
+    rows have it, so that it is not read again for each field.
     """
     state, sale = lot["lotState"], lot["auction"]
     first = lambda *xs: F.coalesce(*xs)
-    number = words(first(lot["eventItemId"], lot["id"], lot["itemId"]))
-    lot_number = words(first(lot["lotNumber"], lot["saleOrder"], number))
-    title = words(first(lot["lead"], lot["title"], lot["name"], F.concat(F.lit("Lot "), lot_number)))
+    number = lot_number(lot)
+    place = words(first(lot["lotNumber"], lot["saleOrder"], number))
+    title = words(first(lot["lead"], lot["title"], lot["name"], F.concat(F.lit("Lot "), place)))
     lead = F.coalesce(F.nullif(words(lot["lead"]), F.lit("")), title)
-    markup = trimmed(F.coalesce(lot["description"], F.lit("")))
-    description, images, named = description_text(markup), pictures(lot), categories(lot)
+    markup = markup_of(lot)
+    description, images, named = description_text(markup) if text is None else text, pictures(lot), categories(lot)
     realized = _finite(state["priceRealized"])
     bid = F.when(realized > 0, realized).otherwise(F.coalesce(_finite(state["highBid"]), _finite(F.coalesce(state["price"], lot["bidAmount"]))))
     page = words(first(state["productUrl"], lot["url"], lot["productUrl"]))
     origin = F.regexp_extract(source_url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", 0)
     some = lambda sep, *xs: F.array_join(F.filter(F.array(*(words(x) for x in xs)), lambda x: x != ""), sep)
-    raw = F.array_join(F.filter(F.array(lot_number, title, description, words(state["status"])), lambda x: x != ""), " | ")
+    raw = F.array_join(F.filter(F.array(place, title, description, words(state["status"])), lambda x: x != ""), " | ")
     fields = {
-        "source": F.lit("api"), "page_kind": page_kind, "id": number, "event_item_id": number, "item_id": words(lot["itemId"]), "lot": lot_number, "title": title, "lead": lead, "estimate": words(lot["estimate"]),
+        "source": F.lit("api"), "page_kind": page_kind, "id": number, "event_item_id": number, "item_id": words(lot["itemId"]), "lot": place, "title": title, "lead": lead, "estimate": words(lot["estimate"]),
         "url": F.when(page != "", resolved(page, source_url)).otherwise(F.concat(origin, F.lit("/lot/"), number)), "image": F.coalesce(F.get(images, F.lit(0)), F.lit("")), "images": images,
         "description": description, "description_html": markup, "category": F.coalesce(F.get(named, F.lit(0)), F.lit("")), "categories": named, "current_bid": bid, "next_bid": _finite(F.coalesce(state["minBid"], state["nextBid"])),
         "bid_count": _finite(F.coalesce(state["bidCount"], lot["bidCount"])), "status": words(first(state["status"], state["productStatus"], state["priceRealizedMessage"])), "time_left": words(first(state["timeLeft"], state["timeLeftTitle"], lot["timeLeft"])),

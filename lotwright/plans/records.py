@@ -11,7 +11,7 @@ from lotwright.functions import urls as U
 from lotwright.functions import values as V
 from lotwright.operators import keyed, sequences
 
-from .registry import query, table
+from .registry import query, spread, table
 
 #: A raw record of every part, as the JSON text that a lot scan lands; every fiftieth has no id.
 RAW = """to_json(named_struct(
@@ -37,8 +37,9 @@ SELECT 'api' AS source, 'catalog' AS page_kind, id, id AS event_item_id, '' AS i
 FROM r
 """)
 def q_lot_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "part").select(F.from_json(F.expr(RAW), L.RAW_LOT).alias("raw"))
-    lots = raw.select(L.normalised_lot(F.col("raw"), F.lit("catalog"), F.lit("https://site.example/catalog/7/all?q=1"), F.lit("7")).alias("lot")).where("lot IS NOT NULL").select("lot.*")
+    raw = spread(table(spark, sf_dir, "part"), "p_partkey").select(F.from_json(F.expr(RAW), L.RAW_LOT).alias("raw")).where(L.lot_number(F.col("raw")) != "")
+    raw = raw.select("raw", L.description_text(L.markup_of(F.col("raw"))).alias("text"))
+    lots = raw.select(L.normalised_lot(F.col("raw"), F.lit("catalog"), F.lit("https://site.example/catalog/7/all?q=1"), F.lit("7"), F.col("text")).alias("lot")).select("lot.*")
     fields = F.col("description_fields")
     return lots.select("*", fields["Condition"].alias("condition"), fields["Make"].alias("make"), "audit.*").drop("description_fields", "audit")
 
