@@ -29,13 +29,15 @@ def takes_part(offer: Column, stated_retail: Column) -> Column:
 def sanitised(offers: Column) -> Column:
     """The usable ones of the first CANDIDATES offers (key, title, match_text, price, used, sponsored): keys of ten signs, cut texts, prices above 0 or none."""
 
-    def clean(o: Column) -> Column:
-        title = F.left(words(o["title"]), F.lit(TITLE))
-        text = F.left(words(F.coalesce(F.nullif(o["match_text"], F.lit("")), title)), F.lit(MATCH_TEXT))
-        return F.struct(F.upper(F.coalesce(o["key"], F.lit(""))).alias("key"), title.alias("title"), text.alias("match_text"), o["price"].alias("price"), F.coalesce(o["used"], F.lit(False)).alias("used"), F.coalesce(o["sponsored"], F.lit(False)).alias("sponsored"))
+    def cut(o: Column) -> Column:
+        return F.struct(F.left(words(o["title"]), F.lit(TITLE)).alias("title"), F.nullif(o["match_text"], F.lit("")).alias("match_text"), o["key"].alias("key"), o["price"].alias("price"), o["used"].alias("used"), o["sponsored"].alias("sponsored"))
+
+    def clean(o: Column) -> Column:  # a title is read once; in one line already, as a match text it only loses what a cut left at its end
+        text = F.left(F.when(o["match_text"].isNull(), F.trim(o["title"])).otherwise(words(o["match_text"])), F.lit(MATCH_TEXT))
+        return F.struct(F.upper(F.coalesce(o["key"], F.lit(""))).alias("key"), o["title"].alias("title"), text.alias("match_text"), o["price"].alias("price"), F.coalesce(o["used"], F.lit(False)).alias("used"), F.coalesce(o["sponsored"], F.lit(False)).alias("sponsored"))
 
     usable = lambda o: o["key"].rlike("^[A-Z0-9]{10}$") & (o["title"] != "") & (o["price"].isNull() | (finite(o["price"]) & (o["price"] > 0)))
-    return F.filter(F.transform(F.slice(offers, 1, CANDIDATES), clean), usable)
+    return F.filter(F.transform(F.transform(F.slice(offers, 1, CANDIDATES), cut), clean), usable)
 
 
 def revalidated(rows: DataFrame, identity: str, out: str = "checked") -> DataFrame:

@@ -14,7 +14,7 @@ from lotwright.operators import sequences
 from lotwright.sources import detail
 
 from .listings import PARTS_SQL, flags, listings, plain
-from .registry import query, table
+from .registry import query, spread, table
 
 
 @query(f"""WITH {PARTS_SQL},
@@ -54,7 +54,7 @@ def q_candidate_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = lambda k: F.when(k % 5 == 1, F.lit(None)).when(k % 5 == 2, F.lit(-1.0)).otherwise(F.col("p_retailprice"))
     none, no = F.lit(None).cast("string"), F.lit(False)
     offers = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.struct(key(k).alias("key"), F.repeat(F.concat("p_name", F.lit(" ")), 20 + k).alias("title"), none.alias("match_text"), price(k).cast("double").alias("price"), no.alias("used"), no.alias("sponsored")))
-    rows = table(spark, sf_dir, "part").select("p_partkey", R.sanitised(offers).alias("o"))
+    rows = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", R.sanitised(offers).alias("o"))
     chars = F.aggregate("o", F.lit(0).cast("long"), lambda a, o: a + F.length(o["title"]))
     return rows.select("p_partkey", F.size("o").cast("long").alias("n"), chars.alias("chars"), F.size(F.filter("o", lambda o: o["price"].isNull())).cast("long").alias("priceless"))
 
