@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lotwright.functions import identity as I
 
-from .registry import query, table
+from .registry import query, spread, table
 
 
 @query("SELECT p_partkey, contains(regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g'), lower(split_part(p_name, ' ', 1))) AS joined FROM part")
@@ -66,7 +66,7 @@ def _outcome_sql(group: str) -> str:
 @query(f"SELECT p_partkey, {', '.join(f'{_outcome_sql(g)} AS {g}' for g in _SHOWN)} FROM part")
 def q_canonical_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributes of every part's title with a product of known attributes behind it, in their canonical forms."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.lower(F.expr(_TITLE_SQL)).alias("t"))
+    rows = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.lower(F.expr(_TITLE_SQL)).alias("t"))
     found = I.attributes_of(F.col("t"))
     return rows.select("p_partkey", *(F.array_join(found[g], ",").alias(g) for g in _SHOWN))
 
@@ -86,6 +86,6 @@ def _given(column: int) -> str:
 @query(f"SELECT p_partkey, {_given(1)} = '' AS accepted, {_given(1)} AS reasons, CAST({_given(2)} AS DOUBLE) AS score, CAST({_given(3)} AS DOUBLE) AS donor_score FROM part")
 def q_candidate_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A candidate for every part as a lot of its own model: accepted, or why not."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr("'Acme AX' || (1000 + p_partkey) || ' Cordless Drill 18V Black'").alias("a"), F.expr(_OFFER).alias("b"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", F.expr("'Acme AX' || (1000 + p_partkey) || ' Cordless Drill 18V Black'").alias("a"), F.expr(_OFFER).alias("b"))
     rows = I.evaluated(I.offered(I.identified(rows, "a", out="lot"), "b"), "lot", "offer")
     return rows.select("p_partkey", "evaluation.accepted", F.array_join("evaluation.reasons", ";").alias("reasons"), F.round("evaluation.score", 6).alias("score"), F.round("evaluation.donor_score", 6).alias("donor_score"))
