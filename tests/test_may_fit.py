@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotwright.functions import identity as I
+from lotwright.functions import listing as L
 from lotwright.functions import text as T
 from lotwright.functions import values as V
-from lotwright.plans import listings
+from lotwright.plans import catalog, listings
 
 PATTERNS = [p for group in (V.KINDS, V.FAMILIES, V.MATERIALS, V.BRANDS, V.PARTS_REASONS, V.CAUTIONS) for p in group.values()] + [p for rules in I.RULES.values() for p, _ in rules]
 PATTERNS += [V.PARTS, V.GOOD, V.POSITIVE, *(p for _, p, _ in V.MIXED)]
@@ -45,3 +46,14 @@ def test_attributes_of_null_stay_null(spark):
 @pytest.mark.parametrize("source", [listings.listings, listings.documents])
 def test_listings_are_several_tasks(spark, source):
     assert source(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
+
+
+def test_collapsed_leaves_single_spaces(spark):
+    texts = ["a b", " a  b ", "a\tb\n\nc", "a \n b", "\t", "", "a b", "x y  z\r\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(r[0] == r[1] for r in rows.select(L.collapsed(F.col("t")), F.trim(F.regexp_replace("t", r"\s+", " "))).collect())
+
+
+@pytest.mark.parametrize("name", ["q_lot_normalize", "q_candidate_sanitise", "q_canonical_attributes", "q_candidate_outcomes"])
+def test_queries_over_parts_are_several_tasks(spark, name):
+    assert catalog.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
