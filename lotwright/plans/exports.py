@@ -12,7 +12,7 @@ from lotwright.functions import values as V
 from lotwright.operators import stores
 
 from .listings import PARTS_SQL, flags, listings, plain
-from .registry import query, table
+from .registry import query, spread, table
 
 JOB_PHASES = ["completed", "failed", "stale", "enumerating"]
 
@@ -30,7 +30,7 @@ def q_diagnostic_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.repeat("o_orderpriority", 40).alias("message"), F.lit(3).alias("expected_total"), F.lit(2).alias("enumerated"), F.lit(None).cast("int").alias("hydrated"), F.col("o_custkey").alias("contact"),
     )
     told = G.diagnostic(job, {"missing": F.sequence(F.lit(1), F.lit(1200))}, F.array_repeat(F.repeat(F.lit("x"), 600), 120))
-    rows = table(spark, sf_dir, "orders").select(k, told.alias("d"))
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey").select(k, told.alias("d"))
     length = lambda x: F.length(x).cast("int")
     return rows.select("o_orderkey", "d.phase", "d.reason", length("d.source_url").alias("url_chars"), F.size("d.missing").alias("ids"), F.size("d.failures").alias("failures"), length(F.col("d.failures")[0]).alias("failure_chars"))
 

@@ -54,6 +54,6 @@ def test_collapsed_leaves_single_spaces(spark):
     assert all(r[0] == r[1] for r in rows.select(L.collapsed(F.col("t")), F.trim(F.regexp_replace("t", r"\s+", " "))).collect())
 
 
-@pytest.mark.parametrize("name", ["q_lot_normalize", "q_candidate_sanitise", "q_canonical_attributes", "q_candidate_outcomes"])
+@pytest.mark.parametrize("name", ["q_lot_normalize", "q_candidate_sanitise", "q_canonical_attributes", "q_candidate_outcomes", "q_diagnostic_whitelist"])
 def test_queries_over_parts_are_several_tasks(spark, name):
     assert catalog.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
