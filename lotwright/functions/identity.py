@@ -170,10 +170,11 @@ def model_matches(title: Column, wanted: Column) -> Column:
 
 
 def identified(rows: DataFrame, title: str, description: str | None = None, stated: str | None = None, out: str = "identity") -> DataFrame:
-    """rows with struct(name, query, brand, model, model2, kind, capacities, tokens, stated_retail, family, evidence, telling, and every attribute group).
+    """rows with struct(name, query, brand, model, model2, kind, capacities, tokens, stated_retail, family, evidence, telling, asks, and every attribute group).
 
     The title names the product; labelled lines of the description add brand and model. ``tokens`` are the first twelve
-    words that say something, ``telling`` those that titles are compared by, ``evidence`` counts attribute values.
+    words that say something, ``telling`` those that titles are compared by, ``evidence`` counts attribute values, ``asks``
+    is what ``evaluated`` looks for in a candidate's title.
     """
     text = F.col(description).cast("string") if description else F.lit(None).cast("string")
     fields, free = labelled_lines(text)
@@ -211,6 +212,7 @@ def identified(rows: DataFrame, title: str, description: str | None = None, stat
         F.when((retail > 0) & (retail < float("inf")), retail).alias("stated_retail"), family_of(F.col("_i_family")).alias("family"),
         sum((F.size(f"_i_g_{g}") for g in GROUPS), F.lit(0)).alias("evidence"),
         F.array_distinct(F.filter(small, lambda t: (F.length(t) > 2) & ~t.isin(V.RETAIL_NOISE) & ~t.rlike("^[0-9]+$"))).alias("telling"),
+        _asks({"name": F.col("_i_name"), "brand": F.col("_i_brand"), "model": F.col("_i_model"), "model2": F.get(second, F.lit(0)), "tokens": tokens} | {g: F.col(f"_i_g_{g}") for g in GROUPS}).alias("asks"),
         *(F.col(f"_i_g_{g}").alias(g) for g in GROUPS),
     )
     kept = [F.col(f"`{c}`") for c in rows.columns if not c.startswith("_i_") and c != out]
@@ -218,11 +220,20 @@ def identified(rows: DataFrame, title: str, description: str | None = None, stat
 
 
 def offered(rows: DataFrame, title: str, out: str = "offer") -> DataFrame:
-    """rows with struct(title, kind, family, words, and every attribute group) of a candidate's title."""
+    """rows with struct(title, kind, family, words, signs, and every attribute group) of a candidate's title; ``signs`` is what ``evaluated`` needs of the title whatever the lot."""
     rows = rows.withColumn("_i_title", F.coalesce(F.col(title).cast("string"), F.lit("")))
-    rows = rows.withColumn("_i_text", F.lower(normalised(F.col("_i_title"))))
-    found = [v.alias(k) for k, v in attributes_of(F.col("_i_text")).items()]
-    result = F.struct(F.col("_i_title").alias("title"), kind_of(F.col("_i_text")).alias("kind"), family_of(F.col("_i_text")).alias("family"), compact_tokens(F.col("_i_text")).alias("words"), *found)
+    rows = rows.withColumns({"_i_text": F.lower(normalised(F.col("_i_title"))), "_i_lower": F.lower(F.col("_i_title"))})
+    rows = rows.withColumns({"_i_kind": kind_of(F.col("_i_text")), "_i_words": compact_tokens(F.col("_i_text")), **{f"_i_g_{g}": c for g, c in attributes_of(F.col("_i_text")).items()}})
+    at = lambda pattern: F.regexp_instr(F.col("_i_lower"), F.lit(ascii_words(pattern)))  # noqa: E731  from 1; 0 where it does not occur
+    rows = rows.withColumns({"_i_noun": at(V.ACCESSORY), "_i_marker": at(V.LATER_MARKER), "_i_at": kind_position(F.col("_i_title"), F.col("_i_kind"))})
+    between = F.substring(F.col("_i_lower"), F.col("_i_at"), F.greatest(F.col("_i_noun") - F.col("_i_at"), F.lit(0)))
+    signs = F.struct(
+        F.col("_i_lower").alias("lower"), F.array_join("_i_words", "").alias("joined"), F.concat(F.lit(" "), F.array_join("_i_words", " "), F.lit(" ")).alias("spaced"), F.col("_i_noun").alias("noun"), F.col("_i_marker").alias("marker"),
+        F.col("_i_lower").rlike(ascii_words(V.NOT_WHOLE)).alias("not_whole"), F.col("_i_lower").rlike(ascii_words(V.MARKER)).alias("marked"), F.col("_i_lower").rlike(rf"(?:{V.FOR_VERBS})\s").alias("for_something"),
+        F.col("_i_at").alias("kind_at"), between.rlike(ascii_words(r"\b(?:with|includes?|bundle)\b")).alias("bundled"), F.regexp_extract(F.regexp_replace("_i_lower", V.TITLE_PREFIX, ""), r"[a-z0-9][a-z0-9.&'-]*", 0).alias("first"),
+        F.map_from_entries(_said({g: F.col(f"_i_g_{g}") for g in GROUPS})).alias("said"),
+    )
+    result = F.struct(F.col("_i_title").alias("title"), F.col("_i_kind").alias("kind"), family_of(F.col("_i_text")).alias("family"), F.col("_i_words").alias("words"), signs.alias("signs"), *(F.col(f"_i_g_{g}").alias(g) for g in GROUPS))
     kept = [F.col(f"`{c}`") for c in rows.columns if not c.startswith("_i_") and c != out]
     return rows.select(*kept, result.alias(out))
 
@@ -237,30 +248,48 @@ def sufficient(lot: Column) -> Column:
     return lot["model"].isNotNull() | (F.size(lot["telling"]) >= 3) | (lot["kind"].isNotNull() & (lot["evidence"] > 0))
 
 
-def _accessory(lot: Column, offer: Column, exact: Column, branded: Column) -> Column:
-    """Whether a candidate is a part or accessory of a product like the lot's, by rules in order over positions in its title."""
-    title, name = F.lower(offer["title"]), F.lower(lot["name"])
-    at = lambda pattern: F.regexp_instr(title, F.lit(ascii_words(pattern)))  # noqa: E731  from 1; 0 where it does not occur
-    noun, marker = at(V.ACCESSORY), at(V.LATER_MARKER)
+def _said(groups: dict[str, Column]) -> Column:
+    """Array of struct(group, values) of the attribute groups that have any, in order."""
+    return F.filter(F.array(*(F.struct(F.lit(g).alias("group"), groups[g].alias("values")) for g in GROUPS)), lambda x: F.size(x["values"]) > 0)
+
+
+def _asks(lot: dict[str, Column]) -> Column:
+    """What a lot looks for in candidates' titles, of which nothing depends on the candidate: attributes, models in one word, patterns of brand, model and use, words."""
+    brand = F.lower(lot["brand"])
     loose = lambda x: F.regexp_replace(literal(F.lower(x)), r"[-\s]", r"[-\\s]?")
     known = F.array_join(F.transform(F.filter(F.array(lot["brand"], lot["model"], lot["model2"]), lambda x: F.coalesce(x != "", F.lit(False))), loose), "|")
-    about = (known != "") & F.rlike(title, F.concat(F.lit(B + rf"(?:{V.FOR_VERBS})\s+(?:the\s+)?[^,;.]{{0,40}}?(?:"), known, F.lit(")")))
+    squeezed = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
+    return F.struct(
+        _said(lot).alias("said"), squeezed(lot["model"]).alias("model"), squeezed(lot["model2"]).alias("model2"), brand.alias("brand"),
+        ((lot["brand"] != "") & ~lot["brand"].rlike(V.GENERIC_BRAND) & ~lot["brand"].rlike(V.CAPACITY) & lot["brand"].rlike("(?i)[a-z]")).alias("credible"),
+        F.concat(F.lit(r"(?:^|[^a-z0-9])"), F.regexp_replace(literal(brand), r"\s+", r"\\s+"), F.lit(r"(?:$|[^a-z0-9])")).alias("named"),
+        F.when(known != "", F.concat(F.lit(B + rf"(?:{V.FOR_VERBS})\s+(?:the\s+)?[^,;.]{{0,40}}?(?:"), known, F.lit(")"))).alias("use"),
+        F.when(lot["model"].isNotNull(), loose(lot["model"])).when(brand != "", F.concat(F.lit(B), literal(brand), F.lit(B))).alias("own"),
+        F.lower(lot["name"]).rlike(ascii_words(V.ACCESSORY)).alias("accessory"), F.filter(F.transform(lot["tokens"], F.lower), lambda t: F.length(t) > 2).alias("long"),
+    )
+
+
+def _states(offer: Column, model: Column) -> Column:
+    """``model_matches`` of a candidate's title and a model in one word: its signs with or without a space between any two."""
+    return F.contains(offer["signs"]["joined"], model) & F.rlike(offer["signs"]["spaced"], F.concat(F.lit(" "), F.regexp_replace(model, "(.)(?=.)", "$1 ?"), F.lit(" ")))
+
+
+def _accessory(lot: Column, offer: Column, exact: Column, branded: Column) -> Column:
+    """Whether a candidate is a part or accessory of a product like the lot's, by rules in order over positions in its title."""
+    asks, signs = lot["asks"], offer["signs"]
+    title, brand, own, noun, marker = signs["lower"], asks["brand"], asks["own"], signs["noun"], signs["marker"]
+    about = asks["use"].isNotNull() & signs["for_something"] & F.rlike(title, asks["use"])
     shared = F.arrays_overlap(lot["platformVariants"], offer["platformVariants"]) | F.arrays_overlap(lot["seriesSignatures"], offer["seriesSignatures"])
-    kind_at = kind_position(offer["title"], lot["kind"])
-    between = F.substring(title, kind_at, F.greatest(noun - kind_at, F.lit(0)))
-    first = F.regexp_extract(F.regexp_replace(title, V.TITLE_PREFIX, ""), r"[a-z0-9][a-z0-9.&'-]*", 0)
-    brand = F.lower(lot["brand"])
-    own = F.when(lot["model"].isNotNull(), loose(lot["model"])).when(brand != "", F.concat(F.lit(B), literal(brand), F.lit(B)))
     own_at = F.regexp_instr(title, own)
     return (
         F.when(lot["kind"].eqNullSafe("game-console") & ~offer["kind"].eqNullSafe("game-console"), True)
-        .when(at(V.NOT_WHOLE) > 0, True)
-        .when((noun == 0) | name.rlike(ascii_words(V.ACCESSORY)), False)
-        .when(about | (at(V.MARKER) > 0), True)
+        .when(signs["not_whole"], True)
+        .when((noun == 0) | asks["accessory"], False)
+        .when(signs["marked"] | about, True)
         .when((marker > noun) & (F.coalesce(shared, F.lit(False)) | branded | exact), True)
-        .when(offer["kind"].eqNullSafe(lot["kind"]) & (kind_at > 0) & (kind_at < noun) & (exact | between.rlike(ascii_words(r"\b(?:with|includes?|bundle)\b"))), False)
+        .when(offer["kind"].eqNullSafe(lot["kind"]) & (signs["kind_at"] > 0) & (signs["kind_at"] < noun) & (exact | signs["bundled"]), False)
         .when(exact & (marker == 0), False)
-        .when((brand != "") & (first != "") & (first != brand) & ~branded, True)
+        .when((brand != "") & (signs["first"] != "") & (signs["first"] != brand) & ~branded, True)
         .when(own.isNull(), noun < 21)
         .when(own_at == 0, True)
         .otherwise(noun < own_at)
@@ -299,54 +328,60 @@ def evaluated(rows: DataFrame, lot: str, offer: str, out: str = "evaluation") ->
     conflicts, and the higher of the two. Values within a reason are sorted.
     """
     l, o = F.col(lot), F.col(offer)
-    title = F.lower(o["title"])
-    credible = (l["brand"] != "") & ~l["brand"].rlike(V.GENERIC_BRAND) & ~l["brand"].rlike(V.CAPACITY) & l["brand"].rlike("(?i)[a-z]")
-    named = F.rlike(title, F.concat(F.lit(r"(?:^|[^a-z0-9])"), F.regexp_replace(literal(F.lower(l["brand"])), r"\s+", r"\\s+"), F.lit(r"(?:$|[^a-z0-9])")))
-    branded = credible & F.when(l["family"].isNotNull(), o["family"].eqNullSafe(l["family"])).otherwise(named)
-    shared = compared(l, o)["shared"]
+    asks, signs = l["asks"], o["signs"]
+    title = signs["lower"]
+    named = F.contains(title, F.regexp_extract(asks["brand"], r"^\S*", 0)) & F.rlike(title, asks["named"])
+    branded = asks["credible"] & F.when(l["family"].isNotNull(), o["family"].eqNullSafe(l["family"])).otherwise(named)
+    against = lambda x: F.coalesce(signs["said"][x["group"]], _empty())  # noqa: E731  what the candidate says of a group that the lot says something of
+    groups = F.transform(
+        asks["said"],
+        lambda x: F.struct(
+            x["group"].alias("group"), F.array_except(x["values"], against(x)).alias("gone"), (F.size(against(x)) > 0).alias("stated"),
+            (F.size(F.array_intersect(x["values"], against(x))) * F.when(x["group"].isin(*DOUBLE), 2).otherwise(1)).alias("shared"),
+        ),
+    )
     hits = F.size(F.array_intersect(l["telling"], o["words"]))
     rows = rows.withColumns(
         {
-            "_i_exact": l["model"].isNotNull() & model_matches(o["title"], l["model"]), "_i_credible": F.coalesce(credible, F.lit(False)), "_i_branded": F.coalesce(branded, F.lit(False)), "_i_same": l["kind"].isNotNull() & o["kind"].eqNullSafe(l["kind"]),
-            "_i_shared": shared, "_i_hits": hits, "_i_total": F.size(l["telling"]), "_i_share": F.coalesce(F.try_divide(hits, F.size(l["telling"])), F.lit(0.0)),
+            "_i_exact": l["model"].isNotNull() & (asks["model"] != "") & _states(o, asks["model"]), "_i_second": l["model2"].isNotNull() & (asks["model2"] != "") & _states(o, asks["model2"]), "_i_credible": F.coalesce(asks["credible"], F.lit(False)),
+            "_i_branded": F.coalesce(branded, F.lit(False)), "_i_same": l["kind"].isNotNull() & o["kind"].eqNullSafe(l["kind"]), "_i_groups": groups, "_i_hits": hits, "_i_total": F.size(l["telling"]), "_i_share": F.coalesce(F.try_divide(hits, F.size(l["telling"])), F.lit(0.0)),
         }
     )
-    exact, branded, same, shared, hits, total, share = (F.col(f"_i_{x}") for x in ("exact", "branded", "same", "shared", "hits", "total", "share"))
-    conflicts, lacks = _contradicted(l, o), _lacking(l, o)
+    rows = rows.withColumn("_i_shared", F.aggregate("_i_groups", F.lit(0), lambda n, x: n + x["shared"])).withColumn("_i_gone", F.filter("_i_groups", lambda x: F.size(x["gone"]) > 0))
+    exact, second, branded, same, shared, hits, total, share = (F.col(f"_i_{x}") for x in ("exact", "second", "branded", "same", "shared", "hits", "total", "share"))
+    say = lambda what, test: F.transform(F.filter("_i_gone", test), lambda x: F.concat(F.lit(f"{what}:"), x["group"], F.lit(":"), F.array_join(x["gone"], ",")))
+    conflicts, lacks = say("attribute-conflict", lambda x: x["stated"]), say("attribute-missing", lambda x: ~x["stated"] & x["group"].isin(*CRITICAL))
     rivals = []
     for names in V.EXCLUSIVE:
         mine = F.get(F.filter(F.array(*map(F.lit, names)), lambda n: F.array_contains(l["productFamilies"], n)), F.lit(0))
         wrong = F.filter(F.array(*map(F.lit, names)), lambda n: (n != mine) & F.array_contains(o["productFamilies"], n))  # noqa: B023
         rivals.append(F.when(mine.isNotNull() & (F.size(wrong) > 0), F.concat(F.lit("attribute-conflict:productFamilies:"), mine, F.lit("!="), F.array_join(wrong, ","))))
+    rivals = F.when((F.size(l["productFamilies"]) > 0) & (F.size(o["productFamilies"]) > 0), F.array_compact(F.array(*rivals))).otherwise(_empty())
     structured = exact | branded | same | (shared > 0)
     weak = (~structured & ((hits < 3) | (share < 0.6))) | (structured & ~exact & ((hits < 2) | (share <= 0.5)) & (shared == 0))
     other_family = l["family"].isNotNull() & o["family"].isNotNull() & (l["family"] != o["family"])
+    some = lambda test, text: F.when(test, F.array(text)).otherwise(_empty())
     reasons = F.array_distinct(
-        F.array_compact(
-            F.array(
-                F.when(~sufficient(l), F.lit("insufficient-source-identity")),
-                F.when(_accessory(l, o, exact, branded), F.lit("accessory-or-component")),
-                *conflicts, *rivals, *lacks,
-                F.when(~exact & other_family, F.concat(F.lit("brand-mismatch:"), l["family"])),
-                F.when(~exact & l["family"].isNull() & F.col("_i_credible") & ~branded, F.concat(F.lit("brand-mismatch:"), F.lower(l["brand"]))),
-                F.when(~exact & (l["kind"] != o["kind"]), F.concat(F.lit("kind-mismatch:"), l["kind"], F.lit(":"), o["kind"])),
-                F.when(l["model"].isNotNull() & ~exact, F.concat(F.lit("model-mismatch:"), l["model"])),
-                F.when(weak, F.concat(F.lit("weak-title-overlap:"), hits, F.lit("/"), total)),
-            )
+        F.concat(
+            some(~sufficient(l), F.lit("insufficient-source-identity")),
+            some(_accessory(l, o, exact, branded), F.lit("accessory-or-component")),
+            F.when(F.size("_i_gone") > 0, conflicts).otherwise(_empty()), rivals, F.when(F.size("_i_gone") > 0, lacks).otherwise(_empty()),
+            some(~exact & other_family, F.concat(F.lit("brand-mismatch:"), l["family"])),
+            some(~exact & l["family"].isNull() & F.col("_i_credible") & ~branded, F.concat(F.lit("brand-mismatch:"), asks["brand"])),
+            some(~exact & (l["kind"] != o["kind"]), F.concat(F.lit("kind-mismatch:"), l["kind"], F.lit(":"), o["kind"])),
+            some(l["model"].isNotNull() & ~exact, F.concat(F.lit("model-mismatch:"), l["model"])),
+            some(weak, F.concat(F.lit("weak-title-overlap:"), hits, F.lit("/"), total)),
         )
     )
     rows = rows.withColumn("_i_reasons", F.when(o["title"] == "", F.array(F.lit("empty-title"))).otherwise(reasons))
-    second = l["model2"].isNotNull() & model_matches(o["title"], l["model2"])
     score = F.when(exact, 5).otherwise(0) + F.when(second, 2).otherwise(0) + F.when(branded, 2).otherwise(0) + F.when(same, 2).otherwise(0) + shared + share * 4
     accepted = (F.size("_i_reasons") == 0) & (score > 0)
-    evidence = F.array_compact(
-        F.array(
-            F.when(exact, F.concat(F.lit("model:"), l["model"])), F.when(second, F.concat(F.lit("model2:"), l["model2"])), F.when(branded, F.concat(F.lit("brand:"), F.coalesce(l["family"], F.lower(l["brand"])))),
-            F.when(shared > 0, F.concat(F.lit("attributes:"), shared)), F.when(hits > 0, F.concat(F.lit("tokens:"), hits, F.lit("/"), total)), F.when(same, F.concat(F.lit("kind:"), l["kind"])),
-        )
+    evidence = F.concat(
+        some(exact, F.concat(F.lit("model:"), l["model"])), some(second, F.concat(F.lit("model2:"), l["model2"])), some(branded, F.concat(F.lit("brand:"), F.coalesce(l["family"], asks["brand"]))),
+        some(shared > 0, F.concat(F.lit("attributes:"), shared)), some(hits > 0, F.concat(F.lit("tokens:"), hits, F.lit("/"), total)), some(same, F.concat(F.lit("kind:"), l["kind"])),
     )
-    long = F.filter(F.transform(l["tokens"], F.lower), lambda t: F.length(t) > 2)
-    plain = F.when(l["model"].isNotNull(), 5).otherwise(0) + F.when(second, 2).otherwise(0) + F.when((l["brand"] != "") & F.contains(title, F.lower(l["brand"])), 2).otherwise(0)
+    long = asks["long"]
+    plain = F.when(l["model"].isNotNull(), 5).otherwise(0) + F.when(second, 2).otherwise(0) + F.when((l["brand"] != "") & F.contains(title, asks["brand"]), 2).otherwise(0)
     plain = plain + F.coalesce(F.try_divide(F.size(F.filter(long, lambda t: F.contains(title, t))), F.size(long)), F.lit(0.0)) * 3
     hard = F.exists("_i_reasons", lambda r: r.rlike("^(?:accessory-or-component|attribute-conflict|attribute-missing|kind-mismatch|model-mismatch|brand-mismatch|empty-title)"))
     scored = F.when(accepted, score).otherwise(F.lit(0.0))

@@ -11,6 +11,7 @@ from lotwright.functions import identity as I
 from lotwright.functions import listing as L
 from lotwright.functions import values as V
 from lotwright.operators import match
+from lotwright.sources.shared import written
 
 from .registry import query, spread, table
 
@@ -230,15 +231,26 @@ def q_model_shape(rows: DataFrame) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of an order as a candidate for the part of the order's first line; each part is read once as a lot and once as an offer."""
+    """Every line of an order as a candidate for the part of the order's first line.
+
+    Each content of a part is read once as a lot and once as an offer, each pair of contents is compared once; up to there, and from there
+    on, rows hold the digests of the contents instead of them.
+    """
     parts = listings(spark, sf_dir)
-    lots = I.identified(parts, "title", "description", out="lot").select(F.col("id").alias("of"), "lot")
-    offers = I.offered(parts, "title").select(F.col("id").alias("part"), "offer")
+    digest = lambda x: F.unhex(F.left(F.sha2(F.to_json(x), 256), F.lit(32)))
+    lots = written(I.identified(parts.select("title", "description").distinct(), "title", "description", out="lot"), "lots").withColumn("lot_key", digest(F.col("lot")))  # both are used twice
+    offers = written(I.offered(parts.select("title").distinct(), "title").select("title", "offer"), "offers").select("offer", digest(F.struct("title")).alias("offer_key"))
+    lot_of = parts.join(lots.select(F.col("title").alias("_t"), F.col("description").alias("_d"), "lot_key"), F.col("title").eqNullSafe(F.col("_t")) & F.col("description").eqNullSafe(F.col("_d"))).select(F.col("id").alias("of"), "lot_key")
+    offer_of = parts.select(F.col("id").alias("part"), digest(F.struct("title")).alias("offer_key"))
     lines = table(spark, sf_dir, "lineitem")
     first = lines.groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("k"))
-    keyed = first.join(lots, F.col("k") == F.col("of")).select(F.col("l_orderkey").alias("id"), "lot")
-    lines = lines.join(offers, F.col("l_partkey") == F.col("part")).select("l_orderkey", F.col("l_linenumber").alias("pos"), "l_partkey", F.col("l_extendedprice").alias("price"), "offer")
-    return I.evaluated(keyed.join(lines, F.col("id") == F.col("l_orderkey")), "lot", "offer")
+    keyed = first.join(lot_of, F.col("k") == F.col("of")).select(F.col("l_orderkey").alias("id"), "lot_key")
+    lines = lines.join(offer_of, F.col("l_partkey") == F.col("part")).select("l_orderkey", F.col("l_linenumber").alias("pos"), "l_partkey", F.col("l_extendedprice").alias("price"), "offer_key")
+    lines = keyed.join(lines, F.col("id") == F.col("l_orderkey")).drop("l_orderkey")
+    pairs = spread(lines.select("lot_key", "offer_key").distinct(), "offer_key")
+    lots = lots.groupBy("lot_key").agg(F.any_value("lot").alias("lot"))
+    compared = I.evaluated(pairs.join(lots, "lot_key").join(offers, "offer_key"), "lot", "offer").select("lot_key", "offer_key", "evaluation")
+    return lines.join(compared, ["lot_key", "offer_key"])
 
 
 @query()
