@@ -55,12 +55,20 @@ def _plain_letters() -> tuple[str, str]:
 ACCENTED, PLAIN = _plain_letters()
 
 
+def _once(x: Column, f) -> Column:
+    """f of x, where f uses x more than once and x is costly."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def research_query(title: Column) -> Column:
     """A search phrase from a title: lower-case words without marks, lot phrases and auction words, 120 signs at most.
 
     Titles that leave fewer than two words give their own first 120 signs.
     """
-    original = collapsed(normalised(title))
+    return _once(collapsed(normalised(title)), _phrase)
+
+
+def _phrase(original: Column) -> Column:
     x = F.lower(F.translate(original, ACCENTED, PLAIN))
     x = F.regexp_replace(x, r"^\s*lot\s*#?\s*[\w-]+\s*[-:|]\s*", " ")
     x = F.regexp_replace(x, r"[()\[\]{}]", " ")
@@ -69,10 +77,8 @@ def research_query(title: Column) -> Column:
     x = F.regexp_replace(x, r"^\s*(?:av|inv(?:entory)?|sku)\s*[-:|]\s*", " ")
     tokens = F.transform(F.split(F.regexp_replace(x, r"[^a-z0-9.+-]+", " "), " "), lambda t: F.regexp_replace(t, r"^[.+-]+|[.-]+$", ""))
     tokens = F.filter(tokens, lambda t: ~t.isin("", "x", *V.QUERY_NOISE))
-    phrase = F.array_join(tokens, " ")
-    cut = F.regexp_replace(F.left(phrase, F.lit(121)), r"\s+\S*$", "")
-    phrase = F.when(F.length(phrase) <= 120, phrase).otherwise(F.left(cut, F.lit(120)))
-    return F.when(F.size(tokens) >= 2, phrase).otherwise(F.left(original, F.lit(120)))
+    shortened = lambda phrase: F.when(F.length(phrase) <= 120, phrase).otherwise(F.left(F.regexp_replace(F.left(phrase, F.lit(121)), r"\s+\S*$", ""), F.lit(120)))
+    return _once(tokens, lambda words: F.when(F.size(words) >= 2, _once(F.array_join(words, " "), shortened)).otherwise(F.left(original, F.lit(120))))
 
 
 #: Fixed value: a line that says something under a name: name, sign, value.

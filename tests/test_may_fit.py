@@ -57,3 +57,9 @@ def test_collapsed_leaves_single_spaces(spark):
 @pytest.mark.parametrize("name", ["q_lot_normalize", "q_candidate_sanitise", "q_canonical_attributes", "q_candidate_outcomes", "q_diagnostic_whitelist"])
 def test_queries_over_parts_are_several_tasks(spark, name):
     assert catalog.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
+
+
+def test_the_words_of_a_search_phrase_are_found_once(spark):
+    rows = spark.createDataFrame([("Lot of 2 Sony WH-1000XM4",)], "t string").select(L.research_query(F.col("t")).alias("phrase"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("auction") == 1
+    assert rows.first()[0] == "sony wh-1000xm4"
