@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .identity import GROUPS, attributes, kind
+from .identity import GROUPS, attributes_of, kind_of
+from .listing import normalised
 from .lots import words
 from .money import finite
 
@@ -49,16 +50,18 @@ def revalidated(rows: DataFrame, identity: str, out: str = "checked") -> DataFra
     cut = lambda x, n: F.left(words(x), F.lit(n))
     some = lambda x, n: F.when(F.coalesce(x, F.lit("")) != "", cut(x, n))
     listed = lambda x, most, n: F.transform(F.slice(F.coalesce(x, F.array().cast("array<string>")), 1, most), lambda t: cut(t, n))
-    name, query = cut(i["name"], 300), cut(i["query"], QUERY)
-    found = attributes(name)
-    certain = (F.coalesce(i["model"], F.lit("")) != "") | (F.size(found["gpuModels"]) > 0) | (F.size(found["cpuModels"]) > 0)
-    found["seriesSignatures"] = F.when(certain, F.array().cast("array<string>")).otherwise(found["seriesSignatures"])
+    rows = rows.withColumns({"_r_name": cut(i["name"], 300), "_r_query": cut(i["query"], QUERY), "_r_whole": F.lower(normalised(i["name"]))})  # each is read many times
+    rows = rows.withColumn("_r_text", F.lower(normalised(F.col("_r_name"))))
+    rows = rows.withColumns({f"_r_{g}": c for g, c in attributes_of(F.col("_r_text")).items()})
+    certain = (F.coalesce(i["model"], F.lit("")) != "") | (F.size("_r_gpuModels") > 0) | (F.size("_r_cpuModels") > 0)
+    found = {g: F.col(f"_r_{g}") for g in GROUPS} | {"seriesSignatures": F.when(certain, F.array().cast("array<string>")).otherwise(F.col("_r_seriesSignatures"))}
     retail = F.when(finite(i["stated_retail"]) & (i["stated_retail"] > 0), i["stated_retail"])
     checked = F.struct(
-        name.alias("name"), query.alias("query"), cut(i["brand"], 80).alias("brand"), some(i["model"], 60).alias("model"), some(i["model2"], 60).alias("model2"), kind(i["name"]).alias("kind"),
+        F.col("_r_name").alias("name"), F.col("_r_query").alias("query"), cut(i["brand"], 80).alias("brand"), some(i["model"], 60).alias("model"), some(i["model2"], 60).alias("model2"), kind_of(F.col("_r_whole")).alias("kind"),
         listed(i["sizes"], 8, 30).alias("sizes"), listed(i["tokens"], 20, 40).alias("tokens"), retail.alias("stated_retail"), *(found[g].alias(g) for g in GROUPS),
     )
-    return rows.withColumn(out, F.when(F.length(query) >= 2, checked))
+    rows = rows.withColumn(out, F.when(F.length("_r_query") >= 2, checked))
+    return rows.drop("_r_name", "_r_query", "_r_whole", "_r_text", *(f"_r_{g}" for g in GROUPS))
 
 
 def is_challenge(html: Column) -> Column:
