@@ -15,9 +15,9 @@ from . import values as V
 from .text import ascii_words, may_fit
 
 
-def has(x: Column, pattern: str) -> Column:
-    """Whether the pattern occurs in x, whatever the case; false for null."""
-    return F.coalesce(may_fit(F.lower(x), pattern) & x.rlike("(?i)" + ascii_words(pattern)), F.lit(False))
+def has(x: Column, pattern: str, lowered: Column | None = None) -> Column:
+    """Whether the pattern occurs in x, whatever the case; false for null. ``lowered`` is x in lower case, where that is at hand."""
+    return F.coalesce(may_fit(F.lower(x) if lowered is None else lowered, pattern) & x.rlike("(?i)" + ascii_words(pattern)), F.lit(False))
 
 
 def normalised(x: Column) -> Column:
@@ -171,8 +171,11 @@ def assessed(rows: DataFrame, text: str, out: str = "condition") -> DataFrame:
 
 def mixed_lot(title: Column, description: Column) -> Column:
     """struct(mixed, reasons, components): whether a lot is of several goods, why, and the parts of its text that may name them."""
-    title, description = normalised(title), normalised(description)
-    reasons = _some(*(F.when(has(title if where == "title" else description, p), F.lit(why)) for where, p, why in V.MIXED))
+    texts = _once(F.struct(normalised(title).alias("title"), normalised(description).alias("description")), lambda x: F.struct(x["title"].alias("title"), x["description"].alias("description"), F.lower(x["title"]).alias("low_title"), F.lower(x["description"]).alias("low_description")))
+    return _once(texts, lambda x: _once(_some(*(F.when(has(x[where], p, x[f"low_{where}"]), F.lit(why)) for where, p, why in V.MIXED)), lambda reasons: _mixed(x["title"], x["description"], reasons)))
+
+
+def _mixed(title: Column, description: Column, reasons: Column) -> Column:
     parts = F.split(_joined("\n", title, labelled_lines(description)[1]), r"\n|;|\s+-\s+|\s*•\s*")
     parts = F.transform(parts, lambda p: trimmed(F.regexp_replace(p, r"(?i)^\s*(?:retail|msrp|value)\s*[:\-]?\s*\$?[\d,.]+\s*\|?\s*", "")))
     parts = F.filter(parts, lambda p: (F.length(p) >= 3) & ~p.rlike("(?i)" + ascii_words(r"^(?:untested|tested|working|condition\b|notes?\b)|^group\s+of\s+\d+$")))
