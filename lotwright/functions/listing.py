@@ -190,10 +190,9 @@ def _amount(x: Column) -> Column:
 
 def stated_retail(lead: Column, description: Column, estimate: Column) -> Column:
     """The retail price that a listing states: the first pattern that gives one, else the highest number of the estimate."""
-    text = normalised(_joined("\n", lead, description))
-    stated = [_amount(F.regexp_extract(text, ascii_words(p), 1)) for p in V.RETAIL]
     numbers = F.transform(F.regexp_extract_all(F.coalesce(estimate, F.lit("")), F.lit(r"[\d,]+(?:\.\d{1,2})?"), F.lit(0)), _amount)
-    return F.coalesce(*stated, F.array_max(F.array_compact(numbers)))
+    stated = _once(normalised(_joined("\n", lead, description)), lambda text: _once(F.lower(text), lambda lowered: F.coalesce(*(F.when(may_fit(lowered, p), _once(F.regexp_extract(text, ascii_words(p), 1), _amount)) for p in V.RETAIL))))
+    return F.coalesce(stated, F.array_max(F.array_compact(numbers)))
 
 
 def comparison_currency(raw: Column, premium: Column) -> Column:
