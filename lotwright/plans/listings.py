@@ -83,7 +83,8 @@ def strip(x: str) -> str:
 
 @listing_query(f" SELECT id, CASE {' '.join(f"WHEN regexp_matches(lower({plain('title')}), '{p}') THEN '{n}'" for n, p in V.KINDS.items())} END AS kind FROM listings")
 def q_kind(rows: DataFrame) -> DataFrame:
-    return rows.select("id", I.kind(F.col("title")).alias("kind"))
+    rows = rows.withColumn("t", F.lower(L.normalised(F.col("title"))))  # once, and not for each literal
+    return rows.select("id", I.kind_of(F.col("t")).alias("kind"))
 
 
 #: Groups whose patterns DuckDB can read too (no lookarounds).
@@ -218,7 +219,7 @@ def q_identity(rows: DataFrame) -> DataFrame:
 SELECT id, CASE {' '.join(f"WHEN regexp_matches(t, '{p}') THEN length(regexp_extract(t, '(?s)^(.*?)(?:{p})', 1)) + 1" for p in V.KINDS.values())} ELSE 0 END AS at FROM k""")
 def q_kind_position(rows: DataFrame) -> DataFrame:
     """Where a listing's title names its kind."""
-    rows = rows.withColumn("kind", I.kind(F.col("title")))  # once, and not for each kind
+    rows = rows.withColumn("t", F.lower(L.normalised(F.col("title")))).withColumn("kind", I.kind_of(F.col("t")))  # once, and not for each kind
     return rows.select("id", I.kind_position(F.col("title"), F.col("kind")).cast("long").alias("at"))
 
 
