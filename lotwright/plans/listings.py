@@ -227,7 +227,7 @@ def q_kind_position(rows: DataFrame) -> DataFrame:
 SELECT id, w AS token, length(w) BETWEEN 2 AND 24 AND NOT regexp_matches(w, '{V.GENERIC_MODEL}') AND (regexp_matches(w, '\\d') OR regexp_matches(w, '{V.STATED_MODEL}')) AS shaped FROM w""")
 def q_model_shape(rows: DataFrame) -> DataFrame:
     """Which words of a listing's title are shaped like a model."""
-    rows = rows.select("id", F.explode(F.split("title", r"[\s,;/]+")).alias("token")).distinct()
+    rows = rows.select("id", F.explode(F.array_distinct(F.split("title", r"[\s,;/]+"))).alias("token")).distinct()  # what a title repeats does not reach the table of distinct rows
     return rows.select("id", "token", I.looks_like_model(F.col("token")).alias("shaped"))
 
 
