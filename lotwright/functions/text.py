@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cache, reduce
 from re import _constants as C
-from re import _parser
+from re import _parser, error
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,9 +13,52 @@ from pyspark.sql import functions as F
 B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
+#: The same where the next sign, or the one before, is known to be of a word.
+BEGIN, END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+
+
+def _of_words(op, arg) -> bool:
+    """Whether a sign of a pattern is an ASCII letter, digit or underscore, whatever it fits."""
+    if op is C.LITERAL:
+        return arg < 128 and (chr(arg).isalnum() or chr(arg) == "_")
+    if op is C.RANGE:
+        return any(low <= arg[0] and arg[1] <= high for low, high in ((48, 57), (65, 90), (97, 122)))
+    return op is C.CATEGORY and arg in (C.CATEGORY_DIGIT, C.CATEGORY_WORD)
+
+
+def _edge_of_words(parsed, way: int) -> bool:
+    """Whether all that a pattern fits begins (way 1) or ends (-1) with a sign of a word; False where that is not certain."""
+    for op, arg in list(parsed)[::way]:
+        if op is C.SUBPATTERN:
+            return _edge_of_words(arg[3], way)
+        if op is C.BRANCH:
+            return all(_edge_of_words(x, way) for x in arg[1])
+        if op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            if not _edge_of_words(arg[2], way):
+                return False
+            if arg[0] == 0:  # may be absent: what follows must be of a word too
+                continue
+            return True
+        return all(_of_words(*x) for x in arg) if op is C.IN else _of_words(op, arg)
+    return False
+
+
+@cache
 def ascii_words(pattern: str) -> str:
-    """The pattern with each \\b on ASCII words."""
-    return pattern.replace(r"\b", B)
+    """The pattern with each \\b on ASCII words; at its ends by one look instead of four, where what stands inside is of a word."""
+    flags, bare = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    begin = end = ""
+    if bare.startswith(r"\b") or bare.endswith(r"\b"):
+        try:
+            parsed = list(_parser.parse(bare))
+        except error:  # signs that only the other engine knows
+            parsed = []
+        border = (C.AT, C.AT_BOUNDARY)
+        if bare.startswith(r"\b") and parsed[:1] == [border] and _edge_of_words(parsed[1:], 1):
+            begin, bare = BEGIN, bare[2:]
+        if bare.endswith(r"\b") and parsed[-1:] == [border] and _edge_of_words(parsed[:-1], -1):
+            end, bare = END, bare[:-2]
+    return flags + begin + bare.replace(r"\b", B) + end
 
 
 def _best(sets: list[frozenset[str]]) -> list[frozenset[str]]:
