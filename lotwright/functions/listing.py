@@ -125,7 +125,7 @@ def _joined(sep: str, *parts: Column) -> Column:
 
 
 def _found(x: Column, patterns: dict[str, str]) -> Column:
-    return _some(*(F.when(has(x, p), F.lit(label)) for label, p in patterns.items()))
+    return _once(x, lambda text: _once(F.lower(text), lambda lowered: _some(*(F.when(has(text, p, lowered), F.lit(label)) for label, p in patterns.items()))))
 
 
 def assessed(rows: DataFrame, text: str, out: str = "condition") -> DataFrame:

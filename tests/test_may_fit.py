@@ -63,3 +63,31 @@ def test_the_words_of_a_search_phrase_are_found_once(spark):
     rows = spark.createDataFrame([("Lot of 2 Sony WH-1000XM4",)], "t string").select(L.research_query(F.col("t")).alias("phrase"))
     assert rows._jdf.queryExecution().analyzed().toString().count("auction") == 1
     assert rows.first()[0] == "sony wh-1000xm4"
+
+
+def test_word_boundaries_by_one_look_fit_the_same():
+    edges = [V.ACCESSORY, V.MARKER, V.LATER_MARKER, V.NOT_WHOLE, *V.RETAIL, *V.CAD, r"(?i)\b(?:retail)?\b", r"\bx*\b", r"\b-a\b|\bb\b", r"\b[a-z-]+\b", r"\b(?:a|)b\b"]
+    texts = [*TEXTS, "", "-a b_ é-a", "café retail: $5 msrp 7 cad", "a-b xx _x 5in 5in. für 5"]
+    for p in PATTERNS + edges:
+        whole = p.replace(r"\b", T.B)
+        for t in texts:
+            assert [m.span() for m in re.finditer(T.ascii_words(p), t, re.I | re.A)] == [m.span() for m in re.finditer(whole, t, re.I | re.A)], (p, t)
+    assert sum(T.B in T.ascii_words(p) for p in PATTERNS) < 0.2 * len(PATTERNS)
+
+
+@pytest.mark.parametrize("name,times", [("q_kind", 1), ("q_kind_position", 1), ("q_mixed_lot", 3), ("q_stated_retail", 1)])
+def test_a_text_is_put_in_plain_signs_once(spark, name, times):
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("translate(") <= times
+
+
+def test_a_text_is_lower_cased_once_for_all_cautions(spark):
+    rows = spark.createDataFrame([("untested, used; Cracked",)], "t string").select(L._found(F.concat("t", F.lit(" x")), V.CAUTIONS).alias("found"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("lower(") == 1 and rows.first()[0] == ["untested", "used"]
+
+
+def test_repeated_words_of_a_title_do_not_reach_the_distinct_rows(spark):
+    rows = spark.createDataFrame([(1, "a a-1x a b1", ""), (1, "a c", ""), (None, "a", ""), (2, None, "")], "id long, title string, description string")
+    found = listings.q_model_shape(rows)
+    assert "array_distinct" in found._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, "a", False), (1, "a-1x", True), (1, "b1", True), (1, "c", False), (None, "a", False)], key=str)
