@@ -24,7 +24,7 @@ KEEP_MS = 40 * 86_400_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: What a row may lack, and what it then is.
 OPTIONAL = {"kind": "'answer'", "generation": "CAST(NULL AS BIGINT)", "fingerprint": "CAST(NULL AS STRING)", "seq": "revision"}
-ROW = ["at_ms", "seq", "kind", "generation", "fingerprint", "revision", "ok", "bid", "ceiling", "ends_ms"]
+ROW = ["at_ms", "seq", "kind", "generation", "fingerprint", "revision", "ok", "over", "ends_ms"]
 
 
 @dataclass
@@ -41,9 +41,7 @@ class Lot:
     fired: list[int] = field(default_factory=list)
     touched: int = 0
 
-    SCHEMA = "generation long, fingerprint string, revision long, failures int, over boolean, seen long, ends long, fired array<int>, touched long"
-
-    def take(self, at: int, seq: int, kind: str, generation: int | None, fingerprint: str | None, revision: int | None, ok: bool, bid: float | None, ceiling: float | None, ends: int | None) -> list[tuple[str, int]]:
+    def take(self, at: int, seq: int, kind: str, generation: int | None, fingerprint: str | None, revision: int | None, ok: bool, over: bool, ends: int | None) -> list[tuple[str, int]]:
         self.touched = at
         if kind == "ask":  # a new refresh: answers to earlier ones are late from now on
             if generation is not None and (self.generation is None or generation > self.generation):
@@ -57,7 +55,7 @@ class Lot:
         if revision is not None and self.revision is not None and revision < self.revision:
             return [("late", at)]
         self.revision, self.failures, self.seen, self.ends = self.revision if revision is None else revision, 0, at, ends
-        crossed, self.over = self.over, bid is not None and ceiling is not None and bid > ceiling
+        crossed, self.over = self.over, over
         return [("over_max", at)] if self.over and not crossed else []
 
     def due(self) -> list[tuple[int, int]]:
@@ -73,6 +71,10 @@ class Lot:
         return out
 
 
+def _packed(lot: Lot) -> str:
+    return json.dumps(list(vars(lot).values()))
+
+
 class Watch(StatefulProcessor):
     """Rows wait in the state until the watermark has passed them, in sorted runs of small pieces, and are then merged.
 
@@ -85,61 +87,71 @@ class Watch(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.lot = handle.getValueState("lot", Lot.SCHEMA)
-        self.runs = handle.getValueState("runs", "next long, runs array<array<long>>")  # of each run: number, piece, row in it, pieces, time of that row
+        # every call to the state is a round trip: one value holds the lot, its runs (of each: number, piece, row in it, pieces, time of that row), and the rows of a last run of 0 pieces
+        self.known = handle.getValueState("known", "lot string, next long, runs array<array<long>>, last string")
         self.pieces = handle.getMapState("pieces", "run long, piece long", "rows string")
 
-    def _waiting(self) -> tuple[int, list[list[int]]]:
-        if not self.runs.exists():
-            return 0, []
-        number, runs = self.runs.get()
-        return number, [list(x) for x in runs]
+    def _waiting(self) -> tuple[str, int, list[list[int]], str]:
+        found = self.known.get()
+        if found is None:
+            return _packed(Lot()), 0, [], ""
+        lot, number, runs, last = found
+        return lot, number, [list(x) for x in runs], last
+
+    def _piece(self, run: list[int], last: str) -> list[list]:
+        return [[row.get(name) for name in ROW] for row in json.loads(self.pieces.getValue((run[0], run[1]))[0] if run[3] else last)]
 
-    def _piece(self, run: int, piece: int) -> list[list]:
-        return json.loads(self.pieces.getValue((run, piece))[0])
+    def _read(self, row: Row) -> tuple:
+        """The place of a row in the order of its lot, and its text."""
+        text = row[-1]
+        said = json.loads(text)
+        return self._place((said["at_ms"], said.get("seq"))), text
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        number, runs = self._waiting()
-        fields = lambda r: [r[name] for name in ROW]
-        while own := sorted(map(fields, islice(rows, self.run)), key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
-            for k in range(0, len(own), self.chunk):
-                self.pieces.updateValue((number, k // self.chunk), (json.dumps(own[k : k + self.chunk]),))
-            runs.append([number, 0, 0, -(-len(own) // self.chunk), own[0][0]])
+        lot, number, runs, last = self._waiting()
+        while own := sorted(map(self._read, islice(rows, self.run)), key=lambda x: x[0]):
+            if last:  # is no longer the last one
+                self.pieces.updateValue((runs[-1][0], 0), (last,))
+                runs[-1][3], last = 1, ""
+            pieces = [f"[{','.join(text for _, text in own[k : k + self.chunk])}]" for k in range(0, len(own), self.chunk)]
+            if len(pieces) == 1:
+                last = pieces.pop()
+            for k, piece in enumerate(pieces):
+                self.pieces.updateValue((number, k), (piece,))
+            runs.append([number, 0, 0, len(pieces), own[0][0][0]])
             number += 1
-        self.runs.update((number, runs))
+        self.known.update((lot, number, runs, last))
         self.handle.registerTimer(min(r[4] for r in runs) + 1)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
         alert = lambda x: Row(lot_id=key[0], kind=x[0], at_ms=x[1])
-        lot = Lot(*self.lot.get()) if self.lot.exists() else Lot()
-        lot.fired = list(lot.fired)
-        number, runs = self._waiting()
+        lot, number, runs, last = self._waiting()
+        lot = Lot(*json.loads(lot))
         later = [r for r in runs if r[4] >= now]
-        for row in self._merged([r for r in runs if r[4] < now], now, later):
+        for row in self._merged([r for r in runs if r[4] < now], now, later, last):
             yield from map(alert, lot.alarms(row[0]))
             if self._forgotten(lot) < row[0]:
                 lot = Lot()
             yield from map(alert, lot.take(*row))
         yield from map(alert, lot.alarms(now))
         if not later and self._forgotten(lot) < now:
-            self.lot.clear()
-            self.runs.clear()
+            self.known.clear()
             return
-        self.lot.update((lot.generation, lot.fingerprint, lot.revision, lot.failures, lot.over, lot.seen, lot.ends, lot.fired, lot.touched))
-        self.runs.update((number, later))
+        later.sort()
+        self.known.update((_packed(lot), number, later, last if later and not later[-1][3] else ""))
         self.handle.registerTimer(max(now, min([r[4] for r in later] + [at for at, _ in lot.due()] + [self._forgotten(lot)])) + 1)
 
     def _forgotten(self, lot: Lot) -> int:
         """When a lot is forgotten if nothing more comes."""
         return max(lot.touched, lot.ends or 0) + self.keep_ms
 
-    def _merged(self, runs: list[list[int]], now: int, later: list[list[int]]) -> Iterator[list]:
+    def _merged(self, runs: list[list[int]], now: int, later: list[list[int]], last: str) -> Iterator[list]:
         """The waiting rows before ``now`` in order; what is left of the runs goes to ``later``."""
         heap = []
         for run in runs:
-            rows = self._piece(run[0], run[1])
+            rows = self._piece(run, last)
             heap.append((self._place(rows[run[2]]), run[0], run, rows))
         heapq.heapify(heap)
         while heap:
@@ -150,16 +162,17 @@ class Watch(StatefulProcessor):
             yield rows[run[2]]
             run[2] += 1
             if run[2] == len(rows):
-                self.pieces.removeKey((run[0], run[1]))
+                if run[3]:
+                    self.pieces.removeKey((run[0], run[1]))
                 run[1], run[2] = run[1] + 1, 0
-                if run[1] == run[3]:
+                if run[1] >= run[3]:
                     heapq.heappop(heap)
                     continue
-                rows = self._piece(run[0], run[1])
+                rows = self._piece(run, last)
             heapq.heapreplace(heap, (self._place(rows[run[2]]), run[0], run, rows))
 
     @staticmethod
-    def _place(row: list) -> tuple:
+    def _place(row: list | tuple) -> tuple:
         return row[0], row[1] is not None, row[1] or 0
 
 
@@ -175,7 +188,9 @@ def watch(refreshes: DataFrame, lateness: str = "10 minutes", processor: Watch |
     """
     rows = refreshes.withWatermark("at", lateness)
     rows = rows.withColumns({name: F.expr(x) for name, x in OPTIONAL.items() if name not in rows.columns})
-    rows = rows.select("lot_id", "at", F.unix_millis("at").alias("at_ms"), *ROW[1:])
+    over = F.coalesce((F.col("bid") > F.col("ceiling")) & ~F.isnan(F.col("bid").cast("double")), F.lit(False))
+    said = F.struct(F.unix_millis("at").alias("at_ms"), *(over.alias(name) if name == "over" else F.col(name) for name in ROW[1:]))
+    rows = rows.select("lot_id", "at", F.to_json(said).alias("said"))  # one text, as every cell of a row costs the Python worker as much as all that is done with it
     return rows.groupBy("lot_id").transformWithState(processor or Watch(), OUT, "append", "EventTime")
 
 

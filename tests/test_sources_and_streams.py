@@ -6,6 +6,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lotwright.sources import markup, paged
@@ -149,6 +150,40 @@ def test_lots_are_forgotten_after_their_end(spark, tmp_path):
     assert got == sorted([(lot, "over_max", at) for lot in (1, 2) for at in (0, 300)] + [(1, "alarm_15", 15), (1, "alarm_2", 28), (1, "alarm_15", 315), (1, "alarm_2", 328)])
 
 
+def test_a_row_reaches_the_worker_as_one_text(spark, tmp_path):
+    rows = [answer(1, 0, bid=float("nan")), answer(1, 1, bid=float("inf")), answer(1, 2, bid=None), answer(1, 3, bid=11.0), answer(1, 4, bid=float("nan")), answer(1, 5, bid=10.5), answer(9, 600)]
+    alerts = watch.watch(landed_refreshes(spark, tmp_path, [rows]))
+    assert "to_json" in alerts._jdf.queryExecution().analyzed().toString()
+    assert minutes(watch.run_to_end(alerts, str(tmp_path))) == [(1, "over_max", at) for at in (1, 3, 5)]
+
+
+def test_a_lot_of_few_rows_is_one_value_of_the_state():
+    calls = []
+
+    class State:
+        value = None
+
+        def __getattr__(self, name):
+            def call(*x):
+                calls.append(name)
+                if name in ("update", "clear"):
+                    self.value = x[0] if x else None
+                return self.value
+
+            return call
+
+        getValueState = getMapState = lambda self, *x: State()
+        getCurrentWatermarkInMs = lambda self: 10
+
+    processor = watch.Watch()
+    processor.init(State())
+    said = lambda **x: Row(lot_id=1, at=None, said=json.dumps({"kind": "answer", "revision": 1, "ok": True, "over": True} | x))
+    assert list(processor.handleInputRows((1,), iter([said(at_ms=20, seq=2), said(at_ms=2, seq=1), said(at_ms=1, over=False)]), State())) == []
+    assert [(r["kind"], r["at_ms"]) for r in processor.handleExpiredTimer((1,), State(), None)] == [("over_max", 2)]
+    assert calls == ["get", "update", "registerTimer"] * 2
+    assert len(json.loads(processor.known.value[3])) == 3 and processor.known.value[2] == [[0, 0, 2, 0, 20]]  # the third row waits
+
+
 def test_hourly_windows(spark, tmp_path):
     t0 = datetime.datetime(2024, 1, 1)
     events = [(k, t0 + datetime.timedelta(minutes=20 * k), "view", 1.0) for k in range(12)]
