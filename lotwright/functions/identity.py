@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import values as V
-from .listing import first_present, has, labelled_lines, normalised, research_query, trimmed, without_prefix
-from .text import B, ascii_words, compact_tokens, fits, identity_tokens, may_fit
+from .listing import LINE_ENDS, SPACES, ends_with, first_present, has, labelled_in, normalised, normalised_column, phrase_of, trimmed, trimmed_ends
+from .text import BETWEEN, B, Read, ascii_words, bare_tokens, compact_tokens, fits, held, identity_tokens, may_fit, numbered, roots, source
 
 _N = r"\b(\d+(?:\.\d+)?)"
 # What attributes look like in titles (pattern on the lower-cased title, canonical form of a match).
@@ -62,9 +62,20 @@ def _empty() -> Column:
     return F.array().cast("array<string>")
 
 
-def _all(text: Column, pattern: str) -> Column:
+#: Patterns of colours by name, and that of balls of any kind.
+COLOR_PATTERNS = {c: rf"\b{c}\b" for c in V.COLORS}
+BALL = r"\bballs?\b"
+#: Literals of which a word begins with one wherever a pattern that needs no digit fits.
+LITERALS = roots(tuple(p for group in (V.KINDS, V.FAMILIES, V.MATERIALS, V.BRANDS, COLOR_PATTERNS) for p in group.values()) + tuple(p for rules in RULES.values() for p, _ in rules if not numbered(p)) + (BALL,))
+
+
+def _plain(text: Column | Read) -> Column:
+    return text.text if isinstance(text, Read) else text
+
+
+def _all(text: Column | Read, pattern: str) -> Column:
     """Every match of a pattern in a lower-cased text."""
-    return F.when(may_fit(text, pattern), F.regexp_extract_all(text, F.lit(ascii_words(pattern)), F.lit(0))).when(text.isNotNull(), _empty())
+    return F.when(may_fit(text, pattern), F.regexp_extract_all(source(text, pattern), F.lit(ascii_words(pattern)), F.lit(0))).when(_plain(text).isNotNull(), _empty())
 
 
 def _form(pattern: str, form: str):
@@ -73,7 +84,7 @@ def _form(pattern: str, form: str):
     return (lambda m: F.regexp_replace(m, bare, form)) if "$" in form else (lambda m: F.lit(form))
 
 
-def _named(text: Column, patterns: dict[str, str]) -> Column:
+def _named(text: Column | Read, patterns: dict[str, str]) -> Column:
     return F.array_compact(F.array(*(F.when(fits(text, p), F.lit(n)) for n, p in patterns.items())))
 
 
@@ -102,23 +113,23 @@ def attributes(title: Column) -> dict[str, Column]:
     return attributes_of(F.lower(normalised(title)))
 
 
-def attributes_of(text: Column) -> dict[str, Column]:
+def attributes_of(text: Column | Read) -> dict[str, Column]:
     """The same for text that is lower-cased and in plain signs: a column, so that this is done once and not for each pattern."""
     out: dict[str, Column] = {}
     for name, rules in RULES.items():
         found = [F.transform(_all(text, p), _form(p, form)) for p, form in rules]
         some = reduce(Column.__or__, (may_fit(text, p) for p, _ in rules))
-        out[name] = F.when(some, F.array_sort(F.array_distinct(F.concat(*found)))).when(text.isNotNull(), _empty())
-    series = _series(text)
+        out[name] = F.when(some, F.array_sort(F.array_distinct(F.concat(*found)))).when(_plain(text).isNotNull(), _empty())
+    series = _series(text.numbers if isinstance(text, Read) else text)  # every member has a number
     out["seriesSignatures"] = F.when(F.size(out["platformVariants"]) > 0, _empty()).otherwise(series)
     families = _named(text, V.FAMILIES)
-    ball = fits(text, r"\bballs?\b") & ~F.arrays_overlap(families, F.array(*map(F.lit, V.EXCLUSIVE[0])))
+    ball = fits(text, BALL) & ~F.arrays_overlap(families, F.array(*map(F.lit, V.EXCLUSIVE[0])))
     out["productFamilies"] = F.array_sort(F.when(ball, F.array_append(families, F.lit("other-ball"))).otherwise(families))
     units = {"kb": 0, "mb": 1, "gb": 2, "tb": 3}
     sizes = _all(text, _N + r"[\s-]*(?:tb|gb|mb|kb)\b")
     weighed = F.transform(sizes, lambda m: F.struct((F.regexp_extract(m, r"(\d+(?:\.\d+)?)", 1).cast("double") * sum((F.when(F.right(m, F.lit(2)) == u, 1024.0**k).otherwise(0.0) for u, k in units.items()), F.lit(0.0))).alias("n"), F.regexp_replace(m, r"[\s-]", "").alias("v")))
     out["capacities"] = F.when(F.size(weighed) > 0, F.array(F.array_max(weighed)["v"])).otherwise(_empty())  # the largest alone
-    colors = F.array_distinct(F.transform(_named(text, {c: rf"\b{c}\b" for c in V.COLORS}), lambda c: F.when(c == "gray", "grey").otherwise(c)))
+    colors = F.array_distinct(F.transform(_named(text, COLOR_PATTERNS), lambda c: F.when(c == "gray", "grey").otherwise(c)))
     out["colors"] = F.array_sort(F.when(F.size(colors) > 1, F.array_remove(colors, "clear")).otherwise(colors))  # clear glass in a colour has that colour
     out["materials"] = F.array_sort(_named(text, V.MATERIALS))
     return {g: out[g] for g in GROUPS}
@@ -128,7 +139,7 @@ def kind(title: Column) -> Column:
     return kind_of(F.lower(normalised(title)))
 
 
-def kind_of(text: Column) -> Column:
+def kind_of(text: Column | Read) -> Column:
     return F.coalesce(*(F.when(fits(text, p), k) for k, p in V.KINDS.items()))
 
 
@@ -142,7 +153,7 @@ def brand_family(title: Column) -> Column:
     return family_of(F.lower(normalised(title)))
 
 
-def family_of(text: Column) -> Column:
+def family_of(text: Column | Read) -> Column:
     return F.coalesce(*(F.when(fits(text, p), k) for k, p in V.BRANDS.items()))
 
 
@@ -169,54 +180,102 @@ def model_matches(title: Column, wanted: Column) -> Column:
     return F.coalesce((target != "") & F.rlike(joined, spaced), F.lit(False))
 
 
-def identified(rows: DataFrame, title: str, description: str | None = None, stated: str | None = None, out: str = "identity") -> DataFrame:
-    """rows with struct(name, query, brand, model, model2, kind, capacities, tokens, stated_retail, family, evidence, telling, asks, and every attribute group).
+#: Fixed value: words of a name that are read first when its first twelve telling ones are looked for.
+FIRST_WORDS = 48
+#: What a word holds that is shaped like a model or a capacity: a digit, or a hyphen behind a capital.
+SHAPED = r"\d|[A-Z]-[A-Z+.]"
+
+
+def _without(rows: DataFrame, name: str, begins: str, pattern: str) -> DataFrame:
+    """rows with a column without what a pattern fits at its beginning; ``begins`` is what the column must begin with for that, white space aside."""
+    x = F.col(name)
+    return rows.withColumn(name, F.when(F.left(x, F.lit(12)).rlike(rf"(?i)^(?:\s|{begins})"), F.regexp_replace(x, "(?i)" + pattern, "")).otherwise(x))
+
+
+def _worded(rows: DataFrame) -> DataFrame:
+    """rows with ``_i_tokens``, the first twelve words of ``_i_name`` that say something, and ``_i_shaped``, all of its words that may be models or capacities."""
+    telling = lambda words: F.filter(bare_tokens(words), lambda t: ~F.lower(t).isin(V.NOISE) & ~t.rlike(r"^\$?[\d.,]+$"))
+    rows = rows.withColumn("_i_words", F.split("_i_name", BETWEEN, FIRST_WORDS + 1))  # the last is the rest of the name, if it has more
+    rows = rows.withColumn("_i_tokens", telling(F.slice("_i_words", 1, FIRST_WORDS)))
+    enough = (F.size("_i_words") <= FIRST_WORDS) | (F.size("_i_tokens") >= 12)
+    rows = rows.withColumn("_i_tokens", F.slice(F.when(enough, F.col("_i_tokens")).otherwise(telling(F.split("_i_name", BETWEEN))), 1, 12))
+    shaped = bare_tokens(F.filter(F.split("_i_name", BETWEEN), lambda t: t.rlike(SHAPED)))  # no word of NOISE and no plain number has such a shape
+    return rows.withColumn("_i_shaped", F.when(F.col("_i_name").rlike(SHAPED), shaped).otherwise(_empty()))
+
+
+def _titled(rows: DataFrame, title: str, text: Column) -> DataFrame:
+    """rows with ``_i_name``, the product's name, and ``_i_fields``, what the labelled lines of a description say."""
+    rows = normalised_column(rows, "_i_lead", F.col(title).cast("string"))
+    rows = rows.withColumns({"_i_lead": trimmed_ends(F.col("_i_lead")), "_i_labelled": F.contains(text, F.lit(":")) | F.contains(text, F.lit("?"))})
+    rows = normalised_column(rows, "_i_said", F.when(F.col("_i_labelled") | (F.col("_i_lead") == ""), text))  # without labels it only stands in for a title
+    fields, free = labelled_in(F.col("_i_said"))
+    rows = rows.withColumn("_i_fields", F.when(F.col("_i_labelled"), fields).otherwise(F.map_from_arrays(_empty(), _empty())))
+    prose = trimmed(F.regexp_replace(F.get(F.split(free, r"\n\s*\*{2,}"), F.lit(0)), r"\n+", " "))  # needed without a title only
+    rows = rows.withColumn("_i_head", F.when(F.col("_i_lead") != "", F.col("_i_lead")).otherwise(F.coalesce(prose, F.lit(""))))
+    several = F.contains("_i_head", F.lit("|"))
+    rows = rows.withColumn("_i_sections", F.when(several, F.filter(F.transform(F.split("_i_head", r"\|"), trimmed), lambda p: p != "")))
+    telling = F.filter("_i_sections", lambda p: ~p.rlike(r"(?i)^lot\s*#?\s*[a-z0-9-]+$|^(?:retail|msrp|est\.?|value)?\s*\$?\s*[\d,]+(?:\.\d+)?\s*$"))
+    named = F.coalesce(F.get(telling, F.lit(0)), F.try_element_at("_i_sections", F.lit(-1)), F.lit(""))
+    named = F.when(F.size("_i_sections") > 1, named).otherwise(F.coalesce(F.get("_i_sections", F.lit(0)), F.lit("")))
+    rows = rows.withColumn("_i_name", F.when(several, named).otherwise(trimmed_ends(F.col("_i_head"))))
+    rows = _without(rows, "_i_name", "retail|msrp|est|value", r"^\s*(?:retail|msrp|est\.?\s*retail(?:\s*price)?|value)\s*[:\-]?\s*\$?\s*[\d,]+(?:\.\d+)?\s*")
+    rows = _without(rows, "_i_name", r"\$", r"^\s*\$\s*[\d,]+(?:\.\d+)?\s*")
+    rows = rows.withColumn("_i_name", F.regexp_replace("_i_name", r"\s{2,}", " "))
+    rows = rows.withColumn("_i_name", trimmed_ends(F.col("_i_name")))
+    dashed = ends_with(F.col("_i_name"), ("-", *SPACES, *LINE_ENDS))
+    rows = rows.withColumn("_i_name", F.when(dashed, F.regexp_replace("_i_name", r"\s*-\s*$", "")).otherwise(F.col("_i_name")))
+    for begins, pattern in zip(("lot", "av|inv|sku|stock|item", "brand|new|open|used|refurbished|renewed"), V.PREFIXES, strict=True):
+        rows = _without(rows, "_i_name", begins, pattern)
+    first = trimmed(F.get(F.split("_i_said", "\n"), F.lit(0)))
+    rows = rows.withColumn("_i_name", trimmed_ends(F.col("_i_name")))
+    return rows.withColumn("_i_name", F.when(F.length("_i_name") >= 3, F.col("_i_name")).when(F.col("_i_lead") != "", F.col("_i_lead")).otherwise(first))
+
+
+def identity_of(rows: DataFrame, title: str, description: str | None = None, stated: str | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """rows with further columns, and what ``identified`` says of them in terms of these, by name.
 
     The title names the product; labelled lines of the description add brand and model. ``tokens`` are the first twelve
     words that say something, ``telling`` those that titles are compared by, ``evidence`` counts attribute values, ``asks``
     is what ``evaluated`` looks for in a candidate's title.
     """
     text = F.col(description).cast("string") if description else F.lit(None).cast("string")
-    fields, free = labelled_lines(text)
-    rows = rows.withColumns({"_i_lead": trimmed(normalised(F.col(title).cast("string"))), "_i_fields": fields, "_i_free": free})
-    prose = trimmed(F.regexp_replace(F.get(F.split("_i_free", r"\n\s*\*{2,}"), F.lit(0)), r"\n+", " "))
-    rows = rows.withColumn("_i_sections", F.filter(F.transform(F.split(F.when(F.col("_i_lead") != "", F.col("_i_lead")).otherwise(F.coalesce(prose, F.lit(""))), r"\|"), trimmed), lambda p: p != ""))
-    telling = F.filter("_i_sections", lambda p: ~p.rlike(r"(?i)^lot\s*#?\s*[a-z0-9-]+$|^(?:retail|msrp|est\.?|value)?\s*\$?\s*[\d,]+(?:\.\d+)?\s*$"))
-    named = F.coalesce(F.get(telling, F.lit(0)), F.try_element_at("_i_sections", F.lit(-1)), F.lit(""))
-    named = F.when(F.size("_i_sections") > 1, named).otherwise(F.coalesce(F.get("_i_sections", F.lit(0)), F.lit("")))
-    named = F.regexp_replace(named, r"(?i)^\s*(?:retail|msrp|est\.?\s*retail(?:\s*price)?|value)\s*[:\-]?\s*\$?\s*[\d,]+(?:\.\d+)?\s*", "")
-    named = trimmed(F.regexp_replace(F.regexp_replace(named, r"^\s*\$\s*[\d,]+(?:\.\d+)?\s*", ""), r"\s{2,}", " "))
-    rows = rows.withColumn("_i_name", without_prefix(F.regexp_replace(named, r"\s*-\s*$", "")))
-    first = trimmed(F.get(F.split(normalised(text), "\n"), F.lit(0)))
-    rows = rows.withColumn("_i_name", F.when(F.length("_i_name") >= 3, F.col("_i_name")).when(F.col("_i_lead") != "", F.col("_i_lead")).otherwise(first))
-    rows = rows.withColumn("_i_tokens", F.filter(identity_tokens(F.col("_i_name")), lambda t: ~F.lower(t).isin(V.NOISE) & ~t.rlike(r"^\$?[\d.,]+$")))
+    rows = _worded(_titled(rows, title, text))  # the name is in plain signs
     said = lambda *names: trimmed(F.coalesce(first_present(F.col("_i_fields"), list(names)), F.lit("")))
     rows = rows.withColumns({"_i_first": F.coalesce(F.get("_i_tokens", F.lit(0)), F.lit("")), "_i_stated": said("brand", "manufacturer", "make"), "_i_number": said("model", "model #", "model number", "mpn")})
     stated_brand, number = F.col("_i_stated"), F.col("_i_number")
     appears = F.rlike(F.col("_i_name"), F.concat(F.lit("(?i)" + B), literal(stated_brand), F.lit(B)))
     brand = F.when((stated_brand != "") & ((F.col("_i_first") == "") | F.col("_i_first").rlike(V.GENERIC_BRAND) | appears), stated_brand).otherwise(F.col("_i_first"))
     good = F.when(looks_like_model(number), number)
-    found = F.coalesce(F.when(model_matches(F.col("_i_name"), number), good), _model(F.col("_i_tokens")), good)
-    rows = rows.withColumns({"_i_brand": brand, "_i_model": found, "_i_text": F.lower(normalised(F.col("_i_name")))})
-    rows = rows.withColumns({"_i_family": F.concat(F.lower(normalised(F.col("_i_brand"))), F.lit(" "), F.col("_i_text")), **{f"_i_g_{g}": c for g, c in attributes_of(F.col("_i_text")).items()}})
+    found = F.coalesce(F.when(model_matches(F.col("_i_name"), number), good), _model(F.col("_i_shaped")), good)
+    rows = rows.withColumns({"_i_brand": brand, "_i_model": found, "_i_text": F.lower("_i_name")})
+    rows = rows.withColumns({"_i_family": F.concat(F.lower("_i_brand"), F.lit(" "), F.col("_i_text")), "_i_numbers": F.when(F.col("_i_text").rlike(r"\d"), F.col("_i_text")).otherwise("")})
+    rows = rows.withColumn("_i_held", held(F.col("_i_family"), LITERALS))
+    read = Read(F.col("_i_text"), F.col("_i_numbers"), F.col("_i_held"), LITERALS)
+    rows = rows.withColumns({f"_i_g_{g}": c for g, c in attributes_of(read).items()})
     own = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("_i_model", "_i_brand")]
-    second = F.filter("_i_tokens", lambda t: (F.lower(t) != own[0]) & (F.lower(t) != own[1]) & t.rlike(V.TITLE_MODEL) & ~t.rlike(V.GENERIC_MODEL))
+    second = F.filter("_i_shaped", lambda t: (F.lower(t) != own[0]) & (F.lower(t) != own[1]) & t.rlike(V.TITLE_MODEL) & ~t.rlike(V.GENERIC_MODEL))
     certain = F.col("_i_model").isNotNull() | (F.size("_i_g_gpuModels") > 0) | (F.size("_i_g_cpuModels") > 0)
     rows = rows.withColumn("_i_g_seriesSignatures", F.when(certain, _empty()).otherwise(F.col("_i_g_seriesSignatures")))
-    tokens = F.slice("_i_tokens", 1, 12)
+    tokens = F.col("_i_tokens")
     small = F.transform(tokens, lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9]+", ""))
     retail = F.col(stated).cast("double") if stated else F.lit(None).cast("double")
-    result = F.struct(
-        F.col("_i_name").alias("name"), research_query(F.col("_i_name")).alias("query"), F.col("_i_brand").alias("brand"), F.col("_i_model").alias("model"), F.get(second, F.lit(0)).alias("model2"),
-        kind_of(F.col("_i_text")).alias("kind"), F.array_distinct(F.filter("_i_tokens", lambda t: t.rlike(V.CAPACITY))).alias("sizes"), tokens.alias("tokens"),
-        F.when((retail > 0) & (retail < float("inf")), retail).alias("stated_retail"), family_of(F.col("_i_family")).alias("family"),
-        sum((F.size(f"_i_g_{g}") for g in GROUPS), F.lit(0)).alias("evidence"),
-        F.array_distinct(F.filter(small, lambda t: (F.length(t) > 2) & ~t.isin(V.RETAIL_NOISE) & ~t.rlike("^[0-9]+$"))).alias("telling"),
-        _asks({"name": F.col("_i_name"), "brand": F.col("_i_brand"), "model": F.col("_i_model"), "model2": F.get(second, F.lit(0)), "tokens": tokens} | {g: F.col(f"_i_g_{g}") for g in GROUPS}).alias("asks"),
-        *(F.col(f"_i_g_{g}").alias(g) for g in GROUPS),
-    )
+    values = {
+        "name": F.col("_i_name"), "query": phrase_of(F.col("_i_name")), "brand": F.col("_i_brand"), "model": F.col("_i_model"), "model2": F.get(second, F.lit(0)),
+        "kind": kind_of(read), "sizes": F.array_distinct(F.filter("_i_shaped", lambda t: t.rlike(V.CAPACITY))), "tokens": tokens,
+        "stated_retail": F.when((retail > 0) & (retail < float("inf")), retail), "family": family_of(read._replace(text=F.col("_i_family"))),
+        "evidence": sum((F.size(f"_i_g_{g}") for g in GROUPS), F.lit(0)),
+        "telling": F.array_distinct(F.filter(small, lambda t: (F.length(t) > 2) & ~t.isin(V.RETAIL_NOISE) & ~t.rlike("^[0-9]+$"))),
+        "asks": _asks({"name": F.col("_i_name"), "brand": F.col("_i_brand"), "model": F.col("_i_model"), "model2": F.get(second, F.lit(0)), "tokens": tokens} | {g: F.col(f"_i_g_{g}") for g in GROUPS}),
+        **{g: F.col(f"_i_g_{g}") for g in GROUPS},
+    }
+    return rows, values
+
+
+def identified(rows: DataFrame, title: str, description: str | None = None, stated: str | None = None, out: str = "identity") -> DataFrame:
+    """rows with struct(name, query, brand, model, model2, kind, capacities, tokens, stated_retail, family, evidence, telling, asks, and every attribute group)."""
+    rows, values = identity_of(rows, title, description, stated)
     kept = [F.col(f"`{c}`") for c in rows.columns if not c.startswith("_i_") and c != out]
-    return rows.select(*kept, result.alias(out))
+    return rows.select(*kept, F.struct(*(c.alias(n) for n, c in values.items())).alias(out))
 
 
 def offered(rows: DataFrame, title: str, out: str = "offer") -> DataFrame:

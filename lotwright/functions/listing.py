@@ -7,6 +7,7 @@ read once however many questions are asked of it.
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +21,21 @@ def has(x: Column, pattern: str, lowered: Column | None = None) -> Column:
     return F.coalesce(may_fit(F.lower(x) if lowered is None else lowered, pattern) & x.rlike("(?i)" + ascii_words(pattern)), F.lit(False))
 
 
+#: Fixed value: quotes, dashes and spaces that have plain forms.
+SIGNS = "‘’ʼ′“”–—   "
+
+
 def normalised(x: Column) -> Column:
     """x in plain signs: line ends as LF, quotes, dashes and special spaces as those of ASCII; null is empty."""
     x = F.regexp_replace(F.coalesce(x, F.lit("")), "\r\n?", "\n")
-    return F.translate(x, "‘’ʼ′“”–—   ", "''''\"\"--   ")
+    return F.translate(x, SIGNS, "''''\"\"--   ")
+
+
+def normalised_column(rows: DataFrame, name: str, x: Column) -> DataFrame:
+    """rows with ``normalised`` of x as a column, where only texts that hold such signs are rewritten."""
+    some = lambda signs: reduce(Column.__or__, (F.contains(F.col(name), F.lit(s)) for s in signs))
+    rows = rows.withColumn(name, F.coalesce(x, F.lit(""))).withColumn(name, F.when(some("\r"), F.regexp_replace(name, "\r\n?", "\n")).otherwise(F.col(name)))
+    return rows.withColumn(name, F.when((F.length(name) != F.octet_length(name)) & some(SIGNS), F.translate(name, SIGNS, "''''\"\"--   ")).otherwise(F.col(name)))
 
 
 def collapsed(x: Column) -> Column:
@@ -42,6 +54,22 @@ def trimmed(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
+#: Fixed value: line ends that are no white space to patterns, but may stand behind their $.
+LINE_ENDS = ("\u0085", "\u2028", "\u2029")
+#: Fixed value: what is white space to patterns.
+SPACES = tuple(" \t\n\x0b\f\r")
+
+
+def ends_with(x: Column, signs: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, (F.endswith(x, F.lit(s)) for s in signs))
+
+
+def trimmed_ends(x: Column) -> Column:
+    """``trimmed`` of a column, of which only the ends are looked at."""
+    loose = reduce(Column.__or__, (F.startswith(x, F.lit(s)) for s in SPACES), ends_with(x, SPACES))
+    return F.when(ends_with(x, LINE_ENDS), trimmed(x)).when(loose, F.trim(x, F.lit("".join(SPACES)))).otherwise(x)
+
+
 def _plain_letters() -> tuple[str, str]:
     """Latin letters with marks, and the letters that their decompositions begin with."""
     pairs = []
@@ -65,7 +93,32 @@ def research_query(title: Column) -> Column:
 
     Titles that leave fewer than two words give their own first 120 signs.
     """
-    return _once(collapsed(normalised(title)), _phrase)
+    return phrase_of(normalised(title))
+
+
+#: Fixed value: of longer titles the beginning is tried first.
+LONG = 300
+
+
+def phrase_of(plain: Column) -> Column:
+    """``research_query`` of a title in plain signs.
+
+    The beginning of a long title decides its phrase if it begins with no lot number, holds no digit and no auction, which all
+    that is taken out needs, and gives more than the phrase's signs before its last four words, which what follows may
+    change. Otherwise the whole title is read.
+    """
+    whole = lambda x: _once(F.when(F.length(x) <= LONG, x).otherwise(_once(collapsed(F.left(x, F.lit(LONG))), lambda begun: F.when(_decides(begun), begun).otherwise(x))), collapsed)
+    return _once(_once(plain, whole), _phrase)
+
+
+def _decides(begun: Column) -> Column:
+    enough = lambda words: F.length(F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 4, F.lit(0))), " ")) >= 140
+    return _once(F.lower(F.translate(begun, ACCENTED, PLAIN)), lambda x: ~x.rlike(r"^\s*lot|\d|auct") & _once(_phrase_words(x), enough))
+
+
+def _phrase_words(x: Column) -> Column:
+    """The words of a phrase without signs at their ends, and without those that say nothing."""
+    return F.filter(F.regexp_extract_all(x, F.lit(r"[a-z0-9](?:[a-z0-9.+-]*[a-z0-9+])?"), F.lit(0)), lambda t: ~t.isin("x", *V.QUERY_NOISE))
 
 
 def _phrase(original: Column) -> Column:
@@ -75,10 +128,8 @@ def _phrase(original: Column) -> Column:
     for pattern in (r"\b(?:lot|pair|set|group)\s+of\s+\d+\b", r"\bx\s*\d+\b", r"\b\d+\s*pcs?\b", r"\b(?:online\s+)?auction\s+(?:item|lot)\b.*$"):
         x = F.regexp_replace(x, ascii_words(pattern), " ")
     x = F.regexp_replace(x, r"^\s*(?:av|inv(?:entory)?|sku)\s*[-:|]\s*", " ")
-    tokens = F.transform(F.split(F.regexp_replace(x, r"[^a-z0-9.+-]+", " "), " "), lambda t: F.regexp_replace(t, r"^[.+-]+|[.-]+$", ""))
-    tokens = F.filter(tokens, lambda t: ~t.isin("", "x", *V.QUERY_NOISE))
     shortened = lambda phrase: F.when(F.length(phrase) <= 120, phrase).otherwise(F.left(F.regexp_replace(F.left(phrase, F.lit(121)), r"\s+\S*$", ""), F.lit(120)))
-    return _once(tokens, lambda words: F.when(F.size(words) >= 2, _once(F.array_join(words, " "), shortened)).otherwise(F.left(original, F.lit(120))))
+    return _once(_phrase_words(x), lambda words: F.when(F.size(words) >= 2, _once(F.array_join(words, " "), shortened)).otherwise(F.left(original, F.lit(120))))
 
 
 #: Fixed value: a line that says something under a name: name, sign, value.
@@ -90,7 +141,12 @@ def labelled_lines(text: Column) -> tuple[Column, Column]:
 
     A question without an answer is one of the other lines.
     """
-    lines = F.split(normalised(text), "\n")
+    return labelled_in(normalised(text))
+
+
+def labelled_in(plain: Column) -> tuple[Column, Column]:
+    """``labelled_lines`` of a text in plain signs."""
+    lines = F.split(plain, "\n")
     signed = lambda v: F.contains(v, F.lit(":")) | F.contains(v, F.lit("?"))  # noqa: E731  no other line can be a labelled one
     cut = lambda v, i: F.struct(v.alias("v"), i.alias("at"), *(F.when(signed(v), trimmed(F.regexp_extract(v, LINE, k))).otherwise("").alias(n) for k, n in ((1, "name"), (2, "sign"), (3, "answer"))))
     parsed = F.transform(lines, cut)  # every line is cut once

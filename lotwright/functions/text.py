@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import cache, reduce
 from re import _constants as C
-from re import _parser, error
+from re import _parser, error, escape
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -109,17 +110,118 @@ def _loose(pattern: str) -> str | None:
     return pattern.replace(r"\b", "") if pattern.startswith(r"\b(\d") and "(?!" not in pattern and "(?<" not in pattern else None
 
 
-def may_fit(lowered: Column, pattern: str) -> Column:
+def _of_digits(op, arg) -> bool:
+    """Whether a sign of a pattern is an ASCII digit, whatever it fits."""
+    if op is C.LITERAL:
+        return 48 <= arg <= 57
+    if op is C.RANGE:
+        return 48 <= arg[0] and arg[1] <= 57
+    return all(_of_digits(*x) for x in arg) if op is C.IN else op is C.CATEGORY and arg is C.CATEGORY_DIGIT
+
+
+def _numbered(parsed) -> bool:
+    for op, arg in parsed:
+        if op is C.SUBPATTERN:
+            found = _numbered(arg[3])
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            found = arg[0] > 0 and _numbered(arg[2])
+        else:
+            found = all(_numbered(way) for way in arg[1]) if op is C.BRANCH else _of_digits(op, arg)
+        if found:
+            return True
+    return False
+
+
+@cache
+def numbered(pattern: str) -> bool:
+    """Whether all that the pattern fits holds a digit; False where that is not certain."""
+    return _numbered(_parser.parse(pattern))
+
+
+def _begun(parsed) -> set[str] | None:
+    """Literals of which all that is parsed, if it stands at the beginning of a word, begins with one; None if that is not certain."""
+    found: set[str] = set()
+    for k, (op, arg) in enumerate(parsed):
+        if op is C.LITERAL:
+            lead = _lead(parsed[k:])
+            after = parsed[k + len(lead) :]
+            ways = after[0][1][1] if after and after[0][0] is C.BRANCH else [[]]
+            return found | {lead + _lead(way) for way in ways}
+        optional = op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0] == 0
+        ways = [arg[3]] if op is C.SUBPATTERN else arg[1] if op is C.BRANCH else [arg[2]] if op in (C.MAX_REPEAT, C.MIN_REPEAT) else []
+        begun = [_begun(list(way)) for way in ways]
+        if not begun or None in begun:
+            return None
+        found = found.union(*begun)
+        if not optional:
+            return found
+    return None
+
+
+@cache
+def begins(pattern: str) -> tuple[str, ...]:
+    """Lower-case literals of which one stands at the beginning of an ASCII word in every text that the pattern fits; none if there are no such literals of two signs or more."""
+    parsed = list(_parser.parse(pattern))
+    found = _begun(parsed[1:]) if parsed[:1] == [(C.AT, C.AT_BOUNDARY)] else None
+    return tuple(sorted(found)) if found and all(len(x) > 1 and _of_words(C.LITERAL, ord(x[0])) for x in found) else ()
+
+
+@cache
+def roots(patterns: tuple[str, ...]) -> tuple[str, ...]:
+    """Of the literals that words begin with where the patterns fit, those that begin with no other one."""
+    literals = {x for p in patterns for x in begins(p)}
+    return tuple(sorted(x for x in literals if not any(x != y and x.startswith(y) for y in literals)))
+
+
+def _tree(words: list[str], most: int = 5) -> str:
+    """A pattern that fits any of the words, of which none begins with another: what they begin with is tried once, and by sets of signs where these are many."""
+    rests: dict[str, list[str]] = {}
+    for w in words:
+        rests.setdefault(w[0], []).append(w[1:])
+    ways = [escape(c) + (_tree(rest) if any(rest) else "") for c, rest in rests.items()]
+    if len(ways) > most:
+        signs = list(rests)
+        ways = [f"(?=[{''.join(map(escape, signs[k : k + most]))}])(?:{'|'.join(ways[k : k + most])})" for k in range(0, len(ways), most)]
+    return "(?:" + "|".join(ways) + ")"
+
+
+def held(lowered: Column, literals: tuple[str, ...]) -> Column:
+    """Which of the literals (none begins with another) ASCII words of a lower-cased text begin with, all found in one pass."""
+    return F.array_distinct(F.regexp_extract_all(lowered, F.lit(BEGIN + f"(?=({_tree(list(literals))}))"), F.lit(1)))
+
+
+class Read(NamedTuple):
+    """A lower-cased text, and what was read off it once for many patterns: columns, so that it is not done for each."""
+
+    text: Column
+    #: The text if it holds a digit, else empty: for patterns that need one.
+    numbers: Column
+    #: Which of the literals its words begin with.
+    held: Column
+    literals: tuple[str, ...]
+
+
+def source(lowered: Column | Read, pattern: str) -> Column:
+    """Where a pattern is looked for."""
+    if isinstance(lowered, Read):
+        return lowered.numbers if numbered(pattern) else lowered.text
+    return lowered
+
+
+def may_fit(lowered: Column | Read, pattern: str) -> Column:
     """Whether the pattern may fit a lower-cased text, by a cheap test: never false where it does fit."""
-    literals = needed(pattern)
+    begun = {x: [r for r in lowered.literals if x.startswith(r)] for x in begins(pattern)} if isinstance(lowered, Read) else {}
+    first = reduce(Column.__or__, (F.array_contains(lowered.held, r) for r in sorted({r for found in begun.values() for r in found}))) if begun and all(begun.values()) else None
+    literals, lowered = needed(pattern), source(lowered, pattern)
     test = reduce(Column.__or__, (F.contains(lowered, F.lit(x)) for x in literals)) if literals else F.lit(True)
+    test = test if first is None else first & test
     loose = _loose(pattern)
     return test & lowered.rlike(loose) if loose and min(map(len, literals), default=0) < 3 else test
 
 
-def fits(lowered: Column, pattern: str) -> Column:
+def fits(lowered: Column | Read, pattern: str) -> Column:
     """Whether the pattern occurs in a lower-cased text, with each \\b on ASCII words."""
-    return may_fit(lowered, pattern) & lowered.rlike(ascii_words(pattern))
+    return may_fit(lowered, pattern) & source(lowered, pattern).rlike(ascii_words(pattern))
 
 
 def squeezed(x: Column) -> Column:
@@ -137,10 +239,18 @@ def compact_tokens(x: Column) -> Column:
     return F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda t: t != "")
 
 
+#: What stands between the words of a name.
+BETWEEN = r"[\s,;/]+"
+
+
+def bare_tokens(words: Column) -> Column:
+    """Words trimmed of signs, but of + . - only in front; those of signs alone are left out."""
+    return F.filter(F.transform(words, lambda t: F.regexp_extract(t, r"(?s)[A-Za-z0-9](?:.*[A-Za-z0-9+.\-])?", 0)), lambda t: t != "")
+
+
 def identity_tokens(x: Column) -> Column:
     """Tokens between spaces, commas, semicolons and slashes, trimmed of other signs but + . - at the end."""
-    cut = F.transform(F.split(x, r"[\s,;/]+"), lambda t: F.regexp_replace(t, r"^[^A-Za-z0-9]+|[^A-Za-z0-9+.\-]+$", ""))
-    return F.filter(cut, lambda t: t != "")
+    return bare_tokens(F.split(x, BETWEEN))
 
 
 def slug(x: Column) -> Column:

@@ -212,7 +212,9 @@ def q_research_query(rows: DataFrame) -> DataFrame:
 @listing_query()
 def q_identity(rows: DataFrame) -> DataFrame:
     """Name, brand, models, kind, words and evidence of every listing; tested on titles with known outcomes."""
-    return I.identified(rows, "title", "description").select("id", "identity.name", "identity.query", "identity.brand", "identity.model", "identity.model2", "identity.kind", "identity.family", "identity.sizes", "identity.tokens", "identity.telling", "identity.evidence")
+    asked = ("name", "query", "brand", "model", "model2", "kind", "family", "sizes", "tokens", "telling", "evidence")
+    rows, values = I.identity_of(rows, "title", "description")
+    return rows.select("id", *(values[x].alias(x) for x in asked))  # from a struct, all of it would be made
 
 
 @listing_query(f""", k AS (SELECT id, lower(title) AS t FROM listings)
