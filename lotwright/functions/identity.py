@@ -200,7 +200,7 @@ def _worded(rows: DataFrame) -> DataFrame:
     enough = (F.size("_i_words") <= FIRST_WORDS) | (F.size("_i_tokens") >= 12)
     rows = rows.withColumn("_i_tokens", F.slice(F.when(enough, F.col("_i_tokens")).otherwise(telling(F.split("_i_name", BETWEEN))), 1, 12))
     shaped = bare_tokens(F.filter(F.split("_i_name", BETWEEN), lambda t: t.rlike(SHAPED)))  # no word of NOISE and no plain number has such a shape
-    return rows.withColumn("_i_shaped", F.when(F.col("_i_name").rlike(SHAPED), shaped).otherwise(_empty()))
+    return rows.withColumn("_i_shaped", F.when(F.col("_i_name").rlike(r"\d") | (F.contains("_i_name", F.lit("-")) & F.col("_i_name").rlike(SHAPED)), shaped).otherwise(_empty()))
 
 
 def _titled(rows: DataFrame, title: str, text: Column) -> DataFrame:

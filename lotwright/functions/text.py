@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
-#: The same where the next sign, or the one before, is known to be of a word.
-BEGIN, END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+#: The same where the next sign, or the one before, is known to be of a word; to the engine \w is ASCII, and one test instead of four.
+BEGIN, END = r"(?<!\w)", r"(?!\w)"
 
 
 def _of_words(op, arg) -> bool:

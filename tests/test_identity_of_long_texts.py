@@ -37,7 +37,7 @@ def test_what_is_read_off_a_text_once_excludes_no_fit():
             if re.search(T.ascii_words(p), t, re.A):
                 fitted += 1
                 assert not T.numbered(p) or re.search("[0-9]", t), (p, t)
-                assert not T.begins(p) or any(re.search(T.BEGIN + re.escape(x), t) for x in T.begins(p)), (p, t)
+                assert not T.begins(p) or any(re.search(T.BEGIN + re.escape(x), t, re.A) for x in T.begins(p)), (p, t)
     assert fitted > 500 and all(T.numbered(p) or T.begins(p) or T.needed(p) for p in PATTERNS)
     assert T.begins(V.BRANDS["western-digital"]) == ("wd", "western") and T.begins(V.KINDS["receiver"]) == () and T.begins(r"\b(?:|a)bc\b") == ()
     assert T.numbered(r"\b(rtx|gtx)\s*(\d{3,4})\b") and not T.numbered(r"\bx\d*\b") and not T.numbered(r"\b(?:4k|oled)\b")
@@ -46,7 +46,7 @@ def test_what_is_read_off_a_text_once_excludes_no_fit():
 def test_words_begin_with_what_is_held(spark):
     rows = spark.createDataFrame([(t.lower(),) for t in titles()], "t string").select("t", T.held(F.col("t"), I.LITERALS).alias("held"))
     for t, held in rows.collect():
-        assert set(held) == {x for x in I.LITERALS if re.search(T.BEGIN + re.escape(x), t)}, t
+        assert set(held) == {x for x in I.LITERALS if re.search(T.BEGIN + re.escape(x), t, re.A)}, t
 
 
 def test_ends_are_trimmed_alike(spark):
